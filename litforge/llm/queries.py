@@ -1,6 +1,9 @@
 """The registered queries of this package, and their SQL where SQL can express them."""
 
 from litforge.llm.op2_suffix_dedup import op2_suffix_dedup
+from litforge.llm.op4_language_id import op4_language_id
+from litforge.llm.op6_secret_scan import op6_secret_scan
+from litforge.llm.op8_top_k import OP8_SQL, op8_top_k
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_language_id, op6_secret_scan, op8_top_k)}
+ORACLES: dict[str, str] = {"op8_top_k": OP8_SQL}
