@@ -1,12 +1,49 @@
-"""The stages from raw documents to a training mix."""
+"""The stages from raw documents to a training mix. Each works on all that the one before has kept; what it reads and
+returns has the columns of documents, but for the last, which adds what the mix says of each copy."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litforge.llm._io import written
+from litforge.llm.op1_mix import mix
+from litforge.llm.op3_decontaminate import contaminated
+from litforge.llm.op5_jaccard_join import jaccard_join
+from litforge.llm.op6_secret_scan import redact
+from litforge.llm.op7_quality import keep_resampled
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose importance weight speaks against them."""
+    return keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near copies; of rows alike in id and text, one."""
+    found = jaccard_join(docs)
+    stays = written(found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")), "stays")
+    kept = docs.join(stays.select("id").hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stays["id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if stays.where("n > 1").limit(1).count() else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that cover a benchmark item."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    return found.where("n_items = 0").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets; the documents stay."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents to the sources' target weights (square roots of their sizes), in a global random order."""
+    return mix(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("mixture", mixture)]
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds them against plain versions.
 ORACLE_SQL = None
 

@@ -3,7 +3,7 @@
 Sections of a text are its lines, and the whole text if it has several lines. A section and a template are lower-cased
 and cut into words of ASCII letters and digits; their sets of word bigrams are compared. A template of n bigrams can
 reach the threshold t only against sections of t / (2 - t) * n to (2 - t) / t * n bigrams, so others are not compared.
-Before that, a section must hold one of a few key words: they are chosen so that a section without any of them shares
+Before that, a section must hold one of a few key bigrams: they are chosen so that a section without any of them shares
 too few bigrams with every template to reach t. Both prunings are exact.
 
 All is one projection: no shuffle, no join, no Python. Rows: a null or empty text has no hit; sections that tie go to
@@ -46,22 +46,36 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def key_words(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which a section holds one if it reaches the threshold against any template."""
+def key_grams(sets: dict[str, list[str]], threshold: float) -> list[str]:
+    """Bigrams of which a section holds one if it reaches the threshold against any template: of n bigrams, a section
+    that shares `least` holds one of any n - least + 1; the longest are the rarest, as a rule."""
     chosen: set[str] = set()
-    for text in templates.values():
-        grams = [g.split(" ") for g in bigrams(text)]
+    for grams in sets.values():
         least = max(1, math.ceil(threshold * (len(grams) + max(1, bounds(len(grams), threshold)[0])) / 2 - 1e-9))
-        for word in sorted({w for g in grams for w in g}, key=lambda w: (w not in chosen, -len(w), w)):
-            if sum(not chosen & set(g) for g in grams) < least:
-                break
-            chosen.add(word)
-    return sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+        chosen.update(sorted(grams, key=lambda g: (g not in chosen, -len(g), g))[: len(grams) - least + 1])
+    return sorted(chosen)
 
 
-def _bigrams(section: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(section), "[^a-z0-9]+", " ")), " ")
-    return F.array_distinct(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w)))
+def _normal(section: Column) -> Column:
+    """The words, each between two blanks."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(section), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _bigrams(normal: Column) -> Column:
+    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    return _once(F.split(F.trim(normal), " "), pairs)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -69,40 +83,34 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     templates = TEMPLATES if templates is None else templates
     sets = {k: bigrams(v) for k, v in sorted(templates.items())}
     sets = {k: v for k, v in sets.items() if v}
-    empty = "array<struct<dice:double,line:int,license:string>>"
+    empty = F.array().cast("array<struct<dice:double,line:int,license:string>>")
     if not sets:
-        return df.select(id_col, F.array().cast(empty).alias("hits"))
-    words = key_words(templates, threshold)
-    holds = lambda s: F.lower(s).rlike("|".join(words)) if len(words) > 40 else _any([F.contains(F.lower(s), F.lit(w)) for w in words])
-    text = F.col(text_col)
-    lines = F.split(text, "\n", -1)
-    numbered = F.transform(lines, lambda s, i: F.struct((i + 1).cast("int").alias("line"), s.alias("s")))
-    most = max(bounds(len(v), threshold)[1] for v in sets.values())
-    whole = F.when((F.size(lines) > 1) & (F.length(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")) <= 40 * (most + 1)), F.array(F.struct(F.lit(0).alias("line"), text.alias("s")))).otherwise(F.array().cast("array<struct<line:int,s:string>>"))
-    some = F.filter(F.concat(whole, numbered), lambda x: holds(x["s"]))
-    cut = F.transform(some, lambda x: F.struct(x["line"].alias("line"), _bigrams(x["s"]).alias("grams")))
-
-    def best(x: Column) -> Column:
+        return df.select(id_col, empty.alias("hits"))
+    keys = [f" {g} " for g in key_grams(sets, threshold)]
+    section = lambda line, s: F.struct(line.cast("int").alias("line"), _normal(s).alias("s"))
+
+    def sections(lines: Column) -> Column:
+        whole = F.when(F.size(lines) > 1, F.array(section(F.lit(0), F.array_join(lines, " ")))).otherwise(F.array().cast("array<struct<line:int,s:string>>"))
+        return F.concat(whole, F.transform(lines, lambda s, i: section(i + 1, s)))
+
+    def best(grams: Column) -> Column:
         found = []
-        for name, grams in sets.items():
-            low, high = bounds(len(grams), threshold)
-            shared = F.size(F.array_intersect(x["grams"], F.array(*map(F.lit, grams))))
-            dice = F.when(F.size(x["grams"]).between(low, high), 2.0 * shared / (F.size(x["grams"]) + len(grams))).otherwise(0.0)
+        for name, own in sets.items():
+            low, high = bounds(len(own), threshold)
+            shared = F.size(F.array_intersect(grams, F.array(*map(F.lit, own))))
+            dice = F.when(F.size(grams).between(low, high), 2.0 * shared / (F.size(grams) + len(own))).otherwise(0.0)
             found.append(F.struct((-dice).alias("d"), F.lit(name).alias("license")))
         return F.array_min(F.array(*found))
 
-    hits = F.transform(cut, lambda x: F.struct(best(x).alias("b"), x["line"].alias("line")))
-    hits = F.filter(F.transform(hits, lambda x: F.struct(x["b"]["d"].alias("d"), x["line"].alias("line"), x["b"]["license"].alias("license"))), lambda x: x["d"] <= -threshold + 1e-9)
-    hits = F.transform(F.array_sort(hits), lambda x: F.struct((-x["d"]).alias("dice"), x["line"].alias("line"), x["license"].alias("license")))
-    none = F.array().cast(empty)
-    return df.select(id_col, F.when(holds(text), hits).otherwise(none).alias("hits"))
-
-
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+    key_array = F.array(*map(F.lit, keys))
+    some = F.filter(_once(F.split(F.col("text"), "\n", -1), sections), lambda x: F.exists(key_array, lambda k: F.contains(x["s"], k)))
+    cut = F.transform(some, lambda x: F.struct(x["line"].alias("line"), _once(_bigrams(x["s"]), best).alias("b")))
+    near = F.filter(F.transform(cut, lambda x: F.struct(x["b"]["d"].alias("d"), x["line"].alias("line"), x["b"]["license"].alias("license"))), lambda x: x["d"] <= -threshold + 1e-9)
+    hits = F.transform(F.array_sort(near), lambda x: F.struct((-x["d"]).alias("dice"), x["line"].alias("line"), x["license"].alias("license")))
+    normal = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(_normal(F.col(text_col)), F.lit("")).alias("normal"))
+    held = normal.select("id", F.when(_any([F.contains(F.col("normal"), F.lit(k)) for k in keys]), F.col("text")).alias("text"))
+    # generated from an array of one, the hits are worked out once for all that is read of them
+    return held.select(F.col("id").alias(id_col), F.explode(F.array(F.when(F.col("text").isNotNull(), hits).otherwise(empty))).alias("hits"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +130,7 @@ sections AS (
   SELECT doc_id, line, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM sections
 ), cut AS (
   SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM words
-  WHERE len(w) BETWEEN 2 AND 400
+  WHERE len(w) >= 2
 ), dice AS (
   SELECT doc_id, line, license, 2.0 * len(list_intersect(cut.grams, t.grams)) / (len(cut.grams) + len(t.grams)) AS dice FROM cut, templates t
   WHERE len(cut.grams) <= 1.5 * len(t.grams) + 1e-9 AND len(t.grams) <= 1.5 * len(cut.grams) + 1e-9

@@ -4,7 +4,9 @@ Two generative models over hashed byte trigrams, one of target text (labelled go
 document its importance weight, the ratio of its likelihoods. Raw counts run over all documents; the target's over
 those of at most `target_rows` labelled rows, chosen by a hash of id, whose ids are what is broadcast. The k documents
 of the highest log weight + Gumbel noise are a sample without replacement by weight; unless given, k is the number of
-documents whose log weight is `least` or more. Overlapping trigrams repeat what they say, so log weights are divided by n (3), and the
+documents whose log weight is `least` or more. Overlapping trigrams repeat what they say, so log weights are divided by n (3); a document
+of over PASSAGE trigrams weighs as its average passage does, else a small difference in the mix of languages between the
+labelled sample and the corpus would add up over thousands of them. The
 noise is scaled by `temperature`: at 0 the k likeliest documents are taken.
 
 The k-th key is found by histograms over the written scores, bins of one range at a time, until at most `bin_rows` rows
@@ -21,12 +23,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litforge.llm import _hashing as H
 from litforge.llm._io import collected_bounded, written
 
 N = 3
 BITS = 14
+#: A longer document weighs as much as an average passage of so many trigrams of it.
+PASSAGE = 100
 UNIT = float(1 << 52)
 
 
@@ -70,18 +75,28 @@ def _counted(target: np.ndarray):
     return run
 
 
-def _weighed(ratio: np.ndarray):
+def _weighed(ratio: np.ndarray, text_col: str, keep_text: bool):
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, gram, begin, end in _grams(batch.column("text")):
+            for i, j, gram, begin, end in _grams(batch.column(text_col)):
                 sums = np.concatenate(([0.0], np.cumsum(ratio[gram])))
-                out[i:j] = (sums[end] - sums[begin]) / N
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(np.round(out, 6))], names=["id", "key", "log_weight"])
+                out[i:j] = (sums[end] - sums[begin]) / N * np.minimum(1.0, PASSAGE / np.maximum(end - begin, 1))
+            if not keep_text:
+                batch = batch.drop_columns([text_col])
+            yield batch.append_column("log_weight", pa.array(np.round(out, 6)))
 
     return run
 
 
+def _keyed(df: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, temperature: float, seed: int, keep_text: bool) -> DataFrame:
+    """df (without the text unless kept) with log_weight and key."""
+    schema = T.StructType([f for f in df.schema.fields if keep_text or f.name != text_col]).add("log_weight", "double")
+    word = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), word)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(UNIT)
+    return df.mapInArrow(_weighed(ratio, text_col, keep_text), schema).withColumn("key", F.round(F.col("log_weight") - F.log(-F.log(u)) * F.lit(float(temperature)), 9))
+
+
 def log_ratio(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, good: Column, target_rows: int = 20_000, background: float = 0.05) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw); the target's model is smoothed by a share of the raw model."""
     ids = labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
@@ -136,21 +151,30 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number of documents whose log weight is at least `least`, that is, whose evidence against them isn't decisive."""
     good = F.col("quality") == 1 if good is None else good
     ratio = log_ratio(df, labels, id_col, text_col, good, target_rows)
-    word = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), word)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(UNIT)
-    kind = df.schema[id_col].dataType.simpleString()
-    weighed = df.select(F.col(id_col).alias("id"), (-F.log(-F.log(u)) * F.lit(float(temperature))).alias("key"), F.col(text_col).alias("text")).mapInArrow(_weighed(ratio), f"id {kind}, key double, log_weight double")
-    scores = written(weighed.withColumn("key", F.round(F.col("key") + F.col("log_weight"), 9)), "importance")
+    scores, kept = _scored(df, ratio, id_col, text_col, k, temperature, seed, least)
+    return scores.select(F.col("id").alias(id_col), "log_weight", "key", kept.alias("kept"))
+
+
+def _scored(df, ratio, id_col, text_col, k, temperature, seed, least):
+    """The written scores, and which of them are among the k highest keys."""
+    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scores = written(_keyed(plain, ratio, "id", "text", temperature, seed, False), "importance")
     if k is None:
         k = scores.where(F.col("log_weight") >= least).count()
     last = kth(scores, k)
     if last is None:
-        kept = F.lit(k > 0)
-    elif last[1] is None:
-        kept = F.col("key") >= last[0]
-    else:
-        kept = (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.coalesce(F.col("id").cast("string"), F.lit("")) <= last[1]))
-    return scores.select(F.col("id").alias(id_col), "log_weight", "key", kept.alias("kept"))
+        return scores, F.lit(k > 0)
+    if last[1] is None:
+        return scores, F.col("key") >= last[0]
+    return scores, (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.coalesce(F.col("id").cast("string"), F.lit("")) <= last[1]))
+
+
+def keep_resampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0) -> DataFrame:
+    """The rows of df that resample() keeps: their keys are worked out again as the texts stream by, without a join."""
+    ratio = log_ratio(df, labels, id_col, text_col, F.col("quality") == 1, target_rows)
+    _, kept = _scored(df, ratio, id_col, text_col, None, temperature, seed, least)
+    own = df.select(F.col(id_col).alias("id"), F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"))
+    return _keyed(own, ratio, "id", "text", temperature, seed, False).where(kept).select("row.*")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

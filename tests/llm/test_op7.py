@@ -29,7 +29,7 @@ def plain(rows, good):
         aim += own * (i in good)
         per.append(own)
     ratio = np.array([math.log(0.05 + 0.95 * (a / aim.sum()) / (r / raw.sum())) if r else 0.0 for a, r in zip(aim, raw)])
-    return [float(own @ ratio) / 3 for own in per]
+    return [float(own @ ratio) / 3 * min(1, 100 / max(1, own.sum())) for own in per]
 
 
 def test_weights_match_plain_counts(spark):
