@@ -1,4 +1,256 @@
-"""Registered queries over the reference's operators."""
+"""Registered queries over the document operators, each with the SQL that it is checked against.
+
+The tables hold few of the patterns that the cleaning chains act on, so some queries append the same deterministic noise
+to the texts on both sides (`noisy`), keyed by doc_id."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from litforge.functions import jsonx, tags, text
+from litforge.operators import corpus, extract, rollup
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+NOISE = (" [3].", " [2–5] b", " [1, 4] x", " ..", " aBc endStart e.g. this", "  two  sp , x", " [DOI] [PubMed] [PMC1]", " a@b.co c@d.org e@f.net")
+MODELS = (("alpha", 0), ("beta", 1), ("gamma", 2))
+STATS = r"p ?[<=] ?0\.[0-9]+|[0-9]+%"
+_NOISY = "text || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOISE)) + " END"
+_WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+
+
+def _sub(pattern: str, to: str):
+    return lambda x: f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+
+
+_collapse, _tight, _stop = _sub(f"{_WS}+", " "), _sub(f"{_WS}+([.,;:])", r"\1"), _sub(f"([.!?]){_WS}*([a-z])", r"\1 \2")
+_cite = lambda x: _sub(rf"\[\p{{Nd}}+(?:,{_WS}*\p{{Nd}}+)*\]", "")(_sub(r"\[\p{Nd}+(?:[-–]\p{Nd}+)?\]", "")(x))
+_strip, _camel, _dots = _sub(f"^{_WS}+|{_WS}+$", ""), _sub("([a-z])([A-Z][a-z])", r"\1. \2"), _sub(r"\.{2,}", ".")
+_fallback = lambda x: _strip(_stop(_tight(_cite(_collapse(x)))))
+_post = lambda x: _strip(_collapse(_dots(_camel(_cite(_stop(_tight(_collapse(x))))))))
+_hits = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
+_junk = lambda x: f"(length({_strip(x)}) < 30 OR {_hits(_strip(x), text.REFERENCE)} >= 3 OR regexp_matches({_strip(x)}, '^10\\.\\p{{Nd}}{{4,}}/') OR {_hits(_strip(x), text.EMAIL)} >= 3)"
+_LINES = "SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS chunk FROM (SELECT doc_id, string_split({}, chr(10)) AS l FROM documents)"
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.get(F.array(*map(F.lit, NOISE)), (F.col("doc_id") % 8).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", more))
+
+
+def lines(spark, sf_dir, noise=False):
+    return corpus.chunks(noisy(spark, sf_dir) if noise else table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH c AS ({_LINES.format(_NOISY)}), k AS (SELECT * FROM c WHERE NOT {_junk('chunk')}),
+d AS (SELECT doc_id, {_fallback("string_agg(chunk, ' ' ORDER BY pos)")} AS t, count(*) AS n FROM k GROUP BY doc_id)
+SELECT lang, count(*) AS docs, sum(n) AS chunks, sum(length(t)) AS chars FROM documents JOIN d USING (doc_id) GROUP BY lang""")
+def flagship(spark, sf_dir):
+    docs = noisy(spark, sf_dir).select("lang", F.filter(F.split("text", "\n"), lambda c: ~text.is_junk(c)).alias("k")).where("size(k) > 0")
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("k")).alias("chunks"), F.sum(F.length(text.fallback_clean(text.join_chunks(F.col("k"))))).alias("chars"))
+
+
+@query(f"SELECT doc_id, pos, md5(chunk) AS chunk FROM ({_LINES.format('text')})")
+def chunk_explode(spark, sf_dir):
+    return lines(spark, sf_dir).withColumn("chunk", F.md5("chunk"))
+
+
+@query(f"SELECT doc_id, pos, {_junk('chunk')} AS junk FROM ({_LINES.format(_NOISY)})")
+def junk_filter(spark, sf_dir):
+    return lines(spark, sf_dir, True).select("doc_id", "pos", text.is_junk(F.col("chunk")).alias("junk"))
+
+
+@query(f"""WITH k AS (SELECT * FROM ({_LINES.format(_NOISY)}) WHERE NOT {_junk('chunk')}),
+p AS (SELECT *, lag(chunk) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k),
+m AS (SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN regexp_matches({_sub(f'{_WS}+$', '')('before')}, '[.!?]$') THEN ' ' ELSE '. ' END || chunk, '' ORDER BY pos) AS t FROM p GROUP BY doc_id)
+SELECT doc_id, length(coalesce(left(t, 48000), '')) AS n, md5(coalesce(left(t, 48000), '')) AS merged FROM documents LEFT JOIN m USING (doc_id)""")
+def merge_chunks(spark, sf_dir):
+    merged = noisy(spark, sf_dir).select("doc_id", text.merge_chunks(F.split("text", "\n")).alias("t"))
+    return merged.select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("merged"))
+
+
+@query(f"SELECT doc_id, length({_fallback(_NOISY)}) AS n, md5({_fallback(_NOISY)}) AS cleaned FROM documents")
+def clean_fallback(spark, sf_dir):
+    t = text.fallback_clean(F.col("text"))
+    return noisy(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, length({_post(_NOISY)}) AS n, md5({_post(_NOISY)}) AS cleaned FROM documents")
+def clean_post(spark, sf_dir):
+    t = text.post_process(F.col("text"))
+    return noisy(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n"), F.md5(t).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, length({_cite(_NOISY)}) AS n FROM documents")
+def citation_strip(spark, sf_dir):
+    return noisy(spark, sf_dir).select("doc_id", F.length(text.drop_citations(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f"""SELECT count(DISTINCT doc_id) AS docs, count(*) AS chunks, count(DISTINCT chunk) AS unique_chunks,
+round(count(*) / count(DISTINCT doc_id), 6) AS average_chunks, round(1 - count(DISTINCT chunk) / count(*), 6) AS reduction FROM ({_LINES.format('text')})""")
+def corpus_stats(spark, sf_dir):
+    n, docs, unique = F.count("*"), F.countDistinct("doc_id"), F.countDistinct("chunk")
+    return lines(spark, sf_dir).agg(docs.alias("docs"), n.alias("chunks"), unique.alias("unique_chunks"), F.round(n / docs, 6).alias("average_chunks"), F.round(1 - unique / n, 6).alias("reduction"))
+
+
+@query(f"SELECT doc_id, pos, md5(chunk) AS chunk FROM ({_LINES.format('text')}) QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) = 1")
+def dedup_chunks(spark, sf_dir):
+    return corpus.first_of_each(lines(spark, sf_dir), "chunk", ["doc_id", "pos"], "doc_id").select("doc_id", "pos", F.md5("chunk").alias("chunk"))
+
+
+@query(f"SELECT CASE {' '.join(f'''WHEN regexp_matches(chunk, '{p}') THEN '{k}' ''' for k, p in corpus.CATEGORIES.items())} ELSE 'content' END AS category, count(*) AS n FROM ({_LINES.format(_NOISY)}) GROUP BY 1")
+def chunk_categories(spark, sf_dir):
+    return lines(spark, sf_dir, True).groupBy(corpus.category(F.col("chunk")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_hits('text', 'the|and|der|les')} AS a, {_hits(_post('text'), 'the|and|der|les')} AS b FROM documents)
+SELECT doc_id, round(CASE WHEN a > 0 THEN b / a ELSE 1.0 END, 9) AS kept FROM t""")
+def retention(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(corpus.retention(F.col("text"), text.post_process(F.col("text")), "the|and|der|les"), 9).alias("kept"))
+
+
+@query(f"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1))) AS n FROM documents")
+def sentence_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY term ORDER BY n DESC, term LIMIT 50")
+def term_freq_topk(spark, sf_dir):
+    terms = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
+    return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(50)
+
+
+@query("SELECT conv_id, count(*) AS total, string_agg(coalesce(role, 'N/A'), '|' ORDER BY turn) AS roles, md5(string_agg(coalesce(text, 'N/A'), '|' ORDER BY turn)) AS texts FROM conversations GROUP BY conv_id")
+def group_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("N/A")).alias("role"), F.coalesce("text", F.lit("N/A")).alias("text"))
+    items = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    found = rows.groupBy("conv_id").agg(items.alias("i"))
+    return found.select("conv_id", F.size("i").cast("long").alias("total"), F.array_join(F.transform("i", lambda s: s["role"]), "|").alias("roles"), F.md5(F.array_join(F.transform("i", lambda s: s["text"]), "|")).alias("texts"))
+
+
+@query("SELECT coalesce(source, 'Unknown') AS source, count(*) AS n, bool_and(length(text) > 0) AS all_text, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS n_en FROM documents GROUP BY 1")
+def source_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("Unknown")).alias("source")).agg(F.count("*").alias("n"), F.bool_and(F.length("text") > 0).alias("all_text"), F.count_if(F.col("lang") == "en").alias("n_en"))
+
+
+@query("SELECT doc_id, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_anti(spark, sf_dir):
+    return rollup.pending(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents QUALIFY ord NOT IN (508, 554, 638, 979, 1025, 1597, 1776, 1946)")
+def positional_exclude(spark, sf_dir):
+    return corpus.without_places(corpus.ordinal(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), (508, 554, 638, 979, 1025, 1597, 1776, 1946))
+
+
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord, count(*) OVER () AS n FROM documents)
+SELECT doc_id, ord, CASE WHEN ord < floor(n * 0.7::DOUBLE) THEN 'train' WHEN ord < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM o""")
+def positional_split(spark, sf_dir):
+    return corpus.split_by_place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT event_type AS label, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT event_type FROM events)")
+def label_index(spark, sf_dir):
+    return tags.label_ids(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("""WITH p AS (SELECT l.quality AS gold, CAST(NOT regexp_matches(text, '!!| \\| ') AS INTEGER) AS pred FROM documents JOIN labels l USING (doc_id)),
+n AS (SELECT gold AS label, sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS tp, count(*) AS n_gold, (SELECT count(*) FROM p q WHERE q.pred = p.gold) AS n_pred FROM p GROUP BY gold)
+SELECT label, tp, n_gold, n_pred, round(tp / n_pred, 9) AS "precision", round(tp / n_gold, 9) AS recall FROM n""")
+def label_metrics(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    both = docs.select("doc_id", (~F.col("text").rlike(r"!!| \| ")).cast("int").alias("pred")).join(labels, "doc_id")
+    sides = both.groupBy("quality", "pred").agg(F.count("*").alias("n"))  # four rows at most
+    each = sides.select(F.explode(F.array(F.struct(F.col("quality").alias("label"), F.col("n").alias("g"), F.lit(0).alias("p"), F.when(F.col("quality") == F.col("pred"), F.col("n")).otherwise(0).alias("t")), F.struct(F.col("pred").alias("label"), F.lit(0).alias("g"), F.col("n").alias("p"), F.lit(0).alias("t")))).alias("e")).select("e.*")
+    return each.groupBy("label").agg(F.sum("t").alias("tp"), F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred")).select("label", "tp", "n_gold", "n_pred", F.round(F.col("tp") / F.nullif("n_pred", F.lit(0)), 9).alias("precision"), F.round(F.col("tp") / F.nullif("n_gold", F.lit(0)), 9).alias("recall"))
+
+
+_BIO = "CASE WHEN event_id % 3 = 0 THEN 'O' WHEN event_id % 3 = 1 THEN 'B-' || event_type ELSE 'I-' || event_type END"
+
+
+@query(f"""WITH t AS (SELECT user_id, event_id, {_BIO} AS tag FROM events),
+b AS (SELECT *, lag(tag) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM t),
+s AS (SELECT *, substr(tag, 3) AS kind, sum(CASE WHEN tag LIKE 'B-%' OR (tag LIKE 'I-%' AND (before IS NULL OR before = 'O' OR substr(before, 3) <> substr(tag, 3))) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM b)
+SELECT user_id, kind AS type, min(event_id) AS start, max(event_id) AS "end" FROM s WHERE tag <> 'O' GROUP BY user_id, run, kind""")
+def bio_spans(spark, sf_dir):
+    tokens = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_BIO).alias("tag"))
+    return tags.bio_spans(tokens, ["user_id"], "event_id", "tag")
+
+
+@query("""WITH r AS (SELECT m.model, item_id, length(text) AS n, (item_id + m.k) % 4 = 0 AS failed, round((item_id % 5) / 2.0, 1) AS s FROM benchmark, (VALUES ('alpha', 0), ('beta', 1), ('gamma', 2)) m(model, k))
+SELECT model, round(avg(CASE WHEN NOT failed THEN n END), 6) AS mean_n, round(avg(CASE WHEN s <> 0 THEN s END), 6) AS mean_s, count(CASE WHEN failed THEN 1 END) AS errors FROM r GROUP BY model""")
+def model_matrix(spark, sf_dir):
+    models = spark.createDataFrame(MODELS, "model string, k int")
+    cells = table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(models))  # a row for each of the few registered models
+    failed = (F.col("item_id") + F.col("k")) % 4 == 0
+    results = cells.select("model", F.length("text").alias("n"), F.when(failed, "error").alias("error"), F.round((F.col("item_id") % 5) / 2.0, 1).alias("elapsed_s"))
+    return rollup.model_summary(results).select("model", F.round("mean_n", 6).alias("mean_n"), F.round("mean_s", 6).alias("mean_s"), "errors")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def tolerant_json(spark, sf_dir):
+    p = F.col("props")
+    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n``` done"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("so "), p, F.lit(" and {x"))).when(F.col("event_id") % 4 == 2, p).otherwise("{broken")
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(jsonx.tolerant(raw), "$.k", "long").alias("k"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS body FROM pages""")
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(corpus.plain_html(F.col("html"))).alias("body"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 3),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings v WHERE vec_id <> query_id)
+SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
+def nearest_k(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    stated = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))  # three stated queries
+    near = v.join(F.broadcast(stated), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(extract.cosine(F.col("e"), F.col("embedding")), 6).alias("similarity"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return near.withColumn("r", F.row_number().over(by)).where("r <= 10").drop("r")
+
+
+@query("SELECT doc_id, md5('Extract relations as JSON.' || chr(10) || left(text, 6000) || chr(10) || 'Answer:') AS prompt FROM documents")
+def prompt_build(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.prompt("Extract relations as JSON.\n", text.truncated(F.col("text"), text.MAX_PROMPT), "\nAnswer:")).alias("prompt"))
+
+
+@query("""SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY user_id HAVING count(*) > 1""")
+def relation_uniqueness(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper"), F.col("event_type").alias("taxon_name"), F.col("props").alias("primary_disease"), F.lit("increased").alias("direction"), F.lit("genus").alias("taxonomic_level"))
+    return extract.unique_relations(rows, "paper").groupBy(F.col("paper").alias("user_id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT event_type AS src, 'k' || (CAST(json_extract(props, '$.k') AS BIGINT) % 5) AS dst, count(*) AS weight FROM events GROUP BY 1, 2")
+def graph_edges(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long") % 5
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("taxon_name"), F.concat(F.lit("k"), k).alias("primary_disease"), F.lit("seen").alias("direction"))
+    return extract.edges(rows).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events(spark, sf_dir):
+    """Not one of the reference's operators: the batch form of the windowed stream."""
+    from litforge.streaming.events import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
