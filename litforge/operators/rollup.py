@@ -11,7 +11,7 @@ def rollup(rows: DataFrame, key: str, order: str, lists: list[str], count: str =
     A group becomes one row of output, so its size is bounded by what a row can hold."""
     items = F.array_sort(F.collect_list(F.struct(order, *lists)))
     grouped = rows.withColumn(key, F.coalesce(key, F.lit(unknown))).groupBy(key).agg(items.alias("_items"))
-    return grouped.select(key, F.size("_items").alias(count), *(F.transform("_items", lambda s, c=c: s[c]).alias(c) for c in lists))
+    return grouped.select(key, F.size("_items").alias(count), *(F.col("_items").getField(c).alias(c) for c in lists))
 
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
