@@ -100,3 +100,47 @@ def span_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataF
     scored = n.withColumn("precision", share("tp", "n_pred")).withColumn("recall", share("tp", "n_gold"))
     p, r = F.col("precision"), F.col("recall")
     return scored.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
+
+
+def tag_set(pairs: DataFrame, column: str = "tag") -> DataFrame:
+    return pairs.select(column).distinct().orderBy(column)
+
+
+def with_ids(tokens: DataFrame, ids: DataFrame, tag: str = "tag") -> DataFrame:
+    """tokens with label_id; a tag that has no id ends the job when it is read."""
+    found = tokens.join(ids.select(F.col("label").alias(tag), F.col("id").alias("label_id")), tag, "left")
+    return found.withColumn("label_id", F.coalesce("label_id", F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(tag, F.lit("null")))).cast("int")))
+
+
+def span_bio(docs: DataFrame, id_col: str, text_col: str, spans: str) -> DataFrame:
+    """id, pos, token, tag from texts with spans (start, end exclusive, label), split at white space. A token takes the
+    first listed span that it overlaps: B- on the span's first token, I- on the rest."""
+    words = docs.select(id_col, F.col(spans).alias("_spans"), F.posexplode(F.split(text_col, WS)).alias("_i", "token"))
+    by = Window.partitionBy(id_col).orderBy("_i")
+    placed = words.withColumn("_end", F.sum(F.length("token") + 1).over(by) - 1).withColumn("_start", F.col("_end") - F.length("token")).where("token <> ''")
+    hit = F.get(F.filter("_spans", lambda s: (s["start"] < F.col("_end")) & (s["end"] > F.col("_start"))), F.lit(0))
+    tagged = placed.withColumn("_s", hit).withColumn("_before", F.lag("_s").over(by))
+    tag = F.when(F.col("_s").isNull(), "O").otherwise(F.concat(F.when(F.col("_s").eqNullSafe(F.col("_before")), "I-").otherwise("B-"), F.col("_s.label")))
+    return tagged.select(id_col, (F.row_number().over(by) - 1).alias("pos"), "token", tag.alias("tag"))
+
+
+def zipped_lines(tokens: DataFrame, tags: DataFrame) -> DataFrame:
+    """file, sent_id, pairs from two tables (file, value) whose lines belong together."""
+    lines = lambda d, n: d.select("file", F.posexplode(F.split("value", "\r?\n")).alias("sent_id", n))
+    cells = lambda c: F.filter(F.split(strip(F.col(c)), f"{WS}+"), lambda x: x != "")
+    return lines(tokens, "a").join(lines(tags, "b"), ["file", "sent_id"]).select("file", "sent_id", aligned(cells("a"), cells("b")).alias("pairs")).where("size(pairs) > 0")
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """type, precision, recall, f1, support of span_scores by type, with micro, macro and weighted averages."""
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, gold, pred = (F.sum(c) for c in ("tp", "n_gold", "n_pred"))
+    p, r = share(tp, pred), share(tp, gold)
+    names = ("precision", "recall", "f1")
+    row = lambda kind, values: F.struct(F.lit(kind).alias("type"), *(v.alias(n) for n, v in zip(names, values)), gold.alias("support"))
+    means = scores.agg(F.array(
+        row("micro avg", (p, r, share(2 * p * r, p + r))),
+        row("macro avg", tuple(F.avg(n) for n in names)),
+        row("weighted avg", tuple(share(F.sum(F.col(n) * F.col("n_gold")), gold) for n in names)),
+    ).alias("m"))
+    return scores.select("type", *names, F.col("n_gold").alias("support")).unionByName(means.select(F.explode("m").alias("m")).select("m.*"))

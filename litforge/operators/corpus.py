@@ -85,3 +85,8 @@ def plain_html(html: Column) -> Column:
     """Ours: no scripts, styles and tags, white space collapsed."""
     text = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
+
+
+def named(text: Column) -> Column:
+    """Ours: what looks like the name of a species, a capitalised word and a small one."""
+    return F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+ [a-z]{3,})"), F.lit(1))

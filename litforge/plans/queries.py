@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litforge.functions import jsonx, tags, text
-from litforge.operators import corpus, extract, rollup
+from litforge.operators import corpus, extract, rollup, sections
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -254,3 +254,114 @@ def hourly_events(spark, sf_dir):
     from litforge.streaming.events import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
+def group_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+LONG = {"the": "THE", "und": "UND", "les": "LES"}
+STOP = ["a", "in", "of", "der", "die", "la", "el"]
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w: CASE {' '.join(f"WHEN w = '{k}' THEN '{v}'" for k, v in LONG.items())} ELSE w END), lambda w: NOT list_contains({STOP}, lower(w))), ' ')) AS t FROM documents""")
+def expand_and_stop(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(corpus.without_words(corpus.expand(F.col("text"), LONG), STOP)).alias("t"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]{3,}')) AS n FROM documents")
+def entity_hits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(corpus.named(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, {_hits('text', STATS)} = {_hits(_post('text'), STATS)} AS stats_kept FROM documents")
+def statistics_kept(spark, sf_dir):
+    n = lambda c: F.regexp_count(c, F.lit(STATS))
+    return table(spark, sf_dir, "documents").select("doc_id", (n(F.col("text")) == n(text.post_process(F.col("text")))).alias("stats_kept"))
+
+
+@query(f"""SELECT CASE {' '.join(f'''WHEN regexp_matches(chunk, '{p}') THEN '{k}' ''' for k, p in corpus.CATEGORIES.items())} ELSE 'content' END AS category, count(*) AS n
+FROM ({_LINES.format(_NOISY)}) WHERE {_junk('chunk')} GROUP BY 1""")
+def lost_chunks(spark, sf_dir):
+    before = lines(spark, sf_dir, True)
+    gone = before.where(text.is_junk(F.col("chunk")))
+    return gone.groupBy(corpus.category(F.col("chunk")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT b.item_id, m.model, coalesce(l.n, 0) AS n FROM benchmark b CROSS JOIN (VALUES ('alpha'), ('beta'), ('gamma')) m(model)
+LEFT JOIN (SELECT item_id, 'alpha' AS model, length(text) AS n FROM benchmark WHERE item_id % 3 <> 0) l ON l.item_id = b.item_id AND l.model = m.model""")
+def left_lookup(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    cells = items.select("item_id", F.explode(F.array(*(F.lit(m) for m, _ in MODELS))).alias("model"))
+    found = items.where("item_id % 3 <> 0").select("item_id", F.lit("alpha").alias("model"), F.length("text").cast("long").alias("n"))
+    return cells.join(found, ["item_id", "model"], "left").select("item_id", "model", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
+def argmax_class(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", tags.argmax(F.col("embedding")).alias("best"))
+
+
+@query("""WITH n AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS r, q.label = v.label AS same
+FROM embeddings q, embeddings v WHERE q.vec_id < 3 AND q.vec_id <> v.vec_id), f AS (SELECT query_id, min(CASE WHEN same THEN r END) AS r FROM n GROUP BY query_id)
+SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS at_1, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS at_10 FROM f""")
+def accuracy_at_k(spark, sf_dir):
+    near, v = nearest_k(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    of = near.join(v, "vec_id").join(v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold")), "query_id")
+    ranked = of.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")))
+    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("r"))).alias("r"))
+    return first.agg(F.round(sections.accuracy_at(F.col("r"), 1), 6).alias("at_1"), F.round(sections.accuracy_at(F.col("r"), 10), 6).alias("at_10"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS raw FROM (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)) AS x FROM documents)),
+s AS (SELECT *, {_strip('raw')} AS s, sum(CASE WHEN {_strip('raw')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM l),
+f AS (SELECT *, string_split_regex(s, '{_WS}+') AS f FROM s WHERE s <> '' AND NOT starts_with(s, '#'))
+SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS sent_id, row_number() OVER (PARTITION BY doc_id, block ORDER BY line) - 1 AS pos, f[1] AS token, f[2] AS tag FROM f WHERE len(f) >= 2""")
+def conll_tokens(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("value"))
+    return tags.conll(texts).withColumnRenamed("file", "doc_id")
+
+
+@query(f"""WITH w AS (SELECT item_id, unnest(range(len(x))) AS i, unnest(x) AS token FROM (SELECT item_id, string_split_regex(text, '{_WS}') AS x FROM benchmark)),
+e AS (SELECT *, sum(length(token) + 1) OVER (PARTITION BY item_id ORDER BY i) - 1 AS hi FROM w),
+s AS (SELECT *, CASE WHEN hi - length(token) < 20 AND hi > 3 THEN 'X' WHEN hi - length(token) < 60 AND hi > 40 THEN 'Y' END AS kind FROM e WHERE token <> ''),
+b AS (SELECT *, lag(kind) OVER (PARTITION BY item_id ORDER BY i) AS before FROM s)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos, token, CASE WHEN kind IS NULL THEN 'O' WHEN kind = before THEN 'I-' || kind ELSE 'B-' || kind END AS tag FROM b""")
+def span_tags(spark, sf_dir):
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(k).alias("label")) for a, b, k in ((3, 20, "X"), (40, 60, "Y"))))
+    return tags.span_bio(table(spark, sf_dir, "benchmark").withColumn("spans", spans), "item_id", "text", "spans")
+
+
+@query("""SELECT event_type AS microbe, 'm' || (user_id % 7) AS metabolite, 'o' || (event_id % 3) AS outcome, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2, 3""")
+def section_chains(spark, sf_dir):
+    by = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise("")
+    parts = ('{"microbe_relationships":[{"taxon_name":"', F.col("event_type"), '"}],"metabolites":[{"name":"m', F.col("user_id") % 7, '","associated_outcome":"o', F.col("event_id") % 3, '","produced_by":[', by, "]}]}")
+    papers = table(spark, sf_dir, "events").select("event_id", F.concat(*(F.lit(p).cast("string") for p in parts)).alias("j"))
+    made = sections.chains(*(sections.section(papers, "j", "event_id", s) for s in ("microbe_relationships", "metabolites")), "event_id")
+    return made.groupBy("microbe", "metabolite", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id % 50 AS src, user_id % 31 AS dst FROM events)
+SELECT node, sum(o) AS n_out, sum(i) AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node""")
+def graph_degrees(spark, sf_dir):
+    edges = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("src"), (F.col("user_id") % 31).alias("dst")).distinct()
+    return sections.degrees(edges)
+
+
+_GOLD = "CASE WHEN event_id % 3 = 0 THEN 'O' ELSE 'B-' || event_type END"
+_GUESS = "CASE WHEN event_id % 5 = 0 THEN 'O' WHEN event_id % 7 = 0 THEN 'B-view' ELSE 'B-' || event_type END"
+
+
+@query(f"""WITH g AS (SELECT event_id, substr({_GOLD}, 3) AS type FROM events WHERE {_GOLD} <> 'O'), p AS (SELECT event_id, substr({_GUESS}, 3) AS type FROM events WHERE {_GUESS} <> 'O'),
+n AS (SELECT type, count(g.event_id) AS gold, count(p.event_id) AS pred, count(CASE WHEN g.event_id = p.event_id THEN 1 END) AS tp FROM g FULL JOIN p USING (event_id, type) GROUP BY type),
+s AS (SELECT *, CASE WHEN pred > 0 THEN tp / pred ELSE 0 END AS a, CASE WHEN gold > 0 THEN tp / gold ELSE 0 END AS b FROM n),
+f AS (SELECT *, CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END AS c FROM s),
+r AS (SELECT type, a, b, c, gold FROM f UNION ALL SELECT 'micro avg', sum(tp) / sum(pred), sum(tp) / sum(gold), 2 * sum(tp) / (sum(pred) + sum(gold)), sum(gold) FROM f
+UNION ALL SELECT 'macro avg', avg(a), avg(b), avg(c), sum(gold) FROM f UNION ALL SELECT 'weighted avg', sum(a * gold) / sum(gold), sum(b * gold) / sum(gold), sum(c * gold) / sum(gold), sum(gold) FROM f)
+SELECT type, round(a, 6) AS "precision", round(b, 6) AS recall, round(c, 6) AS f1, CAST(gold AS BIGINT) AS support FROM r""")
+def class_report(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("one", F.col("event_id"))
+    spans = lambda e: tags.bio_spans(events.withColumn("tag", F.expr(e)), ["one"], "event_id", "tag")
+    found = tags.report(tags.span_scores(spans(_GOLD), spans(_GUESS), ["one"]))
+    return found.select("type", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +54,52 @@ def write_groups(df: DataFrame, key: str, path: str) -> None:
 def write_conll(sentences: DataFrame, path: str) -> None:
     """Sentences (sent_id, text) in order; files are ranges of sent_id, so that no task holds all."""
     sentences.repartitionByRange("sent_id").sortWithinPartitions("sent_id").select("text").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def if_there(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame | None:
+    """What is stored at a path; None if nothing is."""
+    try:
+        return spark.read.format(form).load(path)
+    except AnalysisException as fault:
+        if fault.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def wide_rows(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """pos, cells of a CSV whose rows differ in length; line ends in cells make it unsplittable, so one task reads a file."""
+
+    def run(batches):
+        for batch in batches:
+            for value in batch["value"]:
+                rows = list(csv.reader(io.StringIO(value, newline="")))[1 if header else 0 :]
+                yield pd.DataFrame({"pos": range(len(rows)), "cells": rows})
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "pos long, cells array<string>")
+
+
+def write_object(rows: DataFrame, key: str, value: str, order: str, path: str) -> None:
+    """One JSON object {key: value, ...} in order. An object is one file, so one task writes it, sorting on disk if need
+    be; `write.json` is the form for large tables."""
+    first = rows.agg(F.min(order)).first()[0]
+    entry = F.to_json(F.create_map(F.col(key), F.col(value)), {"ignoreNullFields": "false"})
+    inner = F.expr("substring(_entry, 2, length(_entry) - 2)")
+    lines = rows.withColumn("_entry", entry).select(F.col(order).cast("long").alias("_o"), F.concat(F.when(F.col(order) == first, "{").otherwise(","), inner).alias("line"))
+    end = rows.sparkSession.createDataFrame([(None, "}" if first is not None else "{}")], "_o long, line string")
+    lines.unionByName(end).repartition(1).sortWithinPartitions(F.asc_nulls_last("_o")).select("line").write.mode("overwrite").text(path)
+
+
+def label_map(labels: DataFrame) -> DataFrame:
+    """One row of JSON from (label, id): both directions; the distinct labels of a tag set are few."""
+    pairs = F.array_sort(F.collect_list(F.struct("id", "label")))
+    to_id = F.map_from_entries(F.transform("p", lambda s: F.struct(s["label"], s["id"])))
+    to_label = F.map_from_entries(F.transform("p", lambda s: F.struct(s["id"].cast("string"), s["label"])))
+    return labels.agg(pairs.alias("p")).select(F.to_json(F.struct(to_id.alias("label_to_id"), to_label.alias("id_to_label"))).alias("value"))
+
+
+def write_csv(parts: list[DataFrame], path: str) -> None:
+    """One CSV of several tables, with all their columns."""
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    whole.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
