@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Character classes that Java, RE2 and Python's Unicode `\\s` and `\\d` agree on.
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 DIGIT = r"\p{Nd}"
+#: The characters of WS.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Fixed values of the junk test and of the truncations.
 MIN_CHUNK, MAX_TEXT, MAX_PROMPT, MAX_RAW = 30, 48_000, 6_000, 500
 REFERENCE = r"\[DOI\]|\[PubMed\]|\[PMC"
@@ -17,7 +19,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -62,9 +64,11 @@ def join_chunks(chunks: Column) -> Column:
 
 
 def is_junk(chunk: Column) -> Column:
-    """Short, full of reference marks or e-mail addresses, or starting with a DOI."""
+    """Short, full of reference marks or e-mail addresses, or starting with a DOI. A pattern is searched for only where a
+    character is found that all its hits hold."""
     s = strip(chunk)
-    return (F.length(s) < MIN_CHUNK) | (F.regexp_count(s, F.lit(REFERENCE)) >= 3) | s.rlike(DOI_START) | (F.regexp_count(s, F.lit(EMAIL)) >= 3)
+    often = lambda sign, pattern: F.contains(s, F.lit(sign)) & (F.regexp_count(s, F.lit(pattern)) >= 3)
+    return (F.length(s) < MIN_CHUNK) | often("[", REFERENCE) | (F.startswith(s, F.lit("10.")) & s.rlike(DOI_START)) | often("@", EMAIL)
 
 
 def merge_chunks(chunks: Column, most: int = MAX_TEXT) -> Column:

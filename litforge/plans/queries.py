@@ -61,8 +61,10 @@ def lines(spark, sf_dir, noise=False):
 d AS (SELECT doc_id, {_fallback("string_agg(chunk, ' ' ORDER BY pos)")} AS t, count(*) AS n FROM k GROUP BY doc_id)
 SELECT lang, count(*) AS docs, sum(n) AS chunks, sum(length(t)) AS chars FROM documents JOIN d USING (doc_id) GROUP BY lang""")
 def flagship(spark, sf_dir):
-    docs = noisy(spark, sf_dir).select("lang", F.filter(F.split("text", "\n"), lambda c: ~text.is_junk(c)).alias("k")).where("size(k) > 0")
-    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size("k")).alias("chunks"), F.sum(F.length(text.fallback_clean(text.join_chunks(F.col("k"))))).alias("chars"))
+    kept = F.filter(F.split("text", "\n"), lambda c: ~text.is_junk(c))
+    once = F.get(F.transform(F.array(kept), lambda k: F.struct(F.size(k).alias("n"), F.length(text.fallback_clean(text.join_chunks(k))).alias("chars"))), F.lit(0))
+    docs = noisy(spark, sf_dir).select("lang", once.alias("d"))
+    return docs.groupBy("lang").agg(F.count_if(F.col("d.n") > 0).alias("docs"), F.sum("d.n").alias("chunks"), F.sum("d.chars").alias("chars")).where("docs > 0")
 
 
 @query(f"SELECT doc_id, pos, md5(chunk) AS chunk FROM ({_LINES.format('text')})")

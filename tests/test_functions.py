@@ -82,3 +82,9 @@ def test_rollup_retry_and_order(spark):
     assert len(calls) == 3 and waits == [10.0, 10.0]
     shuffled = spark.range(1000).select((F.col("id") * 7919 % 100003).alias("k"))
     assert all(a == b for b, a in enumerate(r.ord for r in corpus.ordinal(shuffled, "k").orderBy("k").collect()))
+
+
+def test_strip_is_that_of_python(spark):
+    assert set(text.SPACES) == {chr(i) for i in range(0x10000) if chr(i).isspace()}
+    for s in ("", text.SPACES, f"{text.SPACES}a é{text.SPACES}b　", "​x​", "é"):
+        assert one(spark, text.strip, s) == s.strip()
