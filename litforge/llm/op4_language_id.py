@@ -149,8 +149,8 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows:
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """df's id columns (all but text) with lang_pred and score."""
-    rest = [c for c in df.columns if c != text_col]
+    """df's id columns (all but text) with lang_pred and score, which replace columns of these names."""
+    rest = [c for c in df.columns if c not in (text_col, "lang_pred", "score")]
 
     def run(batches):
         for batch in batches:

@@ -17,7 +17,7 @@ def test_edges(spark):
     rows = [(1, "the cat and the dog", "en", "x"), (2, "der hund und die katze", "de", "x"), (3, "le chat et le chien", "fr", "x"), (4, None, "en", "x"), (5, "", None, "x"), (6, "12 34 !!", "en", "x"), (7, "the dog " * 60000, None, "x"), (7, "the dog and the cat", None, "x"), (None, "le chien", None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     model = train(docs, "doc_id", "text", "lang")
-    got = predict(docs.select("doc_id", "text"), model).collect()
+    got = predict(docs.select("doc_id", "text", "score"), model).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
