@@ -94,8 +94,9 @@ def _signed(k: int, bands: int, rows: int):
     return run
 
 
-def _owners(block: int):
-    """Of the members of each bucket, those with a pair whose first shared band is the bucket's."""
+def _owners():
+    """Of the members of each bucket, those with a pair whose first shared band is the bucket's; of a bucket in several
+    blocks, whose members may lie in several tasks, all."""
 
     def run(batches):
         found = [b.to_pandas() for b in batches]
@@ -107,18 +108,16 @@ def _owners(block: int):
         band, name = rows["band"].to_numpy(), rows["name"].to_numpy()
         signs = np.stack(rows["signs"].to_numpy())
         new = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (rows["bucket"].to_numpy()[1:] != rows["bucket"].to_numpy()[:-1]), [True])))
-        keep, cell = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=np.int32)
+        keep, cell = np.zeros(len(rows), dtype=bool), rows["blocks"].to_numpy()
         for a, b in zip(new[:-1], new[1:], strict=True):
-            if b - a > block:  # too many to look at each: all of them
+            if cell[a] > 1:
                 keep[a:b] = True
-                cell[a:b] = (b - a + block - 1) // block
                 continue
             s = signs[a:b, : band[a]]
             for i in range(b - a):
                 own = ~(s == s[i]).any(axis=1) if band[a] else np.ones(b - a, dtype=bool)
                 own[i] = False
                 keep[a + i] = own.any()
-            cell[a:b] = 1
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["bucket"].to_numpy()[keep], band[keep], name[keep], rows["id"].to_numpy()[keep], rows["copies"].to_numpy()[keep], cell[keep])] + [pa.array(list(signs[keep]), type=pa.list_(pa.int64()))], names=["bucket", "band", "name", "id", "copies", "blocks", "signs"])
 
     return run
@@ -241,12 +240,13 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = written(docs.mapInArrow(_signed(k, bands, rows), "id long, name long, n int, signs array<long>"), "signatures")
     classes = signed.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signs").alias("signs"))
     spread = classes.select("name", "id", "copies", "signs", F.posexplode("signs").alias("band", "bucket"))
-    full = spread.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1").select("band", "bucket")
-    met = spread.join(full.hint("shuffle_hash"), ["band", "bucket"]).select("bucket", "band", "name", "id", "copies", "signs")
-    owned = met.repartition("bucket").mapInArrow(_owners(block), "bucket long, band int, name long, id long, copies long, blocks int, signs array<long>")
+    full = spread.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1").select("band", "bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    # blocks of a large bucket are dealt out one by one, so that no task holds such a bucket
+    block_of = F.pmod(F.xxhash64(F.lit(5), "name"), "blocks").cast("int")
+    met = spread.join(full.hint("shuffle_hash"), ["band", "bucket"]).select("bucket", "band", "name", "id", "copies", "blocks", "signs")
+    owned = met.repartition("bucket", block_of).mapInArrow(_owners(), "bucket long, band int, name long, id long, copies long, blocks int, signs array<long>")
     # a cell is a bucket, or a pair of blocks i <= j of it; side 1: both, 0: the first of two, 2: the second
-    own = F.pmod(F.xxhash64(F.lit(5), "name"), "blocks").cast("int")
-    cells = owned.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = owned.withColumn("own", block_of).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     cells = cells.select("id", F.struct(F.xxhash64("bucket", low, high).alias("cell"), "band", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"), "name", "copies", "signs").alias("c"))
     asked = written(cells.groupBy("id").agg(F.collect_list("c").alias("asked")), "cells")
