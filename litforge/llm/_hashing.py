@@ -14,7 +14,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed in one go; a longer text goes by itself.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
