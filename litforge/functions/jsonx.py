@@ -70,3 +70,11 @@ def default_if_missing(v: Column, path: str, default: str) -> Column:
     """The string at a path; the default only where the key is missing, not where it is null or empty."""
     found = F.try_variant_get(v, path, "variant")
     return F.when(found.isNull(), default).otherwise(F.try_variant_get(v, path, "string"))
+
+
+def repaired(line: Column) -> Column:
+    """Ours: the JSON of a line; if it is broken, without trailing commas, with double quotes, or with a brace at its
+    end, whichever parses first; else null."""
+    tidy = F.regexp_replace(line, r",[ \t\r\n]*([}\]])", "$1")
+    quoted = F.replace(tidy, F.lit("'"), F.lit('"'))
+    return F.coalesce(*map(F.try_parse_json, (line, tidy, quoted, F.concat(tidy, F.lit("}")))))

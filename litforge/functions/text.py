@@ -16,6 +16,10 @@ REFERENCE = r"\[DOI\]|\[PubMed\]|\[PMC"
 DOI_START = rf"^10\.{DIGIT}{{4,}}/"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
+#: Ours: identifiers of articles, and signs that text from scans holds but that mean nothing.
+IDS = r"(?i)pmc[0-9]{4,}|pmid:? ?[0-9]+|(?:doi:? ?)?10\.[0-9]{4,}/[^ \t\n\])},;]+"
+SCAN_MARKS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{ad}]"
+
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
@@ -98,3 +102,14 @@ def sentences(c: Column) -> Column:
 
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def drop_ids(c: Column) -> Column:
+    """Ours: without PMC numbers, PubMed numbers and DOIs."""
+    return F.regexp_replace(c, IDS, "")
+
+
+def drop_scan_marks(c: Column) -> Column:
+    """Ours: words that a scan has cut at a line's end are joined, ligatures are spelt out, control signs and soft hyphens go."""
+    joined = F.regexp_replace(c, "([a-z])-\n([a-z])", "$1$2")
+    return F.regexp_replace(F.replace(F.replace(joined, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")), SCAN_MARKS, "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,6 +67,12 @@ def seeded_sample(keys: list[str], n: int = 4, seed: int = 42) -> list[str]:
     return random.Random(seed).sample(keys, min(n, len(keys)))
 
 
+def with_keys(models: dict[str, str], found: Mapping[str, str]) -> tuple[list[str], list[str]]:
+    """Of models and the names of their keys, the models whose key is set, and the names of those that are missing."""
+    there = [m for m, key in models.items() if found.get(key)]
+    return there, sorted({key for m, key in models.items() if m not in there})
+
+
 def with_retry(call: Callable[[str], str], prompt: str, tries: int = 3, wait: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> str:
     for i in range(tries):
         try:

@@ -367,3 +367,28 @@ def class_report(spark, sf_dir):
     spans = lambda e: tags.bio_spans(events.withColumn("tag", F.expr(e)), ["one"], "event_id", "tag")
     found = tags.report(tags.span_scores(spans(_GOLD), spans(_GUESS), ["one"]))
     return found.select("type", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+_SEEN = " see PMC12345, doi:10.1234/ab-c (PMID: 77)"
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(text || '{_SEEN}', '{text.IDS}', '', 'g')) AS t FROM documents")
+def strip_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.drop_ids(F.concat("text", F.lit(_SEEN)))).alias("t"))
+
+
+_SCANNED = " bro-\nken ﬁne \u00adﬂow"
+
+
+@query(f"""WITH j AS (SELECT doc_id, regexp_replace(text || '{_SCANNED}', '([a-z])-\n([a-z])', '\\1\\2', 'g') AS t FROM documents)
+SELECT doc_id, md5(regexp_replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{text.SCAN_MARKS}', '', 'g')) AS t FROM j""")
+def strip_scan_marks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.drop_scan_marks(F.concat("text", F.lit(_SCANNED)))).alias("t"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_repair(spark, sf_dir):
+    p, kind = F.col("props"), F.col("event_id") % 4
+    cut = F.expr("substring(props, 1, length(props) - 1)")
+    broken = F.when(kind == 0, p).when(kind == 1, F.concat(cut, F.lit(", }"))).when(kind == 2, F.replace(p, F.lit('"'), F.lit("'"))).otherwise(cut)
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(jsonx.repaired(broken), "$.k", "long").alias("k"))

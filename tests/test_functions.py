@@ -88,3 +88,14 @@ def test_strip_is_that_of_python(spark):
     assert set(text.SPACES) == {chr(i) for i in range(0x10000) if chr(i).isspace()}
     for s in ("", text.SPACES, f"{text.SPACES}a é{text.SPACES}b　", "​x​", "é"):
         assert one(spark, text.strip, s) == s.strip()
+
+
+def test_ids_scan_marks_and_repair(spark):
+    row = spark.createDataFrame([("a PMC123456 b doi:10.1000/x.y-z, c", "bro-\nken ﬁn\x0c x-\nY", "{'a': [1, 2,],}", "{\"a\": ", None)], "i string, s string, j string, k string, n string").select(
+        text.drop_ids(F.col("i")).alias("i"), text.drop_scan_marks(F.col("s")).alias("s"), F.to_json(jsonx.repaired(F.col("j"))).alias("j"), jsonx.repaired(F.col("k")).isNull().alias("k"), text.drop_ids(F.col("n")).alias("n"), jsonx.repaired(F.col("n")).isNull().alias("m")
+    ).first()
+    assert tuple(row) == ("a  b , c", "broken fin x-\nY", '{"a":[1,2]}', True, None, True)
+
+
+def test_models_without_keys():
+    assert extract.with_keys({"a": "A_KEY", "b": "B_KEY", "c": "A_KEY"}, {"A_KEY": "x", "B_KEY": ""}) == (["a", "c"], ["B_KEY"])
