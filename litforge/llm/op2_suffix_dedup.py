@@ -99,12 +99,14 @@ def _marked(doc, at, windows):
 
 
 def _first_of(name, doc, at):
-    """True at the first place of each name."""
+    """Which places are the first of their name, and which are later than it; a place that comes twice is one place."""
     order = np.lexsort((at, doc, name))
-    new = np.concatenate(([True], name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, dtype=bool)
-    out = np.empty(len(order), dtype=bool)
-    out[order] = new
-    return out
+    name, doc, at = name[order], doc[order], at[order]
+    new = np.concatenate(([True], name[1:] != name[:-1]))[: len(name)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+    stays, later = np.empty(len(name), dtype=bool), np.empty(len(name), dtype=bool)
+    stays[order], later[order] = new, (doc != doc[first]) | (at != at[first])
+    return stays, later
 
 
 def _sampled(span: int):
@@ -124,9 +126,9 @@ def _sampled(span: int):
             if not found:
                 continue
             key, name, doc, at, m = (np.concatenate(x) for x in zip(*found, strict=True))
-            stays = _first_of(name, doc, at)
+            stays, later = _first_of(name, doc, at)
             yield from _batches(key[stays], name[stays], doc[stays], at[stays], m[stays])
-            yield from _marked(doc[~stays], at[~stays], (m[~stays] >> 8) + 1)
+            yield from _marked(doc[later], at[later], (m[later] >> 8) + 1)
 
     return run
 

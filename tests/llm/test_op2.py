@@ -62,3 +62,11 @@ def test_edges(spark):
     rows = [(None, same, 1), (5, same, 2), (5, same, 3), (6, same + "r", 4)]
     got = {(r.doc_id, r.n_bytes): len(r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, marks int")).collect()}
     assert got[(None, 150)] == 150 and got[(5, 150)] == 0 and got[(6, 151)] == 1
+
+
+def test_repeated_rows_of_one_batch(spark):
+    text = corpus(3)[0][1] + "".join(random.Random(4).choice("abcd ") for _ in range(300))
+    rows = [(1, text), (1, text), (2, text + "z"), (2, text + "z")]
+    want = brute([(1, text), (2, text + "z")], 100)
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert len(got) == 4 and all((r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id] for r in got)
