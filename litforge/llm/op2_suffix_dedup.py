@@ -10,7 +10,8 @@ position at the same distance, which is what a difference cover gives for two po
    k-gram is alone in the corpus are done. Of those that share all bytes (a long tie), the first stays and the windows
    of the others are marked at once, whatever the length of the repeat: names settle the tie, not the texts.
 2. Samples that share the k-gram but not the name fetch their bytes, at most 2 * span each, and their bucket sorts the
-   windows themselves.
+   windows themselves. Where a k-gram is hot (many names), its windows are dealt out one by one instead, by their
+   hashes, so that no task gets the bytes of a whole hot bucket; in step 1 such a bucket is still one task's.
 3. The marks of each text are merged to spans.
 
 Equality of windows is that of 64-bit hashes of their bytes. No text is compared as a whole, a task holds one bucket,
@@ -39,6 +40,8 @@ POS = (1 << POS_BITS) - 1
 NO_ID = -(1 << 63)
 #: key: bucket key; name: of the sample's bytes; doc, at: place of the first window (at holds tag and byte offset);
 #: m: for a sample, windows - 1 and the sample's distance from the first window; for marks, minus the number of windows.
+#: Added to m of a sample whose k-gram is hot.
+HOT = 1 << 24
 MARKS = "key long, name long, doc long, at long, m int"
 
 
@@ -138,9 +141,17 @@ def _columns(batches) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int64)] * 5
 
 
-def _buckets(batches):
-    """Sorts a bucket of samples; gives marks, and the samples whose windows must be looked at."""
-    key, name, doc, at, m = _columns(batches)
+def _buckets(hot: int):
+    """Sorts buckets of samples; gives marks, and the samples whose windows must be looked at."""
+
+    def run(batches):
+        yield from _sorted(_columns(batches), hot)
+
+    return run
+
+
+def _sorted(columns, hot: int):
+    key, name, doc, at, m = columns
     if not len(key):
         return
     marks = m < 0
@@ -160,29 +171,57 @@ def _buckets(batches):
     later = ~stays & ~(same & (doc == doc[first]) & (at == at[first]))
     yield from _marked(doc[later], at[later], (m[later] >> 8) + 1)
     ask = stays & (names > 1)
-    yield from _batches(key[ask], name[ask], doc[ask], at[ask], m[ask])
+    yield from _batches(key[ask], name[ask], doc[ask], at[ask], m[ask] + HOT * (names[ask] > hot))
+
+
+def _named(data, offsets, docs, places, span: int):
+    """The windows of runs of bytes: name, text and place of each."""
+    found = [(np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    for i, j in H.pieces(offsets):
+        hashes = H.Rolling(H.BYTE[data[offsets[i] : offsets[j]]])
+        n = np.diff(offsets[i : j + 1]) - span + 1
+        row = np.repeat(np.arange(j - i), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = offsets[i + row] - offsets[i] + step
+        found.append((H.mix(hashes.of(start, start + span)), docs[i + row], places[i + row] + step))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 def _fetched(span: int):
-    """The bytes of the samples that are asked for."""
+    """The bytes of the samples that are asked for. Samples of a hot k-gram give their windows instead, each under its
+    own name, without bytes; what a batch holds twice becomes a mark at once."""
+
+    def out(key, doc, at, m, got=None):
+        got = pa.nulls(len(key), pa.binary()) if got is None else got
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(at), pa.array(m.astype(np.int32)), got], names=["key", "doc", "at", "m", "got"])
 
     def run(batches):
         for batch in batches:
             data, offsets = H.utf8(batch.column("text"))
-            asked = batch.column("asked")
-            rows = np.repeat(np.arange(batch.num_rows), asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            docs, asked = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("asked")
+            every = np.repeat(np.arange(batch.num_rows), asked.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             flat = asked.flatten()
-            key, at, m = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            start = offsets[rows] + (at & POS)
-            size = (m >> 8) + span
-            ends = np.cumsum(size)
-            for i in range(0, len(rows), 50_000):
-                cut = slice(i, i + 50_000)
-                n, to = size[cut], ends[cut] - (ends[i] - size[i])
-                where = np.arange(to[-1]) - np.repeat(to - n, n) + np.repeat(start[cut], n)
-                got = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], to)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[where]))])
-                doc = batch.column("doc").to_numpy(zero_copy_only=False)[rows[cut]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(doc), pa.array(at[cut]), pa.array(m[cut]), got], names=["key", "doc", "at", "m", "got"])
+            keys, places, ms = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for hot in (False, True):
+                own = (ms >= HOT) == hot
+                rows, key, at, m = every[own], keys[own], places[own], ms[own] % HOT
+                start = offsets[rows] + (at & POS)
+                size = (m >> 8) + span
+                ends = np.cumsum(size)
+                for i in range(0, len(rows), 50_000):
+                    cut = slice(i, i + 50_000)
+                    n, to = size[cut], ends[cut] - (ends[i] - size[i])
+                    where = np.arange(to[-1]) - np.repeat(to - n, n) + np.repeat(start[cut], n)
+                    raw, bounds = np.ascontiguousarray(data[where]), np.concatenate(([0], to))
+                    if not hot:
+                        got = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)])
+                        yield out(key[cut], docs[rows[cut]], at[cut], m[cut], got)
+                        continue
+                    name, doc, place = _named(raw, bounds, docs[rows[cut]], at[cut], span)
+                    stays, later = _first_of(name, doc, place)
+                    yield out(name[stays], doc[stays], place[stays], np.zeros(int(stays.sum())))
+                    doc, place, windows = _runs(doc[later], place[later], np.ones(int(later.sum()), dtype=np.int64))
+                    yield out(H.mix(doc.astype(U) ^ H.mix(place.astype(U))), doc, place, -windows)
 
     return run
 
@@ -191,33 +230,21 @@ def _windows(span: int):
     """Sorts the windows of a bucket of samples and marks all but the first of equal ones."""
 
     def run(batches):
-        found = [(b.column("doc").to_numpy(zero_copy_only=False), b.column("at").to_numpy(zero_copy_only=False), b.column("got")) for b in batches]
-        if not found:
-            return
-        name, doc, at = [], [], []
-        for docs, places, got in found:
-            offsets = np.frombuffer(got.buffers()[1], dtype=np.int32)[got.offset : got.offset + len(got) + 1].astype(np.int64)
-            if not len(docs):
-                continue
-            data = np.frombuffer(got.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            for i, j in H.pieces(offsets):
-                hashes = H.Rolling(H.BYTE[data[offsets[i] : offsets[j]]])
-                n = np.diff(offsets[i : j + 1]) - span + 1
-                row = np.repeat(np.arange(j - i), n)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                start = offsets[i + row] - offsets[i] + step
-                name.append(H.mix(hashes.of(start, start + span)))
-                doc.append(docs[i + row])
-                at.append(places[i + row] + step)
-        if not name:
-            return
-        name, doc, at = np.concatenate(name), np.concatenate(doc), np.concatenate(at)
-        order = np.lexsort((at, doc, name))
-        name, doc, at = name[order], doc[order], at[order]
-        stays = np.concatenate(([True], name[1:] != name[:-1]))
-        first = np.maximum.accumulate(np.where(stays, np.arange(len(name)), 0))
-        later = (doc != doc[first]) | (at != at[first])
+        found = [(np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        for batch in batches:
+            key, doc, at, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            got = batch.column("got")
+            whole, marks = got.is_valid().to_numpy(zero_copy_only=False), m < 0
+            yield from _batches(key[marks], np.zeros(int(marks.sum()), dtype=U), doc[marks], at[marks], m[marks])
+            bare = ~whole & ~marks
+            found.append((np.ascontiguousarray(key[bare]).view(U), doc[bare], at[bare]))
+            if whole.any():
+                got = got.drop_null()
+                offsets = np.frombuffer(got.buffers()[1], dtype=np.int32)[got.offset : got.offset + len(got) + 1].astype(np.int64)
+                data = np.frombuffer(got.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+                found.append(_named(data, offsets - offsets[0], doc[whole], at[whole], span))
+        name, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, later = _first_of(name, doc, at)
         yield from _marked(doc[later], at[later], np.ones(int(later.sum()), dtype=np.int64))
 
     return run
@@ -255,10 +282,11 @@ def _cut(span: int):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, hot: int = 1024) -> DataFrame:
     """id, n_bytes, removed array<struct<start, end>> (byte offsets, end exclusive) and kept (binary): each text without
     the bytes that are covered by a string of `span` bytes that also starts earlier, in a text of smaller id or before in
-    the same text. A row for each row of df, also for empty and short texts, of which nothing is removed."""
+    the same text. A row for each row of df, also for empty and short texts, of which nothing is removed. A k-gram is hot
+    if its samples have over `hot` names; their windows are dealt out by what they hold, with the same result."""
     if not K < span <= 250:
         raise ValueError(f"span must be over {K} and at most 250")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -266,7 +294,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         {"doc": F.coalesce("id", F.lit(NO_ID)), "tag": F.shiftrightunsigned(F.xxhash64("text"), 64 - TAG_BITS)}
     )
     sampled = docs.select("doc", "tag", "text").mapInArrow(_sampled(span), MARKS)
-    first = written(sampled.repartition("key").mapInArrow(_buckets, MARKS), "suffix-buckets")
+    first = written(sampled.repartition("key").mapInArrow(_buckets(hot), MARKS), "suffix-buckets")
     tag: Column = F.shiftright("at", POS_BITS)
     asked = first.where("m >= 0").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("key", "at", "m")).alias("asked"))
     got = docs.select("doc", "tag", "text").join(asked.hint("shuffle_hash"), ["doc", "tag"]).mapInArrow(_fetched(span), "key long, doc long, at long, m int, got binary")

@@ -32,10 +32,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1024), (2, 1024), (1, 1), (2, 2)])
+def test_matches_brute_force(spark, seed, hot):
     rows = corpus(seed)
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
     found = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got}
     assert found == brute(rows, 100)
 
