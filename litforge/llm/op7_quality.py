@@ -47,7 +47,9 @@ def _grams(column):
     for i, j in H.pieces(offsets):
         begin = offsets[i : j + 1] - offsets[i]
         cut = data[offsets[i] : offsets[j]]
-        yield i, j, buckets(cut) if len(cut) >= N else np.zeros(0, dtype=np.uint32), begin[:-1], np.maximum(begin[1:] - N + 1, begin[:-1])
+        gram = buckets(cut) if len(cut) >= N else np.zeros(0, dtype=np.uint32)
+        first = np.minimum(begin[:-1], len(gram))  # short texts at the end have no place
+        yield i, j, gram, first, np.maximum(begin[1:] - N + 1, first)
 
 
 def _counted(target: np.ndarray):

@@ -64,3 +64,11 @@ def test_empty(spark):
     _, docs, labels = data(spark)
     assert op.resample(docs.where("false"), labels).count() == 0
     assert {(r.log_weight, r.kept) for r in op.resample(docs, labels.where("false")).collect()} == {(0.0, True)}
+
+
+def test_short_texts_at_the_end_of_a_batch(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for last in ("", "a", "ab", None):
+        docs = spark.createDataFrame([(1, GOOD), (2, BAD), (3, last), (4, last)], "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.log_weight for r in op.resample(docs, labels, temperature=0.0).collect()}
+        assert len(got) == 4 and got[3] == got[4] == 0.0 and got[1] > 0 > got[2]
