@@ -6,8 +6,10 @@ import random
 import time
 from collections.abc import Callable, Mapping
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The domains of a relation's fields.
@@ -106,3 +108,56 @@ def asked(prompts: DataFrame, call: Callable[[str, str], str], parallel: int = 4
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def _units(column) -> np.ndarray:
+    x = np.array(column.to_pylist(), dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _nearest(ids: np.ndarray, units: np.ndarray, k: int):
+    """The k nearest of a partition's vectors for each of a block of queries, similarities rounded to 6 places."""
+
+    def run(batches):
+        best = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
+        for batch in batches:
+            own, x = batch.column("vec_id").to_numpy(), _units(batch.column("e")) if batch.num_rows else None
+            for i in range(0, len(ids) if batch.num_rows else 0, 256):
+                all_of = units[i : i + 256] @ x.T
+                all_of = np.copysign(np.floor(np.abs(all_of) * 1e6 + 0.5) / 1e6, all_of) + 0.0
+                for n, sims in enumerate(all_of, i):
+                    others = own != ids[n]
+                    found, sims = own[others], sims[others]
+                    if len(sims) > k:
+                        near = sims >= np.partition(sims, -k)[-k]
+                        found, sims = found[near], sims[near]
+                    found, sims = np.concatenate((best[n][0], found)), np.concatenate((best[n][1], sims))
+                    order = np.lexsort((found, -sims))[:k]
+                    best[n] = found[order], sims[order]
+        sizes = [len(f) for f, _ in best]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([f for f, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "similarity"])
+
+    return run
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """query_id, vec_id, similarity, r: the k vectors of other ids with the highest cosine (to 6 places), ties to smaller
+    ids, for every query. Both tables have vec_id and embedding, of one length; vectors that are null, empty or all zero,
+    or hold a null or non-finite component, take no part. Queries go out in blocks; vectors stream past each block."""
+    spark = queries.sparkSession
+    fine = lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False))
+    whole = F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0)
+    prepared = lambda df: df.where(whole & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    asked, against = prepared(queries), prepared(vectors)
+    blocks = max(1, -(-asked.count() // block))
+    hits = spark.createDataFrame([], "query_id long, vec_id long, similarity double")
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        if part.num_rows:
+            found = against.mapInArrow(_nearest(part.column("vec_id").to_numpy(), _units(part.column("e")), k), hits.schema)
+            # where there is a shared folder, the driver holds one block of queries at a time
+            hits = hits.unionByName(found.checkpoint() if blocks > 1 and spark.sparkContext.getCheckpointDir() else found)
+    by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return hits.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)

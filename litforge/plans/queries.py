@@ -232,6 +232,14 @@ def nearest_k(spark, sf_dir):
     return near.withColumn("r", F.row_number().over(by)).where("r <= 10").drop("r")
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings v WHERE vec_id <> query_id)
+SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
+def nearest_k_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return extract.nearest(v.where("vec_id % 20 = 0"), v, 10).drop("r")
+
+
 @query("SELECT doc_id, md5('Extract relations as JSON.' || chr(10) || left(text, 6000) || chr(10) || 'Answer:') AS prompt FROM documents")
 def prompt_build(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.prompt("Extract relations as JSON.\n", text.truncated(F.col("text"), text.MAX_PROMPT), "\nAnswer:")).alias("prompt"))
@@ -316,6 +324,18 @@ def accuracy_at_k(spark, sf_dir):
     return first.agg(F.round(sections.accuracy_at(F.col("r"), 1), 6).alias("at_1"), F.round(sections.accuracy_at(F.col("r"), 10), 6).alias("at_10"))
 
 
+@query("""WITH n AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS r, q.label = v.label AS same
+FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), f AS (SELECT query_id, min(CASE WHEN same THEN r END) AS r FROM n GROUP BY query_id)
+SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS at_1, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS at_10 FROM f""")
+def accuracy_at_k_all(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    near = extract.nearest(v.where("vec_id % 20 = 0"), v, 10)
+    labels = lambda i, c: v.select(F.col("vec_id").alias(i), F.col("label").alias(c))
+    of = near.join(labels("vec_id", "label"), "vec_id").join(labels("query_id", "gold"), "query_id")
+    first = of.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("r"))).alias("r"))
+    return first.agg(F.round(sections.accuracy_at(F.col("r"), 1), 6).alias("at_1"), F.round(sections.accuracy_at(F.col("r"), 10), 6).alias("at_10"))
+
+
 @query(f"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line, unnest(x) AS raw FROM (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)) AS x FROM documents)),
 s AS (SELECT *, {_strip('raw')} AS s, sum(CASE WHEN {_strip('raw')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS block FROM l),
 f AS (SELECT *, string_split_regex(s, '{_WS}+') AS f FROM s WHERE s <> '' AND NOT starts_with(s, '#'))
