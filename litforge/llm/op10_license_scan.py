@@ -8,12 +8,19 @@ too few bigrams with every template to reach t. Both prunings are exact.
 
 All is one projection: no shuffle, no join, no Python. Rows: a null or empty text has no hit; sections that tie go to
 the first line, templates that tie to the first name; rows that repeat are scanned each; other columns are left aside.
+
+`passages` compares windows of consecutive words instead, across lines and within them, so it also finds notices that
+are wrapped or stand in longer lines, and whole licences in longer texts. A window starts and ends at a bigram of the
+template, since cutting off others at its ends only raises Dice, and has at most (2 - t) / t times the template's words.
+Of windows that overlap, the one of greater Dice stays, then the first.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +126,81 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("hits").cast("long").alias("n_hits"), first["license"].alias("license"), first["line"].alias("line"), F.round(first["dice"], 6).alias("dice"))
 
 
+def full_texts() -> dict[str, str]:
+    """The licences whose whole texts are compared too."""
+    return {f"{p.stem}-full": p.read_text() for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
+def key_words(text: str, threshold: float) -> list[str]:
+    """Words of which a window holds one if it reaches the threshold: all bigrams without any of them are too few. Long
+    words that many bigrams hold come first."""
+    grams = bigrams(text)
+    held = Counter(w for g in grams for w in set(g.split(" ")))
+    spare, chosen = bounds(len(grams), threshold)[0], set()
+    for w in sorted(held, key=lambda w: (len(w) < 7, -held[w], w)):
+        if sum(not chosen & set(g.split(" ")) for g in grams) < spare:
+            break
+        chosen.add(w)
+    return sorted(chosen)
+
+
+def _placed(text: Column) -> Column:
+    """Each bigram of the text with the line that it starts in."""
+    words = lambda s, i: F.transform(F.filter(F.split(_normal(s), " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).cast("int").alias("line")))
+    rest = lambda w, at: F.slice(w, at, F.greatest(F.size(w) - 1, F.lit(0)))
+    pairs = lambda w: F.zip_with(rest(w, 1), rest(w, 2), lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("g"), a["line"].alias("line")))
+    return _once(F.flatten(F.transform(F.split(text, "\n", -1), words)), pairs)
+
+
+def _windows(placed: Column, name: str, text: str, threshold: float) -> Column:
+    """The windows of a text's bigrams that reach the threshold against one template, best first, without overlaps."""
+    own = bigrams(text)
+    least = bounds(len(own), threshold)[0]
+    widest = bounds(len(re.findall("[a-z0-9]+", text.lower())) - 1, threshold)[1]
+    ours = lambda g: g.isin(*own)
+
+    def ends(firsts: Column, at: Column) -> Column:
+        """The best window from a start, by the places where each of its different bigrams stands first."""
+        seen = F.filter(F.transform(F.array_sort(firsts), lambda x, j: F.struct(x["i"].alias("i"), x["own"].alias("own"), (j + 1).alias("d"))), lambda x: x["own"])
+        dice = F.transform(seen, lambda x, j: F.struct((2.0 * (j + 1) / (x["d"] + len(own))).alias("dice"), (-x["i"]).alias("back")))
+        return _once(F.array_max(dice), lambda b: F.struct((-b["dice"]).alias("d"), at.alias("at"), (at - b["back"]).alias("to")))
+
+    def window(at: Column) -> Column:
+        order = F.array_sort(F.transform(F.slice(placed, at + 1, widest), lambda x, i: F.struct(x["g"].alias("g"), i.alias("i"))))
+        fresh = lambda o: F.filter(F.transform(o, lambda x, j: F.when((j == 0) | (F.get(o, j - 1)["g"] != x["g"]), F.struct(x["i"].alias("i"), ours(x["g"]).alias("own")))), lambda x: x.isNotNull())
+        return ends(_once(order, fresh), at)
+
+    places = F.filter(F.transform(placed, lambda x, i: F.when(ours(x["g"]), i)), lambda i: i.isNotNull())
+    starts = lambda p: F.filter(F.transform(p, lambda at, j: F.when(F.get(p, j + (least - 1)) - at < widest, at)), lambda i: i.isNotNull())
+    near = F.filter(F.transform(_once(places, starts), window), lambda w: w["d"] <= -threshold + 1e-9)
+    none = F.array().cast("array<struct<d:double,at:int,to:int>>")
+    apart = F.aggregate(F.array_sort(near), none, lambda kept, w: F.when(F.exists(kept, lambda k: (k["at"] <= w["to"]) & (w["at"] <= k["to"])), kept).otherwise(F.array_append(kept, w)))
+    return F.transform(apart, lambda w: F.struct(w["d"].alias("d"), F.get(placed, w["at"])["line"].alias("line"), F.lit(name).alias("license"), w["at"].alias("word"), (w["to"] - w["at"] + 2).alias("words")))
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    """id and hits array<struct<dice, line, license, word, words>>, best first: each template's passages, with the line
+    (from 1) and the word of the text (from 0) where they start, and their number of words."""
+    templates = TEMPLATES | full_texts() if templates is None else templates
+    templates = {k: v for k, v in sorted(templates.items()) if bigrams(v)}
+    none = F.array().cast("array<struct<d:double,line:int,license:string,word:int,words:int>>")
+    if not templates:
+        return df.select(id_col, F.array().cast("array<struct<dice:double,line:int,license:string,word:int,words:int>>").alias("hits"))
+    keys = lambda v: key_grams({"": bigrams(v)}, threshold) if len(bigrams(v)) <= 60 else key_words(v, threshold)
+    normal = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(_normal(F.col(text_col)), F.lit("")).alias("normal"))
+    may = [F.when(_any([F.contains(F.col("normal"), F.lit(f" {g} ")) for g in keys(v)]), F.lit(k)) for k, v in templates.items()]
+    held = normal.select("id", "text", F.explode(F.array(F.array_compact(F.array(*may)))).alias("may"))
+    every = lambda placed: F.concat(*(F.when(F.array_contains("may", k), _windows(placed, k, v, threshold)).otherwise(none) for k, v in templates.items()))
+    hits = F.transform(F.array_sort(_once(_placed(F.col("text")), every)), lambda x: F.struct((-x["d"]).alias("dice"), *(x[c].alias(c) for c in ("line", "license", "word", "words"))))
+    return held.select(F.col("id").alias(id_col), F.explode(F.array(F.when(F.size("may") > 0, hits).otherwise(F.array().cast("array<struct<dice:double,line:int,license:string,word:int,words:int>>")))).alias("hits"))
+
+
+def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    first = F.get("hits", F.lit(0))
+    return found.select("doc_id", F.size("hits").cast("long").alias("n_hits"), first["license"].alias("license"), first["line"].alias("line"), first["words"].alias("words"), F.round(first["dice"], 6).alias("dice"))
+
+
 def _sql() -> str:
     rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in bigrams(v))) for k, v in sorted(TEMPLATES.items()))
     return f"""

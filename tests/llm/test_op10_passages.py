@@ -1,0 +1,63 @@
+import random
+import re
+import textwrap
+
+from litforge.llm.op10_license_scan import TEMPLATES, bigrams, bounds, full_texts, op10_license_passages, passages, scan
+
+
+def plain(text, templates, t=0.8):
+    """Every window of every template, one by one."""
+    words = [(w, n) for n, s in enumerate((text or "").split("\n"), 1) for w in re.findall("[a-z0-9]+", s.lower())]
+    grams = [f"{a[0]} {b[0]}" for a, b in zip(words, words[1:])]
+    out = []
+    for name, template in templates.items():
+        own = set(bigrams(template))
+        widest = bounds(len(re.findall("[a-z0-9]+", template.lower())) - 1, t)[1]
+        found = []
+        for p in (i for i, g in enumerate(grams) if g in own):
+            ends = [(-2 * len(own & set(grams[p : q + 1])) / (len(own) + len(set(grams[p : q + 1]))), q) for q in range(p, min(len(grams), p + widest))]
+            d, q = min(ends)
+            if d <= -t + 1e-9:
+                found.append((d, p, q))
+        kept = []
+        for d, p, q in sorted(found):
+            if all(q < a or b < p for _, a, b in kept):
+                kept.append((d, p, q))
+        out += [(round(-d, 9), words[p][1], name, p, q - p + 2) for d, p, q in kept]
+    return sorted(out, key=lambda x: (-x[0], *x[1:]))
+
+
+def found(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [(round(h.dice, 9), h.line, h.license, h.word, h.words) for h in r.hits] for r in passages(df, **more).collect()}
+
+
+def test_matches_all_windows(spark):
+    rng = random.Random(10)
+    texts = [None, "", "\n", "word", "Released under the MIT License. x y " * 5]
+    for text in TEMPLATES.values():
+        for _ in range(3):
+            w = text.split(" ")
+            for _ in range(rng.randint(0, 1 + len(w) // 8)):
+                w[rng.randrange(len(w))] = rng.choice(["THE", "foo,", "", "Of the"])
+            body = "\n".join(f" * {s}" for s in textwrap.wrap(" ".join(w), 40))
+            texts.append(rng.choice(["", "of the work\n", "int main of this "]) + body + rng.choice(["", " and more of the same", "\n" + body]))
+    assert found(spark, texts, templates=TEMPLATES) == {i: plain(t, TEMPLATES) for i, t in enumerate(texts)}
+
+
+def test_wrapped_embedded_and_whole(spark):
+    prose = "once upon a time there was a small river that ran past the old mill " * 40
+    header = TEMPLATES["Apache-2.0-header"]
+    texts = [prose + "\n" + "\n".join(f"# {s}" for s in textwrap.wrap(header, 60)) + "\n" + prose, prose + header + " " + prose]
+    texts += [f"{prose}\n{full}\n{prose}" for full in full_texts().values()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = {r.doc_id: {h.license for h in r.hits} for r in scan(df).collect()}
+    got = {i: {(n, d) for d, _, n, _, _ in h} for i, h in found(spark, texts).items()}
+    for i, name in enumerate(["Apache-2.0-header"] * 2 + list(full_texts())):
+        assert (name, 1.0) in got[i] and name not in before[i]
+
+
+def test_plan(spark):
+    df = op10_license_passages(spark, "/root/testdata/sf0.001")
+    assert df.where("n_hits > 0").count() > 0
+    assert not re.search("Python|Arrow|Pandas|Exchange", df._jdf.queryExecution().executedPlan().toString())
