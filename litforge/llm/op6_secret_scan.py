@@ -2,9 +2,11 @@
 
 For each label, the credentials make a prefix tree with counts; states that are statistically compatible (Hoeffding's
 bound on their ending and on each symbol, down the tree) are merged, which gives a probabilistic automaton. A
-candidate is a maximal run of at least 16 characters out of letters, digits and + / _ = - that holds a digit; its score
-is the largest log likelihood ratio of an automaton to evenly spread characters. Base spans stay; a candidate that
-scores `threshold` nats or more and lies in no base span is added under the automaton's label.
+candidate is a maximal run of at least 16 characters out of letters, digits and + / _ = - that holds a digit. A part of
+it of at least 16 characters starts at its start, after one of + / _ = - or at an automaton's prefix, and ends at its
+end or before one of + / _ = -; its score is the largest log likelihood ratio of an automaton to evenly spread
+characters. The best part that scores `threshold` nats or more is a span under the automaton's label, and so on to its
+left and right; it goes on over characters of the label's credentials, and over the other parts of a JWT. Base spans stay.
 
 One pass without a shuffle; whole texts. Rows: a null text counts as empty and has no spans; rows that repeat give the
 same spans each; other columns are left aside.
@@ -13,6 +15,7 @@ same spans each; other columns are left aside.
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import string
@@ -29,6 +32,10 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+SHORTEST = 16
+JOINT = re.compile(r"[+/_=-]")
+#: A whole JWT, of which a part is found.
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){1,2}", re.ASCII)
 #: Rows that none of these finds have no base match and no candidate.
 MAYBE_BASE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
 MAYBE = r"[A-Za-z0-9+/_=\-]{16}"
@@ -131,6 +138,34 @@ class Automaton:
         self.stop = [log(self.ends[s], self.seen[s]) for s in self.states]
         del self.next, self.taken, self.ends, self.seen
 
+    def best(self, s: str, starts: set[int], ends: set[int]) -> tuple[float, int, int]:
+        """The highest score of a part of s, and the part. Parts that meet in a state go on alike, so that of them the
+        better stays; those too short to end are kept apart."""
+        even = math.log(1 / (len(ALPHABET) + 1))
+        top, long, young = (-math.inf, 0, 0), {}, []
+        for i in range(len(s) + 1):
+            if i in ends:
+                for at, (score, start) in long.items():
+                    top = max(top, (score + self.stop[at], start, i))
+                for at, score, start in young:
+                    if i - start >= SHORTEST:
+                        top = max(top, (score + self.stop[at], start, i))
+            if i == len(s):
+                return top
+            if i in starts:
+                young.append((0, 0.0, i))
+            step, c = {}, s[i]
+            still = []
+            for at, score, start in [*((at, *v) for at, v in long.items()), *young]:
+                to = self.moves[at].get(c)
+                score += (to[1] if to else self.other[at]) - even
+                at = to[0] if to else at
+                if i + 1 - start < SHORTEST:
+                    still.append((at, score, start))
+                elif at not in step or score > step[at][0]:
+                    step[at] = score, start
+            long, young = step, still
+
     def likelihood(self, s: str) -> float:
         """Natural logarithm of the chance of s; an unknown symbol costs its smoothed chance and stays in its state."""
         at, out = 0, 0.0
@@ -147,6 +182,8 @@ class Scanner:
         for label, s in labelled() if credentials is None else credentials:
             groups.setdefault(label, []).append(s)
         self.automata = {k: Automaton(v) for k, v in sorted(groups.items())}
+        self.prefix = {k: os.path.commonprefix(v) for k, v in groups.items()}
+        self.rest = {k: {c for s in v for c in s[len(self.prefix[k]) :]} for k, v in groups.items()}
         self.threshold = threshold
         self.order = {k: i for i, k in enumerate([*KINDS, *self.automata])}
 
@@ -154,6 +191,29 @@ class Scanner:
         even = len(s) * math.log(1 / (len(ALPHABET) + 1))
         return max(((a.likelihood(s) - even, k) for k, a in self.automata.items()), default=(-math.inf, ""))
 
+    def parts(self, s: str) -> list[tuple[int, int, str]]:
+        """The spans in a run, best first taken."""
+        out, todo = [], [(0, len(s))]
+        while todo:
+            low, high = todo.pop()
+            if high - low < SHORTEST:
+                continue
+            cut = s[low:high]
+            joints = [m.start() for m in JOINT.finditer(cut)]
+            starts, ends = {0, *(j + 1 for j in joints)}, {len(cut), *joints}
+            found = []
+            for label, automaton in self.automata.items():
+                prefix = self.prefix[label]
+                own = {m.start() for m in re.finditer(f"(?={re.escape(prefix)})", cut)} if len(prefix) > 2 else set()
+                found.append((*automaton.best(cut, starts | own, ends), label))
+            score, a, b, label = max(found, default=(-math.inf, 0, 0, ""))
+            if score >= self.threshold:
+                while b < len(cut) and cut[b] in self.rest[label]:
+                    b += 1
+                out.append((low + a, low + b, label))
+                todo += [(low, low + a), (low + b, high)]
+        return out
+
     def base(self, text: str) -> list[tuple[int, int, str]]:
         found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= MIN_ASSIGN]
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
@@ -165,9 +225,16 @@ class Scanner:
         for m in CANDIDATE.finditer(text):
             s = m.group()
             if not s.isalpha() and any(c.isdigit() for c in s) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                score, label = self.score(s)
-                if score >= self.threshold:
-                    out.append((m.start(), m.end(), label))
+                out += [(m.start() + a, m.start() + b, label) for a, b, label in self.parts(s)]
+        if any(label == "jwt" for _, _, label in out):
+            whole, at = [m.span() for m in JWT.finditer(text)], 0
+            for a, b, label in sorted(out):
+                while at < len(whole) and whole[at][1] <= a:
+                    at += 1
+                if label == "jwt" and at < len(whole) and whole[at][0] < b:
+                    out.append((min(a, whole[at][0]), max(b, whole[at][1]), label))
+                    out.remove((a, b, label))
+            out = sorted(set(out))
         return out
 
     def scan(self, text: str | None) -> list[tuple[int, int, str]]:
