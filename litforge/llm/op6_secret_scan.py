@@ -6,7 +6,8 @@ candidate is a maximal run of at least 16 characters out of letters, digits and
 it of at least 16 characters starts at its start, after one of + / _ = - or at an automaton's prefix, and ends at its
 end or before one of + / _ = -; its score is the largest log likelihood ratio of an automaton to evenly spread
 characters. The best part that scores `threshold` nats or more is a span under the automaton's label, and so on to its
-left and right; it goes on over characters of the label's credentials, and over the other parts of a JWT. Base spans stay.
+left and right; it goes on over characters of the label's credentials, and over the other parts of a JWT. Base spans stay;
+spans that lie wholly in one are not added.
 
 One pass without a shuffle; whole texts. Rows: a null text counts as empty and has no spans; rows that repeat give the
 same spans each; other columns are left aside.
@@ -224,8 +225,10 @@ class Scanner:
         out = []
         for m in CANDIDATE.finditer(text):
             s = m.group()
-            if not s.isalpha() and any(c.isdigit() for c in s) and not any(a < m.end() and m.start() < b for a, b, _ in base):
-                out += [(m.start() + a, m.start() + b, label) for a, b, label in self.parts(s)]
+            inside = lambda start, end: any(a <= start and end <= b for a, b, _ in base)
+            if not s.isalpha() and any(c.isdigit() for c in s) and not inside(m.start(), m.end()):
+                found = [(m.start() + a, m.start() + b, label) for a, b, label in self.parts(s)]
+                out += [x for x in found if not inside(*x[:2])]
         if any(label == "jwt" for _, _, label in out):
             whole, at = [m.span() for m in JWT.finditer(text)], 0
             for a, b, label in sorted(out):

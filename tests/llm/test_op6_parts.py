@@ -28,3 +28,10 @@ def test_all_parts_of_a_token_and_of_a_run(scanner):
     two = "a/ghp_" + "a1B2" * 9 + "/b/ghp_" + "C3d4" * 9
     assert [k for _, _, k in scanner.scan(two)] == ["github"] * 2
     assert scanner.scan("internationalisation2 2024-01-15-report-final a/b/c/d/e/f/g/h/i/9 the_quick_brown_fox_1") == []
+
+
+def test_only_what_lies_in_a_base_span_is_left_out(scanner):
+    held = "ghp_" + "a1B2" * 5 + "0123456789abcdef"  # 16 lower-case hex characters end it
+    text = f"see {held} here"
+    assert (4, 4 + len(held), "github") in scanner.scan(text)
+    assert [k for _, _, k in scanner.scan("token=ghp_" + "a1B2" * 9)] == ["assign"]
