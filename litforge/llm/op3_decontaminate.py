@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from litforge.llm import _hashing as H
 
 FOUND = "n_items int, item_id long, coverage double, n_tiles int"
+NAMES = ("n_items", "item_id", "coverage", "n_tiles")
 
 
 def _windows(words: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +103,17 @@ class Benchmark:
         return (count, best[1], -best[0], best[2]) if best else (0, None, 0.0, 0)
 
 
-def _found(benchmark: Benchmark, rest: list[str], text_col: str):
+def _better(old: tuple, new: tuple) -> tuple:
+    """The verdict on two blocks of items."""
+    n = old[0] + new[0]
+    if not (old[0] and new[0]):
+        return new if new[0] else old
+    return (n, *min(old[1:], new[1:], key=lambda x: (-x[1], x[0])))
+
+
+def _found(benchmark: Benchmark, rest: list[str], text_col: str, before: bool = False):
+    """before: the batches hold the verdicts of the blocks before."""
+
     def run(batches):
         for batch in batches:
             data, offsets = H.utf8(H.lowered(batch.column(text_col)))
@@ -115,6 +126,8 @@ def _found(benchmark: Benchmark, rest: list[str], text_col: str):
                 row = np.searchsorted(begin, hits, side="right") - 1
                 for r in np.unique(row).tolist():
                     out[i + r] = benchmark.verdict(words[first[r] : first[r + 1]], seeds[hits[row == r]])
+            if before:
+                out = list(map(_better, zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True), out))
             n, item, coverage, tiles = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, type=pa.int32()), pa.array(item, type=pa.int64()), pa.array(coverage, type=pa.float64()), pa.array(tiles, type=pa.int32())], names=[*rest, "n_items", "item_id", "coverage", "n_tiles"])
 
@@ -123,26 +136,21 @@ def _found(benchmark: Benchmark, rest: list[str], text_col: str):
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, minimum: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """The columns keep of df (all but text unless given) with the number of items that the text covers to the threshold
-    or more, and the best covered one, its coverage and its number of tiles. With several blocks of items, keep must
-    name a row; rows alike in keep become one."""
+    or more, and the best covered one, its coverage and its number of tiles. Each block of items adds to the verdicts
+    of the one before, row by row."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     own = [c for c in keep if c not in ("n_items", "item_id", "coverage", "n_tiles")]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     docs = df.select(*own, *([text_col] if text_col not in own else []))
-    parts = []
+    carried = docs.columns
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         block = Benchmark(sorted((r["item_id"], r["text"]) for r in rows), minimum, threshold)
-        parts.append(docs.mapInArrow(_found(block, own, text_col), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.select(*own).schema)}, {FOUND}"))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = F.max_by(F.struct("item_id", "coverage", "n_tiles"), F.struct("coverage", (-F.col("item_id")).alias("i")))
-    return every.groupBy(*own).agg(F.sum("n_items").cast("int").alias("n_items"), best.alias("b")).select(*own, "n_items", "b.item_id", "b.coverage", "b.n_tiles")
+        rest = own if b == blocks - 1 else carried
+        docs = docs.mapInArrow(_found(block, rest, text_col, b > 0), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.select(*rest).schema)}, {FOUND}")
+    return docs
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
