@@ -10,7 +10,8 @@ labelled sample and the corpus would add up over thousands of them. The
 noise is scaled by `temperature`: at 0 the k likeliest documents are taken.
 
 The k-th key is found by histograms over the written scores, bins of one range at a time, until at most `bin_rows` rows
-are left to look at: no sort of all rows and no unbounded collect. Texts are read twice and never shuffled.
+are left to look at; where more rows share one key, their ids are told apart sign by sign in the same way. So there is
+no sort of all rows and no unbounded collect. Texts are read twice and never shuffled.
 
 Rows: a null text, or one of under 3 bytes, has weight 1; a null id is hashed as empty; documents that tie in key go by
 id, and rows that tie in both stay or go together; without labelled rows all weights are 1. Other columns are kept.
@@ -94,8 +95,7 @@ def _weighed(ratio: np.ndarray, text_col: str, keep_text: bool):
 def _keyed(df: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, temperature: float, seed: int, keep_text: bool) -> DataFrame:
     """df (without the text unless kept) with log_weight and key."""
     schema = T.StructType([f for f in df.schema.fields if keep_text or f.name != text_col]).add("log_weight", "double")
-    word = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), word)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(UNIT)
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), _word(id_col))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(UNIT)
     return df.mapInArrow(_weighed(ratio, text_col, keep_text), schema).withColumn("key", F.round(F.col("log_weight") - F.log(-F.log(u)) * F.lit(float(temperature)), 9))
 
 
@@ -128,10 +128,14 @@ def kth(scores: DataFrame, k: int, bins: int = 1024, bin_rows: int = 10_000) ->
         inside = scores.where((F.col("key") >= low) & (F.col("key") <= high))
         width = (high - low) / bins
         if width <= 0 or low + width == low:
-            n = inside.count()
-            if n <= bin_rows:
-                break
-            return (low, None) if above + n >= k else None  # too many rows of one key: they stay together
+            if high > low:  # neighbouring doubles: the higher one first
+                n = inside.where(F.col("key") == high).count()
+                above, low, high = (above, high, high) if above + n >= k else (above + n, *inside.where(F.col("key") < high).agg(F.min("key"), F.max("key")).first())
+                if low is None:
+                    return None
+                continue
+            place = _nth_id(inside.select(_word("id").alias("id")), k - above, bin_rows)
+            return None if place is None else (low, place)
         spot = F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
         counts = {r["b"]: (r["n"], r["lo"], r["hi"]) for r in inside.groupBy(spot.alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
         for b in sorted(counts, reverse=True):
@@ -143,11 +147,35 @@ def kth(scores: DataFrame, k: int, bins: int = 1024, bin_rows: int = 10_000) ->
         n, low, high = counts[b]
         if n <= bin_rows:
             break
-    rows = scores.where((F.col("key") >= low) & (F.col("key") <= high)).select("key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).collect()
+    rows = scores.where((F.col("key") >= low) & (F.col("key") <= high)).select("key", _word("id").alias("id")).collect()
     rows = sorted(((-r["key"], r["id"]) for r in rows))
     return (-rows[k - above - 1][0], rows[k - above - 1][1]) if len(rows) >= k - above else None
 
 
+def _word(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _nth_id(ids: DataFrame, n: int, rows: int) -> str | None:
+    """The n-th of the ids in order, by the number of ids under each next sign after the signs found so far."""
+    known = ""
+    while True:
+        inside = ids.where(F.startswith("id", F.lit(known)))
+        if inside.limit(rows + 1).count() <= rows:
+            left = sorted(r["id"] for r in inside.collect())
+            return left[n - 1] if len(left) >= n else None
+        counts = {r["c"]: r["n"] for r in inside.groupBy(F.substring("id", len(known) + 1, 1).alias("c")).agg(F.count("*").alias("n")).collect()}
+        for c in sorted(counts):
+            if counts[c] >= n:
+                break
+            n -= counts[c]
+        else:
+            return None
+        if not c:  # the rows whose whole id is known; they repeat each other
+            return known
+        known += c
+
+
 def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: Column | None = None, k: int | None = None, temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0) -> DataFrame:
     """id, log_weight, key (log weight + noise) and kept (one of the k highest keys) of every row. Unless given, k is the
     number of documents whose log weight is at least `least`, that is, whose evidence against them isn't decisive."""
@@ -166,9 +194,7 @@ def _scored(df, ratio, id_col, text_col, k, temperature, seed, least):
     last = kth(scores, k)
     if last is None:
         return scores, F.lit(k > 0)
-    if last[1] is None:
-        return scores, F.col("key") >= last[0]
-    return scores, (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (F.coalesce(F.col("id").cast("string"), F.lit("")) <= last[1]))
+    return scores, (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (_word("id") <= last[1]))
 
 
 def keep_resampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0) -> DataFrame:

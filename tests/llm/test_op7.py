@@ -60,6 +60,18 @@ def test_narrow_bins(spark):
     assert op.kth(rows, 3001) is None and op.kth(rows.where("false"), 1) is None
 
 
+def test_many_ties_go_by_id(spark):
+    docs = spark.createDataFrame([(i, GOOD) for i in range(20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = [r.doc_id for r in op.resample(docs, labels, k=5, temperature=0.0).where("kept").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, range(20_000)))[:5]
+    rows = spark.createDataFrame([(i, 1.0) for i in range(500)] + [(7, 1.0)] * 60 + [(None, 1.0)] * 3 + [(1, 1.0 + 2**-52), (2, 0.5)], "id long, key double")
+    order = sorted((-r.key, str(r.id) if r.id is not None else "") for r in rows.collect())
+    for k in (1, 2, 3, 4, 300, 420, 470, 564, 565):
+        assert op.kth(rows, k, bins=4, bin_rows=20) == (-order[k - 1][0], order[k - 1][1])
+    assert op.kth(rows, 566, bins=4, bin_rows=20) is None
+
+
 def test_empty(spark):
     _, docs, labels = data(spark)
     assert op.resample(docs.where("false"), labels).count() == 0
