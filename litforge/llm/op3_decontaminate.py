@@ -6,11 +6,13 @@ threshold, which no tiling can exceed. Then the item is tiled: the longest match
 are found by running Karp-Rabin with falling lengths and marked, until none of `minimum` words is left. The share of
 the item's words under tiles is its coverage; order plays no part, so reordered passages count in full.
 
-The benchmark is the stated set that goes out to all documents in blocks of at most `block_bytes` of text; documents
-are read once a block and not shuffled. A task holds the hashes of one piece of text (2 MB, or one longer document).
+The benchmark is the stated set that goes out to all documents in blocks of about `block_bytes` of text; documents
+are read once a block and not shuffled. What a block finds is written before the next one is read, so the driver and a
+task hold one block. A task also holds the hashes of one piece of text (512 KB, or one longer document).
 
 Rows: a null or empty text has no match; items of fewer than `minimum` words take no part; of items that tie in
-coverage, the smallest item_id is named; rows that repeat get the same verdict each; other columns stay as they are.
+coverage, the smallest item_id is named; rows that repeat get the same verdict each; other columns stay as they are,
+but for those that are named as the verdict's (`prefix` gives the verdict's columns other names).
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litforge.llm import _hashing as H
+from litforge.llm._io import written
 
-FOUND = "n_items int, item_id long, coverage double, n_tiles int"
 NAMES = ("n_items", "item_id", "coverage", "n_tiles")
 
 
@@ -111,7 +114,7 @@ def _better(old: tuple, new: tuple) -> tuple:
     return (n, *min(old[1:], new[1:], key=lambda x: (-x[1], x[0])))
 
 
-def _found(benchmark: Benchmark, rest: list[str], text_col: str, before: bool = False):
+def _found(benchmark: Benchmark, rest: list[str], text_col: str, names: list[str], before: bool):
     """before: the batches hold the verdicts of the blocks before."""
 
     def run(batches):
@@ -127,29 +130,34 @@ def _found(benchmark: Benchmark, rest: list[str], text_col: str, before: bool =
                 for r in np.unique(row).tolist():
                     out[i + r] = benchmark.verdict(words[first[r] : first[r + 1]], seeds[hits[row == r]])
             if before:
-                out = list(map(_better, zip(*(batch.column(c).to_pylist() for c in NAMES), strict=True), out))
+                out = list(map(_better, zip(*(batch.column(c).to_pylist() for c in names), strict=True), out))
             n, item, coverage, tiles = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, type=pa.int32()), pa.array(item, type=pa.int64()), pa.array(coverage, type=pa.float64()), pa.array(tiles, type=pa.int32())], names=[*rest, "n_items", "item_id", "coverage", "n_tiles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, type=pa.int32()), pa.array(item, type=pa.int64()), pa.array(coverage, type=pa.float64()), pa.array(tiles, type=pa.int32())], names=[*rest, *names])
 
     return run
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, minimum: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, minimum: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20, prefix: str = "") -> DataFrame:
     """The columns keep of df (all but text unless given) with the number of items that the text covers to the threshold
     or more, and the best covered one, its coverage and its number of tiles. Each block of items adds to the verdicts
     of the one before, row by row."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    own = [c for c in keep if c not in ("n_items", "item_id", "coverage", "n_tiles")]
+    names = [f"{prefix}{n}" for n in NAMES]
+    own = [c for c in keep if c.lower() not in {n.lower() for n in names}]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     docs = df.select(*own, *([text_col] if text_col not in own else []))
     carried = docs.columns
+    verdict = list(zip(names, (T.IntegerType(), T.LongType(), T.DoubleType(), T.IntegerType()), strict=True))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         block = Benchmark(sorted((r["item_id"], r["text"]) for r in rows), minimum, threshold)
         rest = own if b == blocks - 1 else carried
-        docs = docs.mapInArrow(_found(block, rest, text_col, b > 0), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.select(*rest).schema)}, {FOUND}")
+        schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(n, t) for n, t in verdict)])
+        docs = docs.mapInArrow(_found(block, rest, text_col, names, b > 0), schema)
+        if b < blocks - 1:
+            docs = written(docs, f"verdicts-{b}")
     return docs
 
 
