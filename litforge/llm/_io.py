@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. A folder of our own is set only where the
-    session has none, as in tests on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, f"file://{tempfile.gettempdir()}/litforge-{app}")
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, the folder of the
+    session's warehouse stands in, which is shared too; no folder of one machine is used."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return found.rstrip("/")
 
 
@@ -33,13 +28,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables there are; drop_since(mark()) takes out those that are made from then on."""
+    return len(_made)
+
+
+def drop_since(place: int, but: int = 0) -> None:
+    """Deletes the tables made since a mark, but for the last few; nothing may read the deleted ones any more."""
+    end = len(_made) - but
+    for spark, path in _made[place:end]:
+        _delete(spark, path)
+    del _made[place:end]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def clean() -> None:
     """Deletes the tables that written() made; results that still read them can't be read any more."""
     while _made:
         spark, path = _made.pop()
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: whoever owns the folder cleans it
             return
 
