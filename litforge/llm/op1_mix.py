@@ -9,8 +9,8 @@ Sizes are summed before the shuffle, a row a task and source. The table of sourc
 with a third of all rows spreads over as many partitions. The copies are dealt out by their place, not by their source.
 
 Rows: a null source is a source of its own; a null id or text counts as empty. A source of size 0 has rate 0: its
-documents have no copies. Rows that repeat an id draw the same count each. Columns of df are kept; `copy`, `rate` and
-`place` are added, replacing columns of these names. Sources that weights doesn't name have weight 0.
+documents have no copies. Rows that repeat an id draw the same count each. Columns of df are kept, whatever their names;
+`rate`, `copy` and `place` are added, replacing columns of these names. Sources that weights doesn't name have weight 0.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNIT = float(1 << 52)
 
@@ -55,27 +56,28 @@ def rates(df: DataFrame, source_col: str, size: Column, weights: dict[str, float
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, power: float = 0.5, budget: float | None = None, seed: int = 1, broadcast_sources: int = 10_000, salt: int = 64) -> DataFrame:
-    """The copies of all documents in a global random order (by `place`, sorted within each partition). Sizes and budget
+    """The copies of all documents, dealt out and ordered by `place`, a random number: each partition is a random share of
+    all copies in random order, and ordering by place gives one random order of all. Sizes and budget
     count characters; the budget is the size of df unless given."""
     spark = df.sparkSession
-    df = df.select(*[c for c in df.columns if c not in ("copy", "rate", "place")])
-    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    per_source = rates(df, source_col, size, weights, power, budget).mapInArrow(_thresholds, f"_source {df.schema[source_col].dataType.simpleString()}, _rate double, _cdf array<double>")
+    kept = [c for c in df.columns if c.lower() not in ("copy", "rate", "place")]
+    # the columns travel as one, so that none of them meets a name that is used here
+    docs = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
+    per_source = rates(docs, "source", F.col("size"), weights, power, budget).mapInArrow(_thresholds, T.StructType([T.StructField("_source", docs.schema["source"].dataType), T.StructField("_rate", T.DoubleType()), T.StructField("_cdf", T.ArrayType(T.DoubleType()))]))
     rows = per_source.limit(broadcast_sources + 1).collect()
-    schema = per_source.schema
     if len(rows) <= broadcast_sources:
-        known = spark.createDataFrame(rows, schema)
-        joined = df.join(F.broadcast(known), F.col(source_col).eqNullSafe(F.col("_source")))
+        known = spark.createDataFrame(rows, per_source.schema)
+        joined = docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")))
     else:
         spread = per_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        salted = df.withColumn("_slice", F.pmod(F.xxhash64(id_col, source_col), F.lit(salt)).cast("int"))
-        joined = salted.join(spread, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_salt"))).drop("_salt", "_slice")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+        salted = docs.withColumn("_slice", F.pmod(F.xxhash64("id", "source"), F.lit(salt)).cast("int"))
+        joined = salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_salt")))
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     u = hashed(F.lit(str(seed)), key)
     count = F.when(u < F.element_at("_cdf", 1), 0).otherwise(F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = joined.withColumn("_n", count).where("_n > 0").drop("_cdf", "_source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n").withColumnRenamed("_rate", "rate")
+    copies = joined.withColumn("_n", count).where("_n > 0").select("row", "id", F.col("_rate").alias("rate"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
     placed = copies.withColumn("place", hashed(F.lit(str(seed)), key, F.col("copy").cast("string")))
-    return placed.repartition("place").sortWithinPartitions("place", id_col, "copy")
+    return placed.repartition("place").sortWithinPartitions("place", "id", "copy").select("row.*", "rate", "copy", "place")
 
 
 def expected_copies(rate: float, u: float) -> int:
@@ -90,7 +92,8 @@ def expected_copies(rate: float, u: float) -> int:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"), "place", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "source", "copy", F.round("rate", 9).alias("rate"), "place", "text")
 
 
 OP1_SQL = """

@@ -33,6 +33,17 @@ def test_matches_plain(spark):
     assert mix(df.where("false")).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    names = ["doc_id", "source", "text", "_rate", "_cdf", "_n", "_source", "_slice", "_salt", "id", "row", "size", "Place"]
+    df = spark.createDataFrame([(*r, *range(10)) for r in ROWS], "doc_id long, source string, text string, " + ", ".join(f"{n} int" for n in names[3:]))
+    for limit in (10_000, 1):
+        got = mix(df, broadcast_sources=limit)
+        assert got.columns == [*names[:-1], "rate", "copy", "place"]
+        rows = got.collect()
+        assert sorted((str(r.doc_id), str(r.source), r.copy) for r in rows) == plain(ROWS, lambda s, n: n**0.5)
+        assert {tuple(r)[3:12] for r in rows} == {tuple(range(9))}
+
+
 def test_large_rates(spark):
     rows = [(i, "rare" if i < 20 else "big", "x" * 10) for i in range(2000)]
     got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights={"rare": 1.0, "big": 1.0}).groupBy("source").count().collect()
