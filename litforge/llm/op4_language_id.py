@@ -4,7 +4,7 @@ within it by a vote of one-against-one linear SVMs.
 Features are hashed trigrams of the lower-cased letters' UTF-8 bytes (any other ASCII byte counts as a blank), counted
 over the whole text, their square roots scaled to length one. The machines (squared hinge loss, L2) are fitted on the
 driver on a bounded sample of the labelled rows: `train_rows` texts in all, the same number for each language, chosen by
-a hash of id. Prediction is one pass over the texts without a shuffle; a task holds the counts of at most 256 texts.
+a hash of id; of dirty labels the `most_langs` most frequent are learned. Prediction is one pass over the texts without a shuffle; a task holds the counts of at most 256 texts.
 
 Rows: a null text or one without a letter is `und` with score 0, and so is every text if nothing can be learned. A null
 id counts as the empty text in the split. Rows that repeat are predicted alike; other columns are left aside.
@@ -122,10 +122,10 @@ class Model:
         return out, np.clip(score, 0, 1)
 
 
-def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = 2000) -> Model | None:
+def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = 2000, most_langs: int = 200) -> Model | None:
     """Fits on at most train_rows rows that have a language and a letter. None if there are no such rows."""
     own = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in df.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in df.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     cap = max(1, train_rows // len(counts))
