@@ -2,12 +2,20 @@
 
 Texts are sets of `k`-word shingles of lower-case words (a text of fewer words is one shingle). Documents with the same
 set are one class and need no links among themselves. Bands and rows are the cheapest plan whose recall at the
-threshold is `recall` or more; classes meet in the buckets of their band hashes, by shuffle. A pair belongs to the first
-band that it shares, so it is verified once, on the full shingle sets. Only members with a pair of their own in a bucket
-fetch their text, so a copy of a document does not travel once a band. Buckets of over `block` members are cut into
-pairs of blocks, a task each. A task counts its links and gives a spanning forest of them, never the pairs: what leaves
-it is linear in its members, while the verification of a large group of different texts costs its square, spread
-over tasks. Groups are the connected components of the forests, by alternating large and small stars.
+threshold is `recall` or more; classes meet in the buckets of their band hashes, by shuffle, and pairs are verified on
+the full shingle sets, each once:
+
+- Buckets of up to `block` members (and `block_bytes` of shingles) are a task's. A pair belongs to the first band that it
+  shares; only members with a pair of their own in a bucket fetch their text, so a copy does not travel once a band.
+- Larger buckets that share members make a pool. A pool's members are sent once, to one of its blocks of about `block`
+  members, which is packed: a dictionary of its shingles, the shingles that most members have, and what each member
+  differs from them by. Each pair of packed blocks is a task that verifies all their pairs, whether they share a band or
+  not. So the shingles of a large group travel once; what is sent again for each block is its packed form, some bytes a
+  member where the texts are near copies. The verification of a group of different texts still costs its square.
+
+A task counts its links and gives a spanning forest of them, never the pairs. Groups are the connected components of the
+forests, by alternating large and small stars. Where a table meets the facts of a bucket, group or copied text, the key
+is split by a salt, of which the facts are given only those that occur.
 
 Result, a row for each row: id, class_id (the smallest id of the group), copy_of (the smallest id with the same shingles)
 and n_links (other documents at the threshold or more, copies included).
@@ -20,11 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litforge.llm import _hashing as H
-from litforge.llm._io import written
+from litforge.llm._io import drop_since, mark, written
 
 U = np.uint64
 
@@ -89,52 +97,91 @@ def _signed(k: int, bands: int, rows: int):
             full = [empty] * len(sizes)
             for r, s in zip(where, signs, strict=True):
                 full[r] = s
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(full, type=pa.list_(pa.int64()))], names=["id", "name", "n", "signs"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(names, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(full, type=pa.list_(pa.int64()))], names=["id", "h", "name", "n", "signs"])
 
     return run
 
 
-def _owners():
-    """Of the members of each bucket, those with a pair whose first shared band is the bucket's; of a bucket in several
-    blocks, whose members may lie in several tasks, all."""
+def _runs(batches, keys: list[str]):
+    """Tables of whole groups from batches that are sorted by the keys, and where each group begins and ends."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        bounds = _bounds(table, keys)
+        if len(bounds) > 2:
+            yield table.slice(0, bounds[-2]), bounds[:-1]
+        rest = table.slice(bounds[-2])
+    if rest is not None:
+        yield rest, _bounds(rest, keys)
+
+
+def _bounds(table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows - 1, dtype=bool)
+    for k in keys:
+        c = table.column(k).to_numpy()
+        new |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [table.num_rows]))
+
+
+def _lists(column, width: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    return pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _apart(signs: np.ndarray, pool: np.ndarray, others: np.ndarray, other_pool: np.ndarray) -> np.ndarray:
+    """Which pairs belong to a bucket: they share no earlier band, and no pool."""
+    out = (pool[:, None] != other_pool[None, :]) | (pool[:, None] == 0)
+    for x in range(signs.shape[1]):
+        out &= signs[:, x][:, None] != others[:, x][None, :]
+    return out
+
+
+def _owners(bands: int):
+    """Of the members of each bucket, those with a pair that belongs to it."""
 
     def run(batches):
-        found = [b.to_pandas() for b in batches]
-        if not found:
-            return
-        import pandas as pd
-
-        rows = pd.concat(found).sort_values(["band", "bucket", "name"], kind="stable")
-        band, name = rows["band"].to_numpy(), rows["name"].to_numpy()
-        signs = np.stack(rows["signs"].to_numpy())
-        new = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (rows["bucket"].to_numpy()[1:] != rows["bucket"].to_numpy()[:-1]), [True])))
-        keep, cell = np.zeros(len(rows), dtype=bool), rows["blocks"].to_numpy()
-        for a, b in zip(new[:-1], new[1:], strict=True):
-            if cell[a] > 1:
-                keep[a:b] = True
-                continue
-            s = signs[a:b, : band[a]]
-            for i in range(b - a):
-                own = ~(s == s[i]).any(axis=1) if band[a] else np.ones(b - a, dtype=bool)
-                own[i] = False
-                keep[a + i] = own.any()
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["bucket"].to_numpy()[keep], band[keep], name[keep], rows["id"].to_numpy()[keep], rows["copies"].to_numpy()[keep], cell[keep])] + [pa.array(list(signs[keep]), type=pa.list_(pa.int64()))], names=["bucket", "band", "name", "id", "copies", "blocks", "signs"])
+        for table, bounds in _runs(batches, ["band", "bucket"]):
+            band, pool, signs = table.column("band").to_numpy(), table.column("pool").to_numpy(), _lists(table.column("signs"), bands)
+            keep = np.zeros(table.num_rows, dtype=bool)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                s = signs[a:b, : band[a]]
+                for i in range(a, b, 512):
+                    j = min(b, i + 512)
+                    own = _apart(s[i - a : j - a], pool[i:j], s, pool[a:b])
+                    own[np.arange(j - i), np.arange(i - a, j - a)] = False
+                    keep[i:j] = own.any(axis=1)
+            yield from table.select(["bucket", "band", "name"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
+CELL = "cell long, part int, parts int, band int, name long, copies long, pool long, signs array<long>, grams binary"
+_CELL = (("cell", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("band", pa.int32()), ("name", pa.int64()), ("copies", pa.int64()), ("pool", pa.int64()), ("signs", pa.list_(pa.int64())))
+
+
 def _fetched(k: int):
+    """The shingles of each class that is asked for, once for each of its buckets, and once for its block of a pool
+    (part is the block; -1 for a bucket)."""
+
     def run(batches):
+        done = set()
         for batch in batches:
-            asked = batch.column("asked")
-            for i, own in enumerate(_sets(batch.column("text"), k)):
-                if not len(own):
+            asked = batch.select([c for c in batch.schema.names if c != "text"]).to_pylist()
+            for r, own in zip(asked, _sets(batch.column("text"), k), strict=True):
+                if not len(own) or r["name"] in done:
                     continue
-                name = _class(own)
-                cells = [c for c in asked[i].as_py() if c["name"] == name]
-                if cells:
-                    raw = own.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([c[f] for c in cells], type=t) for f, t in (("cell", pa.int64()), ("band", pa.int32()), ("side", pa.int32()), ("name", pa.int64()), ("copies", pa.int64()), ("signs", pa.list_(pa.int64())))] + [pa.array([raw] * len(cells), type=pa.binary())], names=["cell", "band", "side", "name", "copies", "signs", "grams"])
+                done.add(r["name"])
+                raw = own.tobytes()
+                rows = [(c["bucket"], -1, 0, c["band"], r["name"], r["copies"], r["pool"] or 0, r["signs"]) for c in r["cells"] or []]
+                if r["pool"]:
+                    rows.append((r["pool"], r["part"], r["parts"], 0, r["name"], r["copies"], r["pool"], []))
+                step = max(1, (32 << 20) // len(raw))
+                for i in range(0, len(rows), step):
+                    cut = rows[i : i + step]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, (_, t) in zip(zip(*cut, strict=True), _CELL, strict=True)] + [pa.array([raw] * len(cut), type=pa.binary())], names=[*(n for n, _ in _CELL), "grams"])
 
     return run
 
@@ -160,73 +207,170 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
     return shared >= threshold * both - 1e-6
 
 
-def _verified(threshold: float, step: int = 512):
-    def cell_of(rows):
-        band, names = rows[0]["band"], np.array([r["name"] for r in rows])
-        sets = [np.frombuffer(r["grams"], dtype=U) for r in rows]
-        copies, side = np.array([r["copies"] for r in rows]), np.array([r["side"] for r in rows])
-        signs = np.array([r["signs"][:band] for r in rows], dtype=np.int64).reshape(len(rows), band)
-        one = np.flatnonzero(side <= 1)
-        two = np.flatnonzero(side >= 1) if (side == 1).any() else np.flatnonzero(side == 2)
-        links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-
-        def top(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for a in range(0, len(one), step):
-            left = one[a : a + step]
-            for b in range(0, len(two), step):
-                right = two[b : b + step]
-                if (side == 1).any() and right[-1] < left[0]:
-                    continue
-                fine = _linked(sets, left, right, threshold) & (names[left][:, None] != names[right][None, :])
-                if (side == 1).any():
-                    fine &= left[:, None] < right[None, :]
-                for x in range(band):  # a pair that shares an earlier band belongs there
-                    fine &= signs[left, x][:, None] != signs[right, x][None, :]
-                links[left] += fine @ copies[right]
-                links[right] += copies[left] @ fine
-                for i, j in zip(*np.nonzero(fine), strict=True):
-                    p, q = top(left[i]), top(right[j])
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-        return [(int(names[i]), int(names[top(i)]), int(links[i])) for i in range(len(rows)) if links[i]]
+def _counted(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, allowed=None, step: int = 512):
+    """(name, root, links) of the members that have a link between left and right; left itself may be right."""
+    links, root = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
+    alike = left is right
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a in range(0, len(left), step):
+        some = left[a : a + step]
+        for b in range(a if alike else 0, len(right), step):
+            others = right[b : b + step]
+            fine = _linked(sets, some, others, threshold) & (names[some][:, None] != names[others][None, :])
+            if alike:
+                fine &= some[:, None] < others[None, :]
+            if allowed is not None:
+                fine &= allowed(some, others)
+            links[some] += fine @ copies[others]
+            links[others] += copies[some] @ fine
+            for i, j in _forest(fine):
+                p, q = top(some[i]), top(others[j])
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+    return [(int(names[i]), int(names[top(i)]), int(links[i])) for i in range(len(names)) if links[i]]
+
+
+def _forest(fine: np.ndarray):
+    """Pairs that connect what all pairs of a block connect: row by row, the columns that no row has had yet, and one
+    column of each row that had others before."""
+    owner = np.full(fine.shape[1], -1)
+    for i in np.flatnonzero(fine.any(axis=1)).tolist():
+        at = np.flatnonzero(fine[i])
+        before, one = np.unique(owner[at], return_index=True)
+        for j in at[owner[at] < 0].tolist() + at[one[before >= 0]].tolist():
+            yield i, j
+        owner[at] = i
+
+
+LINKS = "name long, root long, links long, cell long, part int, parts int, names array<long>, copies array<long>, grams array<long>, usual array<int>, sizes array<int>, items array<int>"
+_PACKED = (("names", pa.int64()), ("copies", pa.int64()), ("grams", pa.int64()), ("usual", pa.int32()), ("sizes", pa.int32()), ("items", pa.int32()))
+
+
+def _out(links: list, packed: list):
+    """Links and packed blocks as rows of one table."""
+    n, m = len(links), len(packed)
+    columns = [pa.array([x[i] for x in links] + [None] * m, type=pa.int64()) for i in range(3)]
+    columns += [pa.array([None] * n + [p[i] for p in packed], type=t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+    columns += [pa.array([None] * n + [p[i + 3] for p in packed], type=pa.list_(t)) for i, (_, t) in enumerate(_PACKED)]
+    return pa.RecordBatch.from_arrays(columns, names=["name", "root", "links", "cell", "part", "parts", *(f for f, _ in _PACKED)])
+
+
+def _pack(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray) -> tuple:
+    """A block's dictionary, the numbers of the shingles that most members have, and for each member the numbers of its
+    own shingles (size n), or of those by which it differs from most (size -n - 1), whichever are fewer."""
+    every, where = np.unique(np.concatenate(sets), return_inverse=True)
+    where = where.astype(np.int32)
+    usual = np.flatnonzero(np.bincount(where, minlength=len(every)) * 2 > len(sets)).astype(np.int32)
+    sizes, items = [], []
+    for own in np.split(where, np.cumsum([len(s) for s in sets])[:-1]):
+        apart = np.setxor1d(own, usual, assume_unique=True)
+        sizes.append(-len(apart) - 1 if len(apart) < len(own) else len(own))
+        items.append(apart if len(apart) < len(own) else own)
+    return names, copies, every.view(np.int64), usual, np.array(sizes, dtype=np.int32), np.concatenate(items)
+
+
+def _unpack(row: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    names, copies, grams, usual, sizes, items = (row[f] for f, _ in _PACKED)
+    grams, at, sets = grams.view(U), 0, []
+    for n in sizes.tolist():
+        m = n if n >= 0 else -n - 1
+        own = items[at : at + m]
+        at += m
+        sets.append(grams[own if n >= 0 else np.setxor1d(usual, own, assume_unique=True)])
+    return sets, names, copies
+
+
+def _met(threshold: float, bands: int):
+    """Verifies the buckets, and packs the blocks of pools."""
 
     def run(batches):
-        rows, last, out = [], None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if rows and (r["cell"], r["band"]) != last:
-                    out += cell_of(rows)
-                    rows = []
-                last = r["cell"], r["band"]
-                rows.append(r)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], names=["name", "root", "links"])
-                out = []
-        if rows:
-            out += cell_of(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], names=["name", "root", "links"])
+        links, packed, held = [], [], 0
+        for table, bounds in _runs(batches, ["cell", "part", "band"]):
+            part, name = table.column("part").to_numpy(), table.column("name").to_numpy()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                at = a + np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))  # a class that is fetched twice counts once
+                rows = table.take(pa.array(at))
+                sets = [np.frombuffer(g, dtype=U) for g in rows.column("grams").to_pylist()]
+                names, copies, pool = (rows.column(c).to_numpy() for c in ("name", "copies", "pool"))
+                if part[a] >= 0:
+                    packed.append((int(rows.column("cell")[0].as_py()), int(part[a]), int(rows.column("parts")[0].as_py()), *_pack(sets, names, copies)))
+                    held += sum(len(s) for s in sets)
+                else:
+                    signs = _lists(rows.column("signs"), bands)[:, : rows.column("band")[0].as_py()]
+                    every = np.arange(len(names))
+                    links += _counted(sets, names, copies, every, every, threshold, lambda i, j, s=signs, p=pool: _apart(s[i], p[i], s[j], p[j]))
+                if len(links) > 50_000 or held > 4_000_000:
+                    yield _out(links, packed)
+                    links, packed, held = [], [], 0
+        if links or packed:
+            yield _out(links, packed)
+
+    return run
+
+
+def _paired(threshold: float):
+    """Verifies all pairs of two packed blocks, or of one with itself."""
+
+    def run(batches):
+        for table, bounds in _runs(batches, ["pair", "pair_of"]):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                rows = []
+                for i in range(a, b):
+                    if i == a or table.column("part")[i] != table.column("part")[i - 1]:
+                        rows.append(_unpack({f: table.column(f)[i].values.to_numpy(zero_copy_only=False) for f, _ in _PACKED}))
+                sets = [s for r in rows for s in r[0]]
+                names, copies = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+                left = np.arange(len(rows[0][0]))
+                links = _counted(sets, names, copies, left, left if len(rows) == 1 else np.arange(len(left), len(sets)), threshold)
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*links, strict=True)], names=["name", "root", "links"])
 
     return run
 
 
+SALTS = 64
+
+
+def _salted(rows: DataFrame, of: str) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int"))
+
+
+def _with_facts(rows: DataFrame, keys: list[str], of: str, facts: dict, where: str | None = None) -> DataFrame:
+    """rows with sums or minima over their group by keys: facts name -> (F.sum or F.min, column). A group is dealt out by
+    the hash of its column `of`, so that a hot one spreads over tasks. Groups that where leaves out are left out."""
+    salted = _salted(rows, of)
+    part = salted.groupBy(*keys, "_salt").agg(*(f(c).alias(n) for n, (f, c) in facts.items()))
+    whole = part.groupBy(*keys).agg(*(f(n).alias(n) for n, (f, _) in facts.items()))
+    whole = whole.where(where) if where else whole
+    return salted.join(part.select(*keys, "_salt").join(whole, keys), [*keys, "_salt"]).drop("_salt")
+
+
+def _looked_up(rows: DataFrame, key: str, of: str, table: DataFrame) -> DataFrame:
+    """rows with the columns of a table that has one row a key, or with nulls; a hot key spreads over tasks."""
+    salted = _salted(rows, of)
+    found = salted.select(key, "_salt").where(F.col(key).isNotNull()).distinct().join(table, key)
+    return salted.join(found, [key, "_salt"], "left").drop("_salt")
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """node, root: the smallest node that edges (a, b) connect it to, for every node of an edge between two."""
     edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    before = None
+    before, place = None, mark()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        least = _with_facts(both, ["u"], "v", {"m": (F.min, F.col("v"))}).withColumn("m", F.least("m", "u"))
+        large = least.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # the edges of u to its smaller neighbours: each of these, and u, to the smallest of them
+        joined = _with_facts(large, ["u"], "v", {"m": (F.min, F.col("v"))})
+        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "stars")
+        drop_since(place, but=1)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -234,51 +378,60 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 2048) -> DataFrame:
+def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, recall: float, block: int, block_bytes: int) -> DataFrame:
+    """id, h (hash of the text), class_id, copy_of, n_links and first (whether the row is the one that stands for its group:
+    the smallest id, and of several texts under that id the one of smallest hash) of every row."""
     bands, rows = plan(threshold, recall)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_signed(k, bands, rows), "id long, name long, n int, signs array<long>"), "signatures")
-    classes = signed.where("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signs").alias("signs"))
-    spread = classes.select("name", "id", "copies", "signs", F.posexplode("signs").alias("band", "bucket"))
-    full = spread.groupBy("band", "bucket").agg(F.count("*").alias("m")).where("m > 1").select("band", "bucket", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    # blocks of a large bucket are dealt out one by one, so that no task holds such a bucket
-    block_of = F.pmod(F.xxhash64(F.lit(5), "name"), "blocks").cast("int")
-    met = spread.join(full.hint("shuffle_hash"), ["band", "bucket"]).select("bucket", "band", "name", "id", "copies", "blocks", "signs")
-    owned = met.repartition("bucket", block_of).mapInArrow(_owners(), "bucket long, band int, name long, id long, copies long, blocks int, signs array<long>")
-    # a cell is a bucket, or a pair of blocks i <= j of it; side 1: both, 0: the first of two, 2: the second
-    cells = owned.withColumn("own", block_of).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    cells = cells.select("id", F.struct(F.xxhash64("bucket", low, high).alias("cell"), "band", F.when(F.col("own") == F.col("other"), 1).when(F.col("own") < F.col("other"), 0).otherwise(2).alias("side"), "name", "copies", "signs").alias("c"))
-    asked = written(cells.groupBy("id").agg(F.collect_list("c").alias("asked")), "cells")
-    got = docs.join(asked.hint("shuffle_hash"), docs["id"].eqNullSafe(asked["id"])).select("text", "asked").mapInArrow(_fetched(k), "cell long, band int, side int, name long, copies long, signs array<long>, grams binary")
-    # rows that repeat an id may fetch a class twice
-    cell = got.repartition("cell").sortWithinPartitions("cell", "band", "side", "name")
-    links = written(cell.mapInArrow(_once(_verified(threshold)), "name long, root long, links long"), "links")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    signed = written(docs.mapInArrow(_signed(k, bands, rows), "id long, h long, name long, n int, signs array<long>"), "signatures")
+    place: Column = F.struct(F.col("id").isNull().alias("no"), "id", "h")
+    classes = signed.where("n > 0").groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+
+    spread = classes.select("name", "n", F.posexplode("signs").alias("band", "bucket"))
+    met = written(_with_facts(spread, ["band", "bucket"], "name", {"m": (F.sum, F.lit(1)), "size": (F.sum, F.col("n").cast("long"))}, "m > 1"), "met")
+    large = (F.col("m") > block) | (F.col("size") * 8 > block_bytes)
+    pooled = _pools(met.where(large), block, block_bytes)
+    small = met.where(~large).select("name", "band", "bucket").join(classes.select("name", "signs"), "name").join(pooled.select("name", "pool"), "name", "left").fillna(0, ["pool"])
+    owned = small.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "name").mapInArrow(_owners(bands), "bucket long, band int, name long")
+    cells = owned.groupBy("name").agg(F.collect_list(F.struct("bucket", "band")).alias("cells"))  # at most one a band
+
+    asked = written(cells.join(pooled, "name", "full").join(classes.select("name", "place", "copies", "signs"), "name").select(F.col("place.id").alias("of_id"), F.col("place.h").alias("of_h"), "name", "copies", "signs", "pool", "part", "parts", "cells"), "asked")
+    got = docs.join(asked.hint("shuffle_hash"), docs["id"].eqNullSafe(asked["of_id"]) & (docs["h"] == asked["of_h"])).drop("id", "h", "of_id", "of_h").mapInArrow(_fetched(k), CELL)
+    found = written(got.repartition("cell", "part", "band").sortWithinPartitions("cell", "part", "band", "name").mapInArrow(_met(threshold, bands), LINKS), "links")
+    blocks = found.where("cell is not null").select("cell", "part", *(f for f, _ in _PACKED), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = blocks.withColumn("pair", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other"))).withColumn("pair_of", F.least("part", "other")).drop("cell", "other")
+    between = written(pairs.repartition("pair").sortWithinPartitions("pair", "pair_of", "part").mapInArrow(_paired(threshold), "name long, root long, links long"), "block-links")
+
+    links = found.where("name is not null").select("name", "root", "links").unionByName(between)
     roots = components(links, "name", "root")
     per_class = links.groupBy("name").agg(F.sum("links").alias("links"))
-    alone = classes.select("name", "id", "copies").join(per_class, "name", "left").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    groups = alone.groupBy("root").agg(F.min("id").alias("class_id"))
-    by_class = alone.join(groups, "root").select(F.col("name").alias("of"), F.col("id").alias("copy_of"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = signed.select("id", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(by_class, F.col("name") == F.col("of"), "left")
-    return joined.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    alone = classes.select("name", "place", "copies").join(per_class, "name", "left").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    by_class = _with_facts(alone, ["root"], "name", {"least": (F.min, F.col("place"))}).select("name", "place", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    every = _looked_up(signed.select("id", "h", F.when(F.col("n") > 0, F.col("name")).alias("name")), "name", "id", by_class)
+    first = F.col("name").isNull() | (F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.h") == F.col("h")))
+    return every.select("id", "h", F.coalesce("least.id", "id").alias("class_id"), F.coalesce("place.id", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
 
 
-def _once(verify):
-    """Leaves out rows of a cell that come twice (they follow on each other)."""
+def _pools(met: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """name, pool, part, parts: the members of large buckets, in pools of buckets that share members, and in blocks of
+    these."""
+    hub = F.xxhash64(F.lit(11), "band", "bucket")
+    roots = components(met.select("name", hub.alias("hub")), "name", "hub")
+    members = met.select("name", "n").distinct().join(roots.select(F.col("node").alias("name"), F.col("root").alias("pool")), "name", "left").withColumn("pool", F.coalesce("pool", "name"))
+    sized = _with_facts(members, ["pool"], "name", {"m": (F.sum, F.lit(1)), "size": (F.sum, F.col("n").cast("long"))})
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") * 8 / block_bytes), F.lit(1)).cast("int")
+    return written(sized.select("name", "pool", F.pmod(F.xxhash64(F.lit(5), "name"), parts).cast("int").alias("part"), parts.alias("parts")), "pools")
 
-    def run(batches):
-        def single():
-            last = None
-            for batch in batches:
-                keep = []
-                for key in zip(*(batch.column(c).to_pylist() for c in ("cell", "band", "side", "name")), strict=True):
-                    keep.append(key != last)
-                    last = key
-                yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-        return verify(single())
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 2048, block_bytes: int = 64 << 20) -> DataFrame:
+    found = _joined(df, id_col, text_col, k, threshold, recall, block, block_bytes)
+    return found.select(F.col("id").alias(id_col), "class_id", "copy_of", "n_links")
 
-    return run
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 2048, block_bytes: int = 64 << 20) -> DataFrame:
+    """id, h (xxhash64 of the text) and n (rows) of the text that stands for each group, and of each text without words."""
+    found = _joined(df, id_col, text_col, k, threshold, recall, block, block_bytes)
+    return found.where("first").groupBy(F.col("id").alias(id_col), "h").agg(F.count("*").alias("n"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

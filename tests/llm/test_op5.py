@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from litforge.llm.op5_jaccard_join import components, jaccard_join, plan
+from litforge.llm.op5_jaccard_join import components, jaccard_join, plan, representatives
 
 WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 
@@ -71,3 +71,50 @@ def test_plan_and_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 103: 100}
+
+
+def hot_group(n, seed=3):
+    rng = random.Random(seed)
+    vocab = [f"word{i}" for i in range(2000)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_large_group_is_shuffled_in_proportion(spark):
+    took = []
+    for n in (600, 1200):  # 5 and 10 blocks
+        rows = hot_group(n)
+        before = shuffled(spark)
+        got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=128).collect()
+        took.append((shuffled(spark) - before) / sum(len(t) for _, t in rows))
+        if n == 600:
+            assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
+    assert took[1] < 6 and took[1] < 1.3 * took[0]
+
+
+def test_recall_of_the_default_plan(spark):
+    rows = corpus(5, 60)
+    got = {r.doc_id: r for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert sum(got[i].n_links for i, _, _ in want) >= 0.99 * sum(n for _, _, n in want)
+    assert all(got[i].n_links <= n for i, _, n in want)
+
+
+def test_representatives(spark):
+    rows = corpus(6, 9) + [(4, "x y z v w u t"), (None, "x y z v w u t"), (None, None), (None, None), (700, "")]
+    got = sorted(((r.doc_id, r.n) for r in representatives(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999).collect()), key=str)
+    low = [(i, t) for i, t in rows if i is not None]
+    want = [(i, 1) for i, c, _ in brute(low) if i == c]
+    assert got == sorted([*want, (None, 2)], key=str)
