@@ -41,6 +41,49 @@ def test_stages_against_plain_versions(spark):
     assert set(docs.columns) <= set(mixed.columns) and mixed.count() > 0
 
 
+MORE = ["n_items", "item_id", "coverage", "N_TILES", "_n_items", "rate", "place", "id", "row", "key", "spans", "h", "n", "name", "class_id", "_rest"]
+NAMES = ["doc_id", "text", "lang", "source", "n_chars", *MORE]
+
+
+def odd_rows(docs):
+    """Rows of the table with columns of clashing names, and beside them nulls, empty and long texts, ties and repeats."""
+    rows = [tuple(r[c] for c in NAMES[:5]) for r in docs.orderBy("doc_id").limit(60).collect()]
+    text = rows[0][1]
+    rows += [(None, text, "en", None, None), (9001, None, None, "web", 0), (9001, None, None, "web", 0), (9002, "", "", "", 0), (9003, "", "", "", 0), (9004, text, "en", "web", len(text)), (9004, text, "en", "web", len(text)), (9004, "quite another text of few words", "en", "web", 1), (9005, "ü" * 200_000, "xx", "web", 1), (None, None, None, None, None)]
+    return [(*r, *(f"{c}-mine" for c in MORE)) for r in rows]
+
+
+def test_every_stage_on_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = odd_rows(docs)
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in MORE))
+    odd.write.parquet(f"{tmp_path}/odd")
+    odd = spark.read.parquet(f"{tmp_path}/odd")
+    for name, stage in p.STAGES:
+        got = stage(spark, odd, D)
+        if name != "mixture":
+            assert got.columns == NAMES
+        found = [r.asDict() for r in got.collect()]
+        own = [c for c in MORE if c not in ("rate", "place")] if name == "mixture" else MORE
+        assert all(r[c] == f"{c}-mine" for r in found for c in own), name
+        texts = sorted(str((r["doc_id"], r["text"])) for r in found)
+        if name == "near_duplicates":
+            kept = {str((r[0], r[1])) for r in rows if r[1] is None or not r[1]}
+            assert len(texts) == len(set(texts)) and kept <= set(texts)  # texts without words: one row for each id and text
+            worded = [(r[0], r[1]) for r in rows if r[1]]
+            groups = {}
+            for i, low, _ in brute([(n, t) for n, (_, t) in enumerate(worded)]):
+                groups.setdefault(low, []).append(worded[i][0])
+            least = [min(g, key=lambda i: (i is None, i)) for g in groups.values()]
+            assert sorted(str(r["doc_id"]) for r in found if r["text"]) == sorted(map(str, least))
+        if name == "decontamination":
+            assert {str((r[0], r[1])) for r in rows if not r[1]} <= set(texts)
+        if name == "secrets":
+            assert len(texts) == len(rows)
+    again = [sorted(map(str, stage(spark, odd, D).collect())) for _, stage in p.STAGES[1:2] for _ in range(2)]
+    assert again[0] == again[1]
+
+
 def test_run_and_empty(spark, tmp_path):
     assert p.run(spark, D).count() > 0
     for t in ("documents", "labels", "benchmark"):
