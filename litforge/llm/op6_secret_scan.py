@@ -1,16 +1,22 @@
 """Operator 6: secrets by fixed patterns, and by automata that are inferred from labelled credentials.
 
 For each label, the credentials make a prefix tree with counts; states that are statistically compatible (Hoeffding's
-bound on their ending and on each symbol, down the tree) are merged, which gives a probabilistic automaton. A
-candidate is a maximal run of at least 16 characters out of letters, digits and + / _ = - that holds a digit. A part of
-it of at least 16 characters starts at its start, after one of + / _ = - or at an automaton's prefix, and ends at its
-end or before one of + / _ = -; its score is the largest log likelihood ratio of an automaton to evenly spread
-characters. The best part that scores `threshold` nats or more is a span under the automaton's label, and so on to its
-left and right; it goes on over characters of the label's credentials, and over the other parts of a JWT. Base spans stay;
-spans that lie wholly in one are not added.
+bound on their ending and on each symbol, down the tree) are merged, of several the one under which the strings below
+are likeliest, which gives a probabilistic automaton. A candidate is a maximal run of at least 16 characters out of
+letters, digits and + / _ = - that holds a digit or such a beginning. A part of it starts at an occurrence of what all credentials of a label
+begin with (where that is over two characters; else at the run's start or after one of + / _ = -), ends at the run's end
+or before one of + / _ = -, and is at least as long as the label's shortest credential; its score is the log likelihood
+ratio of the label's automaton to evenly spread characters. Of the ways to cut a run into parts of `threshold` nats or
+more and rests, the one of the highest sum (of scores above the threshold) is taken, in one pass over the run. A part is
+a span under its label; it goes on over characters of the label's credentials, and over the other parts of a JWT. Base
+spans stay; spans that lie wholly in one are not added.
+
+What no automaton can tell from evenly spread characters is not found: kinds that have no label, and kinds without a
+prefix whose characters are as many as the alphabet's, such as 40 random signs of base64.
 
 One pass without a shuffle; whole texts. Rows: a null text counts as empty and has no spans; rows that repeat give the
-same spans each; other columns are left aside.
+same spans each; of parts that tie, the one that ends first, then the first label; other columns are left aside (redact:
+kept, whatever their names).
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ import os
 import random
 import re
 import string
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +41,6 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SHORTEST = 16
 JOINT = re.compile(r"[+/_=-]")
 #: A whole JWT, of which a part is found.
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){1,2}", re.ASCII)
@@ -43,13 +50,24 @@ MAYBE = r"[A-Za-z0-9+/_=\-]{16}"
 #: Public formats of credentials (label, prefix, alphabet, shortest and longest rest).
 FORMATS = (
     ("aws", "AKIA", string.ascii_uppercase + string.digits, 16, 16),
+    ("digitalocean", "dop_v1_", "0123456789abcdef", 64, 64),
     ("github", "ghp_", string.ascii_letters + string.digits, 36, 36),
+    ("github-server", "ghs_", string.ascii_letters + string.digits, 36, 36),
+    ("gitlab", "glpat-", string.ascii_letters + string.digits + "_-", 20, 20),
     ("google", "AIza", string.ascii_letters + string.digits + "_-", 35, 35),
     ("hexkey", "", "0123456789ABCDEF", 32, 40),
-    ("jwt", "eyJ", string.ascii_letters + string.digits + "_-", 30, 60),
+    ("huggingface", "hf_", string.ascii_letters, 34, 34),
+    ("jwt", "eyJ", string.ascii_letters + string.digits + "_-", 16, 80),
+    ("npm", "npm_", string.ascii_letters + string.digits, 36, 36),
+    ("pypi", "pypi-", string.ascii_letters + string.digits + "_-", 60, 120),
+    ("shopify", "shpat_", "0123456789abcdef", 32, 32),
     ("slack", "xoxb-", string.digits + "-", 20, 26),
+    ("slack-user", "xoxp-", string.digits + string.ascii_lowercase + "-", 40, 70),
     ("stripe", "sk_live_", string.ascii_letters + string.digits, 24, 24),
+    ("stripe-test", "sk_test_", string.ascii_letters + string.digits, 24, 24),
 )
+#: The chance that is set aside for each symbol that a state has not seen, as a count.
+UNSEEN = 0.05
 
 
 def labelled(per_label: int = 200, seed: int = 6) -> list[tuple[str, str]]:
@@ -113,6 +131,20 @@ class Automaton:
                 else:
                     self.next[a][c] = to
 
+    def _log(self, f: int, n: int) -> float:
+        return math.log((f + UNSEEN) / (n + UNSEEN * (len(ALPHABET) + 1)))
+
+    def _fit(self, a: int, b: int) -> float:
+        """The log likelihood of the strings below b, read from a on."""
+        todo, out = [(a, b)], 0.0
+        while todo:
+            a, b = todo.pop()
+            out += self.ends[b] * self._log(self.ends[a], self.seen[a])
+            for c, n in self.taken[b].items():
+                out += n * self._log(self.taken[a].get(c, 0), self.seen[a])
+                todo.append((self.next[a].get(c, a), self.next[b][c]))
+        return out
+
     def _merge_all(self) -> None:
         red, blue = [0], [(0, c) for c in sorted(self.next[0])]
         while blue:
@@ -120,11 +152,11 @@ class Automaton:
             b = self.next[frm][c]
             if b in red:
                 continue
-            for r in red:
-                if self._compatible(r, b):
-                    self.next[frm][c] = r
-                    self._fold(r, b)
-                    break
+            like = [r for r in red if self._compatible(r, b)]
+            if like:
+                r = max(like, key=lambda r: self._fit(r, b))
+                self.next[frm][c] = r
+                self._fold(r, b)
             else:
                 red.append(b)
             blue = sorted({(r, c) for r in red for c, to in self.next[r].items() if to not in red})
@@ -132,41 +164,11 @@ class Automaton:
 
     def _freeze(self) -> None:
         number = {s: i for i, s in enumerate(self.states)}
-        even = len(ALPHABET) + 1
-        log = lambda f, n: math.log((f + 0.05) / (n + 0.05 * even))
-        self.moves = [{c: (number[to], log(self.taken[s].get(c, 0), self.seen[s])) for c, to in self.next[s].items()} for s in self.states]
-        self.other = [log(0, self.seen[s]) for s in self.states]
-        self.stop = [log(self.ends[s], self.seen[s]) for s in self.states]
+        self.moves = [{c: (number[to], self._log(self.taken[s].get(c, 0), self.seen[s])) for c, to in self.next[s].items()} for s in self.states]
+        self.other = [self._log(0, self.seen[s]) for s in self.states]
+        self.stop = [self._log(self.ends[s], self.seen[s]) for s in self.states]
         del self.next, self.taken, self.ends, self.seen
 
-    def best(self, s: str, starts: set[int], ends: set[int]) -> tuple[float, int, int]:
-        """The highest score of a part of s, and the part. Parts that meet in a state go on alike, so that of them the
-        better stays; those too short to end are kept apart."""
-        even = math.log(1 / (len(ALPHABET) + 1))
-        top, long, young = (-math.inf, 0, 0), {}, []
-        for i in range(len(s) + 1):
-            if i in ends:
-                for at, (score, start) in long.items():
-                    top = max(top, (score + self.stop[at], start, i))
-                for at, score, start in young:
-                    if i - start >= SHORTEST:
-                        top = max(top, (score + self.stop[at], start, i))
-            if i == len(s):
-                return top
-            if i in starts:
-                young.append((0, 0.0, i))
-            step, c = {}, s[i]
-            still = []
-            for at, score, start in [*((at, *v) for at, v in long.items()), *young]:
-                to = self.moves[at].get(c)
-                score += (to[1] if to else self.other[at]) - even
-                at = to[0] if to else at
-                if i + 1 - start < SHORTEST:
-                    still.append((at, score, start))
-                elif at not in step or score > step[at][0]:
-                    step[at] = score, start
-            long, young = step, still
-
     def likelihood(self, s: str) -> float:
         """Natural logarithm of the chance of s; an unknown symbol costs its smoothed chance and stays in its state."""
         at, out = 0, 0.0
@@ -185,6 +187,8 @@ class Scanner:
         self.automata = {k: Automaton(v) for k, v in sorted(groups.items())}
         self.prefix = {k: os.path.commonprefix(v) for k, v in groups.items()}
         self.rest = {k: {c for s in v for c in s[len(self.prefix[k]) :]} for k, v in groups.items()}
+        self.least = {k: min(map(len, v)) for k, v in groups.items()}
+        self.signs = re.compile("|".join(re.escape(p) for p in self.prefix.values() if len(p) > 2) or r"(?!)")
         self.threshold = threshold
         self.order = {k: i for i, k in enumerate([*KINDS, *self.automata])}
 
@@ -192,28 +196,65 @@ class Scanner:
         even = len(s) * math.log(1 / (len(ALPHABET) + 1))
         return max(((a.likelihood(s) - even, k) for k, a in self.automata.items()), default=(-math.inf, ""))
 
+    def _starts(self, s: str, joints: list[int]) -> dict[str, set[int]]:
+        """Where the parts of each label may start."""
+        after, out = {0, *(j + 1 for j in joints)}, {}
+        for label, prefix in self.prefix.items():
+            if len(prefix) <= 2:
+                out[label] = after
+            elif prefix in s:
+                out[label] = {m.start() for m in re.finditer(f"(?={re.escape(prefix)})", s)}
+        return {label: at for label, at in out.items() if len(s) - min(at) >= self.least[label]}
+
     def parts(self, s: str) -> list[tuple[int, int, str]]:
-        """The spans in a run, best first taken."""
-        out, todo = [], [(0, len(s))]
-        while todo:
-            low, high = todo.pop()
-            if high - low < SHORTEST:
+        """The spans in a run. Parts of a label that meet in a state go on alike, so that of them the better stays; those
+        too short to end are kept apart."""
+        joints = [m.start() for m in JOINT.finditer(s)]
+        starts, ends, even = self._starts(s, joints), {*joints, len(s)}, math.log(1 / (len(ALPHABET) + 1))
+        if not starts:
+            return []
+        best, last = [0.0] * (len(s) + 1), [None] * (len(s) + 1)  # of what lies before each place: the sum, and the part that ends there
+        long = {label: {} for label in starts}  # state: sum, start
+        young = {label: [] for label in starts}  # state, sum, start
+        for i in range(len(s) + 1):
+            if i:
+                best[i] = best[i - 1]
+            if i in ends:
+                for label in starts:
+                    stop = self.automata[label].stop
+                    for at, (total, start) in long[label].items():
+                        if total + stop[at] - self.threshold >= best[i] and last[i] is None or total + stop[at] - self.threshold > best[i]:
+                            best[i], last[i] = total + stop[at] - self.threshold, (start, label)
+            if i == len(s):
+                break
+            c = s[i]
+            for label, at_start in starts.items():
+                if i in at_start:
+                    young[label].append((0, best[i], i))
+                if not young[label] and not long[label]:
+                    continue
+                automaton, least, step, still = self.automata[label], self.least[label], {}, []
+                for at, total, start in [*((at, *v) for at, v in long[label].items()), *young[label]]:
+                    to = automaton.moves[at].get(c)
+                    total += (to[1] if to else automaton.other[at]) - even
+                    at = to[0] if to else at
+                    if i + 1 - start < least:
+                        still.append((at, total, start))
+                    elif at not in step or total > step[at][0]:
+                        step[at] = total, start
+                long[label], young[label] = step, still
+        out, i = [], len(s)
+        while i > 0:
+            if last[i] is None:
+                i -= 1
                 continue
-            cut = s[low:high]
-            joints = [m.start() for m in JOINT.finditer(cut)]
-            starts, ends = {0, *(j + 1 for j in joints)}, {len(cut), *joints}
-            found = []
-            for label, automaton in self.automata.items():
-                prefix = self.prefix[label]
-                own = {m.start() for m in re.finditer(f"(?={re.escape(prefix)})", cut)} if len(prefix) > 2 else set()
-                found.append((*automaton.best(cut, starts | own, ends), label))
-            score, a, b, label = max(found, default=(-math.inf, 0, 0, ""))
-            if score >= self.threshold:
-                while b < len(cut) and cut[b] in self.rest[label]:
-                    b += 1
-                out.append((low + a, low + b, label))
-                todo += [(low, low + a), (low + b, high)]
-        return out
+            start, label = last[i]
+            end, limit = i, out[-1][0] if out else len(s)
+            while end < limit and s[end] in self.rest[label]:
+                end += 1
+            out.append((start, end, label))
+            i = start
+        return out[::-1]
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= MIN_ASSIGN]
@@ -222,22 +263,28 @@ class Scanner:
         return sorted(found, key=lambda x: (x[0], self.order[x[2]]))
 
     def more(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        begin, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+
+        def inside(start: int, end: int) -> bool:
+            """Whether a base span holds it: of those that start no later, the one that reaches farthest."""
+            i = bisect_right(begin, start) - 1
+            return i >= 0 and reach[i] >= end
+
         out = []
         for m in CANDIDATE.finditer(text):
             s = m.group()
-            inside = lambda start, end: any(a <= start and end <= b for a, b, _ in base)
-            if not s.isalpha() and any(c.isdigit() for c in s) and not inside(m.start(), m.end()):
+            if not s.isalpha() and (any(c.isdigit() for c in s) or self.signs.search(s)) and not inside(m.start(), m.end()):
                 found = [(m.start() + a, m.start() + b, label) for a, b, label in self.parts(s)]
                 out += [x for x in found if not inside(*x[:2])]
         if any(label == "jwt" for _, _, label in out):
-            whole, at = [m.span() for m in JWT.finditer(text)], 0
+            whole, at, wider = [m.span() for m in JWT.finditer(text)], 0, set()
             for a, b, label in sorted(out):
                 while at < len(whole) and whole[at][1] <= a:
                     at += 1
                 if label == "jwt" and at < len(whole) and whole[at][0] < b:
-                    out.append((min(a, whole[at][0]), max(b, whole[at][1]), label))
-                    out.remove((a, b, label))
-            out = sorted(set(out))
+                    a, b = min(a, whole[at][0]), max(b, whole[at][1])
+                wider.add((a, b, label))
+            out = sorted(wider)
         return out
 
     def scan(self, text: str | None) -> list[tuple[int, int, str]]:
