@@ -1,13 +1,19 @@
 """Operator 10: licence scan by the Dice coefficient over word bigrams [native: column expressions only].
 
-Sections of a text are its lines, and the whole text if it has several lines. A section and a template are lower-cased
-and cut into words of ASCII letters and digits; their sets of word bigrams are compared. A template of n bigrams can
-reach the threshold t only against sections of t / (2 - t) * n to (2 - t) / t * n bigrams, so others are not compared.
-Before that, a section must hold one of a few key bigrams: they are chosen so that a section without any of them shares
-too few bigrams with every template to reach t. Both prunings are exact.
+A text is lower-cased and cut into words of ASCII letters and digits. Its windows are runs of whole lines, so a notice is
+found in a line of its own as well as wrapped over several lines, alone or inside a longer text. A window's set of word
+bigrams (of words that follow on each other, also across lines) is compared with those of the templates; the best
+template counts, of those that tie the first by name. Windows begin in a line where a bigram of a template begins, and
+end in a line where one ends, since other lines at their ends could only lower Dice, and have at most (2 - t) / t times
+the words of the longest template. A window that reaches the threshold t is a hit, unless one that overlaps it is better:
+of greater Dice, then of fewer lines, then earlier.
 
-All is one projection: no shuffle, no join, no Python. Rows: a null or empty text has no hit; sections that tie go to
-the first line, templates that tie to the first name; rows that repeat are scanned each; other columns are left aside.
+A template of n bigrams can reach t only against windows of t / (2 - t) * n to (2 - t) / t * n bigrams, so it isn't
+compared with others. Before that, a window must hold one of a few key bigrams: they are chosen so that a window without
+any of them shares too few bigrams with every template to reach t. Both prunings are exact.
+
+All is one projection: no shuffle, no join, no Python; the time is in proportion to the text. Rows: a null or empty text
+has no hit; rows that repeat are scanned each; other columns are left aside.
 
 `passages` compares windows of consecutive words instead, across lines and within them, so it also finds notices that
 are wrapped or stand in longer lines, and whole licences in longer texts. A window starts and ends at a bigram of the
@@ -85,20 +91,30 @@ def _bigrams(normal: Column) -> Column:
     return _once(F.split(F.trim(normal), " "), pairs)
 
 
+HITS = "array<struct<dice:double,line:int,n_lines:int,license:string>>"
+
+
+def _lined(text: Column) -> Column:
+    """The bigrams of a text's words, from the first on: g, the lines it begins and ends in, the places of the first word of
+    the one line and of the last word of the other."""
+    cut = lambda s, i: F.transform(F.filter(F.split(_normal(s), " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), (i + 1).cast("int").alias("line")))
+    placed = lambda ws: F.transform(ws, lambda w, k: F.struct(w["w"].alias("w"), w["line"].alias("line"), k.alias("k"), F.size(ws).alias("n")))
+    rest = lambda w, at: F.slice(w, at, F.greatest(F.size(w) - 1, F.lit(0)))
+    pair = lambda a, b: F.struct(F.concat_ws(" ", a["w"], b["w"]).alias("g"), a["line"].alias("line"), b["line"].alias("end"), a["k"].alias("before"), (b["n"] - b["k"]).alias("after"))
+    return _once(F.flatten(F.transform(F.split(text, "\n", -1), lambda s, i: _once(cut(s, i), placed))), lambda w: F.zip_with(rest(w, 1), rest(w, 2), pair))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
-    """id and hits array<struct<dice, line, license>>, best first; line counts from 1, 0 is the whole text."""
+    """id and hits array<struct<dice, line, n_lines, license>>, best first; line is a window's first, from 1."""
     templates = TEMPLATES if templates is None else templates
     sets = {k: bigrams(v) for k, v in sorted(templates.items())}
     sets = {k: v for k, v in sets.items() if v}
-    empty = F.array().cast("array<struct<dice:double,line:int,license:string>>")
+    empty = F.array().cast(HITS)
     if not sets:
         return df.select(id_col, empty.alias("hits"))
-    keys = [f" {g} " for g in key_grams(sets, threshold)]
-    section = lambda line, s: F.struct(line.cast("int").alias("line"), _normal(s).alias("s"))
-
-    def sections(lines: Column) -> Column:
-        whole = F.when(F.size(lines) > 1, F.array(section(F.lit(0), F.array_join(lines, " ")))).otherwise(F.array().cast("array<struct<line:int,s:string>>"))
-        return F.concat(whole, F.transform(lines, lambda s, i: section(i + 1, s)))
+    keys = key_grams(sets, threshold)
+    every = sorted({g for own in sets.values() for g in own})
+    widest = bounds(max(len(re.findall("[a-z0-9]+", v.lower())) for v in templates.values()), threshold)[1]
 
     def best(grams: Column) -> Column:
         found = []
@@ -109,13 +125,35 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
             found.append(F.struct((-dice).alias("d"), F.lit(name).alias("license")))
         return F.array_min(F.array(*found))
 
-    key_array = F.array(*map(F.lit, keys))
-    some = F.filter(_once(F.split(F.col("text"), "\n", -1), sections), lambda x: F.exists(key_array, lambda k: F.contains(x["s"], k)))
-    cut = F.transform(some, lambda x: F.struct(x["line"].alias("line"), _once(_bigrams(x["s"]), best).alias("b")))
-    near = F.filter(F.transform(cut, lambda x: F.struct(x["b"]["d"].alias("d"), x["line"].alias("line"), x["b"]["license"].alias("license"))), lambda x: x["d"] <= -threshold + 1e-9)
-    hits = F.transform(F.array_sort(near), lambda x: F.struct((-x["d"]).alias("dice"), x["line"].alias("line"), x["license"].alias("license")))
+    def windows(lined: Column) -> Column:
+        mark = lambda x, p: F.when(x["g"].isin(*every), F.struct(p.alias("p"), x["line"].alias("line"), x["end"].alias("end"), (p - x["before"]).alias("a"), (p + x["after"]).alias("b"), x["g"].isin(*keys).alias("key")))
+        marks = F.filter(F.transform(lined, mark), lambda m: m.isNotNull())
+
+        def around(marks: Column) -> Column:
+            near = lambda q: F.slice(marks, F.greatest(q - widest + 2, F.lit(1)), 2 * widest)
+            firsts = lambda m, q: F.array_distinct(F.transform(F.filter(near(q), lambda x: (x["p"] <= m["p"]) & (m["p"] - x["p"] < widest)), lambda x: F.struct(x["line"].alias("line"), x["a"].alias("a"))))
+            lasts = lambda m, q: F.array_distinct(F.transform(F.filter(near(q), lambda x: (x["p"] >= m["p"]) & (x["p"] - m["p"] < widest)), lambda x: F.struct(x["end"].alias("end"), x["b"].alias("b"))))
+            pairs = lambda m, q: _once(lasts(m, q), lambda to: F.flatten(F.transform(firsts(m, q), lambda f: F.transform(F.filter(to, lambda t: t["b"] - f["a"] < widest), lambda t: F.struct(f["line"].alias("line"), t["end"].alias("end"), f["a"].alias("a"), t["b"].alias("b"))))))
+            every_pair = F.transform(marks, lambda m, q: F.when(m["key"], pairs(m, q)))
+            return F.array_distinct(F.flatten(F.filter(every_pair, lambda x: x.isNotNull())))
+
+        def hit(w: Column) -> Column:
+            grams = F.array_distinct(F.transform(F.slice(lined, w["a"] + 1, w["b"] - w["a"]), lambda x: x["g"]))
+            return _once(grams, lambda g: _once(best(g), lambda x: F.struct(w["line"].alias("line"), w["end"].alias("end"), x["d"].alias("d"), x["license"].alias("license"))))
+
+        return F.filter(F.transform(_once(marks, around), hit), lambda x: x["d"] <= -threshold + 1e-9)
+
+    def apart(near: Column) -> Column:
+        """Without the windows that overlap a better one; what overlaps lies near in the order of lines."""
+        rank = lambda x: F.struct(x["d"], (x["end"] - x["line"]).alias("n"), x["line"])
+        others = lambda i: F.slice(near, F.greatest(i + 1 - widest * widest, F.lit(1)), 2 * widest * widest)
+        return F.filter(near, lambda x, i: ~F.exists(others(i), lambda y: (y["line"] <= x["end"]) & (x["line"] <= y["end"]) & (rank(y) < rank(x))))
+
+    kept = _once(F.array_sort(_once(_lined(F.col("text")), windows)), apart)
+    order = F.array_sort(F.transform(kept, lambda x: F.struct(x["d"].alias("d"), x["line"].alias("line"), (x["end"] - x["line"] + 1).alias("n_lines"), x["license"].alias("license"))))
+    hits = F.transform(order, lambda x: F.struct((-x["d"]).alias("dice"), x["line"].alias("line"), x["n_lines"].alias("n_lines"), x["license"].alias("license")))
     normal = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(_normal(F.col(text_col)), F.lit("")).alias("normal"))
-    held = normal.select("id", F.when(_any([F.contains(F.col("normal"), F.lit(k)) for k in keys]), F.col("text")).alias("text"))
+    held = normal.select("id", F.when(_any([F.contains(F.col("normal"), F.lit(f" {k} ")) for k in keys]), F.col("text")).alias("text"))
     # generated from an array of one, the hits are worked out once for all that is read of them
     return held.select(F.col("id").alias(id_col), F.explode(F.array(F.when(F.col("text").isNotNull(), hits).otherwise(empty))).alias("hits"))
 
@@ -123,7 +161,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     first = F.get("hits", F.lit(0))
-    return found.select("doc_id", F.size("hits").cast("long").alias("n_hits"), first["license"].alias("license"), first["line"].alias("line"), F.round(first["dice"], 6).alias("dice"))
+    return found.select("doc_id", F.size("hits").cast("long").alias("n_hits"), first["license"].alias("license"), first["line"].alias("line"), first["n_lines"].alias("n_lines"), F.round(first["dice"], 6).alias("dice"))
 
 
 def full_texts() -> dict[str, str]:
@@ -203,26 +241,45 @@ def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in bigrams(v))) for k, v in sorted(TEMPLATES.items()))
+    widest = bounds(max(len(re.findall("[a-z0-9]+", v.lower())) for v in TEMPLATES.values()), 0.8)[1]
     return f"""
 WITH templates(license, grams) AS (VALUES {rows}),
-sections AS (
-  SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS s FROM documents
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))
-), words AS (
-  SELECT doc_id, line, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM sections
+template_gram AS (SELECT license, len(grams) AS size, unnest(grams) AS g FROM templates),
+line AS (
+  SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS s FROM documents
 ), cut AS (
-  SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM words
-  WHERE len(w) >= 2
+  SELECT doc_id, line, list_filter(string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM line
+), word AS (
+  SELECT doc_id, line, unnest(w) AS w, unnest(range(len(w))) AS k FROM cut
+), placed AS (
+  SELECT doc_id, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS p FROM word
+), bounded AS (
+  SELECT *, min(p) OVER (PARTITION BY doc_id, line) AS a, max(p) OVER (PARTITION BY doc_id, line) AS b FROM placed
+), gram AS (
+  SELECT x.doc_id, x.p, x.w || ' ' || y.w AS g, x.line AS line, y.line AS fin, x.a AS a, y.b AS b FROM bounded x JOIN bounded y ON x.doc_id = y.doc_id AND y.p = x.p + 1
+), own AS (
+  SELECT * FROM gram WHERE g IN (SELECT g FROM template_gram)
+), firsts AS (SELECT DISTINCT doc_id, line, a FROM own), lasts AS (SELECT DISTINCT doc_id, fin, b FROM own),
+spans AS (
+  SELECT f.doc_id, f.line, l.fin, f.a, l.b FROM firsts f JOIN lasts l ON f.doc_id = l.doc_id AND l.fin >= f.line AND l.b > f.a AND l.b - f.a < {widest}
+), held AS (
+  SELECT DISTINCT s.doc_id, s.line, s.fin, g.g FROM spans s JOIN gram g ON g.doc_id = s.doc_id AND g.p >= s.a AND g.p < s.b
+), size AS (
+  SELECT doc_id, line, fin, count(*) AS n FROM held GROUP BY ALL
+), shared AS (
+  SELECT doc_id, line, fin, license, size, count(*) AS m FROM held JOIN template_gram USING (g) GROUP BY ALL
 ), dice AS (
-  SELECT doc_id, line, license, 2.0 * len(list_intersect(cut.grams, t.grams)) / (len(cut.grams) + len(t.grams)) AS dice FROM cut, templates t
-  WHERE len(cut.grams) <= 1.5 * len(t.grams) + 1e-9 AND len(t.grams) <= 1.5 * len(cut.grams) + 1e-9
+  SELECT doc_id, line, fin, license, 2.0 * m / (n + size) AS dice FROM shared JOIN size USING (doc_id, line, fin)
 ), best AS (
-  SELECT * FROM dice WHERE dice >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+  SELECT * FROM dice WHERE dice >= 0.8 - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, line, fin ORDER BY dice DESC, license) = 1
+), apart AS (
+  SELECT * FROM best x WHERE NOT EXISTS (SELECT 1 FROM best y WHERE y.doc_id = x.doc_id AND y.line <= x.fin AND x.line <= y.fin
+    AND (y.dice > x.dice OR (y.dice = x.dice AND (y.fin - y.line < x.fin - x.line OR (y.fin - y.line = x.fin - x.line AND y.line < x.line)))))
 ), hits AS (
-  SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n_hits, license, line, dice FROM best
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, license) = 1
+  SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n_hits, license, line, fin, dice FROM apart
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, fin) = 1
 )
-SELECT d.doc_id, coalesce(n_hits, 0) AS n_hits, license, line, round(CAST(dice AS DOUBLE), 6) AS dice FROM documents d LEFT JOIN hits USING (doc_id)
+SELECT d.doc_id, coalesce(n_hits, 0) AS n_hits, license, CAST(line AS INTEGER) AS line, CAST(fin - line + 1 AS INTEGER) AS n_lines, round(CAST(dice AS DOUBLE), 6) AS dice FROM documents d LEFT JOIN hits USING (doc_id)
 """
 
 

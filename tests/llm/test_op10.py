@@ -1,21 +1,30 @@
 import random
 import re
+import textwrap
 
 import duckdb
 
 from litforge.llm.op10_license_scan import OP10_SQL, TEMPLATES, bigrams, op10_license_scan, scan
 
 
-def plain(text, threshold=0.8):
-    text = text or ""
-    lines = text.split("\n")
-    out = []
-    for n, s in [(0, text)] * (len(lines) > 1) + list(enumerate(lines, 1)):
-        a = set(bigrams(s))
-        best = max(((2 * len(a & set(bigrams(t))) / max(1, len(a) + len(bigrams(t))), k) for k, t in TEMPLATES.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
-        if best[0] >= threshold - 1e-9:
-            out.append((round(best[0], 9), n, best[1]))
-    return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+def plain(text, t=0.8):
+    """Every run of whole lines against every template, one by one."""
+    words = [(w, n) for n, s in enumerate((text or "").split("\n"), 1) for w in re.findall("[a-z0-9]+", s.lower())]
+    sets = {k: set(bigrams(v)) for k, v in sorted(TEMPLATES.items())}
+    every = set().union(*sets.values())
+    widest = int(max(len(re.findall("[a-z0-9]+", v.lower())) for v in TEMPLATES.values()) * (2 - t) / t + 1e-9)
+    grams = [(f"{a[0]} {b[0]}", a[1], b[1]) for a, b in zip(words, words[1:])]
+    firsts, lasts = sorted({a for g, a, _ in grams if g in every}), sorted({b for g, _, b in grams if g in every})
+    found = []
+    for i in firsts:
+        for j in lasts:
+            if j >= i and sum(i <= n <= j for _, n in words) <= widest:
+                own = {g for g, a, b in grams if i <= a and b <= j}
+                dice, name = max(((2 * len(own & s) / (len(own) + len(s)), k) for k, s in sets.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+                if dice >= t - 1e-9:
+                    found.append((-dice, j - i, i, name))
+    kept = [x for x in found if not any(y[:3] < x[:3] and y[2] <= x[2] + x[1] and x[2] <= y[2] + y[1] for y in found)]
+    return [(round(-d, 9), i, n + 1, k) for d, n, i, k in sorted(kept, key=lambda x: (x[0], x[2], x[1]))]
 
 
 def test_matches_all_pairs(spark):
@@ -26,10 +35,12 @@ def test_matches_all_pairs(spark):
             w = text.split(" ")
             for _ in range(rng.randint(0, 1 + len(w) // 8)):
                 w[rng.randrange(len(w))] = rng.choice(["THE", "foo,", "", "Of"])
-            cut = "\n" if rng.random() < 0.3 else " "
-            texts.append(rng.choice(["", "some words\n", "é\n\n"]) + cut.join(w) + rng.choice(["", "\nand more here"]))
+            cut = rng.choice(["\n", " ", None])
+            if cut is None:  # wrapped, as in the header of a file
+                w, cut = [f"# {x}" for x in textwrap.wrap(" ".join(w), 40)], "\n"
+            texts.append(rng.choice(["", "some words\n", "é\n\n"]) + cut.join(w) + rng.choice(["", "\nand more here of the software", "\nimport os\n# " + text]))
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, "word", "x")], "doc_id long, text string, license string")
-    got = {r.doc_id: [(round(h.dice, 9), h.line, h.license) for h in r.hits] for r in scan(df).collect()}
+    got = {r.doc_id: [(round(h.dice, 9), h.line, h.n_lines, h.license) for h in r.hits] for r in scan(df).collect()}
     assert got == {i: plain(t) for i, t in enumerate(texts)}
     assert scan(df.where("false")).count() == 0 and scan(df, templates={}).where("size(hits) > 0").count() == 0
 
@@ -42,3 +53,10 @@ def test_sql_and_plan(spark):
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, con.execute(OP10_SQL).fetchall()))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_wrapped_header_in_a_file(spark):
+    header = "\n".join(f"# {x}" for x in textwrap.wrap(TEMPLATES["Apache-2.0-header"], 72))
+    code = "import os\n\ndef f(x):\n    return x\n"
+    got = scan(spark.createDataFrame([(1, f"#!/bin/sh\n{header}\n{code}"), (2, code)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(h.license, h.dice, h.line, h.n_lines) for h in got[0].hits] == [("Apache-2.0-header", 1.0, 2, header.count("\n") + 1)] and got[1].hits == []

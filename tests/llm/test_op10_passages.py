@@ -54,7 +54,7 @@ def test_wrapped_embedded_and_whole(spark):
     before = {r.doc_id: {h.license for h in r.hits} for r in scan(df).collect()}
     got = {i: {(n, d) for d, _, n, _, _ in h} for i, h in found(spark, texts).items()}
     for i, name in enumerate(["Apache-2.0-header"] * 2 + list(full_texts())):
-        assert (name, 1.0) in got[i] and name not in before[i]
+        assert (name, 1.0) in got[i] and (name in before[i]) == (i == 0)  # whole lines hold the first only
 
 
 def test_plan(spark):
