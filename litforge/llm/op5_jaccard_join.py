@@ -5,7 +5,7 @@ set are one class and need no links among themselves. Bands and rows are the che
 threshold is `recall` or more; classes meet in the buckets of their band hashes, by shuffle, and pairs are verified on
 the full shingle sets, each once:
 
-- Buckets of up to `block` members (and `block_bytes` of shingles) are a task's. A pair belongs to the first band that it
+- Buckets of up to `bucket` members (and `block_bytes` of shingles) are a task's. A pair belongs to the first band that it
   shares; only members with a pair of their own in a bucket fetch their text, so a copy does not travel once a band.
 - Larger buckets that share members make a pool. A pool's members are sent once, to one of its blocks of about `block`
   members, which is packed: a dictionary of its shingles, the shingles that most members have, and what each member
@@ -378,7 +378,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, recall: float, block: int, block_bytes: int) -> DataFrame:
+def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, recall: float, bucket: int, block: int, block_bytes: int) -> DataFrame:
     """id, h (hash of the text), class_id, copy_of, n_links and first (whether the row is the one that stands for its group:
     the smallest id, and of several texts under that id the one of smallest hash) of every row."""
     bands, rows = plan(threshold, recall)
@@ -389,7 +389,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float,
 
     spread = classes.select("name", "n", F.posexplode("signs").alias("band", "bucket"))
     met = written(_with_facts(spread, ["band", "bucket"], "name", {"m": (F.sum, F.lit(1)), "size": (F.sum, F.col("n").cast("long"))}, "m > 1"), "met")
-    large = (F.col("m") > block) | (F.col("size") * 8 > block_bytes)
+    large = (F.col("m") > bucket) | (F.col("size") * 8 > block_bytes)
     pooled = _pools(met.where(large), block, block_bytes)
     small = met.where(~large).select("name", "band", "bucket").join(classes.select("name", "signs"), "name").join(pooled.select("name", "pool"), "name", "left").fillna(0, ["pool"])
     owned = small.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "name").mapInArrow(_owners(bands), "bucket long, band int, name long")
@@ -423,14 +423,14 @@ def _pools(met: DataFrame, block: int, block_bytes: int) -> DataFrame:
     return written(sized.select("name", "pool", F.pmod(F.xxhash64(F.lit(5), "name"), parts).cast("int").alias("part"), parts.alias("parts")), "pools")
 
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 2048, block_bytes: int = 64 << 20) -> DataFrame:
-    found = _joined(df, id_col, text_col, k, threshold, recall, block, block_bytes)
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 256, block: int = 1024, block_bytes: int = 64 << 20) -> DataFrame:
+    found = _joined(df, id_col, text_col, k, threshold, recall, bucket, block, block_bytes)
     return found.select(F.col("id").alias(id_col), "class_id", "copy_of", "n_links")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 2048, block_bytes: int = 64 << 20) -> DataFrame:
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 256, block: int = 1024, block_bytes: int = 64 << 20) -> DataFrame:
     """id, h (xxhash64 of the text) and n (rows) of the text that stands for each group, and of each text without words."""
-    found = _joined(df, id_col, text_col, k, threshold, recall, block, block_bytes)
+    found = _joined(df, id_col, text_col, k, threshold, recall, bucket, block, block_bytes)
     return found.where("first").groupBy(F.col("id").alias(id_col), "h").agg(F.count("*").alias("n"))
 
 

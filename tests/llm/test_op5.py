@@ -49,11 +49,11 @@ def corpus(seed, copies):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 2048), (2, 8)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 8)])
 def test_matches_all_pairs(spark, seed, block):
     rows = corpus(seed, 40)
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, name int").repartition(3)
-    got = jaccard_join(df, recall=0.99999, block=block).collect()
+    got = jaccard_join(df, recall=0.99999, bucket=block, block=block).collect()
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
 
 
@@ -97,7 +97,7 @@ def test_large_group_is_shuffled_in_proportion(spark):
     for n in (600, 1200):  # 5 and 10 blocks
         rows = hot_group(n)
         before = shuffled(spark)
-        got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=128).collect()
+        got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bucket=128, block=128).collect()
         took.append((shuffled(spark) - before) / sum(len(t) for _, t in rows))
         if n == 600:
             assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
