@@ -54,6 +54,8 @@ def tile(item: np.ndarray, text: np.ndarray, minimum: int) -> list[tuple[int, in
                 places.setdefault(h, []).append(p)
             for t, h in zip(at_text[shared].tolist(), of_text[shared].tolist(), strict=True):
                 for p in places[h]:
+                    if (item[p : p + size] != text[t : t + size]).any():
+                        continue
                     n = size
                     while p + n < len(item) and t + n < len(text) and free_item[p + n] and free_text[t + n] and item[p + n] == text[t + n]:
                         n += 1
