@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,27 +16,69 @@ from litforge.functions.text import strip
 FENCE = r"(?s)```(?:json)?\s*\n?(.*?)```"
 
 
-@F.pandas_udf(StringType())
-def first_braces(raw: pd.Series) -> pd.Series:
-    """The first {...} whose braces balance; braces in strings count as well."""
-
-    def one(s):
-        start = s.find("{") if s is not None else -1
-        depth = 0
-        for i in range(start, len(s)) if start >= 0 else ():
-            depth += (s[i] == "{") - (s[i] == "}")
-            if depth == 0:
-                return s[start : i + 1]
+def first_braces(text: str) -> str | None:
+    """The first {...} whose braces balance; braces in strings count as well. The depth runs over the bytes at once."""
+    raw = np.frombuffer(text[max(text.find("{"), 0) :].encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if not len(raw) or raw[0] != ord("{"):
         return None
+    closed = np.flatnonzero(np.cumsum((raw == ord("{")).astype(np.int64) - (raw == ord("}"))) == 0)
+    return raw[: closed[0] + 1].tobytes().decode("utf-8", "surrogatepass") if len(closed) else None
 
-    return raw.map(one)
+
+def _plain(value):
+    """A parsed value without numbers that JSON can't hold: they become null."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return None if isinstance(value, float) and not math.isfinite(value) else value
+
+
+def reread(text: str | None) -> str | None:
+    """JSON text for what a stricter parser refuses: of a key that comes twice the last value stays, NaN and infinities
+    are read; of text that is no JSON, the first balanced braces are tried."""
+    for cut in (lambda: text, lambda: first_braces(text)):
+        part = cut() if text is not None else None
+        if part is None:
+            return None
+        try:
+            return json.dumps(_plain(json.loads(part)))
+        except (ValueError, RecursionError):
+            continue
+    return None
+
+
+@F.pandas_udf(StringType())
+def _reread(raw: pd.Series) -> pd.Series:
+    return raw.map(reread)
 
 
 def tolerant(raw: Column) -> Column:
-    """The JSON in an answer: its first fenced block or the whole of it, else its first balanced braces; null if none parses."""
+    """The JSON in an answer, as a variant: of the content of its first fenced block (of the whole answer, if there is
+    none) all of it, else its first balanced braces; null if neither parses. Only what the first try refuses is read again
+    outside the JVM."""
     text = strip(raw)
     block = F.when(text.rlike(FENCE), strip(F.regexp_extract(text, FENCE, 1))).otherwise(text)
-    return F.coalesce(F.try_parse_json(block), F.try_parse_json(first_braces(F.when(F.try_parse_json(block).isNull(), text))))
+    return F.coalesce(F.try_parse_json(block), F.try_parse_json(_reread(F.when(F.try_parse_json(block).isNull(), block))))
+
+
+def parsed(raw: Column) -> Column:
+    """A JSON document as a variant; of a key that comes twice the last value stays, NaN and infinities become null. Null
+    if it is no JSON."""
+    whole = F.try_parse_json(raw)
+    again = F.try_parse_json(_strictly(F.when(whole.isNull(), raw)))
+    return F.coalesce(whole, again)
+
+
+@F.pandas_udf(StringType())
+def _strictly(raw: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            return None if text is None else json.dumps(_plain(json.loads(text)))
+        except (ValueError, RecursionError):
+            return None
+
+    return raw.map(one)
 
 
 def is_object(v: Column) -> Column:
@@ -78,3 +124,21 @@ def repaired(line: Column) -> Column:
     tidy = F.regexp_replace(line, r",[ \t\r\n]*([}\]])", "$1")
     quoted = F.replace(tidy, F.lit("'"), F.lit('"'))
     return F.coalesce(*map(F.try_parse_json, (line, tidy, quoted, F.concat(tidy, F.lit("}")))))
+
+
+def ascii_only(text: Column) -> Column:
+    """JSON text with each sign beyond ASCII as \\uXXXX (two of them beyond the first plane)."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) > 1, units(c)).otherwise(c)), "")
+
+
+@F.pandas_udf(StringType())
+def with_cell(notebook: pd.Series, index: pd.Series, source: pd.Series) -> pd.Series:
+    """A notebook's JSON with the source of a code cell replaced, its outputs and its execution count cleared."""
+
+    def one(raw, i, code):
+        book = json.loads(raw)
+        book["cells"][i] |= {"source": code.splitlines(keepends=True), "outputs": [], "execution_count": None}
+        return json.dumps(book, indent=1, ensure_ascii=False)
+
+    return pd.Series([one(*x) for x in zip(notebook, index, source, strict=True)])

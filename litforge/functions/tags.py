@@ -25,25 +25,28 @@ def aligned(tokens: Column, tags: Column) -> Column:
 
 
 def wide_bio(rows: DataFrame) -> DataFrame:
-    """sent_id and pairs from (pos, cells): token row, tag row, blank rows, repeating. A blank row in a pair drops the
-    pair, as a reader does that takes two rows at a time; that needs the rows of a file in order, in one task a file."""
-
-    def run(batches):
-        import pandas as pd
-
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("pos")
-        cells, out, i = [list(c) for c in rows["cells"]], [], 0
-        blank = lambda c: all(not (x or "").strip() for x in c)
-        while i + 1 < len(cells):
-            if not blank(cells[i]) and not blank(cells[i + 1]):
-                out.append((len(out), cells[i], "".join(x or "" for x in cells[i + 1])))
-            i += 2
-            while i < len(cells) and blank(cells[i]):
-                i += 1
-        yield pd.DataFrame(out, columns=["sent_id", "tokens", "tags"])
-
-    read = rows.coalesce(1).mapInPandas(run, "sent_id long, tokens array<string>, tags string")
-    return read.select("sent_id", aligned(clean_tokens("tokens"), clean_tags(F.col("tags"))).alias("pairs")).where("size(pairs) > 0")
+    """file, sent_id and pairs from (file, pos, cells): a token row, its tag row, blank rows, and so on, in each file.
+
+    Rows are paired two by two from the first of each run of rows that aren't blank; an odd row at a run's end has no tags
+    and is dropped, as if it took the blank row for its pair. Only where a file begins with one blank row does the next row
+    count as that row's tags. Windows over a file, and over its runs."""
+    by_file = Window.partitionBy("file").orderBy("pos")
+    blank = F.forall("cells", lambda c: strip(F.coalesce(c, F.lit(""))) == "")
+    runs = rows.withColumn("_blank", blank).withColumn("_run", F.sum(F.col("_blank").cast("int")).over(by_file))
+    some = runs.where(~F.col("_blank") & ~((F.col("pos") == 1) & (F.col("_run") == 1)))
+    by_run = Window.partitionBy("file", "_run").orderBy("pos")
+    paired = some.withColumn("_place", F.row_number().over(by_run) - 1).withColumn("_tags", F.lead("cells").over(by_run)).where((F.col("_place") % 2 == 0) & F.col("_tags").isNotNull())
+    joined = F.array_join(F.transform("_tags", lambda c: F.coalesce(c, F.lit(""))), "")
+    pairs = paired.select("file", "pos", aligned(clean_tokens("cells"), clean_tags(joined)).alias("pairs")).where("size(pairs) > 0")
+    return pairs.select("file", (F.row_number().over(by_file) - 1).cast("long").alias("sent_id"), "pairs")
+
+
+def numbered(sentences: DataFrame, name: str = "place") -> DataFrame:
+    """Sentences of all files with their place among all, by file, then sent_id. The sizes of the files, which are listed
+    on the driver anyway, are summed up in one task."""
+    sizes = sentences.groupBy("file").agg(F.count("*").alias("_n"))
+    before = sizes.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))
+    return sentences.join(before, "file").withColumn(name, F.col("_before") + F.col("sent_id")).drop("_before")
 
 
 def conll(files: DataFrame) -> DataFrame:
@@ -65,8 +68,10 @@ def label_ids(tags: DataFrame, column: str = "tag") -> DataFrame:
     return tags.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("id", F.row_number().over(Window.orderBy("label")) - 1)
 
 
-def align_labels(word_ids: Column, labels: Column) -> Column:
-    """A label id for each word piece: the first piece of a word has its word's, all others are ignored."""
+def align_labels(word_ids: Column, labels: Column, most: int = 512) -> Column:
+    """A label id for each word piece: the first piece of a word has its word's, all others are ignored. Pieces beyond the
+    first `most` are cut off."""
+    word_ids = F.slice(word_ids, 1, most)
     first = lambda w, i: (i == 0) | ~w.eqNullSafe(F.get(word_ids, i - 1))
     return F.transform(word_ids, lambda w, i: F.when(w.isNull(), IGNORED).when(first(w, i), F.get(labels, w)).otherwise(IGNORED))
 

@@ -14,7 +14,9 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680" + "".join(map(chr, r
 MIN_CHUNK, MAX_TEXT, MAX_PROMPT, MAX_RAW = 30, 48_000, 6_000, 500
 REFERENCE = r"\[DOI\]|\[PubMed\]|\[PMC"
 DOI_START = rf"^10\.{DIGIT}{{4,}}/"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: Fixed value: the characters of Python's Unicode `\\w`.
+WORD = r"\p{L}\p{N}_"
+EMAIL = rf"[{WORD}.+-]+@[{WORD}.-]+\.[{WORD}]+"
 
 #: Ours: identifiers of articles, and signs that text from scans holds but that mean nothing.
 IDS = r"(?i)pmc[0-9]{4,}|pmid:? ?[0-9]+|(?:doi:? ?)?10\.[0-9]{4,}/[^ \t\n\])},;]+"
@@ -100,6 +102,17 @@ def sentences(c: Column) -> Column:
     return F.split(c, rf"(?<=[.!?]){WS}+")
 
 
+def credentials(key: Column) -> Column:
+    """The value of an authorisation header: the key as JSON, in base64."""
+    body = F.concat(F.lit('{"secret_key": '), F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit("}"))
+    return F.concat(F.lit("Bearer "), F.base64(F.encode(body, "UTF-8")))
+
+
+def shown(value: Column, places: int = 1, unit: str = "", missing: str = "—") -> Column:
+    """A number with a fixed number of decimals and its unit; a dash where there is none."""
+    return F.when(value.isNull(), missing).otherwise(F.concat(F.format_string(f"%.{places}f", value.cast("double")), F.lit(unit)))
+
+
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd_HHmmss")
 

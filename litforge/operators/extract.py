@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Mapping
@@ -51,10 +52,17 @@ def confidence(p_value: Column, stated: Column) -> Column:
 
 
 def migrated(extraction: Column, domain: str = "bacteria") -> Column:
-    """The older list with the newer name and a domain on each entry."""
+    """The older list with a domain on each entry that has none."""
     return F.transform(extraction, lambda r: r.withField("domain", F.coalesce(r["domain"], F.lit(domain))))
 
 
+def promoted(extraction: Column, words: tuple[str, ...] = ("diversity", "shannon", "simpson", "chao1")) -> Column:
+    """The older list in two, as (relationships, diversity): entries whose taxon names a measure of diversity go to a list
+    of their own. The words are ours."""
+    measure = lambda r: F.coalesce(F.lower(r["taxon_name"]).rlike("|".join(words)), F.lit(False))
+    return F.struct(F.filter(extraction, lambda r: ~measure(r)).alias("relationships"), F.filter(extraction, measure).alias("diversity"))
+
+
 def edges(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("taxon_name").alias("src"), F.col("primary_disease").alias("dst"), F.col("direction").alias("rel"))
 
@@ -64,9 +72,9 @@ def negated(c: Column) -> Column:
     return c.rlike(r"(?i)\b(not|no|without)\b[^.]{0,40}\b(associated|association|difference|change)")
 
 
-def seeded_sample(keys: list[str], n: int = 4, seed: int = 42) -> list[str]:
-    """The keys that Python's generator draws; keys only, on the driver."""
-    return random.Random(seed).sample(keys, min(n, len(keys)))
+def seeded_places(rows: int, n: int = 4, seed: int = 42) -> list[int]:
+    """The places of the rows that Python's generator draws out of so many, which depend on their number only."""
+    return random.Random(seed).sample(range(rows), min(n, rows))
 
 
 def with_keys(models: dict[str, str], found: Mapping[str, str]) -> tuple[list[str], list[str]]:
@@ -75,6 +83,51 @@ def with_keys(models: dict[str, str], found: Mapping[str, str]) -> tuple[list[st
     return there, sorted({key for m, key in models.items() if m not in there})
 
 
+#: The forms of requests, and where each puts the answer's text.
+FORMS = {
+    "messages": ("content", 0, "text"),
+    "chat": ("choices", 0, "message", "content"),
+    "contents": ("candidates", 0, "content", "parts", 0, "text"),
+}
+
+
+def request(form: str, model: str, system: str, user: str, temperature: float = 0.2, most: int = 8192) -> dict:
+    """The body of a request to a model, in one of the forms."""
+    turn = {"role": "user", "content": user}
+    if form == "messages":
+        return {"model": model, "max_tokens": most, "temperature": temperature, "system": system, "messages": [turn]}
+    if form == "chat":
+        return {"model": model, "max_tokens": most, "temperature": temperature, "messages": [{"role": "system", "content": system}, turn]}
+    if form == "contents":
+        return {"system_instruction": {"parts": [{"text": system}]}, "contents": [{"role": "user", "parts": [{"text": user}]}], "generationConfig": {"maxOutputTokens": most, "temperature": temperature}}
+    raise ValueError(f"form must be one of {tuple(FORMS)}")
+
+
+def client(models: Mapping[str, tuple[str, str]], send: Callable[[str, dict], str], system: str) -> Callable[[str, str], str]:
+    """call(name, prompt) for asked(), over models name -> (form, model) and a transport send(name, body) -> response text."""
+
+    def call(name: str, prompt: str) -> str:
+        form, model = models[name]
+        found = json.loads(send(name, request(form, model, system, prompt)))
+        for step in FORMS[form]:
+            found = found[step]
+        return found
+
+    return call
+
+
+def loaded(load: Callable[[], Callable[[str], str]]) -> Callable[[str, str], str]:
+    """call(name, prompt) over a model of one's own, which each Python process loads once, when it is first asked."""
+    made: list = []
+
+    def call(name: str, prompt: str) -> str:
+        if not made:
+            made.append(load())
+        return made[0](prompt)
+
+    return call
+
+
 def with_retry(call: Callable[[str], str], prompt: str, tries: int = 3, wait: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> str:
     for i in range(tries):
         try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import time
 from collections.abc import Callable
 
@@ -17,10 +19,21 @@ MARKER, HEADER = "Here is the cleaned and merged text:", "<|start_header_id|>ass
 CLEAN_PROMPT = "Merge the chunks of this article into one clean text.\n\nTEXT TO CLEAN:\n"
 
 
-def clean_articles(spark: SparkSession, source: str, target: str, model: Callable[[str, str], str] | None = None, batches: int = 1) -> dict:
+def log_to(path: str, name: str = "litforge", level: int = logging.INFO) -> logging.Logger:
+    """The driver's log, to a file and to the console."""
+    log = logging.getLogger(name)
+    log.setLevel(level)
+    for handler in (logging.FileHandler(path, encoding="utf-8"), logging.StreamHandler()):
+        handler.setFormatter(logging.Formatter("%(asctime)s - %(levelname)s - %(message)s"))
+        log.addHandler(handler)
+    return log
+
+
+def clean_articles(spark: SparkSession, source: str, target: str, model: Callable[[str, str], str] | None = None, batches: int = 1, drop_store: bool = False) -> dict:
     """Cleans each article of a corpus file once: target/cleaned (article_id, pos, cleaned_text, n_chunks), target/output
-    (one JSON object) and target/stats. The chain stands in where there is no model or the model has failed. Each batch
-    is one commit; a later run takes up the articles that target/cleaned lacks."""
+    (one JSON object, one file) and target/output.stats.json. The chain stands in where there is no model or the model
+    has failed. Each batch is one commit; a later run takes up the articles that target/cleaned lacks. With drop_store,
+    target/cleaned is deleted at the end."""
     began, store = time.time(), f"{target}/cleaned"
     articles = files.article_corpus(spark, source).select("article_id", "pos", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
     before = files.if_there(spark, store)
@@ -44,18 +57,21 @@ def clean_articles(spark: SparkSession, source: str, target: str, model: Callabl
     chunks = fresh.agg(F.sum("n_chunks")).first()[0] or 0
     files.write_object(out, "article_id", "cleaned_text", "pos", f"{target}/output")
     stats = {"total_articles": total, "processed_articles": n, "resumed_articles": old, "failed_articles": total - n, "total_time": round(time.time() - began, 1), "total_chunks_processed": chunks, "average_chunks_per_article": chunks / n if n else 0.0}
-    spark.createDataFrame([stats]).write.mode("overwrite").json(f"{target}/stats")
+    files.write_file(spark, f"{target}/output.stats.json", spark.createDataFrame([(json.dumps(stats, indent=2),)], "text string"))
+    if drop_store:
+        files.drop(spark, store)
     return stats
 
 
 def extraction_matrix(papers: DataFrame, models: list[str], call: Callable[[str, str], str], prefix: str, suffix: str, excluded: tuple[int, ...] = (), sample: int | None = 4, seed: int = 42, parallel: int = 4, pause: float = 0.0, wait: float = 10.0) -> DataFrame:
     """model, paper_id, status, n, error, raw, elapsed_s for each model and drawn paper, from (id, pos, chunks). Papers
-    without a text after cleaning take no part. `sample` None takes all papers; else their keys are drawn on the driver."""
+    without a text after cleaning take no part. `sample` None takes all papers; else so many are drawn by their place."""
     left = corpus.without_places(papers, excluded, "pos") if excluded else papers
     ready = left.select("id", "pos", text.merge_chunks(F.col("chunks")).alias("t")).where("t <> ''")
     if sample is not None:
-        keys = [r.id for r in ready.select("id", "pos").orderBy("pos").collect()]  # keys of a corpus that models read one by one
-        ready = ready.where(F.col("id").isin(extract.seeded_sample(keys, sample, seed)))
+        ready = ready.cache()
+        drawn = extract.seeded_places(ready.count(), sample, seed)
+        ready = corpus.ordinal(ready, "pos").where(F.col("ord").isin(drawn)).drop("ord")
     each = ready.withColumn("model", F.explode(F.array(*map(F.lit, models))))
     said = extract.asked(each.select("model", F.col("id").alias("paper_id"), text.prompt(prefix, F.col("t"), suffix).alias("prompt")), call, parallel, pause, wait=wait)
     read = said.withColumn("e", jsonx.extraction(F.col("raw")))
@@ -63,6 +79,19 @@ def extraction_matrix(papers: DataFrame, models: list[str], call: Callable[[str,
     return read.select("model", "paper_id", F.when(failed, "error").otherwise(F.col("e.status")).alias("status"), F.when(~failed, F.col("e.n")).alias("n"), F.coalesce("error", "e.error").alias("error"), F.col("e.raw").alias("raw"), "elapsed_s")
 
 
+def results_object(results: DataFrame, papers: list[str]) -> DataFrame:
+    """One row of JSON: the papers drawn, each model's times, and each model's results by paper (an extraction, or an error
+    with the raw answer). Papers drawn times models, so the row is small."""
+    entry = F.when(F.col("status") == "ok", F.col("extraction")).otherwise(F.to_json(F.struct("error", "raw")))
+    by_model = results.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("paper_id", "elapsed_s", entry.alias("entry")))).alias("p"))
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    part = lambda value: F.concat(quoted(F.col("model")), F.lit(":{"), F.array_join(F.transform("p", lambda x: F.concat(quoted(x["paper_id"]), F.lit(":"), value(x))), ","), F.lit("}"))
+    cells = by_model.select("model", part(lambda x: F.coalesce(x["elapsed_s"].cast("string"), F.lit("null"))).alias("times"), part(lambda x: x["entry"]).alias("found"))
+    lists = cells.agg(F.sort_array(F.collect_list(F.struct("model", "times", "found"))).alias("m"))
+    joined = lambda f: F.array_join(F.transform("m", lambda x: x[f]), ",")
+    return lists.select(F.concat(F.lit('{"papers_sampled":' + json.dumps(papers) + ',"timings":{'), joined("times"), F.lit('},"results":{'), joined("found"), F.lit("}}")).alias("value"))
+
+
 def paper_summary(results: DataFrame, models: list[str]) -> DataFrame:
     """A row a paper with each model's number of relations; no result counts as 0, an error as null."""
     found = results.groupBy("paper_id").pivot("model", models).agg(F.first(F.struct("status", "n")))
@@ -70,7 +99,7 @@ def paper_summary(results: DataFrame, models: list[str]) -> DataFrame:
 
 
 def study_rollups(spark: SparkSession, catalogue: str, column: str, fetch: Callable[[dict[str, str]], str], target: str) -> tuple[DataFrame, DataFrame]:
-    """Asks for each study of a catalogue (repeated codes again), writes a folder of JSON a study, and returns the
+    """Asks for each study of a catalogue (repeated codes again), writes a file of JSON a study, and returns the
     rollups (study_accession, total_samples_found, alias, title) and the failed studies. The catalogue's codes are read
     on the driver, which makes a request of each."""
     codes = [r[0] for r in files.table(spark, catalogue).select(column).where(F.col(column).isNotNull()).collect()]
@@ -80,7 +109,7 @@ def study_rollups(spark: SparkSession, catalogue: str, column: str, fetch: Calla
     found, failed = files.samples(spark.read.parquet(stored))
     rows = found.select(F.coalesce("study_accession", F.lit("Unknown")).alias("study_accession"), "sample_accession", F.coalesce("sample_alias", F.lit("N/A")).alias("alias"), F.coalesce("sample_title", F.lit("N/A")).alias("title"))
     grouped = rollup.rollup(rows, "study_accession", "sample_accession", ["alias", "title"], "total_samples_found")
-    files.write_groups(grouped, "study_accession", f"{target}/studies")
+    files.write_group_files(grouped, "study_accession", f"{target}/studies")
     return grouped, failed
 
 
@@ -88,9 +117,9 @@ def tagged_to_conll(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Turns a wide table of tokens and tags into target/train, val and test as CoNLL text, 70, 15 and 15 per cent by
     place, with target/labels; returns the tag set."""
     sentences = tags.wide_bio(files.wide_rows(spark, source))
-    placed = corpus.split_by_place(sentences, "sent_id")
+    placed = corpus.split_by_place(tags.numbered(sentences), "place")
     for split in ("train", "val", "test"):
-        files.write_conll(placed.where(F.col("split") == split).select("sent_id", tags.conll_text(F.col("pairs")).alias("text")), f"{target}/{split}")
+        files.write_conll(placed.where(F.col("split") == split).select(F.col("place").alias("sent_id"), tags.conll_text(F.col("pairs")).alias("text")), f"{target}/{split}")
     train = placed.where("split = 'train'").select(F.explode("pairs").alias("p")).select("p.tag")
     files.label_map(tags.label_ids(train)).write.mode("overwrite").text(f"{target}/labels")
     return tags.tag_set(sentences.select(F.explode("pairs").alias("p")).select("p.tag"))

@@ -13,10 +13,12 @@ from litforge.operators import corpus, extract, rollup, sections
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-NOISE = (" [3].", " [2–5] b", " [1, 4] x", " ..", " aBc endStart e.g. this", "  two  sp , x", " [DOI] [PubMed] [PMC1]", " a@b.co c@d.org e@f.net")
+NOISE = (" [3].", " [2–5] b", " [1, 4] x", " ..", " aBc endStart e.g. this", "  two  sp , x", " [DOI] [PubMed] [PMC1]", " é@b.c c@d_x.org k.l@f-g.ne7")
+LEAD = ("", "", "", "10.1234/x. ", "", "10.123/x. ", "a 10.1234/x. ", "")
 MODELS = (("alpha", 0), ("beta", 1), ("gamma", 2))
 STATS = r"p ?[<=] ?0\.[0-9]+|[0-9]+%"
-_NOISY = "text || CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NOISE)) + " END"
+_CASE = lambda values: "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(values)) + " END"
+_NOISY = f"({_CASE(LEAD)} || text || {_CASE(NOISE)})"
 _WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
@@ -30,7 +32,19 @@ _strip, _camel, _dots = _sub(f"^{_WS}+|{_WS}+$", ""), _sub("([a-z])([A-Z][a-z])"
 _fallback = lambda x: _strip(_stop(_tight(_cite(_collapse(x)))))
 _post = lambda x: _strip(_collapse(_dots(_camel(_cite(_stop(_tight(_collapse(x))))))))
 _hits = lambda x, p: f"len(regexp_extract_all({x}, '{p}'))"
-_junk = lambda x: f"(length({_strip(x)}) < 30 OR {_hits(_strip(x), text.REFERENCE)} >= 3 OR regexp_matches({_strip(x)}, '^10\\.\\p{{Nd}}{{4,}}/') OR {_hits(_strip(x), text.EMAIL)} >= 3)"
+# the SQL has patterns of its own, so that an error in the library's shows
+JUNK = {
+    "short": lambda x: f"length({x}) < 30",
+    "marks": lambda x: f"{_hits(x, r'\[DOI\]|\[PubMed\]|\[PMC')} >= 3",
+    "doi": lambda x: f"regexp_matches({x}, '^10\\.\\p{{Nd}}{{4,}}/')",
+    "mail": lambda x: f"{_hits(x, r'[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+')} >= 3",
+}
+_junk = lambda x: "(" + " OR ".join(f(_strip(x)) for f in JUNK.values()) + ")"
+_KINDS = r"""CASE WHEN regexp_matches(chunk, '(?i)copyright|licen[cs]e|all rights reserved') THEN 'copyright_license'
+WHEN regexp_matches(chunk, '(?i)\bdoi\b|10\.[0-9]{4,}/|published online|volume [0-9]+') THEN 'publication_metadata'
+WHEN regexp_matches(chunk, '(?i)department of|university|[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') THEN 'author_affiliation'
+WHEN regexp_matches(chunk, '(?i)\bclick here\b|\bsign in\b|\bnext page\b|\| .* \|') THEN 'ui_navigation'
+WHEN regexp_matches(chunk, '(?i)conflicts? of interest|acknowledge?ments?|supplementary') THEN 'academic_boilerplate' ELSE 'content' END"""
 _LINES = "SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS chunk FROM (SELECT doc_id, string_split({}, chr(10)) AS l FROM documents)"
 
 
@@ -49,8 +63,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = F.get(F.array(*map(F.lit, NOISE)), (F.col("doc_id") % 8).cast("int"))
-    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", more))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % 8).cast("int"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat(of(LEAD), "text", of(NOISE)))
 
 
 def lines(spark, sf_dir, noise=False):
@@ -106,8 +120,8 @@ def citation_strip(spark, sf_dir):
 @query(f"""SELECT count(DISTINCT doc_id) AS docs, count(*) AS chunks, count(DISTINCT chunk) AS unique_chunks,
 round(count(*) / count(DISTINCT doc_id), 6) AS average_chunks, round(1 - count(DISTINCT chunk) / count(*), 6) AS reduction FROM ({_LINES.format('text')})""")
 def corpus_stats(spark, sf_dir):
-    n, docs, unique = F.count("*"), F.countDistinct("doc_id"), F.countDistinct("chunk")
-    return lines(spark, sf_dir).agg(docs.alias("docs"), n.alias("chunks"), unique.alias("unique_chunks"), F.round(n / docs, 6).alias("average_chunks"), F.round(1 - unique / n, 6).alias("reduction"))
+    found = corpus.statistics(table(spark, sf_dir, "documents"))
+    return found.select("docs", "chunks", "unique_chunks", F.round("average_chunks", 6).alias("average_chunks"), F.round("reduction", 6).alias("reduction"))
 
 
 @query(f"SELECT doc_id, pos, md5(chunk) AS chunk FROM ({_LINES.format('text')}) QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) = 1")
@@ -115,7 +129,7 @@ def dedup_chunks(spark, sf_dir):
     return corpus.first_of_each(lines(spark, sf_dir), "chunk", ["doc_id", "pos"], "doc_id").select("doc_id", "pos", F.md5("chunk").alias("chunk"))
 
 
-@query(f"SELECT CASE {' '.join(f'''WHEN regexp_matches(chunk, '{p}') THEN '{k}' ''' for k, p in corpus.CATEGORIES.items())} ELSE 'content' END AS category, count(*) AS n FROM ({_LINES.format(_NOISY)}) GROUP BY 1")
+@query(f"SELECT {_KINDS} AS category, count(*) AS n FROM ({_LINES.format(_NOISY)}) GROUP BY 1")
 def chunk_categories(spark, sf_dir):
     return lines(spark, sf_dir, True).groupBy(corpus.category(F.col("chunk")).alias("category")).agg(F.count("*").alias("n"))
 
@@ -126,9 +140,9 @@ def retention(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(corpus.retention(F.col("text"), text.post_process(F.col("text")), "the|and|der|les"), 9).alias("kept"))
 
 
-@query(f"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1))) AS n FROM documents")
+@query(f"SELECT doc_id, md5(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g')) AS sentences FROM documents")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.sentences(F.col("text")), "\x01")).alias("sentences"))
 
 
 @query("SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY term ORDER BY n DESC, term LIMIT 50")
@@ -140,9 +154,8 @@ def term_freq_topk(spark, sf_dir):
 @query("SELECT conv_id, count(*) AS total, string_agg(coalesce(role, 'N/A'), '|' ORDER BY turn) AS roles, md5(string_agg(coalesce(text, 'N/A'), '|' ORDER BY turn)) AS texts FROM conversations GROUP BY conv_id")
 def group_rollup(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("N/A")).alias("role"), F.coalesce("text", F.lit("N/A")).alias("text"))
-    items = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    found = rows.groupBy("conv_id").agg(items.alias("i"))
-    return found.select("conv_id", F.size("i").cast("long").alias("total"), F.array_join(F.transform("i", lambda s: s["role"]), "|").alias("roles"), F.md5(F.array_join(F.transform("i", lambda s: s["text"]), "|")).alias("texts"))
+    found = rollup.rollup(rows.withColumn("conv_id", F.col("conv_id").cast("string")), "conv_id", "turn", ["role", "text"])
+    return found.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("total").cast("long").alias("total"), F.array_join("role", "|").alias("roles"), F.md5(F.array_join("text", "|")).alias("texts"))
 
 
 @query("SELECT coalesce(source, 'Unknown') AS source, count(*) AS n, bool_and(length(text) > 0) AS all_text, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS n_en FROM documents GROUP BY 1")
@@ -209,11 +222,38 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+#: Answers around the JSON of an event, and the number that is read from each (null: none).
+ANSWERS = (
+    ("Here:\n```json\n{p}\n``` done", "k"),
+    ("so {p} and {{x", "k"),
+    ("{p}", "k"),
+    ("{{broken", None),
+    ("see {{x}} ```json prefix {p} ```", "k"),  # braces are looked for in the fence only
+    ('{p} ```json {{bad ```', None),
+    ("```\nno JSON\n``` {p}", None),
+    ('{{"k": -1, "k": 7}}', "7"),  # the last of equal keys
+    ('{{"n": NaN, "k": 8, "i": [-Infinity]}}', "8"),
+    ("```{p}``` ```json\n{{\"k\": -5}}```", "k"),  # the first fence
+    ('text {{"s": "}}", "k": 3}} {p}', None),  # braces in strings count, and only the first block is tried
+    ('{p} {{"k": -5}}', "k"),
+)
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
+@query(f"SELECT event_id, CASE event_id % {len(ANSWERS)} {' '.join(f'WHEN {i} THEN {_K if k == "k" else k or "NULL"}' for i, (_, k) in enumerate(ANSWERS))} END AS k FROM events")
 def tolerant_json(spark, sf_dir):
-    p = F.col("props")
-    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n``` done"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("so "), p, F.lit(" and {x"))).when(F.col("event_id") % 4 == 2, p).otherwise("{broken")
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(jsonx.tolerant(raw), "$.k", "long").alias("k"))
+    found = table(spark, sf_dir, "events").withColumn("raw", answers("props"))
+    return found.select("event_id", F.try_variant_get(jsonx.tolerant(F.col("raw")), "$.k", "long").alias("k"))
+
+
+def answers(json_col: str):
+    """An answer around each row's JSON, by event_id."""
+    raw = F.lit(None).cast("string")
+    for i, (form, _) in enumerate(ANSWERS):
+        parts = [F.lit(p.replace("{{", "{").replace("}}", "}")) for p in form.split("{p}")]
+        whole = parts[0] if len(parts) == 1 else F.concat(parts[0], F.col(json_col), parts[1])
+        raw = F.when(F.col("event_id") % len(ANSWERS) == i, whole).otherwise(raw)
+    return raw
 
 
 @query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS body FROM pages""")
@@ -221,21 +261,10 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(corpus.plain_html(F.col("html"))).alias("body"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 3),
-s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings v WHERE vec_id <> query_id)
-SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
-def nearest_k(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    stated = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))  # three stated queries
-    near = v.join(F.broadcast(stated), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(extract.cosine(F.col("e"), F.col("embedding")), 6).alias("similarity"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return near.withColumn("r", F.row_number().over(by)).where("r <= 10").drop("r")
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.embedding::DOUBLE[]), 6) AS similarity FROM q, embeddings v WHERE vec_id <> query_id)
 SELECT query_id, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
-def nearest_k_all(spark, sf_dir):
+def nearest_k(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return extract.nearest(v.where("vec_id % 20 = 0"), v, 10).drop("r")
 
@@ -245,15 +274,23 @@ def prompt_build(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.prompt("Extract relations as JSON.\n", text.truncated(F.col("text"), text.MAX_PROMPT), "\nAnswer:")).alias("prompt"))
 
 
-@query("""SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, props FROM events) GROUP BY user_id HAVING count(*) > 1""")
+_DIRECTION = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'decreased' ELSE 'increased' END"
+_LEVEL = "CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'genus' ELSE 'species' END"
+
+
+@query(f"""WITH r AS (SELECT user_id, event_type, props, {_DIRECTION} AS direction, {_LEVEL} AS level FROM events)
+SELECT user_id, (SELECT count(*) FROM (SELECT DISTINCT event_type, props, direction, level FROM r b WHERE b.user_id = a.user_id AND direction IS NOT NULL)) AS by_level,
+(SELECT count(*) FROM (SELECT DISTINCT event_type, props, direction FROM r b WHERE b.user_id = a.user_id AND direction IS NOT NULL)) AS plain
+FROM (SELECT DISTINCT user_id FROM r WHERE direction IS NOT NULL) a""")
 def relation_uniqueness(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper"), F.col("event_type").alias("taxon_name"), F.col("props").alias("primary_disease"), F.lit("increased").alias("direction"), F.lit("genus").alias("taxonomic_level"))
-    return extract.unique_relations(rows, "paper").groupBy(F.col("paper").alias("user_id")).agg(F.count("*").alias("n")).where("n > 1")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper"), F.col("event_type").alias("taxon_name"), F.col("props").alias("primary_disease"), F.expr(_DIRECTION).alias("direction"), F.expr(_LEVEL).alias("taxonomic_level"))
+    count = lambda rows, name: rows.groupBy(F.col("paper").alias("user_id")).agg(F.count("*").alias(name))
+    return count(extract.unique_relations(rows, "paper"), "by_level").join(count(extract.unique_relations(rows, "paper", with_level=False), "plain"), "user_id")
 
 
-@query("SELECT event_type AS src, 'k' || (CAST(json_extract(props, '$.k') AS BIGINT) % 5) AS dst, count(*) AS weight FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS src, 'k' || CAST(json_extract(props, '$.k') AS BIGINT) AS dst, count(*) AS weight FROM events GROUP BY 1, 2")
 def graph_edges(spark, sf_dir):
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long") % 5
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("taxon_name"), F.concat(F.lit("k"), k).alias("primary_disease"), F.lit("seen").alias("direction"))
     return extract.edges(rows).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
@@ -280,9 +317,9 @@ def expand_and_stop(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(corpus.without_words(corpus.expand(F.col("text"), LONG), STOP)).alias("t"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]{3,}')) AS n FROM documents")
+@query("SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]{3,}'), '|')) AS named FROM documents")
 def entity_hits(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(corpus.named(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(corpus.named(F.col("text")), "|")).alias("named"))
 
 
 @query(f"SELECT doc_id, {_hits('text', STATS)} = {_hits(_post('text'), STATS)} AS stats_kept FROM documents")
@@ -291,11 +328,11 @@ def statistics_kept(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (n(F.col("text")) == n(text.post_process(F.col("text")))).alias("stats_kept"))
 
 
-@query(f"""SELECT CASE {' '.join(f'''WHEN regexp_matches(chunk, '{p}') THEN '{k}' ''' for k, p in corpus.CATEGORIES.items())} ELSE 'content' END AS category, count(*) AS n
+@query(f"""SELECT {_KINDS} AS category, count(*) AS n
 FROM ({_LINES.format(_NOISY)}) WHERE {_junk('chunk')} GROUP BY 1""")
 def lost_chunks(spark, sf_dir):
     before = lines(spark, sf_dir, True)
-    gone = before.where(text.is_junk(F.col("chunk")))
+    gone = corpus.lost(before, before.where(~text.is_junk(F.col("chunk"))), ["doc_id", "pos"])
     return gone.groupBy(corpus.category(F.col("chunk")).alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -313,21 +350,10 @@ def argmax_class(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", tags.argmax(F.col("embedding")).alias("best"))
 
 
-@query("""WITH n AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS r, q.label = v.label AS same
-FROM embeddings q, embeddings v WHERE q.vec_id < 3 AND q.vec_id <> v.vec_id), f AS (SELECT query_id, min(CASE WHEN same THEN r END) AS r FROM n GROUP BY query_id)
-SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS at_1, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS at_10 FROM f""")
-def accuracy_at_k(spark, sf_dir):
-    near, v = nearest_k(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    of = near.join(v, "vec_id").join(v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold")), "query_id")
-    ranked = of.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")))
-    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("r"))).alias("r"))
-    return first.agg(F.round(sections.accuracy_at(F.col("r"), 1), 6).alias("at_1"), F.round(sections.accuracy_at(F.col("r"), 10), 6).alias("at_10"))
-
-
 @query("""WITH n AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS r, q.label = v.label AS same
 FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), f AS (SELECT query_id, min(CASE WHEN same THEN r END) AS r FROM n GROUP BY query_id)
 SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS at_1, round(avg(CASE WHEN r <= 10 THEN 1.0 ELSE 0.0 END), 6) AS at_10 FROM f""")
-def accuracy_at_k_all(spark, sf_dir):
+def accuracy_at_k(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     near = extract.nearest(v.where("vec_id % 20 = 0"), v, 10)
     labels = lambda i, c: v.select(F.col("vec_id").alias(i), F.col("label").alias(c))
@@ -355,19 +381,20 @@ def span_tags(spark, sf_dir):
     return tags.span_bio(table(spark, sf_dir, "benchmark").withColumn("spans", spans), "item_id", "text", "spans")
 
 
-@query("""SELECT event_type AS microbe, 'm' || (user_id % 7) AS metabolite, 'o' || (event_id % 3) AS outcome, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2, 3""")
+@query("""SELECT event_type AS microbe, 'm' || (user_id % 7) AS metabolite, 'o' || (event_id % 3) AS outcome, count(*) AS n FROM events GROUP BY 1, 2, 3""")
 def section_chains(spark, sf_dir):
-    by = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise("")
+    by = F.concat(F.when(F.col("event_id") % 2 == 0, '"nothing else",').otherwise(""), F.lit('"'), "event_type", F.lit('"'))
     parts = ('{"microbe_relationships":[{"taxon_name":"', F.col("event_type"), '"}],"metabolites":[{"name":"m', F.col("user_id") % 7, '","associated_outcome":"o', F.col("event_id") % 3, '","produced_by":[', by, "]}]}")
     papers = table(spark, sf_dir, "events").select("event_id", F.concat(*(F.lit(p).cast("string") for p in parts)).alias("j"))
     made = sections.chains(*(sections.section(papers, "j", "event_id", s) for s in ("microbe_relationships", "metabolites")), "event_id")
     return made.groupBy("microbe", "metabolite", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT DISTINCT user_id % 50 AS src, user_id % 31 AS dst FROM events)
+@query("""WITH e AS (SELECT DISTINCT 'u' || user_id AS src, event_type || CAST(json_extract(props, '$.k') AS BIGINT) AS dst FROM events)
 SELECT node, sum(o) AS n_out, sum(i) AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY node""")
 def graph_degrees(spark, sf_dir):
-    edges = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("src"), (F.col("user_id") % 31).alias("dst")).distinct()
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    edges = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("src"), F.concat("event_type", k).alias("dst")).distinct()
     return sections.degrees(edges)
 
 
@@ -392,7 +419,7 @@ def class_report(spark, sf_dir):
 _SEEN = " see PMC12345, doi:10.1234/ab-c (PMID: 77)"
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(text || '{_SEEN}', '{text.IDS}', '', 'g')) AS t FROM documents")
+@query(f"SELECT doc_id, md5(regexp_replace(text || '{_SEEN}', '(?i)pmc[0-9]{{4,}}|pmid:? ?[0-9]+|(?:doi:? ?)?10\\.[0-9]{{4,}}/[^ \\t\\n\\])}},;]+', '', 'g')) AS t FROM documents")
 def strip_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.drop_ids(F.concat("text", F.lit(_SEEN)))).alias("t"))
 
@@ -401,7 +428,7 @@ _SCANNED = " bro-\nken ﬁne \u00adﬂow"
 
 
 @query(f"""WITH j AS (SELECT doc_id, regexp_replace(text || '{_SCANNED}', '([a-z])-\n([a-z])', '\\1\\2', 'g') AS t FROM documents)
-SELECT doc_id, md5(regexp_replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{text.SCAN_MARKS}', '', 'g')) AS t FROM j""")
+SELECT doc_id, md5(regexp_replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f\\x{{ad}}]', '', 'g')) AS t FROM j""")
 def strip_scan_marks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.drop_scan_marks(F.concat("text", F.lit(_SCANNED)))).alias("t"))
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def test_tags(spark):
     scores = tags.span_scores(spans, spans.where("sent_id = 0"), ["file", "sent_id"])
     assert {r.type: (r.tp, round(r.f1, 4)) for r in scores.collect()} == {"X": (1, 0.6667), "Y": (0, 0.0)}
     wide = [["Crohn's", "x", ""], ["['B-D',", "O']", ""], ["", "", ""], ["y", "", ""], ["['O']", "", ""], ["tail", "", ""]]
-    rows = spark.createDataFrame(list(enumerate(wide)), "pos int, cells array<string>")
+    rows = spark.createDataFrame([("f", i, c) for i, c in enumerate(wide)], "file string, pos int, cells array<string>")
     assert [[tuple(p) for p in r.pairs] for r in tags.wide_bio(rows).orderBy("sent_id").collect()] == [[("Crohns", "B-D"), ("x", "O")], [("y", "O")]]
     ids = spark.createDataFrame([([None, 0, 0, 1, None], [7, 8])], "w array<int>, l array<int>").select(tags.align_labels(F.col("w"), F.col("l"))).first()[0]
     assert ids == [-100, 7, -100, 8, -100]
@@ -99,3 +100,83 @@ def test_ids_scan_marks_and_repair(spark):
 
 def test_models_without_keys():
     assert extract.with_keys({"a": "A_KEY", "b": "B_KEY", "c": "A_KEY"}, {"A_KEY": "x", "B_KEY": ""}) == (["a", "c"], ["B_KEY"])
+
+
+def plain_wide(rows):
+    """Two rows at a time, then past the blank ones, as the format's reader takes them."""
+    clean = lambda x: (x or "").replace('"', "").replace("'", "").strip()
+    empty = lambda row: not "".join(x or "" for x in row).strip()
+    out, rest = [], list(rows)
+    while len(rest) > 1:
+        words, marks, *rest = rest
+        words = [w for w in map(clean, words) if w]
+        marks = [m for m in (clean(m) for m in "".join(x or "" for x in marks).replace("[", "").replace("]", "").split(",")) if m]
+        if words and marks:
+            out.append(list(zip(words, marks)))
+        while rest and empty(rest[0]):
+            rest = rest[1:]
+    return out
+
+
+def test_wide_rows_by_file(spark, tmp_path):
+    rng = random.Random(7)
+    made = {}
+    for f in range(40):
+        kinds = [["a%d" % f, "it's", ""], ["['O',", "B-X]"], ["", " "], [], ["'"], ["b", None, "c"], [",,O,"]]
+        made[f"f{f}"] = [rng.choice(kinds) for _ in range(rng.randint(0, 14))]
+    rows = spark.createDataFrame([(f, i, c) for f, cs in made.items() for i, c in enumerate(cs)], "file string, pos int, cells array<string>").repartition(5)
+    got = {}
+    for r in tags.wide_bio(rows).orderBy("file", "sent_id").collect():
+        got.setdefault(r.file, []).append([tuple(p) for p in r.pairs])
+        assert r.sent_id == len(got[r.file]) - 1
+    assert got == {f: plain_wide(cs) for f, cs in made.items() if plain_wide(cs)}
+    for name in ("x", "y"):
+        (tmp_path / f"{name}.csv").write_text(f"C1,C2\n{name}0,{name}1\n\"['O',\",'B-X']\n,\n{name}2,\n['O'],\n")
+    found = tags.numbered(tags.wide_bio(files.wide_rows(spark, str(tmp_path)))).orderBy("place").collect()
+    assert [(r.place, [p.token for p in r.pairs]) for r in found] == [(0, ["x0", "x1"]), (1, ["x2"]), (2, ["y0", "y1"]), (3, ["y2"])]
+
+
+def test_answers_are_read_as_stated(spark):
+    cases = {
+        'see {x} ```json prefix {"a":1} ```': {"a": 1},
+        '{"a":1} ```json {bad ```': None,
+        '```\nnone\n``` {"a":1}': None,
+        '{"a":1,"a":2}': {"a": 2},
+        '{"a":NaN,"b":2}': {"a": None, "b": 2},
+        'x {"a":"}"}': None,
+        "é {\"a\":\"é😀\"} y": {"a": "é😀"},
+        "{{}": None,
+        "}{}": {},
+        "": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = [r.j and json.loads(r.j) for r in rows.select("i", F.to_json(jsonx.tolerant(F.col("t"))).alias("j")).orderBy("i").collect()]
+    want = list(cases.values())
+    assert [g if g is None else {k: g.get(k) for k in w} for g, w in zip(got, want)] == want
+    junk = lambda s: one(spark, text.is_junk, s)
+    assert junk("é@b.cc " + "x" * 30 + " k@b.c m@d_x.org") and not junk("é@b.cc " + "x" * 30 + " k@b.c m@.")
+
+
+def test_cells_and_requests():
+    import pandas as pd
+
+    book = json.dumps({"cells": [{"source": ["a"]}, {"source": ["b"], "outputs": [1], "execution_count": 2}]})
+    new = json.loads(jsonx.with_cell.func(pd.Series([book]), pd.Series([1]), pd.Series(["x\ny"]))[0])
+    assert new["cells"] == [{"source": ["a"]}, {"source": ["x\n", "y"], "outputs": [], "execution_count": None}]
+    assert extract.request("chat", "m", "s", "u")["messages"][1] == {"role": "user", "content": "u"}
+    with pytest.raises(ValueError):
+        extract.request("other", "m", "s", "u")
+    count = []
+    call = extract.loaded(lambda: count.append(1) or str.upper)
+    assert [call("m", "a"), call("m", "b")] == ["A", "B"] and count == [1]
+
+
+def test_first_tokens(spark):
+    from litforge.functions.tokens import encoding, first_tokens
+
+    texts = ["", None, "one two three four five " * 50, "日本語のテキスト" * 30, "short"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(first_tokens(F.col("t"), 20)).collect()]
+    assert got[0] == "" and got[1] is None and got[4] == "short"
+    e = encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    for t, g in zip(texts[2:4], got[2:4]):
+        assert t.startswith(g) and 0 < len(e.encode_ordinary(g)) <= 20 and len(e.encode_ordinary(t[: len(g) + 6])) > 20

@@ -21,7 +21,8 @@ def test_clean_articles_goes_on(spark, tmp_path):
     source.write_text(json.dumps(first | {"c": "new"}))
     stats = jobs.clean_articles(spark, str(source), str(target), batches=2)
     assert (stats["resumed_articles"], stats["processed_articles"], stats["total_chunks_processed"]) == (2, 3, 1)
-    got = json.loads(read(target / "output"))
+    got = json.loads((target / "output").read_text())
+    assert json.loads((target / "output.stats.json").read_text())["processed_articles"] == 3
     assert got == {"a": 'word. say "x"', "b": "y z", "c": "new"} and list(got) == ["a", "b", "c"]
 
 
@@ -34,13 +35,20 @@ def test_clean_articles_by_model(spark, tmp_path):
         return prompt + "Here is the cleaned and merged text: fine ..  text"
 
     jobs.clean_articles(spark, str(tmp_path / "in.json"), str(tmp_path / "out"), model)
-    assert json.loads(read(tmp_path / "out" / "output")) == {"a": "fine. text", "b": "two"}
+    assert (tmp_path / "out" / "output").read_text() == '{\n  "a": "fine. text",\n  "b": "two"\n}\n'
+    jobs.clean_articles(spark, str(tmp_path / "in.json"), str(tmp_path / "out"), drop_store=True)
+    assert not (tmp_path / "out" / "cleaned").exists()
+
+
+def test_log(tmp_path):
+    jobs.log_to(str(tmp_path / "log"), "litforge-test").info("read %d", 3)
+    assert "INFO - read 3" in (tmp_path / "log").read_text()
 
 
 def test_empty_object(spark, tmp_path):
     none = spark.createDataFrame([], "k string, v string, o int")
     files.write_object(none, "k", "v", "o", str(tmp_path / "o"))
-    assert json.loads(read(tmp_path / "o")) == {} and files.if_there(spark, str(tmp_path / "not")) is None
+    assert json.loads((tmp_path / "o").read_text()) == {} and files.if_there(spark, str(tmp_path / "not")) is None
 
 
 def test_extraction_matrix(spark):
@@ -62,7 +70,7 @@ def test_studies(spark, tmp_path):
     (tmp_path / "c.csv").write_text('code,Notes,Notes\r\nS1,"x\r\ny",\r\nS1,,\r\nS9,,\r\n')
     found, failed = jobs.study_rollups(spark, str(tmp_path / "c.csv"), "code", service.folder(str(tmp_path)), str(tmp_path / "t"))
     assert [(r.total_samples_found, r.alias, r.title) for r in found.collect()] == [(4, ["N/A", "N/A", "B", "B"], ["N/A", "N/A", "", ""])]
-    assert [r.study_accession for r in failed.collect()] == ["S9"] and (tmp_path / "t" / "studies" / "_group=S1").is_dir()
+    assert [r.study_accession for r in failed.collect()] == ["S9"] and json.loads((tmp_path / "t" / "studies" / "S1_metadata.json").read_text()) == {"study_accession": "S1", "total_samples_found": 4, "alias": ["N/A", "N/A", "B", "B"], "title": ["N/A", "N/A", "", ""]}
     name = service.register(spark, service.folder(str(tmp_path)))
     asked = spark.read.format(name).option("studies", "S1,S9,S8").load()
     assert asked.where("study_accession = 'S1'").rdd.getNumPartitions() == 1 and asked.where("error is not null").count() == 2

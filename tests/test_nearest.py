@@ -29,8 +29,8 @@ def test_queries_take_every_twentieth_row(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{D}/embeddings.parquet'")
     stated = {i for (i,) in con.execute("select vec_id from embeddings where vec_id % 20 = 0").fetchall()}
-    got = [(r.query_id, r.vec_id, r.similarity) for r in QUERIES["nearest_k_all"](spark, D).collect()]
+    got = [(r.query_id, r.vec_id, r.similarity) for r in QUERIES["nearest_k"](spark, D).collect()]
     assert {q for q, _, _ in got} == stated and len(stated) > 3
-    assert sorted(got) == sorted(con.execute(ORACLES["nearest_k_all"]).fetchall())
-    got = [tuple(r) for r in QUERIES["accuracy_at_k_all"](spark, D).collect()]
-    assert got == [tuple(map(float, r)) for r in con.execute(ORACLES["accuracy_at_k_all"]).fetchall()]
+    assert sorted(got) == sorted(con.execute(ORACLES["nearest_k"]).fetchall())
+    got = [tuple(r) for r in QUERIES["accuracy_at_k"](spark, D).collect()]
+    assert got == [tuple(map(float, r)) for r in con.execute(ORACLES["accuracy_at_k"]).fetchall()]
