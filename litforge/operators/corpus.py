@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,7 @@ def ordinal(df: DataFrame, key: str, name: str = "ord", slices: int | None = Non
     if slices is None:
         slices = min(10_000, max(1, -(-df.count() // slice_rows)))
     bounds = sorted(set(df.approxQuantile(key, [i / slices for i in range(1, slices)], min(0.001, 0.1 / slices)))) if slices > 1 else []
-    part: Column = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key)))
+    part = _below(bounds, F.col(key))
     sliced = df.withColumn("_slice", part)
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -43,6 +43,19 @@ def ordinal(df: DataFrame, key: str, name: str = "ord", slices: int | None = Non
     return sliced.withColumn("_in", inside).join(F.broadcast(before), "_slice").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_slice", "_in", "_before")
 
 
+def _below(bounds: list[float], key: Column) -> Column:
+    """How many of the sorted bounds lie below the key: first by blocks of bounds, then within the block that is left."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    array = lambda values: f"array({', '.join(f'{float(v)!r}D' for v in values)})"
+    count = lambda values: F.size(F.filter(values, lambda b: b < key))
+    whole = count(F.expr(array([b[-1] for b in blocks])))
+    inside = F.get(F.expr(f"array({', '.join(map(array, blocks))})"), whole)
+    return whole * step + F.when(whole < len(blocks), count(inside)).otherwise(0)
+
+
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows in a stated order."""
     return df.orderBy(*order).limit(n)

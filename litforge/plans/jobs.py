@@ -69,7 +69,6 @@ def extraction_matrix(papers: DataFrame, models: list[str], call: Callable[[str,
     left = corpus.without_places(papers, excluded, "pos") if excluded else papers
     ready = left.select("id", "pos", text.merge_chunks(F.col("chunks")).alias("t")).where("t <> ''")
     if sample is not None:
-        ready = ready.cache()
         drawn = extract.seeded_places(ready.count(), sample, seed)
         ready = corpus.ordinal(ready, "pos").where(F.col("ord").isin(drawn)).drop("ord")
     each = ready.withColumn("model", F.explode(F.array(*map(F.lit, models))))

@@ -82,7 +82,8 @@ def test_rollup_retry_and_order(spark):
         extract.with_retry(call, "p", sleep=waits.append)
     assert len(calls) == 3 and waits == [10.0, 10.0]
     shuffled = spark.range(1000).select((F.col("id") * 7919 % 100003).alias("k"))
-    assert all(a == b for b, a in enumerate(r.ord for r in corpus.ordinal(shuffled, "k").orderBy("k").collect()))
+    for slices in (None, 1, 2, 3, 40):
+        assert all(a == b for b, a in enumerate(r.ord for r in corpus.ordinal(shuffled, "k", slices=slices).orderBy("k").collect()))
 
 
 def test_strip_is_that_of_python(spark):
