@@ -1,13 +1,15 @@
 """Operator 7: quality classifier by importance resampling.
 
-Two generative models over hashed byte trigrams, one of target text (labelled good) and one of all raw text, give each
-document its importance weight, the ratio of its likelihoods. Raw counts run over all documents; the target's over
-those of at most `target_rows` labelled rows, chosen by a hash of id, whose ids are what is broadcast. The k documents
-of the highest log weight + Gumbel noise are a sample without replacement by weight; unless given, k is the number of
-documents whose log weight is `least` or more. Overlapping trigrams repeat what they say, so log weights are divided by n (3); a document
-of over PASSAGE trigrams weighs as its average passage does, else a small difference in the mix of languages between the
-labelled sample and the corpus would add up over thousands of them. The
-noise is scaled by `temperature`: at 0 the k likeliest documents are taken.
+Generative models over hashed n-grams (trigrams of bytes and bigrams of lower-case words), one of target text (labelled
+good) and one of all raw text, give each document its importance weight, the ratio of its likelihoods. Raw counts run over
+all documents; the target's over those of at most `target_rows` labelled rows, chosen by a hash of id, whose ids are what
+is broadcast. The target's model is mixed with the raw one: by a share of 0.05, and for bigrams, of which most are rare, by
+`prior` bigrams of raw text if that is more, so that few labels say little. The k documents of the highest log weight +
+Gumbel noise are a sample without replacement by weight; unless given, k is the number of documents whose log weight is
+`least` or more. N-grams that overlap repeat what they say, so their log ratios are divided by n; a document of over PASSAGE
+n-grams weighs as its average passage does, else a small difference in the mix of languages between the labelled sample
+and the corpus would add up over thousands of them. The noise is scaled by `temperature`: at 0 the k likeliest documents
+are taken.
 
 The k-th key is found by histograms over the written scores, bins of one range at a time, until at most `bin_rows` rows
 are left to look at; where more rows share one key, their ids are told apart sign by sign in the same way. So there is
@@ -29,9 +31,10 @@ from pyspark.sql import types as T
 from litforge.llm import _hashing as H
 from litforge.llm._io import collected_bounded, written
 
-N = 3
-BITS = 14
-#: A longer document weighs as much as an average passage of so many trigrams of it.
+#: Of trigrams and of bigrams: n, the bits of their hashes, and where their buckets begin.
+N, BITS, FIRST = (3, 2), (14, 16), (0, 1 << 14)
+BUCKETS = sum(1 << b for b in BITS)
+#: A longer document weighs as much as an average passage of so many n-grams of it.
 PASSAGE = 100
 UNIT = float(1 << 52)
 
@@ -39,39 +42,45 @@ UNIT = float(1 << 52)
 def buckets(data: np.ndarray) -> np.ndarray:
     """The hashed trigram at each byte but the last two."""
     x = data.astype(np.uint32)
-    return ((x[:-2] | (x[1:-1] << 8) | (x[2:] << 16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+    return ((x[:-2] | (x[1:-1] << 8) | (x[2:] << 16)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS[0])
 
 
 def _grams(column):
-    """For runs of rows: the first row, the bucket at each place, and where each row's own places begin and end."""
+    """For runs of rows: which n-grams, the first and the last row, the bucket at each place, and where each row's own
+    places begin and end."""
     data, offsets = H.utf8(column)
     for i, j in H.pieces(offsets):
         begin = offsets[i : j + 1] - offsets[i]
         cut = data[offsets[i] : offsets[j]]
-        gram = buckets(cut) if len(cut) >= N else np.zeros(0, dtype=np.uint32)
+        gram = buckets(cut).astype(np.int64) if len(cut) >= N[0] else np.zeros(0, dtype=np.int64)
         first = np.minimum(begin[:-1], len(gram))  # short texts at the end have no place
-        yield i, j, gram, first, np.maximum(begin[1:] - N + 1, first)
+        yield 0, i, j, gram, first, np.maximum(begin[1:] - N[0] + 1, first)
+    data, offsets = H.utf8(H.lowered(column))
+    for i, j in H.pieces(offsets):
+        hashes, first = H.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        pairs, begin = H.shingles(hashes, first, N[1], short=False)
+        yield 1, i, j, (pairs >> np.uint64(64 - BITS[1])).astype(np.int64) + FIRST[1], begin[:-1], begin[1:]
+
+
+def _inside(begin: np.ndarray, end: np.ndarray, rows: np.ndarray, places: int) -> np.ndarray:
+    """Which places are some row's own."""
+    step = np.zeros(places + 1, dtype=np.int64)
+    np.add.at(step, begin[rows], 1)
+    np.add.at(step, end[rows], -1)
+    return np.cumsum(step)[:-1] > 0
 
 
 def _counted(target: np.ndarray):
     def run(batches):
-        raw, good = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+        raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             ids = pc.fill_null(batch.column("id"), -(1 << 62)).to_numpy(zero_copy_only=False)
             own = np.isin(ids, target)
-            for i, j, gram, begin, end in _grams(batch.column("text")):
-                size = end - begin
-                step = np.zeros(len(gram) + 1, dtype=np.int64)
-                np.add.at(step, begin[size > 0], 1)
-                np.add.at(step, end[size > 0], -1)
-                inside = np.cumsum(step)[:-1] > 0
-                raw += np.bincount(gram[inside], minlength=1 << BITS)
+            for _, i, j, gram, begin, end in _grams(batch.column("text")):
+                some = end > begin
+                raw += np.bincount(gram[_inside(begin, end, some, len(gram))], minlength=BUCKETS)
                 if own[i:j].any():
-                    step[:] = 0
-                    mine = (size > 0) & own[i:j]
-                    np.add.at(step, begin[mine], 1)
-                    np.add.at(step, end[mine], -1)
-                    good += np.bincount(gram[np.cumsum(step)[:-1] > 0], minlength=1 << BITS)
+                    good += np.bincount(gram[_inside(begin, end, some & own[i:j], len(gram))], minlength=BUCKETS)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "good"])
 
@@ -82,9 +91,9 @@ def _weighed(ratio: np.ndarray, text_col: str, keep_text: bool):
     def run(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, gram, begin, end in _grams(batch.column(text_col)):
+            for f, i, j, gram, begin, end in _grams(batch.column(text_col)):
                 sums = np.concatenate(([0.0], np.cumsum(ratio[gram])))
-                out[i:j] = (sums[end] - sums[begin]) / N * np.minimum(1.0, PASSAGE / np.maximum(end - begin, 1))
+                out[i:j] += (sums[end] - sums[begin]) / N[f] * np.minimum(1.0, PASSAGE / np.maximum(end - begin, 1))
             if not keep_text:
                 batch = batch.drop_columns([text_col])
             yield batch.append_column("log_weight", pa.array(np.round(out, 6)))
@@ -99,22 +108,26 @@ def _keyed(df: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, tempera
     return df.mapInArrow(_weighed(ratio, text_col, keep_text), schema).withColumn("key", F.round(F.col("log_weight") - F.log(-F.log(u)) * F.lit(float(temperature)), 9))
 
 
-def log_ratio(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, good: Column, target_rows: int = 20_000, background: float = 0.05) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | raw); the target's model is smoothed by a share of the raw model."""
+def log_ratio(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, good: Column, target_rows: int = 20_000, background: float = 0.05, prior: float = 1e6) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | raw), for trigrams and for bigrams; the target's models are mixed with the raw
+    ones, those of bigrams by a share that falls as labelled text grows."""
     ids = labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     n = ids.count()
     share = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = ids if n <= target_rows else ids.where(share < 0.95 * target_rows / n)
     target = np.array(sorted(r["id"] for r in collected_bounded(some, target_rows, "the sample of labelled rows")), dtype=np.int64)
     counted = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_counted(target), "bucket int, raw long, good long")
-    raw, aim = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most 2**BITS rows
+    raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most BUCKETS rows
         raw[r["bucket"]], aim[r["bucket"]] = r["raw"], r["good"]
-    if not aim.sum():
-        return np.zeros(1 << BITS)
-    seen = raw > 0
-    out = np.zeros(1 << BITS)
-    out[seen] = np.log(background + (1 - background) * (aim[seen] / aim.sum()) / (raw[seen] / raw.sum()))
+    out = np.zeros(BUCKETS)
+    for f, first in enumerate(FIRST):
+        own = slice(first, first + (1 << BITS[f]))
+        r, a = raw[own], aim[own]
+        if a.sum():
+            mixed = background if f == 0 else max(background, prior / (prior + a.sum()))
+            seen = r > 0
+            out[own][seen] = np.log(mixed + (1 - mixed) * (a[seen] / a.sum()) / (r[seen] / r.sum()))
     return out
 
 
@@ -176,11 +189,11 @@ def _nth_id(ids: DataFrame, n: int, rows: int) -> str | None:
         known += c
 
 
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: Column | None = None, k: int | None = None, temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: Column | None = None, k: int | None = None, temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0, prior: float = 1e6) -> DataFrame:
     """id, log_weight, key (log weight + noise) and kept (one of the k highest keys) of every row. Unless given, k is the
     number of documents whose log weight is at least `least`, that is, whose evidence against them isn't decisive."""
     good = F.col("quality") == 1 if good is None else good
-    ratio = log_ratio(df, labels, id_col, text_col, good, target_rows)
+    ratio = log_ratio(df, labels, id_col, text_col, good, target_rows, prior=prior)
     scores, kept = _scored(df, ratio, id_col, text_col, k, temperature, seed, least)
     return scores.select(F.col("id").alias(id_col), "log_weight", "key", kept.alias("kept"))
 
@@ -197,9 +210,9 @@ def _scored(df, ratio, id_col, text_col, k, temperature, seed, least):
     return scores, (F.col("key") > last[0]) | ((F.col("key") == last[0]) & (_word("id") <= last[1]))
 
 
-def keep_resampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0) -> DataFrame:
+def keep_resampled(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", temperature: float = 1.0, seed: int = 7, target_rows: int = 20_000, least: float = -6.0, prior: float = 1e6) -> DataFrame:
     """The rows of df that resample() keeps: their keys are worked out again as the texts stream by, without a join."""
-    ratio = log_ratio(df, labels, id_col, text_col, F.col("quality") == 1, target_rows)
+    ratio = log_ratio(df, labels, id_col, text_col, F.col("quality") == 1, target_rows, prior=prior)
     _, kept = _scored(df, ratio, id_col, text_col, None, temperature, seed, least)
     own = df.select(F.col(id_col).alias("id"), F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"))
     return _keyed(own, ratio, "id", "text", temperature, seed, False).where(kept).select("row.*")

@@ -1,6 +1,9 @@
 import math
+import random
+import re
+from collections import Counter
 
-import numpy as np
+import pyarrow as pa
 import pytest
 
 from litforge.llm import op7_quality as op
@@ -15,34 +18,58 @@ def data(spark):
     return rows, docs, labels
 
 
-def plain(rows, good):
-    grams = lambda t: [b[i : i + 3] for b in [(t or "").encode()] for i in range(len(b) - 2)]
-    bucket = lambda g: int(op.buckets(np.frombuffer(g, dtype=np.uint8))[0])
+def plain(rows, good, prior):
+    """Both models, n-gram by n-gram."""
     known = {}
-    raw, aim = np.zeros(1 << op.BITS), np.zeros(1 << op.BITS)
-    per = []
-    for i, t in rows:
-        own = np.zeros(1 << op.BITS)
-        for g in grams(t):
-            own[known.setdefault(g, bucket(g))] += 1
-        raw += own
-        aim += own * (i in good)
-        per.append(own)
-    ratio = np.array([math.log(0.05 + 0.95 * (a / aim.sum()) / (r / raw.sum())) if r else 0.0 for a, r in zip(aim, raw)])
-    return [float(own @ ratio) / 3 * min(1, 100 / max(1, own.sum())) for own in per]
+
+    def bucket(f, gram):
+        if (f, gram) not in known:
+            known[f, gram] = int(next(g for k, _, _, g, _, _ in op._grams(pa.array([gram])) if k == f)[0])
+        return known[f, gram]
+
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    trigrams = lambda t: [bucket(0, t[i : i + 3]) for i in range(len(t) - 2)]
+    bigrams = lambda t: [bucket(1, f"{a} {b}") for a, b in zip(words(t), words(t)[1:])]
+    out = [0.0] * len(rows)
+    for f, grams in enumerate((trigrams, bigrams)):
+        per = [Counter(grams(t or "")) for _, t in rows]
+        raw = sum(per, Counter())
+        aim = sum((p for (i, _), p in zip(rows, per) if i in good), Counter())
+        mixed = max(0.05, prior / (prior + aim.total())) if f else 0.05
+        ratio = {g: math.log(mixed + (1 - mixed) * (aim[g] / aim.total()) / (n / raw.total())) for g, n in raw.items()}
+        for r, p in enumerate(per):
+            out[r] += sum(n * ratio[g] for g, n in p.items()) / op.N[f] * min(1, 100 / max(1, p.total()))
+    return out
 
 
 def test_weights_match_plain_counts(spark):
     rows, docs, labels = data(spark)
     good = {i for i in range(0, 80, 3) if i % 4} | {5}
-    got = op.resample(docs.repartition(3), labels, temperature=0.0).collect()
-    want = sorted((str(i), round(w, 4)) for (i, _), w in zip(rows, plain(rows, good)))
-    for (a, x), (b, y) in zip(sorted((str(r.doc_id), r.log_weight) for r in got), want, strict=True):
-        assert a == b and math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-3)
+    for prior in (50, 1e6):
+        got = op.resample(docs.repartition(3), labels, temperature=0.0, prior=prior).collect()
+        same_weights(got, rows, plain(rows, good, prior))
     kept = {r.doc_id for r in got if r.kept} - {83}  # 83 is most of the raw text: its weight is about 1 a trigram
     assert kept == {i for i, t in rows if i != 83 and (t is None or len(t) < 3 or t.startswith("the"))}
 
 
+def same_weights(got, rows, weights):
+    want = sorted((str(i), round(w, 4)) for (i, _), w in zip(rows, weights))
+    for (a, x), (b, y) in zip(sorted((str(r.doc_id), r.log_weight) for r in got), want, strict=True):
+        assert a == b and math.isclose(x, y, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_one_repeated_word_is_no_good_text(spark):
+    """Each of its trigrams is as usual as any, but not each of its bigrams."""
+    rng = random.Random(5)
+    words = ["river", "stone", "water", "north", "small", "paper", "field", "light"]
+    prose = lambda: " ".join(w for _ in range(8) for w in rng.sample(words[:4], 4) + rng.sample(words[4:], 4))
+    rows = [(i, prose()) for i in range(300)] + [(300 + i, f"{rng.choice(words)} " * 80) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(0, 340, 2)], "doc_id long, quality int")
+    kept = lambda prior: {r.doc_id for r in op.resample(docs, labels, temperature=0.0, prior=prior).where("kept").collect()}
+    assert kept(100.0) & set(range(300, 340)) == set() and len(kept(100.0)) >= 290
+
+
 @pytest.mark.parametrize("k", [0, 1, 37, 87, 500])
 def test_k_highest_keys(spark, k):
     _, docs, labels = data(spark)
