@@ -8,9 +8,9 @@ the full shingle sets, each once:
 - Buckets of up to `bucket` members (and `block_bytes` of shingles) are a task's. A pair belongs to the first band that it
   shares; only members with a pair of their own in a bucket fetch their text, so a copy does not travel once a band.
 - Larger buckets that share members make a pool. A pool's members are sent once, to one of its blocks of about `block`
-  members, which is packed: a dictionary of its shingles, the shingles that most members have, and what each member
-  differs from them by. Each pair of packed blocks is a task that verifies all their pairs, whether they share a band or
-  not. So the shingles of a large group travel once; what is sent again for each block is its packed form, some bytes a
+  members, in PIECES which are packed: a dictionary of a piece's shingles, the shingles that most of its members have,
+  and what each member differs from them by. Each pair of packed blocks is a task that verifies all their pairs, whether
+  they share a band or not. So the shingles of a large group travel once; what is sent again for each block is its packed form, some bytes a
   member where the texts are near copies. The verification of a group of different texts still costs its square.
 
 A task counts its links and gives a spanning forest of them, never the pairs. Groups are the connected components of the
@@ -158,13 +158,13 @@ def _owners(bands: int):
     return run
 
 
-CELL = "cell long, part int, parts int, band int, name long, copies long, pool long, signs array<long>, grams binary"
-_CELL = (("cell", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("band", pa.int32()), ("name", pa.int64()), ("copies", pa.int64()), ("pool", pa.int64()), ("signs", pa.list_(pa.int64())))
+CELL = "cell long, piece int, parts int, band int, name long, copies long, pool long, signs array<long>, grams binary"
+_CELL = (("cell", pa.int64()), ("piece", pa.int32()), ("parts", pa.int32()), ("band", pa.int32()), ("name", pa.int64()), ("copies", pa.int64()), ("pool", pa.int64()), ("signs", pa.list_(pa.int64())))
 
 
 def _fetched(k: int):
-    """The shingles of each class that is asked for, once for each of its buckets, and once for its block of a pool
-    (part is the block; -1 for a bucket)."""
+    """The shingles of each class that is asked for, once for each of its buckets, and once for its piece of a pool
+    (-1 for a bucket)."""
 
     def run(batches):
         done = set()
@@ -177,7 +177,7 @@ def _fetched(k: int):
                 raw = own.tobytes()
                 rows = [(c["bucket"], -1, 0, c["band"], r["name"], r["copies"], r["pool"] or 0, r["signs"]) for c in r["cells"] or []]
                 if r["pool"]:
-                    rows.append((r["pool"], r["part"], r["parts"], 0, r["name"], r["copies"], r["pool"], []))
+                    rows.append((r["pool"], r["piece"], r["parts"], 0, r["name"], r["copies"], r["pool"], []))
                 step = max(1, (32 << 20) // len(raw))
                 for i in range(0, len(rows), step):
                     cut = rows[i : i + step]
@@ -248,21 +248,21 @@ def _forest(fine: np.ndarray):
         owner[at] = i
 
 
-LINKS = "name long, root long, links long, cell long, part int, parts int, names array<long>, copies array<long>, grams array<long>, usual array<int>, sizes array<int>, items array<int>"
+LINKS = "name long, root long, links long, cell long, piece int, parts int, names array<long>, copies array<long>, grams array<long>, usual array<int>, sizes array<int>, items array<int>"
 _PACKED = (("names", pa.int64()), ("copies", pa.int64()), ("grams", pa.int64()), ("usual", pa.int32()), ("sizes", pa.int32()), ("items", pa.int32()))
 
 
 def _out(links: list, packed: list):
-    """Links and packed blocks as rows of one table."""
+    """Links and packed pieces as rows of one table."""
     n, m = len(links), len(packed)
     columns = [pa.array([x[i] for x in links] + [None] * m, type=pa.int64()) for i in range(3)]
     columns += [pa.array([None] * n + [p[i] for p in packed], type=t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
     columns += [pa.array([None] * n + [p[i + 3] for p in packed], type=pa.list_(t)) for i, (_, t) in enumerate(_PACKED)]
-    return pa.RecordBatch.from_arrays(columns, names=["name", "root", "links", "cell", "part", "parts", *(f for f, _ in _PACKED)])
+    return pa.RecordBatch.from_arrays(columns, names=["name", "root", "links", "cell", "piece", "parts", *(f for f, _ in _PACKED)])
 
 
 def _pack(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray) -> tuple:
-    """A block's dictionary, the numbers of the shingles that most members have, and for each member the numbers of its
+    """A piece's dictionary, the numbers of the shingles that most members have, and for each member the numbers of its
     own shingles (size n), or of those by which it differs from most (size -n - 1), whichever are fewer."""
     every, where = np.unique(np.concatenate(sets), return_inverse=True)
     where = where.astype(np.int32)
@@ -287,19 +287,19 @@ def _unpack(row: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 
 
 def _met(threshold: float, bands: int):
-    """Verifies the buckets, and packs the blocks of pools."""
+    """Verifies the buckets, and packs the pieces of pools."""
 
     def run(batches):
         links, packed, held = [], [], 0
-        for table, bounds in _runs(batches, ["cell", "part", "band"]):
-            part, name = table.column("part").to_numpy(), table.column("name").to_numpy()
+        for table, bounds in _runs(batches, ["cell", "piece", "band"]):
+            piece, name = table.column("piece").to_numpy(), table.column("name").to_numpy()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 at = a + np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))  # a class that is fetched twice counts once
                 rows = table.take(pa.array(at))
                 sets = [np.frombuffer(g, dtype=U) for g in rows.column("grams").to_pylist()]
                 names, copies, pool = (rows.column(c).to_numpy() for c in ("name", "copies", "pool"))
-                if part[a] >= 0:
-                    packed.append((int(rows.column("cell")[0].as_py()), int(part[a]), int(rows.column("parts")[0].as_py()), *_pack(sets, names, copies)))
+                if piece[a] >= 0:
+                    packed.append((int(rows.column("cell")[0].as_py()), int(piece[a]), int(rows.column("parts")[0].as_py()), *_pack(sets, names, copies)))
                     held += sum(len(s) for s in sets)
                 else:
                     signs = _lists(rows.column("signs"), bands)[:, : rows.column("band")[0].as_py()]
@@ -320,21 +320,23 @@ def _paired(threshold: float):
     def run(batches):
         for table, bounds in _runs(batches, ["pair", "pair_of"]):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                rows = []
-                for i in range(a, b):
-                    if i == a or table.column("part")[i] != table.column("part")[i - 1]:
-                        rows.append(_unpack({f: table.column(f)[i].values.to_numpy(zero_copy_only=False) for f, _ in _PACKED}))
-                sets = [s for r in rows for s in r[0]]
-                names, copies = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
-                left = np.arange(len(rows[0][0]))
-                links = _counted(sets, names, copies, left, left if len(rows) == 1 else np.arange(len(left), len(sets)), threshold)
+                part, piece, rows = table.column("part").to_numpy()[a:b], table.column("piece").to_numpy()[a:b], []
+                for i in range(b - a):
+                    if i == 0 or piece[i] != piece[i - 1]:
+                        rows.append((part[i], _unpack({f: table.column(f)[a + i].values.to_numpy(zero_copy_only=False) for f, _ in _PACKED})))
+                sets = [s for _, r in rows for s in r[0]]
+                names, copies = (np.concatenate([r[i] for _, r in rows]) for i in (1, 2))
+                low, high = table.column("pair_of")[a].as_py(), table.column("pair_to")[a].as_py()
+                left = np.arange(sum(len(r[0]) for p, r in rows if p == low))
+                right = left if low == high else np.arange(len(left), len(sets))  # a block may be empty
+                links = _counted(sets, names, copies, left, right, threshold) if len(left) and len(right) else []
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*links, strict=True)], names=["name", "root", "links"])
 
     return run
 
 
-SALTS = 64
+SALTS, PIECES = 64, 8
 
 
 def _salted(rows: DataFrame, of: str) -> DataFrame:
@@ -395,12 +397,12 @@ def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float,
     owned = small.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "name").mapInArrow(_owners(bands), "bucket long, band int, name long")
     cells = owned.groupBy("name").agg(F.collect_list(F.struct("bucket", "band")).alias("cells"))  # at most one a band
 
-    asked = written(cells.join(pooled, "name", "full").join(classes.select("name", "place", "copies", "signs"), "name").select(F.col("place.id").alias("of_id"), F.col("place.h").alias("of_h"), "name", "copies", "signs", "pool", "part", "parts", "cells"), "asked")
+    asked = written(cells.join(pooled, "name", "full").join(classes.select("name", "place", "copies", "signs"), "name").select(F.col("place.id").alias("of_id"), F.col("place.h").alias("of_h"), "name", "copies", "signs", "pool", "piece", "parts", "cells"), "asked")
     got = docs.join(asked.hint("shuffle_hash"), docs["id"].eqNullSafe(asked["of_id"]) & (docs["h"] == asked["of_h"])).drop("id", "h", "of_id", "of_h").mapInArrow(_fetched(k), CELL)
-    found = written(got.repartition("cell", "part", "band").sortWithinPartitions("cell", "part", "band", "name").mapInArrow(_met(threshold, bands), LINKS), "links")
-    blocks = found.where("cell is not null").select("cell", "part", *(f for f, _ in _PACKED), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pairs = blocks.withColumn("pair", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other"))).withColumn("pair_of", F.least("part", "other")).drop("cell", "other")
-    between = written(pairs.repartition("pair").sortWithinPartitions("pair", "pair_of", "part").mapInArrow(_paired(threshold), "name long, root long, links long"), "block-links")
+    found = written(got.repartition("cell", "piece", "band").sortWithinPartitions("cell", "piece", "band", "name").mapInArrow(_met(threshold, bands), LINKS), "links")
+    blocks = found.where("cell is not null").select("cell", "piece", F.floor(F.col("piece") / PIECES).cast("int").alias("part"), *(f for f, _ in _PACKED), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = blocks.withColumn("pair", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other"))).withColumn("pair_of", F.least("part", "other")).withColumn("pair_to", F.greatest("part", "other")).drop("cell", "other")
+    between = written(pairs.repartition("pair").sortWithinPartitions("pair", "pair_of", "part", "piece").mapInArrow(_paired(threshold), "name long, root long, links long"), "block-links")
 
     links = found.where("name is not null").select("name", "root", "links").unionByName(between)
     roots = components(links, "name", "root")
@@ -413,14 +415,14 @@ def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float,
 
 
 def _pools(met: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """name, pool, part, parts: the members of large buckets, in pools of buckets that share members, and in blocks of
-    these."""
+    """name, pool, piece, parts: the members of large buckets, in pools of buckets that share members, which are cut into
+    parts, or blocks, of PIECES each."""
     hub = F.xxhash64(F.lit(11), "band", "bucket")
     roots = components(met.select("name", hub.alias("hub")), "name", "hub")
     members = met.select("name", "n").distinct().join(roots.select(F.col("node").alias("name"), F.col("root").alias("pool")), "name", "left").withColumn("pool", F.coalesce("pool", "name"))
     sized = _with_facts(members, ["pool"], "name", {"m": (F.sum, F.lit(1)), "size": (F.sum, F.col("n").cast("long"))})
     parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") * 8 / block_bytes), F.lit(1)).cast("int")
-    return written(sized.select("name", "pool", F.pmod(F.xxhash64(F.lit(5), "name"), parts).cast("int").alias("part"), parts.alias("parts")), "pools")
+    return written(sized.select("name", "pool", F.pmod(F.xxhash64(F.lit(5), "name"), parts * PIECES).cast("int").alias("piece"), parts.alias("parts")), "pools")
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 256, block: int = 1024, block_bytes: int = 64 << 20) -> DataFrame:

@@ -49,7 +49,7 @@ def corpus(seed, copies):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 8)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 1024), (2, 8), (3, 1)])
 def test_matches_all_pairs(spark, seed, block):
     rows = corpus(seed, 40)
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, name int").repartition(3)
