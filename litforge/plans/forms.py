@@ -8,13 +8,13 @@ import atexit
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from litforge.functions import jsonx, tags, text, tokens
 from litforge.operators import corpus, extract, rollup, sections
 from litforge.plans import jobs
-from litforge.plans.queries import _K, _WS, _fallback, _strip, query, table
+from litforge.plans.queries import _K, _fallback, _strip, query, table
 from litforge.sources import files, service
 from litforge.streaming import events as streams
 
@@ -193,9 +193,6 @@ def label_file(spark, sf_dir):
     return files.label_map(tags.label_ids(table(spark, sf_dir, "events"), "event_type"))
 
 
-_ANSWER = "[i for i in range(len(user) % 3)]"
-
-
 def _send(name: str, body: dict) -> str:
     """Models that answer as many relations as the prompt's length says, or fail."""
     if name == "alpha":
