@@ -86,11 +86,6 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _bigrams(normal: Column) -> Column:
-    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    return _once(F.split(F.trim(normal), " "), pairs)
-
-
 HITS = "array<struct<dice:double,line:int,n_lines:int,license:string>>"
 
 
