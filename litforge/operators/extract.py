@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import time
 from collections.abc import Callable, Mapping
@@ -128,6 +129,24 @@ def loaded(load: Callable[[], Callable[[str], str]]) -> Callable[[str, str], str
     return call
 
 
+def memory_mb() -> float:
+    """What the process holds in memory, as the system says."""
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / (1 << 20)
+
+
+def within_memory(call: Callable[[str, str], str], most_mb: int, share: float = 0.8, used: Callable[[], float] = memory_mb) -> Callable[[str, str], str]:
+    """call, but a fault instead of an answer where the process holds that share of its memory already, so that what stands
+    in for a failed model stands in here too."""
+
+    def guarded(name: str, prompt: str) -> str:
+        if used() >= share * most_mb:
+            raise MemoryError(f"over {share:.0%} of {most_mb} MB are in use".replace("%", " %"))
+        return call(name, prompt)
+
+    return guarded
+
+
 def with_retry(call: Callable[[str], str], prompt: str, tries: int = 3, wait: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> str:
     for i in range(tries):
         try:
