@@ -115,12 +115,12 @@ def study_samples(spark, sf_dir):
     return grouped.select(F.col("study_accession").alias("study"), F.col("total").cast("long").alias("n"), F.array_join("alias", "|").alias("alias"), F.lit(None).cast("string").alias("error")).unionByName(failed.select(F.col("study_accession").alias("study"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("alias"), "error"))
 
 
-@query("SELECT r_name AS asked_for, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS pos, CAST(n_nationkey AS VARCHAR) AS sample_accession, n_name AS sample_alias, NULL AS sample_title FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT r_name AS asked_for, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS pos, CAST(n_nationkey AS VARCHAR) AS sample_accession, n_name AS sample_alias, 'none' AS sample_title FROM nation JOIN region ON n_regionkey = r_regionkey")
 def study_tsv(spark, sf_dir):
     lines = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = lines.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws("\t", "n_name", F.col("n_nationkey").cast("string")).alias("l")))).alias("l"))
     bodies = rows.select(F.col("r_name").alias("study_accession"), _j("sample_alias\tsample_accession\n", F.array_join(F.transform("l", lambda x: x["l"]), "\n"), "\n").alias("body"), F.lit(None).cast("string").alias("error"))
-    return files.tabbed_samples(bodies).select("asked_for", F.col("pos").cast("long").alias("pos"), "sample_accession", "sample_alias", "sample_title")
+    return files.tabbed_samples(bodies).select("asked_for", F.col("pos").cast("long").alias("pos"), "sample_accession", "sample_alias", F.coalesce("sample_title", F.lit("none")).alias("sample_title"))
 
 
 _WORDS = "w AS (SELECT item_id AS file, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM benchmark)"
@@ -247,12 +247,12 @@ def combined_results(spark, sf_dir):
     return cells.select("model", "paper_id", F.try_variant_get(v, "$.error", "string").alias("error"), F.size(F.try_variant_get(v, "$.bacteria_relationships", "array<variant>")).cast("long").alias("n"))
 
 
-@query("SELECT item_id, 'x = ' || item_id || chr(10) || 'y' AS source, NULL AS outputs, NULL AS execution_count, 'a' AS first, 4 AS nbformat FROM benchmark")
+@query("SELECT item_id, 'x = ' || item_id || chr(10) || 'y' AS source, 'none' AS outputs, true AS cleared, 'a' AS first, 4 AS nbformat FROM benchmark")
 def notebook_edit(spark, sf_dir):
     books = table(spark, sf_dir, "benchmark").select("item_id", F.lit('{"cells":[{"source":["a"],"outputs":[1],"execution_count":3},{"source":["b"],"outputs":[{"t":1}],"execution_count":7}],"nbformat":4}').alias("b"))
     edited = books.withColumn("v", F.try_parse_json(jsonx.with_cell("b", F.lit(1), _j("x = ", F.col("item_id"), "\ny"))))
     get = lambda p, t: F.try_variant_get("v", p, t)
-    return edited.select("item_id", F.array_join(get("$.cells[1].source", "array<string>"), "").alias("source"), get("$.cells[1].outputs[0]", "string").alias("outputs"), get("$.cells[1].execution_count", "long").alias("execution_count"), get("$.cells[0].source[0]", "string").alias("first"), get("$.nbformat", "int").alias("nbformat"))
+    return edited.select("item_id", F.array_join(get("$.cells[1].source", "array<string>"), "").alias("source"), F.coalesce(get("$.cells[1].outputs[0]", "string"), F.lit("none")).alias("outputs"), get("$.cells[1].execution_count", "long").isNull().alias("cleared"), get("$.cells[0].source[0]", "string").alias("first"), get("$.nbformat", "int").alias("nbformat"))
 
 
 @query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'B-X' ELSE 'I-X' END || CASE WHEN event_id % 2 = 0 THEN '' ELSE '|I-X' END AS names FROM events")
