@@ -11,7 +11,10 @@ position at the same distance, which is what a difference cover gives for two po
    of the others are marked at once, whatever the length of the repeat: names settle the tie, not the texts.
 2. Samples that share the k-gram but not the name fetch their bytes, at most 2 * span each, and their bucket sorts the
    windows themselves. Where a k-gram is hot (many names), its windows are dealt out one by one instead, by their
-   hashes, so that no task gets the bytes of a whole hot bucket; in step 1 such a bucket is still one task's.
+   hashes, so that no task gets the bytes of a whole hot bucket. K-grams that make up more of all samples than one of
+   `few` partitions should get are looked for in a share of the texts beforehand; there are at most `few`, their buckets
+   are cut by the names into as many parts as they need, and all their samples count as hot. What is found beforehand
+   moves work, not results.
 3. The marks of each text are merged to spans.
 
 Equality of windows is that of 64-bit hashes of their bytes. No text is compared as a whole, a task holds one bucket,
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litforge.llm import _hashing as H
-from litforge.llm._io import written
+from litforge.llm._io import collected_bounded, written
 
 U = np.uint64
 K = 24
@@ -42,6 +45,8 @@ NO_ID = -(1 << 63)
 #: m: for a sample, windows - 1 and the sample's distance from the first window; for marks, minus the number of windows.
 #: Added to m of a sample whose k-gram is hot.
 HOT = 1 << 24
+#: One in so many texts is looked at for k-grams that are frequent.
+SHARE = 64
 MARKS = "key long, name long, doc long, at long, m int"
 
 
@@ -112,7 +117,19 @@ def _first_of(name, doc, at):
     return stays, later
 
 
-def _sampled(span: int):
+def _parted(key: np.ndarray, name: np.ndarray, m: np.ndarray, often: np.ndarray, parts: np.ndarray):
+    """Cuts the buckets of frequent k-grams (sorted, with their number of parts) by the names, and marks them as hot."""
+    if not len(often):
+        return key, m
+    spot = np.minimum(np.searchsorted(often, key), len(often) - 1)
+    own = often[spot] == key
+    key, m = key.copy(), m.copy()
+    key[own] = H.mix(key[own] ^ H.mix(name[own] % parts[spot[own]] + U(1)))
+    m[own] += HOT
+    return key, m
+
+
+def _sampled(span: int, often: np.ndarray, parts: np.ndarray):
     def run(batches):
         for batch in batches:
             data, offsets = H.utf8(batch.column("text"))
@@ -130,7 +147,8 @@ def _sampled(span: int):
                 continue
             key, name, doc, at, m = (np.concatenate(x) for x in zip(*found, strict=True))
             stays, later = _first_of(name, doc, at)
-            yield from _batches(key[stays], name[stays], doc[stays], at[stays], m[stays])
+            cut, hot = _parted(key[stays], name[stays], m[stays], often, parts)
+            yield from _batches(cut, name[stays], doc[stays], at[stays], hot)
             yield from _marked(doc[later], at[later], (m[later] >> 8) + 1)
 
     return run
@@ -169,9 +187,9 @@ def _sorted(columns, hot: int):
     names = np.bincount(group, weights=stays)[group]
     first = np.maximum.accumulate(np.where(stays, np.arange(len(key)), 0))
     later = ~stays & ~(same & (doc == doc[first]) & (at == at[first]))
-    yield from _marked(doc[later], at[later], (m[later] >> 8) + 1)
-    ask = stays & (names > 1)
-    yield from _batches(key[ask], name[ask], doc[ask], at[ask], m[ask] + HOT * (names[ask] > hot))
+    yield from _marked(doc[later], at[later], (m[later] % HOT >> 8) + 1)
+    ask = stays & ((names > 1) | (m >= HOT))  # other names of a k-gram that was cut may be in its other parts
+    yield from _batches(key[ask], name[ask], doc[ask], at[ask], m[ask] % HOT + HOT * ((names[ask] > hot) | (m[ask] >= HOT)))
 
 
 def _named(data, offsets, docs, places, span: int):
@@ -282,18 +300,31 @@ def _cut(span: int):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, hot: int = 1024) -> DataFrame:
+def _frequent(docs: DataFrame, span: int, few: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k-grams that make up more than one in `few` samples of a share of the texts, and into how many parts to cut them."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit(2), "doc", "tag"), F.lit(share)) == 0) if share > 1 else docs
+    none = np.zeros(0, dtype=U)
+    counts = some.select("doc", "tag", "text").mapInArrow(_sampled(span, none, none), MARKS).where("m >= 0").groupBy("key").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = collected_bounded(counts.where((F.col("n") > total / few) & (F.col("n") > 8)), few, "the frequent k-grams")
+    rows = sorted((r["key"] % (1 << 64), -(-r["n"] * few // total)) for r in rows)
+    return np.array([k for k, _ in rows], dtype=U), np.array([n for _, n in rows], dtype=U)
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 100, hot: int = 1024, few: int | None = None, share: int = SHARE) -> DataFrame:
     """id, n_bytes, removed array<struct<start, end>> (byte offsets, end exclusive) and kept (binary): each text without
     the bytes that are covered by a string of `span` bytes that also starts earlier, in a text of smaller id or before in
     the same text. A row for each row of df, also for empty and short texts, of which nothing is removed. A k-gram is hot
-    if its samples have over `hot` names; their windows are dealt out by what they hold, with the same result."""
+    if its samples have over `hot` names; their windows are dealt out by what they hold, with the same result. `few` is the
+    session's number of shuffle partitions unless given."""
     if not K < span <= 250:
         raise ValueError(f"span must be over {K} and at most 250")
+    few = max(100, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if few is None else few
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumns(
         {"doc": F.coalesce("id", F.lit(NO_ID)), "tag": F.shiftrightunsigned(F.xxhash64("text"), 64 - TAG_BITS)}
     )
-    sampled = docs.select("doc", "tag", "text").mapInArrow(_sampled(span), MARKS)
+    sampled = docs.select("doc", "tag", "text").mapInArrow(_sampled(span, *_frequent(docs, span, few, share)), MARKS)
     first = written(sampled.repartition("key").mapInArrow(_buckets(hot), MARKS), "suffix-buckets")
     tag: Column = F.shiftright("at", POS_BITS)
     asked = first.where("m >= 0").groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("key", "at", "m")).alias("asked"))

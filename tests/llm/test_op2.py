@@ -32,10 +32,15 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 1024), (2, 1024), (1, 1), (2, 2)])
-def test_matches_brute_force(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "few"), [(1, 1024, None), (2, 1024, None), (1, 1, None), (2, 2, None), (1, 1024, 2000), (3, 1024, 100)])
+def test_matches_brute_force(spark, seed, hot, few):
     rows = corpus(seed)
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    if few:  # one string of 70 bytes in many contexts, and in long repeats
+        rng, often = random.Random(seed), "".join(map(chr, range(33, 103)))
+        more = [(200 + i, "".join(rng.choice("uvwxyz ") for _ in range(90)) + often + "".join(rng.choice("uvwxyz ") for _ in range(90))) for i in range(80)]
+        rows += more + [(300 + i, more[i][1][5:190] + "!") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = remove_repeats(docs, hot=hot, few=few, share=1 if few else 64).collect()
     found = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in got}
     assert found == brute(rows, 100)
 
@@ -50,7 +55,7 @@ def test_long_text_is_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(H, "PIECE", 1000)
     import pyarrow as pa
 
-    rows = list(op._sampled(100)([pa.RecordBatch.from_pydict({"doc": [1], "tag": [0], "text": [text]})]))
+    rows = list(op._sampled(100, *[op.np.zeros(0, dtype=op.U)] * 2)([pa.RecordBatch.from_pydict({"doc": [1], "tag": [0], "text": [text]})]))
     samples = sum(int(((b["m"].to_numpy() >> 8) + 1)[b["m"].to_numpy() >= 0].sum()) - int(b["m"].to_numpy()[b["m"].to_numpy() < 0].sum()) for b in rows)
     assert samples == len(text) - 99  # each window belongs to one sample
 
@@ -70,3 +75,17 @@ def test_repeated_rows_of_one_batch(spark):
     want = brute([(1, text), (2, text + "z")], 100)
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert len(got) == 4 and all((r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id] for r in got)
+
+
+def test_frequent_k_grams_are_cut(spark):
+    from litforge.llm import op2_suffix_dedup as op
+
+    rng, often = random.Random(8), "".join(map(chr, range(33, 103)))
+    noise = lambda n: "".join(rng.choice("uvwxyz ") for _ in range(n))
+    docs = spark.createDataFrame([(i, 0, noise(300) + often + noise(300)) for i in range(400)], "doc long, tag long, text string")
+    keys, parts = op._frequent(docs, 100, 100, 1)
+    assert 1 <= len(keys) <= 100 and parts.max() >= 2
+    batches = docs.toArrow().to_batches()
+    least = lambda rows: max(op.np.unique(op.np.concatenate([b["key"].to_numpy() for b in rows]), return_counts=True)[1])
+    none = op.np.zeros(0, dtype=op.U)
+    assert least(list(op._sampled(100, keys, parts)(batches))) < least(list(op._sampled(100, none, none)(batches)))
