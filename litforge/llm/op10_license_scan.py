@@ -228,12 +228,6 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", temp
     return held.select(F.col("id").alias(id_col), F.explode(F.array(F.when(F.size("may") > 0, hits).otherwise(F.array().cast("array<struct<dice:double,line:int,license:string,word:int,words:int>>")))).alias("hits"))
 
 
-def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    first = F.get("hits", F.lit(0))
-    return found.select("doc_id", F.size("hits").cast("long").alias("n_hits"), first["license"].alias("license"), first["line"].alias("line"), first["words"].alias("words"), F.round(first["dice"], 6).alias("dice"))
-
-
 def _sql() -> str:
     rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{g}'" for g in bigrams(v))) for k, v in sorted(TEMPLATES.items()))
     widest = bounds(max(len(re.findall("[a-z0-9]+", v.lower())) for v in TEMPLATES.values()), 0.8)[1]

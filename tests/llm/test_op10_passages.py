@@ -2,7 +2,7 @@ import random
 import re
 import textwrap
 
-from litforge.llm.op10_license_scan import TEMPLATES, bigrams, bounds, full_texts, op10_license_passages, passages, scan
+from litforge.llm.op10_license_scan import TEMPLATES, bigrams, bounds, full_texts, passages, scan
 
 
 def plain(text, templates, t=0.8):
@@ -58,6 +58,6 @@ def test_wrapped_embedded_and_whole(spark):
 
 
 def test_plan(spark):
-    df = op10_license_passages(spark, "/root/testdata/sf0.001")
-    assert df.where("n_hits > 0").count() > 0
+    df = passages(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert df.where("size(hits) > 0").count() > 0
     assert not re.search("Python|Arrow|Pandas|Exchange", df._jdf.queryExecution().executedPlan().toString())
