@@ -28,23 +28,23 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
-def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+", " ")
+def collapse(c: Column, ws: str = WS) -> Column:
+    return F.regexp_replace(c, f"{ws}+", " ")
 
 
-def tighten(c: Column) -> Column:
+def tighten(c: Column, ws: str = WS) -> Column:
     """No space before . , ; :"""
-    return F.regexp_replace(c, f"{WS}+([.,;:])", "$1")
+    return F.regexp_replace(c, f"{ws}+([.,;:])", "$1")
 
 
-def space_after_stop(c: Column) -> Column:
-    return F.regexp_replace(c, f"([.!?]){WS}*([a-z])", "$1 $2")
+def space_after_stop(c: Column, ws: str = WS) -> Column:
+    return F.regexp_replace(c, f"([.!?]){ws}*([a-z])", "$1 $2")
 
 
-def drop_citations(c: Column) -> Column:
+def drop_citations(c: Column, ws: str = WS) -> Column:
     """[n], [n-m] with hyphen or en dash, then [n, m, ...]; mixed lists stay."""
     c = F.regexp_replace(c, rf"\[{DIGIT}+(?:[-–]{DIGIT}+)?\]", "")
-    return F.regexp_replace(c, rf"\[{DIGIT}+(?:,{WS}*{DIGIT}+)*\]", "")
+    return F.regexp_replace(c, rf"\[{DIGIT}+(?:,{ws}*{DIGIT}+)*\]", "")
 
 
 def split_camel(c: Column) -> Column:
@@ -55,14 +55,18 @@ def one_period(c: Column) -> Column:
     return F.regexp_replace(c, r"\.{2,}", ".")
 
 
+# once white space is collapsed, a blank is all there is of it, and a blank is found faster than a class of signs
+
+
 def post_process(c: Column) -> Column:
     """What follows a model's answer: white space first, citations after punctuation, collapsed again at the end."""
-    return strip(collapse(one_period(split_camel(drop_citations(space_after_stop(tighten(collapse(c))))))))
+    tidy = drop_citations(space_after_stop(tighten(collapse(c), " "), " "), " ")
+    return strip(F.regexp_replace(one_period(split_camel(tidy)), " {2,}", " "))
 
 
 def fallback_clean(c: Column) -> Column:
     """What stands in for a model: citations before punctuation, no second collapse."""
-    return strip(space_after_stop(tighten(drop_citations(collapse(c)))))
+    return strip(space_after_stop(tighten(drop_citations(collapse(c), " "), " "), " "))
 
 
 def join_chunks(chunks: Column) -> Column:
