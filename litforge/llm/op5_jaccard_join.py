@@ -417,6 +417,8 @@ def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float,
 def _pools(met: DataFrame, block: int, block_bytes: int) -> DataFrame:
     """name, pool, piece, parts: the members of large buckets, in pools of buckets that share members, which are cut into
     parts, or blocks, of PIECES each."""
+    if not met.limit(1).count():
+        return met.sparkSession.createDataFrame([], "name long, pool long, piece int, parts int")
     hub = F.xxhash64(F.lit(11), "band", "bucket")
     roots = components(met.select("name", hub.alias("hub")), "name", "hub")
     members = met.select("name", "n").distinct().join(roots.select(F.col("node").alias("name"), F.col("root").alias("pool")), "name", "left").withColumn("pool", F.coalesce("pool", "name"))
