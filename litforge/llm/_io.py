@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, the folder of the
-    session's warehouse stands in, which is shared too; no folder of one machine is used."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return found.rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset and all run in one process,
+    the session's warehouse stands in; on a cluster there is no telling whether that is shared, so it is a fault."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
