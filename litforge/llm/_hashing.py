@@ -30,6 +30,12 @@ BYTE = mix(np.arange(1, 257, dtype=U) * U(BASE))
 #: ASCII letters and digits, and every byte of a non-ASCII character, make up words.
 WORD = np.zeros(256, dtype=bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Any byte but white space makes up words.
+MARKED = np.ones(256, dtype=bool)
+MARKED[[32, *range(9, 14)]] = False
+#: A-Z in lower case, every other byte as it is.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
@@ -78,9 +84,9 @@ def pieces(offsets: np.ndarray, size: int = PIECE):
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, and the index of each text's first word."""
-    inside = WORD[data]
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the index of each text's first word. kind tells which bytes make up words."""
+    inside = kind[data]
     before = np.concatenate(([False], inside[:-1]))
     before[offsets[:-1][offsets[:-1] < len(data)]] = False
     after = np.concatenate((inside[1:], [False]))
