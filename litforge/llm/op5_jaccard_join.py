@@ -26,6 +26,9 @@ unless alone; rows that repeat are copies of each other. Other columns are left
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,12 +51,29 @@ def plan(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
     return best
 
 
-def _sets(column, k: int):
+class Scheme(NamedTuple):
+    """How texts become sets, and how sets are signed and compared. sign gives the band hashes of sets, and what likely
+    reads, a row of bytes each, or None. likely tells which of some sets may reach the threshold with which of others;
+    without it every pair that shares a band is verified."""
+
+    k: int
+    threshold: float
+    bands: int
+    sign: Callable
+    words: Callable
+    likely: Callable | None = None
+
+
+def lower_words(data: np.ndarray, offsets: np.ndarray):
+    return H.words(data, offsets)
+
+
+def _sets(column, scheme: Scheme):
     """For each text of an Arrow column its sorted set of shingles."""
-    data, offsets = H.utf8(H.lowered(column))
+    data, offsets = H.utf8(H.lowered(column) if scheme.words is lower_words else column)
     for i, j in H.pieces(offsets):
-        hashes, first = H.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        grams, begin = H.shingles(hashes, first, k)
+        hashes, first = scheme.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        grams, begin = H.shingles(hashes, first, scheme.k)
         for r in range(j - i):
             yield np.unique(grams[begin[r] : begin[r + 1]])
 
@@ -63,29 +83,49 @@ def _class(own: np.ndarray) -> int:
         return int(H.mix(np.array([np.bitwise_xor.reduce(own) + H.mix(own).sum(dtype=U) + U(len(own))], dtype=U)).view(np.int64)[0])
 
 
-def _signed(k: int, bands: int, rows: int):
+def minima(sets: list[np.ndarray], factors: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over each set."""
+    every = np.concatenate(sets)
+    at = np.concatenate(([0], np.cumsum([len(p) for p in sets])[:-1]))
+    return np.stack([np.minimum.reduceat(every * f, at) for f in factors], axis=1)
+
+
+def banded(values: np.ndarray, bands: int) -> np.ndarray:
+    """A hash for each band of the same number of values."""
+    low = values.astype(U).reshape(len(values), bands, -1)
+    out = np.zeros((len(values), bands), dtype=U)
+    for r in range(low.shape[2]):
+        out = H.mix(out * U(H.BASE) + low[:, :, r])
+    return H.mix(out + H.mix(np.arange(1, bands + 1, dtype=U) * U(77))).view(np.int64)
+
+
+def minhash(bands: int, rows: int):
     factors = H.mix(np.arange(1, bands * rows + 1, dtype=U)) | U(1)
-    salt = H.mix(np.arange(1, bands + 1, dtype=U) * U(77))
 
+    def sign(sets: list[np.ndarray]):
+        return banded(minima(sets, factors), bands), None
+
+    return sign
+
+
+SIGNED = "id long, h long, name long, n int, signs array<long>, sketch binary"
+
+
+def _signed(scheme: Scheme):
     def run(batches):
         for batch in batches:
-            names, sizes, signs = [], [], []
+            names, sizes, signs, sketches = [], [], [], []
             part: list[np.ndarray] = []
 
             def flush():
                 if part:
-                    every = np.concatenate(part)
-                    at = np.concatenate(([0], np.cumsum([len(p) for p in part])[:-1]))
-                    low = np.stack([np.minimum.reduceat(every * f, at) for f in factors], axis=1).reshape(len(part), bands, rows)
-                    out = np.zeros((len(part), bands), dtype=U)
-                    for r in range(rows):
-                        out = H.mix(out * U(H.BASE) + low[:, :, r])
-                    signs.extend(H.mix(out + salt).view(np.int64))
+                    hashes, sketch = scheme.sign(part)
+                    signs.extend(hashes)
+                    sketches.extend([None] * len(part) if sketch is None else sketch)
                     part.clear()
 
-            empty = np.zeros(0, dtype=np.int64)
             where = []
-            for own in _sets(batch.column("text"), k):
+            for own in _sets(batch.column("text"), scheme):
                 sizes.append(len(own))
                 names.append(_class(own) if len(own) else 0)
                 if len(own):
@@ -94,10 +134,11 @@ def _signed(k: int, bands: int, rows: int):
                     if sum(map(len, part[-1:])) > 200_000 or len(part) >= 400:
                         flush()
             flush()
-            full = [empty] * len(sizes)
-            for r, s in zip(where, signs, strict=True):
-                full[r] = s
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), pa.array(names, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(full, type=pa.list_(pa.int64()))], names=["id", "h", "name", "n", "signs"])
+            full, kept = [np.zeros(0, dtype=np.int64)] * len(sizes), [None] * len(sizes)
+            for r, s, x in zip(where, signs, sketches, strict=True):
+                full[r], kept[r] = s, x
+            columns = [batch.column("id"), batch.column("h"), pa.array(names, type=pa.int64()), pa.array(sizes, type=pa.int32()), pa.array(full, type=pa.list_(pa.int64())), pa.array(kept, type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "name", "n", "signs", "sketch"])
 
     return run
 
@@ -139,12 +180,19 @@ def _apart(signs: np.ndarray, pool: np.ndarray, others: np.ndarray, other_pool:
     return out
 
 
-def _owners(bands: int):
+def _sketches(column) -> np.ndarray:
+    """A column of rows of bytes of one length as a matrix."""
+    found = column.to_pylist()
+    return np.frombuffer(b"".join(found), dtype=np.uint8).reshape(len(found), -1)
+
+
+def _owners(scheme: Scheme):
     """Of the members of each bucket, those with a pair that belongs to it."""
 
     def run(batches):
         for table, bounds in _runs(batches, ["band", "bucket"]):
-            band, pool, signs = table.column("band").to_numpy(), table.column("pool").to_numpy(), _lists(table.column("signs"), bands)
+            band, pool, signs = table.column("band").to_numpy(), table.column("pool").to_numpy(), _lists(table.column("signs"), scheme.bands)
+            sketch = _sketches(table.column("sketch")) if scheme.likely else None
             keep = np.zeros(table.num_rows, dtype=bool)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 s = signs[a:b, : band[a]]
@@ -152,17 +200,19 @@ def _owners(bands: int):
                     j = min(b, i + 512)
                     own = _apart(s[i - a : j - a], pool[i:j], s, pool[a:b])
                     own[np.arange(j - i), np.arange(i - a, j - a)] = False
+                    if scheme.likely and own.any():
+                        own &= scheme.likely(sketch[i:j], sketch[a:b])
                     keep[i:j] = own.any(axis=1)
             yield from table.select(["bucket", "band", "name"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
-CELL = "cell long, piece int, parts int, band int, name long, copies long, pool long, signs array<long>, grams binary"
-_CELL = (("cell", pa.int64()), ("piece", pa.int32()), ("parts", pa.int32()), ("band", pa.int32()), ("name", pa.int64()), ("copies", pa.int64()), ("pool", pa.int64()), ("signs", pa.list_(pa.int64())))
+CELL = "cell long, piece int, parts int, band int, name long, copies long, pool long, signs array<long>, sketch binary, grams binary"
+_CELL = (("cell", pa.int64()), ("piece", pa.int32()), ("parts", pa.int32()), ("band", pa.int32()), ("name", pa.int64()), ("copies", pa.int64()), ("pool", pa.int64()), ("signs", pa.list_(pa.int64())), ("sketch", pa.binary()))
 
 
-def _fetched(k: int):
+def _fetched(scheme: Scheme):
     """The shingles of each class that is asked for, once for each of its buckets, and once for its piece of a pool
     (-1 for a bucket)."""
 
@@ -170,14 +220,14 @@ def _fetched(k: int):
         done = set()
         for batch in batches:
             asked = batch.select([c for c in batch.schema.names if c != "text"]).to_pylist()
-            for r, own in zip(asked, _sets(batch.column("text"), k), strict=True):
+            for r, own in zip(asked, _sets(batch.column("text"), scheme), strict=True):
                 if not len(own) or r["name"] in done:
                     continue
                 done.add(r["name"])
                 raw = own.tobytes()
-                rows = [(c["bucket"], -1, 0, c["band"], r["name"], r["copies"], r["pool"] or 0, r["signs"]) for c in r["cells"] or []]
+                rows = [(c["bucket"], -1, 0, c["band"], r["name"], r["copies"], r["pool"] or 0, r["signs"], r["sketch"]) for c in r["cells"] or []]
                 if r["pool"]:
-                    rows.append((r["pool"], r["piece"], r["parts"], 0, r["name"], r["copies"], r["pool"], []))
+                    rows.append((r["pool"], r["piece"], r["parts"], 0, r["name"], r["copies"], r["pool"], [], r["sketch"]))
                 step = max(1, (32 << 20) // len(raw))
                 for i in range(0, len(rows), step):
                     cut = rows[i : i + step]
@@ -222,11 +272,15 @@ def _counted(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray, left
         some = left[a : a + step]
         for b in range(a if alike else 0, len(right), step):
             others = right[b : b + step]
-            fine = _linked(sets, some, others, threshold) & (names[some][:, None] != names[others][None, :])
+            fine = names[some][:, None] != names[others][None, :]
             if alike:
                 fine &= some[:, None] < others[None, :]
             if allowed is not None:
                 fine &= allowed(some, others)
+            p, q = np.flatnonzero(fine.any(axis=1)), np.flatnonzero(fine.any(axis=0))
+            if not len(p):
+                continue
+            fine[np.ix_(p, q)] &= _linked(sets, some[p], others[q], threshold)
             links[some] += fine @ copies[others]
             links[others] += copies[some] @ fine
             for i, j in _forest(fine):
@@ -248,8 +302,8 @@ def _forest(fine: np.ndarray):
         owner[at] = i
 
 
-LINKS = "name long, root long, links long, cell long, piece int, parts int, names array<long>, copies array<long>, grams array<long>, usual array<int>, sizes array<int>, items array<int>"
-_PACKED = (("names", pa.int64()), ("copies", pa.int64()), ("grams", pa.int64()), ("usual", pa.int32()), ("sizes", pa.int32()), ("items", pa.int32()))
+LINKS = "name long, root long, links long, cell long, piece int, parts int, names array<long>, copies array<long>, grams array<long>, usual array<int>, sizes array<int>, items array<int>, sketches array<binary>"
+_PACKED = (("names", pa.int64()), ("copies", pa.int64()), ("grams", pa.int64()), ("usual", pa.int32()), ("sizes", pa.int32()), ("items", pa.int32()), ("sketches", pa.binary()))
 
 
 def _out(links: list, packed: list):
@@ -261,7 +315,7 @@ def _out(links: list, packed: list):
     return pa.RecordBatch.from_arrays(columns, names=["name", "root", "links", "cell", "piece", "parts", *(f for f, _ in _PACKED)])
 
 
-def _pack(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray) -> tuple:
+def _pack(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray, sketches: list) -> tuple:
     """A piece's dictionary, the numbers of the shingles that most members have, and for each member the numbers of its
     own shingles (size n), or of those by which it differs from most (size -n - 1), whichever are fewer."""
     every, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -272,21 +326,21 @@ def _pack(sets: list[np.ndarray], names: np.ndarray, copies: np.ndarray) -> tupl
         apart = np.setxor1d(own, usual, assume_unique=True)
         sizes.append(-len(apart) - 1 if len(apart) < len(own) else len(own))
         items.append(apart if len(apart) < len(own) else own)
-    return names, copies, every.view(np.int64), usual, np.array(sizes, dtype=np.int32), np.concatenate(items)
+    return names, copies, every.view(np.int64), usual, np.array(sizes, dtype=np.int32), np.concatenate(items), sketches
 
 
-def _unpack(row: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    names, copies, grams, usual, sizes, items = (row[f] for f, _ in _PACKED)
+def _unpack(row: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    names, copies, grams, usual, sizes, items, sketches = (row[f] for f, _ in _PACKED)
     grams, at, sets = grams.view(U), 0, []
     for n in sizes.tolist():
         m = n if n >= 0 else -n - 1
         own = items[at : at + m]
         at += m
         sets.append(grams[own if n >= 0 else np.setxor1d(usual, own, assume_unique=True)])
-    return sets, names, copies
+    return sets, names, copies, sketches
 
 
-def _met(threshold: float, bands: int):
+def _met(scheme: Scheme):
     """Verifies the buckets, and packs the pieces of pools."""
 
     def run(batches):
@@ -299,12 +353,13 @@ def _met(threshold: float, bands: int):
                 sets = [np.frombuffer(g, dtype=U) for g in rows.column("grams").to_pylist()]
                 names, copies, pool = (rows.column(c).to_numpy() for c in ("name", "copies", "pool"))
                 if piece[a] >= 0:
-                    packed.append((int(rows.column("cell")[0].as_py()), int(piece[a]), int(rows.column("parts")[0].as_py()), *_pack(sets, names, copies)))
+                    packed.append((int(rows.column("cell")[0].as_py()), int(piece[a]), int(rows.column("parts")[0].as_py()), *_pack(sets, names, copies, rows.column("sketch").to_pylist())))
                     held += sum(len(s) for s in sets)
                 else:
-                    signs = _lists(rows.column("signs"), bands)[:, : rows.column("band")[0].as_py()]
+                    signs = _lists(rows.column("signs"), scheme.bands)[:, : rows.column("band")[0].as_py()]
                     every = np.arange(len(names))
-                    links += _counted(sets, names, copies, every, every, threshold, lambda i, j, s=signs, p=pool: _apart(s[i], p[i], s[j], p[j]))
+                    likely = _likely(scheme, rows.column("sketch").to_pylist())
+                    links += _counted(sets, names, copies, every, every, scheme.threshold, lambda i, j, s=signs, p=pool, f=likely: _apart(s[i], p[i], s[j], p[j]) & (f(i, j) if f else True))
                 if len(links) > 50_000 or held > 4_000_000:
                     yield _out(links, packed)
                     links, packed, held = [], [], 0
@@ -314,7 +369,15 @@ def _met(threshold: float, bands: int):
     return run
 
 
-def _paired(threshold: float):
+def _likely(scheme: Scheme, sketches: list):
+    """scheme.likely by the members' numbers."""
+    if scheme.likely is None:
+        return None
+    own = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1)
+    return lambda i, j: scheme.likely(own[i], own[j])
+
+
+def _paired(scheme: Scheme):
     """Verifies all pairs of two packed blocks, or of one with itself."""
 
     def run(batches):
@@ -323,13 +386,14 @@ def _paired(threshold: float):
                 part, piece, rows = table.column("part").to_numpy()[a:b], table.column("piece").to_numpy()[a:b], []
                 for i in range(b - a):
                     if i == 0 or piece[i] != piece[i - 1]:
-                        rows.append((part[i], _unpack({f: table.column(f)[a + i].values.to_numpy(zero_copy_only=False) for f, _ in _PACKED})))
+                        rows.append((part[i], _unpack({f: v.to_pylist() if f == "sketches" else v.to_numpy(zero_copy_only=False) for f, _ in _PACKED for v in [table.column(f)[a + i].values]})))
                 sets = [s for _, r in rows for s in r[0]]
                 names, copies = (np.concatenate([r[i] for _, r in rows]) for i in (1, 2))
                 low, high = table.column("pair_of")[a].as_py(), table.column("pair_to")[a].as_py()
                 left = np.arange(sum(len(r[0]) for p, r in rows if p == low))
                 right = left if low == high else np.arange(len(left), len(sets))  # a block may be empty
-                links = _counted(sets, names, copies, left, right, threshold) if len(left) and len(right) else []
+                likely = _likely(scheme, [x for _, r in rows for x in r[3]])
+                links = _counted(sets, names, copies, left, right, scheme.threshold, likely) if len(left) and len(right) else []
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*links, strict=True)], names=["name", "root", "links"])
 
@@ -380,38 +444,42 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _joined(df: DataFrame, id_col: str, text_col: str, k: int, threshold: float, recall: float, bucket: int, block: int, block_bytes: int) -> DataFrame:
-    """id, h (hash of the text), class_id, copy_of, n_links and first (whether the row is the one that stands for its group:
-    the smallest id, and of several texts under that id the one of smallest hash) of every row."""
+def by_minhash(k: int, threshold: float, recall: float) -> Scheme:
     bands, rows = plan(threshold, recall)
+    return Scheme(k, threshold, bands, minhash(bands, rows), lower_words)
+
+
+def joined(df: DataFrame, id_col: str, text_col: str, scheme: Scheme, bucket: int, block: int, block_bytes: int) -> DataFrame:
+    """id, h (hash of the text), n_shingles, class_id, copy_of, n_links and first (whether the row is the one that stands for its group:
+    the smallest id, and of several texts under that id the one of smallest hash) of every row."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    signed = written(docs.mapInArrow(_signed(k, bands, rows), "id long, h long, name long, n int, signs array<long>"), "signatures")
+    signed = written(docs.mapInArrow(_signed(scheme), SIGNED), "signatures")
     place: Column = F.struct(F.col("id").isNull().alias("no"), "id", "h")
-    classes = signed.where("n > 0").groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+    classes = signed.where("n > 0").groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signs").alias("signs"), F.first("sketch").alias("sketch"))
 
     spread = classes.select("name", "n", F.posexplode("signs").alias("band", "bucket"))
     met = written(_with_facts(spread, ["band", "bucket"], "name", {"m": (F.sum, F.lit(1)), "size": (F.sum, F.col("n").cast("long"))}, "m > 1"), "met")
     large = (F.col("m") > bucket) | (F.col("size") * 8 > block_bytes)
     pooled = _pools(met.where(large), block, block_bytes)
-    small = met.where(~large).select("name", "band", "bucket").join(classes.select("name", "signs"), "name").join(pooled.select("name", "pool"), "name", "left").fillna(0, ["pool"])
-    owned = small.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "name").mapInArrow(_owners(bands), "bucket long, band int, name long")
+    small = met.where(~large).select("name", "band", "bucket").join(classes.select("name", "signs", *["sketch"] * bool(scheme.likely)), "name").join(pooled.select("name", "pool"), "name", "left").fillna(0, ["pool"])
+    owned = small.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "name").mapInArrow(_owners(scheme), "bucket long, band int, name long")
     cells = owned.groupBy("name").agg(F.collect_list(F.struct("bucket", "band")).alias("cells"))  # at most one a band
 
-    asked = written(cells.join(pooled, "name", "full").join(classes.select("name", "place", "copies", "signs"), "name").select(F.col("place.id").alias("of_id"), F.col("place.h").alias("of_h"), "name", "copies", "signs", "pool", "piece", "parts", "cells"), "asked")
-    got = docs.join(asked.hint("shuffle_hash"), docs["id"].eqNullSafe(asked["of_id"]) & (docs["h"] == asked["of_h"])).drop("id", "h", "of_id", "of_h").mapInArrow(_fetched(k), CELL)
-    found = written(got.repartition("cell", "piece", "band").sortWithinPartitions("cell", "piece", "band", "name").mapInArrow(_met(threshold, bands), LINKS), "links")
+    asked = written(cells.join(pooled, "name", "full").join(classes.select("name", "place", "copies", "signs", "sketch"), "name").select(F.col("place.id").alias("of_id"), F.col("place.h").alias("of_h"), "name", "copies", "signs", "sketch", "pool", "piece", "parts", "cells"), "asked")
+    got = docs.join(asked.hint("shuffle_hash"), docs["id"].eqNullSafe(asked["of_id"]) & (docs["h"] == asked["of_h"])).drop("id", "h", "of_id", "of_h").mapInArrow(_fetched(scheme), CELL)
+    found = written(got.repartition("cell", "piece", "band").sortWithinPartitions("cell", "piece", "band", "name").mapInArrow(_met(scheme), LINKS), "links")
     blocks = found.where("cell is not null").select("cell", "piece", F.floor(F.col("piece") / PIECES).cast("int").alias("part"), *(f for f, _ in _PACKED), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = blocks.withColumn("pair", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other"))).withColumn("pair_of", F.least("part", "other")).withColumn("pair_to", F.greatest("part", "other")).drop("cell", "other")
-    between = written(pairs.repartition("pair").sortWithinPartitions("pair", "pair_of", "part", "piece").mapInArrow(_paired(threshold), "name long, root long, links long"), "block-links")
+    between = written(pairs.repartition("pair").sortWithinPartitions("pair", "pair_of", "part", "piece").mapInArrow(_paired(scheme), "name long, root long, links long"), "block-links")
 
     links = found.where("name is not null").select("name", "root", "links").unionByName(between)
     roots = components(links, "name", "root")
     per_class = links.groupBy("name").agg(F.sum("links").alias("links"))
     alone = classes.select("name", "place", "copies").join(per_class, "name", "left").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     by_class = _with_facts(alone, ["root"], "name", {"least": (F.min, F.col("place"))}).select("name", "place", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    every = _looked_up(signed.select("id", "h", F.when(F.col("n") > 0, F.col("name")).alias("name")), "name", "id", by_class)
+    every = _looked_up(signed.select("id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).alias("name")), "name", "id", by_class)
     first = F.col("name").isNull() | (F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.h") == F.col("h")))
-    return every.select("id", "h", F.coalesce("least.id", "id").alias("class_id"), F.coalesce("place.id", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
+    return every.select("id", "h", "n_shingles", F.coalesce("least.id", "id").alias("class_id"), F.coalesce("place.id", "id").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), first.alias("first"))
 
 
 def _pools(met: DataFrame, block: int, block_bytes: int) -> DataFrame:
@@ -428,13 +496,13 @@ def _pools(met: DataFrame, block: int, block_bytes: int) -> DataFrame:
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 256, block: int = 1024, block_bytes: int = 64 << 20) -> DataFrame:
-    found = _joined(df, id_col, text_col, k, threshold, recall, bucket, block, block_bytes)
+    found = joined(df, id_col, text_col, by_minhash(k, threshold, recall), bucket, block, block_bytes)
     return found.select(F.col("id").alias(id_col), "class_id", "copy_of", "n_links")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.999, bucket: int = 256, block: int = 1024, block_bytes: int = 64 << 20) -> DataFrame:
     """id, h (xxhash64 of the text) and n (rows) of the text that stands for each group, and of each text without words."""
-    found = _joined(df, id_col, text_col, k, threshold, recall, bucket, block, block_bytes)
+    found = joined(df, id_col, text_col, by_minhash(k, threshold, recall), bucket, block, block_bytes)
     return found.where("first").groupBy(F.col("id").alias(id_col), "h").agg(F.count("*").alias("n"))
 
 
