@@ -3,19 +3,23 @@ within it by a vote of one-against-one linear SVMs.
 
 Features are hashed trigrams of the lower-cased letters' UTF-8 bytes (any other ASCII byte counts as a blank), counted
 over the whole text, their square roots scaled to length one. The machines (squared hinge loss, L2) are fitted on the
-driver on a bounded sample of the labelled rows: `train_rows` texts in all, the same number for each language, chosen by
-a hash of id; of dirty labels the `most_langs` most frequent are learned. Prediction is one pass over the texts without a shuffle; a task holds the counts of at most 256 texts.
+driver on a bounded sample of the labelled rows: `train_rows` texts in all, the same number for each language but one at
+least, chosen by a hash of id and text. Every language that some row has is learned, and a row for each is on the
+driver and broadcast. Prediction is one pass over the texts without a shuffle; a task holds the counts of at most 256 texts.
 
 Rows: a null text or one without a letter is `und` with score 0, and so is every text if nothing can be learned. A null
-id counts as the empty text in the split. Rows that repeat are predicted alike; other columns are left aside.
+id counts as the empty text in the split, and rows without an id, or of one id, are chosen by their texts. Rows that
+repeat are predicted alike, and are one row of the sample; other columns are left aside.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litforge.llm import _hashing as H
@@ -122,27 +126,34 @@ class Model:
         return out, np.clip(score, 0, 1)
 
 
-def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = 2000, most_langs: int = 200) -> Model | None:
-    """Fits on at most train_rows rows that have a language and a letter. None if there are no such rows."""
-    own = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in df.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    if not counts:
-        return None
-    cap = max(1, train_rows // len(counts))
-    chance: Column = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * cap / n))])[F.col("lang")]
-    rank = F.pmod(F.xxhash64(F.lit(4), F.coalesce("id", F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def sampled(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int) -> DataFrame:
+    """lang, r and x (features) of up to train_rows rows that have a language and a letter: as many of each language, those
+    of least r, a hash of id and text."""
+    some = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    r = F.xxhash64(F.lit(4), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
+    own = some.select(F.col(lang_col).cast("string").alias("lang"), r.alias("r"), F.col(text_col).alias("text"))
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("r", 0.02).alias("n")).collect()  # a row for each language
+    cap = max(1, train_rows // max(1, len(counts)))
+    # rows that lie over a language's share can't be among its least; the share leaves room for six standard deviations
+    share = (F.lit(cap + 6 * math.sqrt(cap) + 30) / F.col("n") * F.lit(1.15)).alias("share")
+    shares = df.sparkSession.createDataFrame(counts, "of_lang string, n long").select("of_lang", share)
+    few = own.join(F.broadcast(shares), F.col("lang") == F.col("of_lang"))
+    few = few.where(F.shiftrightunsigned("r", 24) / F.lit(float(1 << 40)) < F.col("share")).dropDuplicates(["lang", "r"]).select("lang", "r", "text")
 
     def run(batches):
         for batch in batches:
             for a, x in features(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, len(x)), batch.column("r").slice(a, len(x)), pa.array([row.astype(np.float16).tobytes() for row in x], type=pa.binary())], names=["lang", "r", "x"])
 
-    rows = sorted(own.withColumn("r", rank).where(F.col("r") < chance).select("lang", "r", "text").mapInArrow(run, "lang string, r double, x binary").collect(), key=lambda r: (r["lang"], r["r"], r["x"]))
-    taken, kept = {}, []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= cap:
-            kept.append(r)
+    least = Window.partitionBy("lang").orderBy("u", "text")
+    taken = few.withColumn("u", F.shiftrightunsigned("r", 24)).withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= cap)
+    return taken.select("lang", "r", "text").mapInArrow(run, "lang string, r long, x binary")
+
+
+def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, train_rows: int = 2000) -> Model | None:
+    """Fits on the sample: the driver holds at most train_rows rows of it, or one for each language if these are more. None
+    if no row has a language and a letter."""
+    kept = sorted(sampled(df, id_col, text_col, lang_col, train_rows).collect(), key=lambda r: (r["lang"], r["r"]))
     if not kept:
         return None
     return Model(np.array([np.frombuffer(r["x"], dtype=np.float16) for r in kept]).astype(np.float32), [r["lang"] for r in kept])

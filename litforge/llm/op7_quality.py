@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litforge.llm import _hashing as H
-from litforge.llm._io import collected_bounded, written
+from litforge.llm._io import written
 
 #: Of trigrams and of bigrams: n, the bits of their hashes, and where their buckets begin.
 N, BITS, FIRST = (3, 2), (14, 16), (0, 1 << 14)
@@ -112,10 +112,8 @@ def log_ratio(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, good
     """log p(bucket | target) - log p(bucket | raw), for trigrams and for bigrams; the target's models are mixed with the raw
     ones, those of bigrams by a share that falls as labelled text grows."""
     ids = labels.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    n = ids.count()
-    share = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = ids if n <= target_rows else ids.where(share < 0.95 * target_rows / n)
-    target = np.array(sorted(r["id"] for r in collected_bounded(some, target_rows, "the sample of labelled rows")), dtype=np.int64)
+    some = ids.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(target_rows)
+    target = np.array(sorted(r["id"] for r in some.collect()), dtype=np.int64)
     counted = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_counted(target), "bucket int, raw long, good long")
     raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # at most BUCKETS rows

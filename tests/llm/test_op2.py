@@ -69,6 +69,18 @@ def test_edges(spark):
     assert got[(None, 150)] == 150 and got[(5, 150)] == 0 and got[(6, 151)] == 1
 
 
+def test_many_texts_under_one_id(spark):
+    rng = random.Random(6)
+    halves = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(101, 140))) for _ in range(3000)]
+    want = {t + t: (2 * len(t), len(t)) for t in halves}
+    for id_of in (None, 7):
+        rows = [(id_of, t + t) for t in halves] + [(8, "short")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = remove_repeats(docs).where("n_bytes > 5").collect()
+        assert len(got) == 3000 and all(s["end"] <= r.n_bytes for r in got for s in r.removed)
+        assert sorted((r.n_bytes, r.n_bytes - len(r.kept), bytes(r.kept).decode()) for r in got) == sorted((*want[t], t[: len(t) // 2]) for t in want)
+
+
 def test_repeated_rows_of_one_batch(spark):
     text = corpus(3)[0][1] + "".join(random.Random(4).choice("abcd ") for _ in range(300))
     rows = [(1, text), (1, text), (2, text + "z"), (2, text + "z")]

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from litforge.llm.op4_language_id import BITS, family_of, op4_language_id, predict, train
+from litforge.llm.op4_language_id import BITS, family_of, op4_language_id, predict, sampled, train
 
 D = "/root/testdata/sf0.001"
 
@@ -68,8 +68,23 @@ def test_matches_plain_rendering(spark):
     assert differ <= 0.02 * len(docs)  # the operator stops its descent after 150 steps, in single precision
 
 
-def test_most_frequent_labels_are_learned(spark):
-    rows = [(i, ("the cat and the dog" if i % 2 else "der hund und die katze"), "en" if i % 2 else "de") for i in range(40)] + [(100 + i, "xyz abc", f"dirt{i}") for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = train(docs, "doc_id", "text", "lang", most_langs=2)
-    assert model.langs == ["de", "en"] and {r.lang_pred for r in predict(docs.select("doc_id", "text"), model).collect()} <= {"de", "en"}
+def test_every_label_is_learned(spark):
+    rows = [(i, f"the cat and the dog {i}" if i % 2 else f"der hund und die katze {i}", "en" if i % 2 else "de") for i in range(400)]
+    rows += [(1000 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" * 20, f"l{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = train(docs, "doc_id", "text", "lang", train_rows=604)
+    assert len(model.langs) == 302
+    got = {r.doc_id: r.lang_pred for r in predict(docs.select("doc_id", "text"), model).collect()}
+    assert sum(got[i] == k for i, _, k in rows) > 0.95 * len(rows)
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    text = lambda i: (f"the cat and the dog number {i}" if i % 2 else f"der hund und die katze nummer {i}")
+    for id_of in (None, 7):
+        rows = [(id_of, text(i), "en" if i % 2 else "de") for i in range(12_000)] + [(id_of, "one text over and over", "xx")] * 3000
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+        taken = sampled(docs, "doc_id", "text", "lang", 300).groupBy("lang").count().collect()
+        assert {r["lang"]: r["count"] for r in taken} == {"en": 100, "de": 100, "xx": 1}
+        model = train(docs, "doc_id", "text", "lang", train_rows=300)
+        assert model.langs == ["de", "en", "xx"]
+    assert train(docs.where("false"), "doc_id", "text", "lang") is None

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from litforge.llm import op7_quality as op
 
@@ -111,3 +112,11 @@ def test_short_texts_at_the_end_of_a_batch(spark):
         docs = spark.createDataFrame([(1, GOOD), (2, BAD), (3, last), (4, last)], "doc_id long, text string").coalesce(1)
         got = {r.doc_id: r.log_weight for r in op.resample(docs, labels, temperature=0.0).collect()}
         assert len(got) == 4 and got[3] == got[4] == 0.0 and got[1] > 0 > got[2]
+
+
+def test_any_number_of_target_rows(spark):
+    rng = random.Random(11)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("alpha beta gamma delta".split(), k=9))) for i in range(5000)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for n in (1, 20, 50, 100):
+        assert op.resample(docs, labels, target_rows=n, k=10).where("kept").count() == 10
