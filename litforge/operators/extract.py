@@ -14,15 +14,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The domains of a relation's fields.
+#: The domains of the fields of each section.
 DOMAINS = {
     "domain": ("bacteria", "archaea", "fungi"),
     "taxonomic_level": ("phylum", "class", "order", "family", "genus", "species"),
     "direction": ("increased", "decreased", "unchanged", "unclear"),
-    "change_context": ("disease_vs_control", "treatment_effect"),
-    "sample_site": ("gut", "oral", "nasal", "skin", "vaginal", "lung", "fecal", "respiratory", "other"),
+    "change_context": ("disease_vs_control", "treatment_effect", "temporal", "dose_response", "other"),
+    "sample_site": ("gut", "oral", "nasal", "skin", "vaginal", "lung", "fecal", "uterine", "respiratory", "other"),
+    "temporal_context": ("cross_sectional", "baseline"),
     "confidence": ("high", "medium", "low"),
+    "metabolite_class": ("SCFA", "bile_acid", "phenolic", "amino_acid", "lipid", "organic_acid", "other"),
+    "sample_type": ("plasma", "urine", "fecal", "tissue", "saliva", "other"),
+    "marker_type": ("cytokine", "antimicrobial_peptide", "immune_cell", "immune_protein", "other"),
+    "relationship": ("virus_correlates_with_microbe", "virus_modifies_microbiome", "microbe_affects_viral_outcome"),
 }
+#: Values of open-ended form, by field.
+OPEN = {"sample_site": r"^oral_subsite_.+$", "temporal_context": r"^(followup_.+|(day|month|year)_[0-9]+)$"}
+#: The checked fields of each section; a field of another domain than its name's has it behind a colon.
+CHECKED = {
+    "microbe_relationships": ("domain", "taxonomic_level", "direction", "change_context", "sample_site", "temporal_context", "confidence"),
+    "metabolites": ("metabolite_class", "direction:change", "sample_type"),
+    "immune_markers": ("marker_type", "direction:change"),
+    "virus_associations": ("relationship",),
+}
+DOMAINS["change"] = DOMAINS["direction"][:3]
 FIELDS = ("taxon_name", "domain", "taxonomic_level", "primary_disease", "direction", "change_context", "sample_site", "p_value", "confidence")
 RELATIONS = "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>"
 KEY = ("taxon_name", "primary_disease", "direction")
@@ -34,9 +49,17 @@ def relations(papers: DataFrame, json_col: str, id_col: str, path: str = "$.rela
     return papers.select(id_col, F.posexplode(F.try_variant_get(v, path, RELATIONS)).alias("pos", "r")).select(id_col, "pos", "r.*")
 
 
-def valid(field: str, c: Column) -> Column:
-    open_ended = r"^(oral_subsite_.+|followup_.+|day_[0-9]+|month_[0-9]+|year_[0-9]+)$"
-    return c.isin(*DOMAINS[field]) | (c.rlike(open_ended) if field == "sample_site" else F.lit(False))
+def valid(domain: str, c: Column) -> Column:
+    """Whether a value is one of a domain, or of its open-ended form."""
+    return c.isin(*DOMAINS[domain]) | (c.rlike(OPEN[domain]) if domain in OPEN else F.lit(False))
+
+
+def violations(rows: DataFrame, section: str) -> DataFrame:
+    """rows of a section with a list of the fields whose values lie outside their domains, in order of the schema, in place
+    of a column `violations`. A null value is left open and none; a field that rows doesn't have is skipped."""
+    fields = [(f.split(":")[0], f.split(":")[-1]) for f in CHECKED[section]]
+    wrong = [F.when(~valid(d, F.col(f)), F.lit(f)) for f, d in fields if f in rows.columns]
+    return rows.withColumn("violations", F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>"))
 
 
 def unique_relations(rows: DataFrame, paper: str, with_level: bool = True) -> DataFrame:

@@ -383,13 +383,20 @@ def seeded_sample(spark, sf_dir):
     return corpus.ordinal(items, "item_id").where(F.col("ord").isin(extract.seeded_places(items.count()))).select("item_id")
 
 
-_SITES = ("gut", "oral_subsite_tongue", "day_12", "followup_x", "day_x", "Gut", "month_", "other")
+_SITES = ("gut", "oral_subsite_tongue", "day_12", "followup_x", "day_x", "Gut", "uterine", "other")
+_TIMES = ("baseline", "day_12", "followup_x", "day_x", "oral_subsite_tongue", "year_", "month_3")
 
 
-@query(f"SELECT event_id, list_contains(['gut', 'oral', 'nasal', 'skin', 'vaginal', 'lung', 'fecal', 'respiratory', 'other'], s) OR regexp_matches(s, '^(oral_subsite_.+|followup_.+|(day|month|year)_[0-9]+)$') AS site, event_id % 2 = 0 AS level FROM (SELECT event_id, {list(_SITES)}[event_id % 8 + 1] AS s FROM events)")
+@query(f"""WITH v AS (SELECT event_id, {list(_SITES)}[event_id % 8 + 1] AS s, {list(_TIMES)}[event_id % 7 + 1] AS t, ['genus', 'strain'][event_id % 2 + 1] AS l, CASE event_id % 5 WHEN 0 THEN 'temporal' WHEN 1 THEN 'dose' WHEN 2 THEN 'dose_response' WHEN 3 THEN 'other' END AS c FROM events)
+SELECT event_id, concat_ws('|', CASE WHEN l = 'strain' THEN 'taxonomic_level' END, CASE WHEN c = 'dose' THEN 'change_context' END, CASE WHEN s IN ('day_12', 'followup_x', 'day_x', 'Gut') THEN 'sample_site' END,
+CASE WHEN t IN ('day_x', 'oral_subsite_tongue', 'year_') THEN 'temporal_context' END) AS microbe,
+concat_ws('|', CASE WHEN event_id % 3 = 1 THEN 'metabolite_class' END, CASE WHEN event_id % 4 = 3 THEN 'direction' END, CASE WHEN event_id % 2 = 1 THEN 'sample_type' END) AS metabolite FROM v""")
 def domain_check(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", _of("event_id", list(_SITES)).alias("s"), _of("event_id", ["genus", "strain"]).alias("l"))
-    return rows.select("event_id", extract.valid("sample_site", F.col("s")).alias("site"), extract.valid("taxonomic_level", F.col("l")).alias("level"))
+    """The fields of each entry that lie outside their domains."""
+    rows = table(spark, sf_dir, "events").select("event_id", _of("event_id", list(_SITES)).alias("sample_site"), _of("event_id", list(_TIMES)).alias("temporal_context"), _of("event_id", ["genus", "strain"]).alias("taxonomic_level"), _of("event_id", ["temporal", "dose", "dose_response", "other", F.lit(None)]).alias("change_context"))
+    made = rows.select("event_id", _of("event_id", ["SCFA", "scfa", "bile_acid"]).alias("metabolite_class"), _of("event_id", ["increased", "decreased", "unchanged", "unclear"]).alias("direction"), _of("event_id", ["saliva", "gut"]).alias("sample_type"))
+    listed = lambda df, name: extract.violations(df, name).select("event_id", F.array_join("violations", "|").alias("v"))
+    return listed(rows, "microbe_relationships").withColumnRenamed("v", "microbe").join(listed(made, "metabolites").withColumnRenamed("v", "metabolite"), "event_id")
 
 
 @query("""SELECT event_id, event_type || ':' || CASE WHEN event_id % 2 = 0 THEN 'bacteria' ELSE 'fungi' END AS relationships, CASE WHEN event_id % 3 = 0 THEN 'Shannon index' ELSE '' END AS diversity FROM events""")

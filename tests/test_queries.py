@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from litforge.plans import forms  # noqa: F401  (it registers its queries)
+from litforge.plans import derived, forms, learned  # noqa: F401  (they register their queries)
 from litforge.plans.queries import _LINES, _NOISY, ANSWERS, JUNK, ORACLES, QUERIES, _strip
 
 D = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"prompt_tokens"}
+    assert set(QUERIES) - set(ORACLES) == {"prompt_tokens", "tagger_scores", "nearest_by_index"}
 
 
 def test_every_branch_changes_a_row(con):
