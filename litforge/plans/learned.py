@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litforge.functions import tags
-from litforge.operators import tagger
-from litforge.plans.forms import scratch
+from litforge.operators import language, tagger
+from litforge.plans.forms import _j, _of, scratch
 from litforge.plans.queries import query, table
 
 
@@ -39,3 +39,69 @@ def _stored(spark, model) -> str:
     path = scratch(spark, "tagger-model")
     tagger.save(spark, model, path)
     return path
+
+
+#: What is put behind texts by id, so that they define and use short forms.
+_FORMS = (" We use weighted wavelet matrices (WWM) here. WWM is", " the Greatly Narrowed Path (GNP) and GNP", " no such form (XYZ) here", " WWM and GNP alone", " a weighty Wide Meadow (WWM) . WWM", " plain")
+_TEXTS = f"(SELECT doc_id, text || {list(_FORMS)}[doc_id % {len(_FORMS)} + 1] AS text FROM documents)"
+
+
+def _with_forms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", _j(F.col("text"), _of("doc_id", list(_FORMS))).alias("text"))
+
+
+@query(f"""WITH hit AS (SELECT doc_id, generate_subscripts(h, 1) AS place, unnest(h) AS h FROM (SELECT doc_id, regexp_extract_all(text, '(?:[^\s()]+\s+){{1,20}}\([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]{{1,9}}\)') AS h FROM {_TEXTS})),
+form AS (SELECT doc_id, place, trim(regexp_replace(h, '\([^()]*\)$', '')) AS words, regexp_extract(h, '\(([^()]*)\)$', 1) AS short FROM hit),
+word AS (SELECT *, string_split_regex(words, '\s+') AS w, lower(regexp_replace(short, '-', '', 'g')) AS s FROM form),
+start AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM word),
+fit AS (SELECT *, array_to_string(w[i:], ' ') AS rest, lower(array_to_string(w[i:], ' ')) AS low FROM start),
+walked AS (SELECT *, list_reduce(list_prepend(1, list_transform(string_split(s, ''), lambda c: ascii(c))), lambda p, c: CASE WHEN p = 0 OR instr(low[p:], chr(CAST(c AS INTEGER))) = 0 THEN 0 ELSE p + instr(low[p:], chr(CAST(c AS INTEGER))) END) AS p FROM fit WHERE low[1] = s[1]),
+best AS (SELECT * FROM walked WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, place ORDER BY i DESC) = 1)
+SELECT short, lower(rest) AS long, count(*) AS n FROM best WHERE length(rest) > length(short) AND len(w) - i + 1 <= least(length(s) + 5, 2 * length(s)) AND regexp_matches(short, '\p{{L}}') GROUP BY 1, 2""")
+def short_forms(spark, sf_dir):
+    """The short forms that texts define, with how often each long form is given."""
+    return language.definitions(_with_forms(spark, sf_dir)).groupBy("short", F.lower("long").alias("long")).agg(F.count("*").alias("n"))
+
+
+_SHORT_OF = "CASE doc_id % 6 WHEN 0 THEN 'weighted wavelet matrices' WHEN 4 THEN 'weighty wide meadow' WHEN 3 THEN 'weighted wavelet matrices' END"
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN w = 'WWM' THEN coalesce({_SHORT_OF}, w) WHEN w = 'GNP' AND doc_id % 6 IN (1, 3) THEN 'greatly narrowed path' ELSE w END), ' ')) AS expanded FROM {_TEXTS}""")
+def short_forms_expanded(spark, sf_dir):
+    """Texts with short forms written out, by their own definitions, else by the corpus's."""
+    docs = _with_forms(spark, sf_dir)
+    found = language.definitions(docs)
+    return language.expanded(docs, found, language.dictionary(found, share=0.5)).select("doc_id", F.md5("expanded").alias("expanded"))
+
+
+_STOPS = (" as dr. Green and dr. Brown said.", " e.g. this one.", " It ends. And dr. Grey left!", " Is it so? Yes.")
+_STOPPED = f"(SELECT doc_id, text || {list(_STOPS)}[doc_id % {len(_STOPS)} + 1] AS text FROM documents)"
+
+
+def _with_stops(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", _j(F.col("text"), _of("doc_id", list(_STOPS))).alias("text"))
+
+
+_ABBREVIATIONS = f"""word AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w, len(w) AS size FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM {_STOPPED})),
+kind AS (SELECT lower(regexp_replace(w, '\.$', '')) AS kind, count(*) AS n, count(*) FILTER (w LIKE '%.') AS k FROM word WHERE regexp_matches(w, '\p{{L}}') GROUP BY 1),
+rated AS (SELECT *, length(replace(kind, '.', '')) AS len, sum(k) OVER () / sum(n) OVER () AS p FROM kind),
+score AS (SELECT kind, round(2 * (k * ln(0.99) + (n - k) * ln(0.01) - k * ln(p) - (n - k) * ln(1 - p)) * exp(-len) * (1 + length(kind) - len) * pow(len::DOUBLE, -(n - k)), 6) AS score FROM rated WHERE k > 0 AND len > 0),
+known AS (SELECT * FROM score WHERE score >= 0.3)"""
+
+
+@query(f"WITH {_ABBREVIATIONS} SELECT * FROM known")
+def stop_abbreviations(spark, sf_dir):
+    """Words that the texts show to be abbreviations."""
+    return language.abbreviations(_with_stops(spark, sf_dir))
+
+
+@query(f"""WITH {_ABBREVIATIONS},
+flag AS (SELECT *, i = size - 1 OR (regexp_matches(w, '[.!?]["''”’)\]]*$') AND NOT (w LIKE '%.' AND lower(regexp_replace(w, '\.$', '')) IN (SELECT kind FROM known))) AS fin FROM word),
+run AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM flag),
+sentence AS (SELECT doc_id, s, string_agg(w, ' ' ORDER BY i) AS t FROM run GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY s)) AS sentences FROM sentence GROUP BY 1""")
+def learned_sentences(spark, sf_dir):
+    """Texts cut into sentences, but not behind abbreviations."""
+    docs = _with_stops(spark, sf_dir)
+    cut = language.sentences(docs, language.abbreviations(docs))
+    return cut.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "|")).alias("sentences"))
