@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litforge.functions import tags
-from litforge.operators import language, tagger
+from litforge.operators import entities, language, tagger
 from litforge.plans.forms import _j, _of, scratch
 from litforge.plans.queries import query, table
 
@@ -105,3 +105,24 @@ def learned_sentences(spark, sf_dir):
     docs = _with_stops(spark, sf_dir)
     cut = language.sentences(docs, language.abbreviations(docs))
     return cut.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "|")).alias("sentences"))
+
+
+_WORD = r"[\p{L}\p{N}]+(?:[-''’][\p{L}\p{N}]+)*"
+#: Terms of 1 to 4 words, the first of each benchmark item.
+_TERMS = f"term AS (SELECT item_id AS i, array_to_string(regexp_extract_all(lower(text), '{_WORD}')[1 : item_id % 4 + 1], ' ') AS t, item_id % 4 + 1 AS n FROM benchmark)"
+
+
+@query(f"""WITH RECURSIVE {_TERMS},
+word AS (SELECT doc_id, unnest(range(len(w))) AS i, w FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents)),
+here AS (SELECT doc_id, word.i, max(n) AS n FROM word JOIN (SELECT DISTINCT n FROM term) s ON word.i + s.n <= len(w) WHERE array_to_string(w[word.i + 1 : word.i + s.n], ' ') IN (SELECT t FROM term) GROUP BY 1, 2),
+taken(doc_id, i, n) AS (
+  SELECT doc_id, min(i), arg_min(n, i) FROM here GROUP BY doc_id
+  UNION ALL SELECT t.doc_id, x.i, x.n FROM taken t, LATERAL (SELECT min(h.i) AS i, arg_min(h.n, h.i) AS n FROM here h WHERE h.doc_id = t.doc_id AND h.i >= t.i + t.n) x WHERE x.i IS NOT NULL
+)
+SELECT d.doc_id, count(t.i) AS n, coalesce(sum(t.n), 0)::BIGINT AS n_words, coalesce(string_agg(t.i || ':' || t.n, ',' ORDER BY t.i), '') AS places FROM documents d LEFT JOIN taken t USING (doc_id) GROUP BY 1""")
+def dictionary_entities(spark, sf_dir):
+    """Terms out of the benchmark, found in all documents."""
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.array_join(F.slice(entities.words(F.col("text")), 1, (F.col("item_id") % 4 + 1).cast("int")), " ").alias("term"))
+    found = entities.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
+    listed = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["start"].cast("string"), e["size"].cast("string"))), ",")
+    return found.select("doc_id", F.size("entities").cast("long").alias("n"), F.aggregate("entities", F.lit(0).cast("long"), lambda a, e: a + e["size"]).alias("n_words"), listed.alias("places"))
