@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litforge.functions import tags
-from litforge.operators import entities, language, tagger
+from litforge.functions import repair, tags
+from litforge.operators import corrections, entities, language, tagger
 from litforge.plans.forms import _j, _of, scratch
 from litforge.plans.queries import query, table
 
@@ -126,3 +126,44 @@ def dictionary_entities(spark, sf_dir):
     found = entities.matched(table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
     listed = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["start"].cast("string"), e["size"].cast("string"))), ",")
     return found.select("doc_id", F.size("entities").cast("long").alias("n"), F.aggregate("entities", F.lit(0).cast("long"), lambda a, e: a + e["size"]).alias("n_words"), listed.alias("places"))
+
+
+#: Broken lines by event, and how each ends up.
+_BROKEN = ('{{"k": {0}}}', '{{"k": {0}', "{{'k': {0},}}", "{{k: {0}, s: tail", '{{"k" {0} "s": "open', "no json {0}", '{{"k": {0}}} and more', '[{{"k": {0}]', '{{"k": {0}, /* why */ "x": ,}}')
+_HOW = ("0", "1 missing bracket", "2 single quotes|surplus comma", "4 bare word|bare word|bare word|missing bracket", "4 missing bracket|missing colon|missing comma|open string", "quarantined", "quarantined", "1 other bracket", "3 comment|missing value|surplus comma")
+
+
+@query(f"""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {list(_HOW)}[event_id % {len(_HOW)} + 1] AS how FROM events)
+SELECT event_id, CASE WHEN how <> 'quarantined' THEN k END AS k, regexp_replace(how, '^[0-9] ?', '') AS how FROM e""")
+def json_mended(spark, sf_dir):
+    """Broken lines mended, with their faults, and those that are put in quarantine."""
+    k = F.get_json_object("props", "$.k")
+    lines = table(spark, sf_dir, "events").select("event_id", _of("event_id", [F.concat(*[x for p in [b.replace("{{", "{").replace("}}", "}").split("{0}")] for x in (F.lit(p[0]), k, F.lit(p[1]))]) for b in _BROKEN]).alias("line"))
+    fine, left = repair.repaired(lines, "line")
+    read = F.coalesce(F.try_variant_get("value", "$.k", "long"), F.try_variant_get("value", "$[0].k", "long"))
+    kinds = F.array_join(F.array_sort(F.transform("faults", lambda f: f["kind"])), "|")
+    return fine.select("event_id", read.alias("k"), kinds.alias("how")).unionByName(left.select("event_id", F.lit(None).cast("long").alias("k"), F.lit("quarantined").alias("how")))
+
+
+_PLANTED = "list_transform(string_split(text, ' '), lambda w, i: CASE WHEN (doc_id + i) % 97 = 0 AND length(w) > 5 AND regexp_matches(w, '^[a-z]*o[a-z]*$') THEN regexp_replace(w, 'o', '0') ELSE w END)"
+
+
+def _planted(spark, sf_dir):
+    """Texts in which the first o of some words is a 0."""
+    swap = lambda w, i: F.when(((F.col("doc_id") + i + 1) % 97 == 0) & (F.length(w) > 5) & w.rlike("^[a-z]*o[a-z]*$"), F.regexp_replace(w, "^([a-np-z]*)o", "$10")).otherwise(w)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split("text", " "), swap), " ").alias("text"))
+
+
+#: DuckDB counts edits by bytes, so that each sign beyond ASCII becomes one of one byte.
+_BYTE = "translate({}, 'éêèçäüößóñáíúàâîôûùëïœæﬁﬂ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
+_FOLD = "replace(replace(replace(replace(replace(replace(replace(replace({}, 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '0', 'o'), '1', 'l'), '5', 's'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+
+
+@query(f"""WITH word AS (SELECT unnest(string_split_regex(array_to_string({_PLANTED}, ' '), '\\s+')) AS word FROM documents),
+counted AS (SELECT word, count(*) AS n FROM word WHERE regexp_matches(word, '^[\\p{{Ll}}0-9ﬁﬂ]{{4,40}}$') AND regexp_matches(word, '\\p{{Ll}}') GROUP BY 1),
+pair AS (SELECT a.word, a.n, b.word AS correct, b.n AS of, {_FOLD.format('a.word')} = {_FOLD.format('b.word')} AS alike FROM counted a, counted b WHERE a.n <= 2 AND b.n >= 20 AND abs(length(a.word) - length(b.word)) <= 2),
+weighed AS (SELECT word, correct, round(of * CASE WHEN alike THEN 100.0 ELSE 1.0 END / n, 6)::DOUBLE AS weight FROM pair WHERE alike OR levenshtein({_BYTE.format('word')}, {_BYTE.format('correct')}) = 1)
+SELECT * FROM weighed WHERE weight >= 10 QUALIFY row_number() OVER (PARTITION BY word ORDER BY weight DESC, correct) = 1""")
+def scan_corrections(spark, sf_dir):
+    """Rare words of garbled texts, and the frequent words that they stand for."""
+    return corrections.corrections(corrections.vocabulary(_planted(spark, sf_dir)))
