@@ -44,6 +44,12 @@ def drop_since(place: int, but: int = 0) -> None:
     del _made[place:end]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffles, broadcasts and plans of steps that are done: it learns of them only when the
+    driver's memory is collected, which else waits until the heap is full."""
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litforge.llm import _hashing as H
-from litforge.llm._io import drop_since, mark, written
+from litforge.llm._io import drop_since, mark, release, written
 
 U = np.uint64
 
@@ -437,6 +437,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = written(small, "stars")
         drop_since(place, but=1)
+        release(edges.sparkSession)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
