@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litforge.functions import repair, tags
-from litforge.operators import corrections, entities, language, tagger
+from litforge.operators import corrections, entities, language, losses, pages, tagger
 from litforge.plans.forms import _j, _of, scratch
 from litforge.plans.queries import query, table
 
@@ -167,3 +167,43 @@ SELECT * FROM weighed WHERE weight >= 10 QUALIFY row_number() OVER (PARTITION BY
 def scan_corrections(spark, sf_dir):
     """Rare words of garbled texts, and the frequent words that they stand for."""
     return corrections.corrections(corrections.vocabulary(_planted(spark, sf_dir)))
+
+
+_NAMES = "MAP {" + ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in pages.NAMES.items()) + "}"
+_ATTRIBUTES = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+_MARKUP = f"(?is)(?:<!--.*?(?:-->|\\z)|<script(?:[\\s/]{_ATTRIBUTES})?>.*?(?:</script[^>]*>|\\z)|<style(?:[\\s/]{_ATTRIBUTES})?>.*?(?:</style[^>]*>|\\z)|<[!?][^>]*>)|(</?[a-z]{_ATTRIBUTES}>)"
+_A, _B, _C, _D, _E = (f"chr({ord(c)})" for c in (pages.MARKUP, pages.TEXT, pages.CUT, pages.LINK, pages.UNLINK))
+_READ = f"""CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^#[0-9]{{1,7}};') THEN chr(CAST(regexp_extract(p, '^#([0-9]+)', 1) AS INTEGER)) || p[strpos(p, ';') + 1 :]
+WHEN regexp_matches(p, '^[a-zA-Z][a-zA-Z0-9]*;') AND {_NAMES}[regexp_extract(p, '^([a-zA-Z0-9]+);', 1)] IS NOT NULL THEN {_NAMES}[regexp_extract(p, '^([a-zA-Z0-9]+);', 1)] || p[strpos(p, ';') + 1 :] ELSE '&' || p END"""
+
+
+@query(f"""WITH page AS (SELECT page_id, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (SELECT page_id, string_split(regexp_replace(html, '{_MARKUP}', {_A} || '\\1' || {_B}, 'g'), {_A}) AS t FROM pages)),
+token AS (SELECT page_id, i, CASE WHEN i = 1 THEN '' ELSE string_split(t, {_B})[1] END AS tag, CASE WHEN i = 1 THEN t ELSE t[strpos(t, {_B}) + 1 :] END AS s FROM page),
+part AS (SELECT page_id, i AS n, tag, unnest(string_split(s, '&')) AS p, generate_subscripts(string_split(s, '&'), 1) AS i FROM token),
+text AS (SELECT page_id, n, tag, string_agg({_READ}, '' ORDER BY i) AS s FROM part GROUP BY 1, 2, 3),
+named AS (SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS name FROM text),
+whole AS (SELECT page_id, string_agg(CASE WHEN name IN {pages.BLOCKS} THEN {_C} WHEN name = 'br' THEN ' ' WHEN name = 'a' AND tag LIKE '</%' THEN {_E} WHEN name = 'a' THEN {_D} ELSE '' END || s, '' ORDER BY n) AS s FROM named GROUP BY 1),
+cut AS (SELECT page_id, unnest(string_split(s, {_C})) AS b, generate_subscripts(string_split(s, {_C}), 1) AS i FROM whole),
+sized AS (SELECT page_id, i, trim(regexp_replace(replace(replace(b, {_D}, ''), {_E}, ''), '[\\s\\x{{a0}}]+', ' ', 'g')) AS s,
+  replace(array_to_string(regexp_extract_all(b, {_D} || '([^' || {_E} || ']*)', 1), ' '), {_D}, '') AS linked FROM cut),
+block AS (SELECT page_id, i, s, len(string_split(s, ' ')) AS w, len(list_filter(string_split_regex(linked, '[\\s\\x{{a0}}]+'), lambda x: x <> '')) AS l FROM sized WHERE s <> ''),
+beside AS (SELECT *, coalesce(lag(w) OVER x, 0) AS wb, coalesce(lag(l / w) OVER x, 0) AS lb, coalesce(lead(w) OVER x, 0) AS wa FROM block WINDOW x AS (PARTITION BY page_id ORDER BY i)),
+judged AS (SELECT *, CASE WHEN l / w > 1.0 / 3 THEN false WHEN lb * 9 <= 5 THEN w > 16 OR wa > 15 OR wb > 4 ELSE w > 40 OR wa > 17 END AS stays FROM beside)
+SELECT page_id, count(*) AS n, count(*) FILTER (stays) AS kept, md5(string_agg(s, chr(10) ORDER BY i)) AS blocks, md5(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (stays), '')) AS body FROM judged GROUP BY page_id""")
+def page_text(spark, sf_dir):
+    """The blocks of pages, and the text that is no boilerplate."""
+    found = pages.extracted(table(spark, sf_dir, "pages"))
+    lines = F.when(F.col("body") == "", 0).otherwise(F.size(F.split("body", "\n")))
+    return found.where("size(blocks) > 0").select("page_id", F.size("blocks").cast("long").alias("n"), lines.cast("long").alias("kept"), F.md5(F.array_join("blocks", "\n")).alias("blocks"), F.md5("body").alias("body"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, least(doc_id % 7, len(w)) AS start, 3 AS words, 'zq' || doc_id || ' zqa zqb' AS lost FROM w""")
+def aligned_losses(spark, sf_dir):
+    """Words that a text has lost, found by alignment: before, each text held three more at a place by its id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
+    at = (F.col("doc_id") % 7).cast("int")
+    planted = F.array(F.concat(F.lit("zq"), F.col("doc_id").cast("string")), F.lit("zqa"), F.lit("zqb"))
+    before = F.array_join(F.concat(F.slice("w", F.lit(1), at), planted, F.slice("w", at + 1, F.greatest(F.size("w") - at, F.lit(0)))), " ")
+    found = losses.lost_spans(docs.select("doc_id", "text", before.alias("before")), "before", "text")
+    return found.select("doc_id", F.explode("lost").alias("l")).select("doc_id", F.col("l.start").alias("start"), F.col("l.words").cast("int").alias("words"), F.col("l.text").alias("lost"))
