@@ -92,9 +92,19 @@ def retention(before: Column, after: Column, pattern: str) -> Column:
     return F.when(n > 0, F.regexp_count(after, F.lit(pattern)) / n).otherwise(1.0)
 
 
+def without_categories(chunks: DataFrame, drop: tuple[str, ...], chunk_col: str = "chunk") -> tuple[DataFrame, DataFrame]:
+    """The chunks of other categories, and how many of each were removed (category, n). A null chunk is content."""
+    of = chunks.withColumn("_category", category(F.coalesce(chunk_col, F.lit(""))))
+    gone = of.where(F.col("_category").isin(*drop))
+    return of.where(~F.col("_category").isin(*drop)).drop("_category"), gone.groupBy(F.col("_category").alias("category")).agg(F.count("*").alias("n"))
+
+
 def expand(text: Column, words: dict[str, str]) -> Column:
     """Abbreviations that stand as words of their own become their long forms."""
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(F.get(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in words.items())), lambda p: p["k"] == w), F.lit(0))["v"], w)), " ")
+    if not words:
+        return text
+    known = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    return F.array_join(F.transform(F.split(text, " "), lambda w: F.coalesce(known[w], w)), " ")
 
 
 def without_words(text: Column, stop: list[str]) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import uuid
 
 from pyspark.sql import SparkSession, Window
@@ -23,7 +24,10 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A place of one's own in the folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
     if not _scratch:
         atexit.register(_clean)
     _scratch.append((spark, f"{shared.rstrip('/')}/litforge-queries/{name}-{uuid.uuid4().hex}"))
@@ -148,10 +152,11 @@ def resume_store(spark, sf_dir):
     return rollup.pending(docs, files.if_there(spark, store), "doc_id").withColumn("was_there", F.lit(before))
 
 
-@query("SELECT * FROM (VALUES ('alpha', true, NULL), ('beta', false, 'B_KEY'), ('gamma', true, NULL), ('delta', false, 'D_KEY')) m(model, asked, missing)")
+@query("SELECT n_name AS model, n_regionkey % 2 = 0 AS asked, CASE WHEN n_regionkey % 2 <> 0 THEN 'KEY_' || n_regionkey END AS missing FROM nation")
 def models_with_keys(spark, sf_dir):
-    models = {"alpha": "A_KEY", "beta": "B_KEY", "gamma": "A_KEY", "delta": "D_KEY"}
-    there, missing = extract.with_keys(models, {"A_KEY": "x", "B_KEY": ""})
+    """A catalogue of models, of which some have a key that is set."""
+    models = {r["n_name"]: f"KEY_{r['n_regionkey']}" for r in table(spark, sf_dir, "nation").collect()}  # a catalogue
+    there, missing = extract.with_keys(models, {k: "x" if int(k[-1]) % 2 == 0 else "" for k in models.values()})
     return spark.createDataFrame([(m, m in there, k if k in missing else None) for m, k in models.items()], "model string, asked boolean, missing string")
 
 
@@ -353,12 +358,13 @@ def piece_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(tags.align_labels(pieces, labels, most=5), "|").alias("labels"))
 
 
-@query(f"""WITH {_WORDS} SELECT file, CAST(s AS INTEGER) AS sent_id, CAST(i AS INTEGER) AS pos, w[s * 2 + i + 1] AS token, CASE WHEN i = 0 THEN 'O' ELSE 'B-X' END AS tag
-FROM w, (VALUES (0, 0), (0, 1), (2, 0)) p(s, i)""")
+@query(f"""WITH {_WORDS}, k AS (SELECT file, unnest(range(len(w))) AS k, unnest(w) AS token FROM w)
+SELECT file, CAST(k // 2 AS INTEGER) AS sent_id, CAST(k % 2 AS INTEGER) AS pos, token, CASE WHEN k % 2 = 0 THEN 'O' ELSE 'B-X' END AS tag FROM k WHERE k // 2 % 3 <> 1""")
 def zipped_files(spark, sf_dir):
-    w = lambda i: F.get("w", F.lit(i))
-    both = words(spark, sf_dir)
-    found = tags.zipped_lines(both.select("file", _j(w(0), "  ", w(1), "\n\n", w(4), " ", w(5)).alias("value")), both.select("file", F.lit("O\tB-X\n\nO").alias("value")))
+    """Two words a line and two tags a line; every third line of words is blank."""
+    lines = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 2).cast("int"))
+    both = words(spark, sf_dir).select("file", F.array_join(F.transform(lines, lambda s: F.when(s % 3 == 1, "").otherwise(F.concat_ws("  ", F.get("w", s * 2), F.get("w", s * 2 + 1)))), "\n").alias("a"), F.array_join(F.transform(lines, lambda s: F.lit("O\tB-X")), "\n").alias("b"))
+    found = tags.zipped_lines(both.select("file", F.col("a").alias("value")), both.select("file", F.col("b").alias("value")))
     return found.select("file", "sent_id", F.posexplode("pairs").alias("pos", "p")).select("file", "sent_id", "pos", "p.token", "p.tag")
 
 
@@ -377,7 +383,11 @@ def first_rows(spark, sf_dir):
 
 
 # what Python's generator with seed 42 draws out of 40 rows, as published for its algorithm
-@query("SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ord FROM benchmark) WHERE ord IN (7, 1, 17, 15)")
+#: The places by the number of rows, for tables of up to 500.
+_PLACES = ", ".join(f"({n}, {p})" for n in range(1, 501) for p in extract.seeded_places(n))
+
+
+@query(f"SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ord, count(*) OVER () AS rows FROM benchmark) JOIN (VALUES {_PLACES}) p(rows, ord) USING (rows, ord)")
 def seeded_sample(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id")
     return corpus.ordinal(items, "item_id").where(F.col("ord").isin(extract.seeded_places(items.count()))).select("item_id")

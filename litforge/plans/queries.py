@@ -134,6 +134,20 @@ def chunk_categories(spark, sf_dir):
     return lines(spark, sf_dir, True).groupBy(corpus.category(F.col("chunk")).alias("category")).agg(F.count("*").alias("n"))
 
 
+_BOILERPLATE = ("copyright_license", "publication_metadata", "author_affiliation", "ui_navigation")
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_KINDS} AS category FROM ({_LINES.format(_NOISY)}))
+SELECT NULL AS category, doc_id, count(*) AS n FROM c WHERE category NOT IN {_BOILERPLATE} GROUP BY doc_id
+UNION ALL SELECT category, NULL, count(*) FROM c WHERE category IN {_BOILERPLATE} GROUP BY category""")
+def category_removal(spark, sf_dir):
+    """What is left of each text, and how many chunks of each category are removed."""
+    left, gone = corpus.without_categories(lines(spark, sf_dir, True), _BOILERPLATE)
+    none = lambda t: F.lit(None).cast(t)
+    kept = left.groupBy("doc_id").agg(F.count("*").alias("n")).select(none("string").alias("category"), "doc_id", "n")
+    return kept.unionByName(gone.select("category", none("long").alias("doc_id"), "n"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, {_hits('text', 'the|and|der|les')} AS a, {_hits(_post('text'), 'the|and|der|les')} AS b FROM documents)
 SELECT doc_id, round(CASE WHEN a > 0 THEN b / a ELSE 1.0 END, 9) AS kept FROM t""")
 def retention(spark, sf_dir):
