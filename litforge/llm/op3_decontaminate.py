@@ -7,8 +7,8 @@ are found by running Karp-Rabin with falling lengths and marked, until none of `
 the item's words under tiles is its coverage; order plays no part, so reordered passages count in full.
 
 The benchmark is the stated set that goes out to all documents in blocks of about `block_bytes` of text; documents
-are read once a block and not shuffled. What a block finds is written before the next one is read, so the driver and a
-task hold one block. A task also holds the hashes of one piece of text (512 KB, or one longer document).
+are read once a block. With one block they are not shuffled. With several, what a block finds is written, two hashes
+and a verdict for each text that covers an item, before the next one is read, so the driver and a task hold one block. A task also holds the hashes of one piece of text (512 KB, or one longer document).
 
 Rows: a null or empty text has no match; items of fewer than `minimum` words take no part; of items that tie in
 coverage, the smallest item_id is named; rows that repeat get the same verdict each; other columns stay as they are,
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from litforge.llm import _hashing as H
 from litforge.llm._io import written
 
+SALTS = 16
 NAMES = ("n_items", "item_id", "coverage", "n_tiles")
 
 
@@ -108,17 +109,7 @@ class Benchmark:
         return (count, best[1], -best[0], best[2]) if best else (0, None, 0.0, 0)
 
 
-def _better(old: tuple, new: tuple) -> tuple:
-    """The verdict on two blocks of items."""
-    n = old[0] + new[0]
-    if not (old[0] and new[0]):
-        return new if new[0] else old
-    return (n, *min(old[1:], new[1:], key=lambda x: (-x[1], x[0])))
-
-
-def _found(benchmark: Benchmark, rest: list[str], text_col: str, names: list[str], before: bool):
-    """before: the batches hold the verdicts of the blocks before."""
-
+def _found(benchmark: Benchmark, rest: list[str], text_col: str, names: list[str]):
     def run(batches):
         for batch in batches:
             data, offsets = H.utf8(H.lowered(batch.column(text_col)))
@@ -131,8 +122,6 @@ def _found(benchmark: Benchmark, rest: list[str], text_col: str, names: list[str
                 row = np.searchsorted(begin, hits, side="right") - 1
                 for r in np.unique(row).tolist():
                     out[i + r] = benchmark.verdict(words[first[r] : first[r + 1]], seeds[hits[row == r]])
-            if before:
-                out = list(map(_better, zip(*(batch.column(c).to_pylist() for c in names), strict=True), out))
             n, item, coverage, tiles = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n, type=pa.int32()), pa.array(item, type=pa.int64()), pa.array(coverage, type=pa.float64()), pa.array(tiles, type=pa.int32())], names=[*rest, *names])
 
@@ -141,8 +130,9 @@ def _found(benchmark: Benchmark, rest: list[str], text_col: str, names: list[str
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, minimum: int = 5, threshold: float = 0.5, block_bytes: int = 16 << 20, prefix: str = "") -> DataFrame:
     """The columns keep of df (all but text unless given) with the number of items that the text covers to the threshold
-    or more, and the best covered one, its coverage and its number of tiles. Each block of items adds to the verdicts
-    of the one before, row by row."""
+    or more, and the best covered one, its coverage and its number of tiles. One block of items is one pass. Of several,
+    each reads the texts and writes the verdicts of those that it finds, by two hashes of the text (of which two
+    texts share both with a chance of about 2**-128); the verdicts are merged and joined to the rows, hot texts spread by a salt."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     names = [f"{prefix}{n}" for n in NAMES]
     own = [c for c in keep if c.lower() not in {n.lower() for n in names}]
@@ -150,17 +140,26 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", ke
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     docs = df.select(*own, *([text_col] if text_col not in own else []))
-    carried = docs.columns
     verdict = list(zip(names, (T.IntegerType(), T.LongType(), T.DoubleType(), T.IntegerType()), strict=True))
+    fields = [T.StructField(n, t) for n, t in verdict]
+    block = lambda b: Benchmark(sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()), minimum, threshold)
+    if blocks == 1:
+        return docs.mapInArrow(_found(block(0), own, text_col, names), T.StructType([*(docs.schema[c] for c in own), *fields]))
+    keys = [F.xxhash64(text_col).alias("_h"), F.xxhash64(F.lit(3), text_col).alias("_g")]
+    texts = docs.select(*keys, F.col(text_col).alias("_text"))
+    hits = None
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = Benchmark(sorted((r["item_id"], r["text"]) for r in rows), minimum, threshold)
-        rest = own if b == blocks - 1 else carried
-        schema = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(n, t) for n, t in verdict)])
-        docs = docs.mapInArrow(_found(block, rest, text_col, names, b > 0), schema)
-        if b < blocks - 1:
-            docs = written(docs, f"verdicts-{b}")
-    return docs
+        found = texts.mapInArrow(_found(block(b), ["_h", "_g"], "_text", names), T.StructType([texts.schema["_h"], texts.schema["_g"], *fields]))
+        found = written(found.where(F.col(names[0]) > 0).dropDuplicates(["_h", "_g"]), f"verdicts-{b}")
+        hits = found if hits is None else hits.unionByName(found)
+    n, item, coverage, tiles = names
+    best = hits.groupBy("_h", "_g").agg(F.sum(n).cast("int").alias("_n"), F.min_by(F.struct(item, coverage, tiles), F.struct(-F.col(coverage), F.col(item))).alias("_best"))
+    spread = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # the columns travel as one, so that none of them meets a name that is used here
+    rows = docs.select(F.struct(*own).alias("_row"), *keys, F.pmod(F.xxhash64(F.lit(5), F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("_salt"))
+    joined = rows.join(spread, ["_h", "_g", "_salt"], "left")
+    values = [F.coalesce("_n", F.lit(0)).cast("int").alias(n), F.col("_best")[item].alias(item), F.coalesce(F.col("_best")[coverage], F.lit(0.0)).alias(coverage), F.coalesce(F.col("_best")[tiles], F.lit(0)).cast("int").alias(tiles)]
+    return joined.select("_row.*", *values)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
