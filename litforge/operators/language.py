@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A short form in brackets, with the words before it.
-_BRACKET = r"((?:[^\s()]+\s+){1,20})\(([\p{L}\p{N}][\p{L}\p{N}-]{1,9})\)"
+#: What a bracket with a short form begins with, and how many words before it are looked at.
+_BRACKET, _BEFORE = r"^([\p{L}\p{N}][\p{L}\p{N}-]{1,9})\)", 20
 _SHORT = r"^[\p{L}\p{N}][\p{L}\p{N}-]*$"
 
 
@@ -28,10 +28,17 @@ def long_form(words: Column, short: Column) -> Column:
 
 def definitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, place, short, long: what texts define as "long form (SF)"."""
-    at = F.regexp_extract_all(text_col, F.lit(_BRACKET), F.lit(0))
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(at).alias("place", "hit"))
-    parts = each.select("id", "place", F.regexp_extract("hit", _BRACKET, 1).alias("words"), F.regexp_extract("hit", _BRACKET, 2).alias("short"))
-    return parts.select("id", "place", "short", long_form(F.col("words"), F.col("short")).alias("long")).where("long is not null")
+    parts = F.split(text_col, r"\(", -1)
+    last = lambda ws: F.slice(ws, F.greatest(F.size(ws) - _BEFORE + 1, F.lit(1)), _BEFORE)
+
+    def one(part: Column, i: Column) -> Column:
+        before = F.substring_index(F.get(parts, i - 1), ")", -1)
+        words = lambda short: F.when((short != "") & before.rlike(r"\S\s+$"), F.struct(F.array_join(F.get(F.transform(F.array(F.filter(F.split(before, r"\s+"), lambda w: w != "")), last), F.lit(0)), " ").alias("words"), short.alias("short")))
+        return F.when(i > 0, F.get(F.transform(F.array(F.regexp_extract(part, _BRACKET, 1)), words), F.lit(0)))
+
+    found = F.filter(F.transform(parts, one), lambda h: h.isNotNull())
+    each = docs.where(F.col(text_col).contains("(")).select(F.col(id_col).alias("id"), F.posexplode(found).alias("place", "h")).select("id", "place", "h.*")
+    return each.select("id", "place", "short", long_form(F.col("words"), F.col("short")).alias("long")).where("long is not null")
 
 
 def dictionary(found: DataFrame, least: int = 2, share: float = 0.6) -> DataFrame:
