@@ -207,3 +207,16 @@ def aligned_losses(spark, sf_dir):
     before = F.array_join(F.concat(F.slice("w", F.lit(1), at), planted, F.slice("w", at + 1, F.greatest(F.size("w") - at, F.lit(0)))), " ")
     found = losses.lost_spans(docs.select("doc_id", "text", before.alias("before")), "before", "text")
     return found.select("doc_id", F.explode("lost").alias("l")).select("doc_id", F.col("l.start").alias("start"), F.col("l.words").cast("int").alias("words"), F.col("l.text").alias("lost"))
+
+
+_DENIED = (". There was no green fever, but grey cough was there", ". Not only green fever but grey cough", ". Without any sign of it or of green fever. Grey cough", ". It lacked nothing; green fever and grey cough were ruled out")
+_SAID = ("1,0", "0,0", "0,0", "0,0")
+
+
+@query(f"SELECT doc_id, {list(_SAID)}[doc_id % {len(_SAID)} + 1] AS negated FROM documents")
+def negated_entities(spark, sf_dir):
+    """Entities in texts, each with whether it is denied; the scope of six words ends before the third text's entity."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _j(F.col("text"), _of("doc_id", list(_DENIED))).alias("text"))
+    terms = spark.createDataFrame([(1, "green fever"), (2, "grey cough")], "term_id long, term string")
+    found = entities.negated(entities.matched(docs, terms))
+    return found.select("doc_id", F.array_join(F.transform("negated", lambda x: x.cast("int").cast("string")), ",").alias("negated"))
