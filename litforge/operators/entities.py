@@ -147,7 +147,14 @@ SCOPE = 6
 def _found(ws: Column, phrases: tuple[str, ...]) -> Column:
     """Places (from 0) and sizes of phrases in a list of words."""
     here = lambda i: F.array(*(F.when(F.array_join(F.slice(ws, i + 1, len(p.split())), " ") == p, len(p.split())) for p in phrases))
-    return F.filter(F.transform(ws, lambda _, i: F.struct(i.alias("at"), F.array_max(here(i)).alias("size"))), lambda x: x["size"].isNotNull())
+    firsts = sorted({p.split()[0] for p in phrases})
+    found = F.transform(ws, lambda w, i: F.when(w.isin(*firsts), F.struct(i.alias("at"), F.array_max(here(i)).alias("size"))))
+    return F.filter(found, lambda x: x["size"].isNotNull())
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def negated(df: DataFrame, text_col: str = "text", entities: str = "entities", out: str = "negated") -> DataFrame:
@@ -161,12 +168,12 @@ def negated(df: DataFrame, text_col: str = "text", entities: str = "entities", o
         stop = lambda w: w.rlike(r"^[.!?;]$")
         # a place among all marks, as a place among words
         plain = lambda i: i - F.size(F.filter(F.slice(ws, 1, i), stop))
-        pseudo = _found(ws, PSEUDO)
-        real = F.filter(_found(ws, TRIGGERS), lambda t: ~F.exists(pseudo, lambda p: (p["at"] <= t["at"]) & (t["at"] < p["at"] + p["size"])))
+        real = lambda pseudo: F.filter(_found(ws, TRIGGERS), lambda t: ~F.exists(pseudo, lambda p: (p["at"] <= t["at"]) & (t["at"] < p["at"] + p["size"])))
         ends = lambda t: F.filter(F.transform(F.slice(ws, t["at"] + t["size"] + 1, SCOPE), lambda w, j: F.when(stop(w) | w.isin(*TERMINATORS), j)), lambda j: j.isNotNull())
         wide = lambda t: F.coalesce(F.get(ends(t), F.lit(0)), F.lit(SCOPE))
-        return F.transform(real, lambda t: F.struct(plain(t["at"] + t["size"]).alias("low"), wide(t).alias("n")))
+        return F.transform(_once(_found(ws, PSEUDO), real), lambda t: F.struct(plain(t["at"] + t["size"]).alias("low"), wide(t).alias("n")))
 
-    held = F.get(F.transform(F.array(F.coalesce(marked, F.array().cast("array<string>"))), scopes), F.lit(0))
+    none = F.array().cast("array<string>")
+    held = _once(F.when(F.size(entities) > 0, F.coalesce(marked, none)).otherwise(none), scopes)
     inside = lambda s: F.transform(entities, lambda e: F.exists(s, lambda x: (x["low"] <= e["start"]) & (e["start"] < x["low"] + x["n"])))
-    return df.withColumn(out, F.get(F.transform(F.array(held), inside), F.lit(0)))
+    return df.withColumn(out, _once(held, inside))
