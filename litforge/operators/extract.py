@@ -38,6 +38,7 @@ CHECKED = {
     "virus_associations": ("relationship",),
 }
 DOMAINS["change"] = DOMAINS["direction"][:3]
+#: The fields of a relation, and those that tell relations apart.
 FIELDS = ("taxon_name", "domain", "taxonomic_level", "primary_disease", "direction", "change_context", "sample_site", "p_value", "confidence")
 RELATIONS = "array<struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>"
 KEY = ("taxon_name", "primary_disease", "direction")

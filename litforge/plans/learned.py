@@ -50,7 +50,7 @@ def _with_forms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", _j(F.col("text"), _of("doc_id", list(_FORMS))).alias("text"))
 
 
-@query(f"""WITH hit AS (SELECT doc_id, generate_subscripts(h, 1) AS place, unnest(h) AS h FROM (SELECT doc_id, regexp_extract_all(text, '(?:[^\s()]+\s+){{1,20}}\([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]{{1,9}}\)') AS h FROM {_TEXTS})),
+@query(rf"""WITH hit AS (SELECT doc_id, generate_subscripts(h, 1) AS place, unnest(h) AS h FROM (SELECT doc_id, regexp_extract_all(text, '(?:[^\s()]+\s+){{1,20}}\([\p{{L}}\p{{N}}][\p{{L}}\p{{N}}-]{{1,9}}\)') AS h FROM {_TEXTS})),
 form AS (SELECT doc_id, place, trim(regexp_replace(h, '\([^()]*\)$', '')) AS words, regexp_extract(h, '\(([^()]*)\)$', 1) AS short FROM hit),
 word AS (SELECT *, string_split_regex(words, '\s+') AS w, lower(regexp_replace(short, '-', '', 'g')) AS s FROM form),
 start AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM word),
@@ -82,7 +82,7 @@ def _with_stops(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", _j(F.col("text"), _of("doc_id", list(_STOPS))).alias("text"))
 
 
-_ABBREVIATIONS = f"""word AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w, len(w) AS size FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM {_STOPPED})),
+_ABBREVIATIONS = rf"""word AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w, len(w) AS size FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM {_STOPPED})),
 kind AS (SELECT lower(regexp_replace(w, '\.$', '')) AS kind, count(*) AS n, count(*) FILTER (w LIKE '%.') AS k FROM word WHERE regexp_matches(w, '\p{{L}}') GROUP BY 1),
 rated AS (SELECT *, length(replace(kind, '.', '')) AS len, sum(k) OVER () / sum(n) OVER () AS p FROM kind),
 score AS (SELECT kind, round(2 * (k * ln(0.99) + (n - k) * ln(0.01) - k * ln(p) - (n - k) * ln(1 - p)) * exp(-len) * (1 + length(kind) - len) * pow(len::DOUBLE, -(n - k)), 6) AS score FROM rated WHERE k > 0 AND len > 0),
@@ -95,7 +95,7 @@ def stop_abbreviations(spark, sf_dir):
     return language.abbreviations(_with_stops(spark, sf_dir))
 
 
-@query(f"""WITH {_ABBREVIATIONS},
+@query(rf"""WITH {_ABBREVIATIONS},
 flag AS (SELECT *, i = size - 1 OR (regexp_matches(w, '[.!?]["''”’)\]]*$') AND NOT (w LIKE '%.' AND lower(regexp_replace(w, '\.$', '')) IN (SELECT kind FROM known))) AS fin FROM word),
 run AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM flag),
 sentence AS (SELECT doc_id, s, string_agg(w, ' ' ORDER BY i) AS t FROM run GROUP BY 1, 2)

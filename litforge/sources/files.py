@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: The columns that the study service is asked for.
 FIELDS = ("sample_accession", "secondary_sample_accession", "sample_alias", "sample_title", "description", "scientific_name", "study_accession")
 
 
@@ -53,7 +54,7 @@ def table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def query(study: str, fields: tuple[str, ...] = FIELDS, form: str = "json") -> dict[str, str]:
-    """What the search service is asked: the predicate and the columns go to the source."""
+    """What the search service is asked: the predicate and the columns go to the source. Its parameters are fixed values."""
     return {"result": "sample", "query": f'study_accession="{study}"', "fields": ",".join(fields), "format": form, "limit": "0"}
 
 
