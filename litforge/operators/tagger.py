@@ -181,16 +181,20 @@ def _descend(value_of, size: int, steps: int, memory: int = 8, tolerance: float
     return x
 
 
-def train(df: DataFrame, tokens: str, tags: str, folder: str, bits: int = 16, penalty: float = 1e-4, steps: int = 30) -> Tagger | None:
+def train(df: DataFrame, tokens: str, tags: str, folder: str, bits: int = 16, penalty: float = 1e-4, steps: int = 30, sentences: int | None = None) -> Tagger | None:
     """A tagger of a table of sentences: lists of tokens, and as many tags. folder is a place of its own that driver and
-    executors share, for the table of features. None if there is no sentence with tags."""
+    executors share, for the table of features. With `sentences` it is fitted on at most so many, those of least hash, which
+    the driver holds once; labels come from all. None if there is no sentence with tags."""
     spark = df.sparkSession
     whole = (F.size(tokens) > 0) & (F.size(tokens) == F.size(tags)) & F.forall(tags, lambda t: t.isNotNull())
-    own = df.where(whole)
+    # behind a generator the lists are worked out once; a filter that is pushed below them would do so for each token
+    own = df.select(F.explode(F.array(F.struct(F.col(tokens).alias(tokens), F.col(tags).alias(tags)))).alias("r")).select("r.*").where(whole)
     labels = tuple(sorted(r["t"] for r in own.select(F.explode(tags).alias("t")).distinct().collect()))  # a row for each label
     if not labels:
         return None
     number = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (k, i)])
+    if sentences is not None:
+        own = own.orderBy(F.xxhash64(F.lit(21), tokens, tags)).limit(sentences).repartition(spark.sparkContext.defaultParallelism)
     own.select(features(F.col(tokens), bits).alias("places"), F.transform(tags, lambda t: number[t]).alias("gold")).write.mode("overwrite").parquet(folder)
     table = spark.read.parquet(folder)
     shape, n = (1 << bits, len(labels)), len(labels)
