@@ -6,7 +6,10 @@ import json
 import os
 import random
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litforge.sources import files
+
 #: The domains of the fields of each section.
 DOMAINS = {
     "domain": ("bacteria", "archaea", "fungi"),
@@ -141,6 +146,38 @@ def client(models: Mapping[str, tuple[str, str]], send: Callable[[str, dict], st
     return call
 
 
+class Endpoint(NamedTuple):
+    """Where a model is asked: the address, and the name of the environment variable that holds its key, with the header
+    and the form that the key is sent in."""
+
+    url: str
+    key: str | None = None
+    header: str = "Authorization"
+    form: str = "Bearer {}"
+
+
+def posted(endpoints: Mapping[str, Endpoint], timeout: float = 60.0) -> Callable[[str, dict], str]:
+    """A transport for client() over HTTP: send(name, body) posts the body as JSON. A key is read from the environment of
+    the process that sends, so that it is in no column, plan or closure. A key that is not set, and an answer beyond 2xx,
+    are faults, of which the first 200 signs of the answer are told."""
+
+    def send(name: str, body: dict) -> str:
+        to = endpoints[name]
+        headers = {"Content-Type": "application/json"}
+        if to.key:
+            if not os.environ.get(to.key):
+                raise PermissionError(f"{to.key} is not set")
+            headers[to.header] = to.form.format(os.environ[to.key])
+        asking = urllib.request.Request(to.url, json.dumps(body).encode(), headers, method="POST")
+        try:
+            with urllib.request.urlopen(asking, timeout=timeout) as said:
+                return said.read().decode("utf-8")
+        except urllib.error.HTTPError as fault:
+            raise ConnectionError(f"HTTP {fault.code}: {fault.read(800).decode('utf-8', 'replace')[:200]}") from fault
+
+    return send
+
+
 def loaded(load: Callable[[], Callable[[str], str]]) -> Callable[[str, str], str]:
     """call(name, prompt) over a model of one's own, which each Python process loads once, when it is first asked."""
     made: list = []
@@ -201,6 +238,39 @@ def asked(prompts: DataFrame, call: Callable[[str, str], str], parallel: int = 4
     return prompts.repartition(parallel).mapInPandas(run, "model string, paper_id string, raw string, error string, elapsed_s double")
 
 
+#: How answers are told apart.
+ASKED = ("model", "prompt_md5")
+
+
+def kept(answers: DataFrame) -> DataFrame:
+    """model, prompt_md5, raw, error, elapsed_s: one answer for each model and prompt of a table of answers with these
+    columns. An answer comes before a fault; of several the one first in order of text, so that the choice is stable."""
+    best = answers.groupBy(*ASKED).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "raw", "error", "elapsed_s")).alias("a"))
+    return best.select(*ASKED, "a.raw", "a.error", "a.elapsed_s")
+
+
+def answered(prompts: DataFrame, answers: DataFrame) -> DataFrame:
+    """model, paper_id, raw, error, elapsed_s of (model, paper_id, prompt), out of a table of answers. A prompt that has
+    none is a fault, as every other; a null prompt has none."""
+    one = prompts.select("model", "paper_id", F.md5("prompt").alias("prompt_md5"))
+    found = one.join(kept(answers).withColumn("there", F.lit(True)), [*ASKED], "left")
+    return found.select("model", "paper_id", "raw", F.when(F.col("there").isNull(), "not asked yet").otherwise(F.col("error")).alias("error"), "elapsed_s")
+
+
+def ask_once(prompts: DataFrame, call: Callable[[str, str], str], store: str, **how) -> DataFrame:
+    """answered(), after those prompts have been asked that the table of answers at `store` has no answer to. A prompt that
+    several rows share is asked once; faults are kept, and asked again by a later run; null prompts are not asked. Each
+    run is one append, so a run that is lost leaves nothing behind, and what earlier runs were told is not paid for twice."""
+    spark = prompts.sparkSession
+    todo = prompts.where("prompt is not null").select("model", F.md5("prompt").alias("prompt_md5"), "prompt").dropDuplicates([*ASKED])
+    before = files.if_there(spark, store)
+    if before is not None:
+        todo = todo.join(before.where("error is null").select(*ASKED).distinct(), [*ASKED], "left_anti")
+    said = asked(todo.select("model", F.col("prompt_md5").alias("paper_id"), "prompt"), call, **how).withColumnRenamed("paper_id", "prompt_md5")
+    said.write.mode("append").parquet(store)
+    return answered(prompts, spark.read.parquet(store))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

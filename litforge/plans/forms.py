@@ -5,7 +5,6 @@ way lies in the session's shared folder and is deleted at the end of the process
 from __future__ import annotations
 
 import atexit
-import json
 import re
 import uuid
 
@@ -16,7 +15,7 @@ from litforge.functions import jsonx, tags, text, tokens
 from litforge.operators import corpus, extract, rollup, sections
 from litforge.plans import jobs
 from litforge.plans.queries import _K, _fallback, _strip, query, table
-from litforge.sources import files, service
+from litforge.sources import files
 from litforge.streaming import events as streams
 
 _scratch: list[tuple[SparkSession, str]] = []
@@ -96,23 +95,19 @@ def csv_round_trip(spark, sf_dir):
     return files.table(spark, path).select("doc_id", "lang", F.md5("text").alias("body"), "quality")
 
 
-def _fetch(params: dict[str, str]) -> str:
-    """A study service: study Nk has k % 4 samples, and every fifth is not there."""
-    study = params["query"].split('"')[1]
-    k = int(study[1:])
-    if k % 5 == 4:
-        raise ValueError("no such study")
-    keys = ("sample_accession", "sample_alias", "sample_title", "study_accession")
-    return json.dumps([dict(x for x in zip(keys, (f"{study}-{i}", f"a{i}", "", study), strict=True) if x[0] in params["fields"].split(",") and (i != 2 or x[0] != "sample_alias")) for i in range(k % 4)])
-
-
-@query("""WITH c AS (SELECT 'N' || n_nationkey AS study, n_nationkey AS k FROM nation UNION ALL SELECT 'N1', 1 UNION ALL SELECT 'N3', 3),
-s AS (SELECT study, unnest(range(k % 4)) AS i FROM c WHERE k % 5 <> 4)
-SELECT study, count(*) AS n, string_agg(CASE WHEN i = 2 THEN 'N/A' ELSE 'a' || i END, '|' ORDER BY i) AS alias, NULL AS error FROM s GROUP BY study
-UNION ALL SELECT study, 0, NULL, 'ValueError: no such study' FROM c WHERE k % 5 = 4""")
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)
+SELECT 'N' || k AS study, count(o_orderkey) AS n, coalesce(string_agg(CASE WHEN o_orderkey % 3 = 2 THEN 'N/A' ELSE 'a' || o_orderkey END, '|' ORDER BY CAST(o_orderkey AS VARCHAR)), '') AS alias, NULL AS error FROM c JOIN orders ON o_custkey = k WHERE k % 5 <> 4 GROUP BY k
+UNION ALL SELECT 'N' || k, 0, NULL, 'HTTPError: no such study' FROM c WHERE k % 5 = 4""")
 def study_samples(spark, sf_dir):
-    codes = [f"N{r[0]}" for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()] + ["N1", "N3"]  # a catalogue, of which each code is a request
-    bodies = spark.read.format(service.register(spark, _fetch)).option("studies", ",".join(codes)).load()
+    """Customers as studies, whose orders are their samples: what a service has answered, some codes asked for twice, and
+    some of which it does not know."""
+    k = F.col("c_custkey")
+    codes = table(spark, sf_dir, "customer").select(F.explode(F.when(k % 7 == 0, F.array(k, k)).otherwise(F.array(k))).alias("k"))
+    study = _j("N", F.col("k"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.struct(F.col("o_orderkey").cast("string").alias("sample_accession"), F.when(F.col("o_orderkey") % 3 != 2, _j("a", F.col("o_orderkey"))).alias("sample_alias"), F.lit("").alias("sample_title"), _j("N", F.col("o_custkey")).alias("study_accession")).alias("s"))
+    said = codes.join(orders.groupBy("k").agg(F.to_json(F.collect_list("s")).alias("body")), "k", "left")
+    unknown = F.col("k") % 5 == 4
+    bodies = said.select(study.alias("study_accession"), F.when(~unknown, F.coalesce("body", F.lit("[]"))).alias("body"), F.when(unknown, "HTTPError: no such study").alias("error"))
     found, failed = files.samples(bodies)
     rows = found.select("study_accession", "sample_accession", F.coalesce("sample_alias", F.lit("N/A")).alias("alias"))
     grouped = rollup.rollup(rows, "study_accession", "sample_accession", ["alias"])
@@ -198,27 +193,21 @@ def label_file(spark, sf_dir):
     return files.label_map(tags.label_ids(table(spark, sf_dir, "events"), "event_type"))
 
 
-def _send(name: str, body: dict) -> str:
-    """Models that answer as many relations as the prompt's length says, or fail."""
-    if name == "alpha":
-        user, wrap = body["messages"][0]["content"], lambda t: {"content": [{"text": t}]}
-    elif name == "beta":
-        user, wrap = body["messages"][1]["content"], lambda t: {"choices": [{"message": {"content": t}}]}
-    else:
-        user, wrap = body["contents"][0]["parts"][0]["text"], lambda t: {"candidates": [{"content": {"parts": [{"text": t}]}}]}
-    if len(user) % 4 == 3:
-        raise ValueError("busy")
-    if len(user) % 5 == 4:
-        return json.dumps(wrap("none found: " + user))
-    return json.dumps(wrap("```json\n" + json.dumps({"bacteria_relationships": [{}] * (len(user) % 3)}) + "\n```"))
-
-
-_MODELS = {"alpha": ("messages", "a-1"), "beta": ("chat", "b-1"), "gamma": ("contents", "c-1")}
+_MODELS = ("alpha", "beta", "gamma")
 
 
 def _asked(spark, sf_dir):
-    prompts = table(spark, sf_dir, "benchmark").select(F.explode(F.array(*map(F.lit, _MODELS))).alias("model"), F.col("item_id").cast("string").alias("paper_id"), F.col("text").alias("prompt"))
-    said = extract.asked(prompts, extract.client(_MODELS, _send, "You read papers."), tries=2, wait=0.0)
+    """What three models have answered to the items, in the form of each: a table of answers, some of them faults."""
+    text_ = F.col("text")
+    listed = F.to_json(F.struct(F.array_repeat(F.create_map().cast("map<string,string>"), (F.length(text_) % 3).cast("int")).alias("bacteria_relationships")))
+    reply = F.when(F.length(text_) % 5 == 4, F.concat(F.lit("none found: "), text_)).otherwise(_j("```json\n", listed, "\n```"))
+    body = F.when(F.col("model") == "alpha", F.to_json(F.struct(F.array(F.struct(reply.alias("text"))).alias("content"))))
+    body = body.when(F.col("model") == "beta", F.to_json(F.struct(F.array(F.struct(F.struct(reply.alias("content")).alias("message"))).alias("choices"))))
+    body = body.otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(reply.alias("text"))).alias("parts")).alias("content"))).alias("candidates"))))
+    items = table(spark, sf_dir, "benchmark").withColumn("model", F.explode(F.array(*map(F.lit, _MODELS))))
+    busy = F.length(text_) % 4 == 3
+    answers = items.select("model", F.md5("text").alias("prompt_md5"), F.when(~busy, jsonx.provider_text(body)).alias("raw"), F.when(busy, "failed after 2 attempts: busy").alias("error"), F.when(~busy, F.lit(0.1)).alias("elapsed_s"))
+    said = extract.answered(items.select("model", F.col("item_id").cast("string").alias("paper_id"), text_.alias("prompt")), answers)
     e, failed = jsonx.extraction(F.col("raw")), F.col("error").isNotNull()
     read = said.withColumn("e", e)
     return read.select("model", "paper_id", F.when(failed, "error").otherwise(F.col("e.status")).alias("status"), F.when(~failed, F.col("e.n")).alias("n"), F.coalesce("error", "e.error").alias("error"), F.col("e.raw").alias("raw"), "elapsed_s", F.col("raw").alias("answer"))

@@ -1,11 +1,13 @@
 """A study service as a data source: a partition a study, the predicate on the study sent to the service, faults as rows.
 
-`register(spark, fetch)` names the source for a function fetch(params) -> body; `folder(path)` is such a function over
-files, for work without a network."""
+`register(spark, fetch)` names the source for a function fetch(params) -> body; `http(url)` is such a function over a
+service, `folder(path)` one over files, for work without a network."""
 
 from __future__ import annotations
 
 import os
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import SparkSession
@@ -27,6 +29,16 @@ def folder(path: str) -> Callable[[dict[str, str]], str]:
     return fetch
 
 
+def http(url: str, timeout: float = 30.0) -> Callable[[dict[str, str]], str]:
+    """Bodies from a search service: the parameters go into the address; an answer beyond 2xx is a fault."""
+
+    def fetch(params: dict[str, str]) -> str:
+        with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params)}", timeout=timeout) as said:
+            return said.read().decode(said.headers.get_content_charset() or "utf-8")
+
+    return fetch
+
+
 class Study(InputPartition):
     def __init__(self, code: str):
         self.code = code
