@@ -233,7 +233,9 @@ def paper_matrix(spark, sf_dir):
 @query(f"WITH {_SAID} SELECT model, paper_id, error, CASE WHEN error IS NULL THEN n END AS n FROM r")
 def combined_results(spark, sf_dir):
     found = _asked(spark, sf_dir).withColumn("extraction", F.to_json(jsonx.tolerant(F.col("answer"))))
-    one = jobs.results_object(found, [])
+    path = scratch(spark, "results")
+    jobs.write_results(found, ["a", "b"], path)
+    one = spark.read.text(path, wholetext=True)  # one file, as it is meant to be
     shape = "papers_sampled array<string>, timings map<string,map<string,double>>, results map<string,map<string,string>>"
     parsed = one.select(F.from_json("value", f"struct<{', '.join(p.replace(' ', ':', 1) for p in shape.split(', '))}>").alias("o"))
     cells = parsed.select(F.explode("o.results").alias("model", "papers")).select("model", F.explode("papers").alias("paper_id", "j"))
@@ -437,6 +439,43 @@ def stated_contradictions(spark, sf_dir):
     return sections.contradictions(_papers(spark, sf_dir), "j", "event_id")
 
 
+_M = "'m' || event_id % 13"
+
+
+@query(f"""SELECT event_id, 'microbe_relationships' AS section, 0 AS pos, {_M} || CASE WHEN event_id % 2 = 0 THEN '/increased' ELSE '' END || '/bacteria' AS entry FROM events
+UNION ALL SELECT event_id, 'microbe_relationships', 1, 'm/fungi' FROM events
+UNION ALL SELECT event_id, 'diversity_metrics', 0, 'shannon/' || event_id % 7 FROM events
+UNION ALL SELECT event_id, 'metabolites', 0, 'x' || event_id % 5 || '/' || {_M} || '/q' FROM events
+UNION ALL SELECT event_id, 'immune_markers', 0, 'il' || event_id % 6 || '/cytokine/' || {_M} FROM events
+UNION ALL SELECT event_id, 'virus_associations', 0, 'v' || event_id % 4 || '/0.0' || event_id % 9 FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'microbe_interactions', 0, {_M} || '/q' FROM events
+UNION ALL SELECT event_id, 'mechanistic_pathways', i, 'p' || i || '/' || CASE i WHEN 0 THEN {_M} || '>o' ELSE '' END FROM events, range(2) r(i)
+UNION ALL SELECT event_id, 'contradictions', i, 'c' || event_id % 7 || i FROM events, range(2) r(i)""")
+def every_section(spark, sf_dir):
+    """The entries of all eight sections of an extraction for each event."""
+    m = _j('"m', F.col("event_id") % 13, '"')
+    parts = [_j('{"microbe_relationships": [{"taxon_name": ', m, F.when(F.col("event_id") % 2 == 0, ', "direction": "increased"').otherwise(""), '}, {"taxon_name": "m", "domain": "fungi"}]')]
+    parts += [_j(', "diversity_metrics": [{"metric_type": "shannon", "value": ', F.col("event_id") % 7, '}], "metabolites": [{"name": "x', F.col("event_id") % 5, '", "produced_by": [', m, ', "q"]}]')]
+    parts += [_j(', "immune_markers": [{"name": "il', F.col("event_id") % 6, '", "marker_type": "cytokine", "associated_microbes": [', m, "]}]")]
+    parts += [F.when(F.col("event_id") % 3 == 0, _j(', "virus_associations": [{"virus_name": "v', F.col("event_id") % 4, '", "quantitative_data": {"p": "0.0', F.col("event_id") % 9, '"}}]')).otherwise("")]
+    parts += [_j(', "microbe_interactions": [{"microbe_1": ', m, ', "microbe_2": "q"}], "mechanistic_pathways": [{"description": "p0", "steps": [{"name": ', m, '}, {"name": "o"}]}, {"description": "p1"}]')]
+    parts += [_j(', "extraction_metadata": {"contradictions_found": ["c', F.col("event_id") % 7, '0", "c', F.col("event_id") % 7, '1"]}}')]
+    papers = table(spark, sf_dir, "events").select("event_id", F.concat(*parts).alias("j"))
+    shown = {
+        "microbe_relationships": ("taxon_name", "direction", "domain"),
+        "diversity_metrics": ("metric_type", "value"),
+        "metabolites": ("name", F.array_join("produced_by", "/")),
+        "immune_markers": ("name", "marker_type", F.array_join("associated_microbes", "/")),
+        "virus_associations": ("virus_name", F.col("quantitative_data")["p"]),
+        "microbe_interactions": ("microbe_1", "microbe_2"),
+        "mechanistic_pathways": ("description", F.array_join(F.transform(F.coalesce("steps", F.array()), lambda s: s["name"]), ">")),
+    }
+    found = sections.contradictions(papers, "j", "event_id").select("event_id", F.lit("contradictions").alias("section"), "pos", F.col("text").alias("entry"))
+    for name, fields in shown.items():
+        found = found.unionByName(sections.section(papers, "j", "event_id", name).select("event_id", F.lit(name).alias("section"), "pos", F.concat_ws("/", *fields).alias("entry")))
+    return found
+
+
 @query("""SELECT event_id, 0 AS pos, 'a' AS taxon_name, 'bacteria' AS domain FROM events UNION ALL SELECT event_id, 1, 'b', 'bacteria' FROM events WHERE event_id % 2 = 0""")
 def section_rows(spark, sf_dir):
     return sections.section(_papers(spark, sf_dir), "j", "event_id", "microbe_relationships").select("event_id", "pos", "taxon_name", "domain")

@@ -78,17 +78,30 @@ def extraction_matrix(papers: DataFrame, models: list[str], call: Callable[[str,
     return read.select("model", "paper_id", F.when(failed, "error").otherwise(F.col("e.status")).alias("status"), F.when(~failed, F.col("e.n")).alias("n"), F.coalesce("error", "e.error").alias("error"), F.col("e.raw").alias("raw"), "elapsed_s")
 
 
-def results_object(results: DataFrame, papers: list[str]) -> DataFrame:
-    """One row of JSON: the papers drawn, each model's times, and each model's results by paper (an extraction, or an error
-    with the raw answer). Papers drawn times models, so the row is small."""
-    entry = F.when(F.col("status") == "ok", F.col("extraction")).otherwise(F.to_json(F.struct("error", "raw")))
-    by_model = results.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("paper_id", "elapsed_s", entry.alias("entry")))).alias("p"))
-    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
-    part = lambda value: F.concat(quoted(F.col("model")), F.lit(":{"), F.array_join(F.transform("p", lambda x: F.concat(quoted(x["paper_id"]), F.lit(":"), value(x))), ","), F.lit("}"))
-    cells = by_model.select("model", part(lambda x: F.coalesce(x["elapsed_s"].cast("string"), F.lit("null"))).alias("times"), part(lambda x: x["entry"]).alias("found"))
-    lists = cells.agg(F.sort_array(F.collect_list(F.struct("model", "times", "found"))).alias("m"))
-    joined = lambda f: F.array_join(F.transform("m", lambda x: x[f]), ",")
-    return lists.select(F.concat(F.lit('{"papers_sampled":' + json.dumps(papers) + ',"timings":{'), joined("times"), F.lit('},"results":{'), joined("found"), F.lit("}}")).alias("value"))
+def write_results(results: DataFrame, papers: list[str], path: str) -> None:
+    """One file with one JSON object: the papers drawn, each model's times by paper, and each model's results by paper (an
+    extraction, or an error with the raw answer), in order. One task writes the file, entry by entry, sorting on disk if
+    need be; no row holds more than an entry. Of several results of a model for a paper a good one stays, then the first in
+    order of text; a null model or paper is called "null"."""
+    entry = F.when(F.col("status") == "ok", F.coalesce("extraction", F.lit("null"))).otherwise(F.to_json(F.struct("error", "raw")))
+    named = results.select(F.coalesce("model", F.lit("null")).alias("model"), F.coalesce("paper_id", F.lit("null")).alias("paper_id"), F.struct((F.col("status") != "ok").alias("failed"), entry.alias("entry"), "elapsed_s").alias("r"))
+    each = named.groupBy("model", "paper_id").agg(F.min("r").alias("r"))
+    first, last = each.agg(F.min("model"), F.max("model")).first()
+    head = '{\n  "papers_sampled": ' + json.dumps(papers, ensure_ascii=False) + ',\n  "timings": {'
+    if first is None:
+        lines = results.sparkSession.createDataFrame([(head + '},\n  "results": {}\n}',)], "line string")
+    else:
+        quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+        ends = each.groupBy("model").agg(F.min("paper_id").alias("from"), F.max("paper_id").alias("to"))
+        took = F.coalesce(F.col("r.elapsed_s").cast("string"), F.lit("null"))
+        parts = each.join(ends, "model").select("*", F.explode(F.array(F.struct(F.lit(1).alias("part"), took.alias("value")), F.struct(F.lit(2).alias("part"), F.col("r.entry").alias("value")))).alias("e")).select("*", "e.part", "e.value")
+        opens, closes = F.col("paper_id") == F.col("from"), F.col("paper_id") == F.col("to")
+        before = F.when(opens & (F.col("model") == first), F.when(F.col("part") == 1, head + "\n").otherwise('  "results": {\n')).otherwise("")
+        before = F.concat(before, F.when(opens, F.concat(F.lit("    "), quoted("model"), F.lit(": {\n"))).otherwise(""))
+        after = F.when(~closes, ",").when(F.col("model") != last, "\n    },").when(F.col("part") == 1, "\n    }\n  },").otherwise("\n    }\n  }\n}")
+        lines = parts.select("part", "model", "paper_id", F.concat(before, F.lit("      "), quoted("paper_id"), F.lit(": "), F.col("value"), after).alias("line"))
+        lines = lines.repartition(1).sortWithinPartitions("part", "model", "paper_id").select("line")
+    files.write_file(results.sparkSession, path, lines)
 
 
 def paper_summary(results: DataFrame, models: list[str]) -> DataFrame:

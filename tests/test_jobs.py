@@ -110,3 +110,15 @@ def test_tag_conversions(spark):
     assert tags.with_ids(tokens.where("tag = 'O'"), ids).first().label_id == 0
     with pytest.raises(Exception, match="unknown label: Z"):
         tags.with_ids(tokens, ids).select(F.sum("label_id")).collect()
+
+
+def test_write_results(spark, tmp_path):
+    rows = [("b", "2", "ok", '{"a":[1]}', None, None, 1.5), ("b", "1", "error", None, "JSON parse failed", 'x "y"', None), ("a", "1", "ok", "{}", None, None, 0.0), ("a", "1", "error", None, "late", None, None), ("b", 'é"', "ok", None, None, None, 2.0)]
+    schema = "model string, paper_id string, status string, extraction string, error string, raw string, elapsed_s double"
+    jobs.write_results(spark.createDataFrame(rows, schema), ["1", "é"], str(tmp_path / "r"))
+    want = {"papers_sampled": ["1", "é"], "timings": {"a": {"1": 0.0}, "b": {"1": None, "2": 1.5, 'é"': 2.0}}, "results": {"a": {"1": {}}, "b": {"1": {"error": "JSON parse failed", "raw": 'x "y"'}, "2": {"a": [1]}, 'é"': None}}}
+    assert json.loads((tmp_path / "r").read_text()) == want
+    jobs.write_results(spark.createDataFrame(rows[2:3], schema), [], str(tmp_path / "one"))
+    assert json.loads((tmp_path / "one").read_text()) == {"papers_sampled": [], "timings": {"a": {"1": 0.0}}, "results": {"a": {"1": {}}}}
+    jobs.write_results(spark.createDataFrame([], schema), [], str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none").read_text()) == {"papers_sampled": [], "timings": {}, "results": {}}
