@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 #: The end of a text; no word can be it, since it is white space.
 END = "\n"
-SALTS = 64
+SALTS, PIECE = 64, 4096
 
 
 def words(text: Column) -> Column:
@@ -34,17 +34,24 @@ def words(text: Column) -> Column:
 
 def counts(docs: DataFrame, text_col: str = "text", order: int = 3) -> DataFrame:
     """context, word, n: how often a word follows a run of 0 to order - 1 words."""
-    # behind a generator the list is worked out once
+    # behind a generator the list is worked out once; pieces with the words before them, so that no row holds all runs of a text
     own = docs.select(F.explode(F.array(words(F.col(text_col)))).alias("w")).where("size(w) > 0").select(F.explode(F.array(F.concat("w", F.array(F.lit(END))))).alias("w"))
-    before = lambda i: F.slice("w", F.greatest(i - order + 2, F.lit(1)), F.least(i, F.lit(order - 1)))
-    grams = own.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), before(i).alias("run")))).alias("g")).select("g.*")
-    runs = F.transform(F.sequence(F.lit(0), F.size("run")), lambda k: F.array_join(F.slice("run", F.size("run") - k + 1, k), " "))
-    return grams.select("word", F.explode(runs).alias("context")).groupBy("context", "word").agg(F.count("*").alias("n"))
+    cut = lambda s: F.struct(F.least(s, F.lit(order - 1)).alias("skip"), F.slice("w", F.greatest(s - order + 2, F.lit(1)), F.least(s, F.lit(order - 1)) + PIECE).alias("p"))
+    pieces = own.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), cut)).alias("c")).select("c.*")
 
+    def runs(k: int) -> Column:
+        first = F.greatest("skip", F.lit(k))
+        run = lambda i: F.concat_ws(" ", *(F.get("p", first + i - (k - j)) for j in range(k)))
+        return F.transform(F.slice("p", first + 1, F.greatest(F.size("p") - first, F.lit(0))), lambda x, i: F.struct(run(i).alias("context"), x.alias("word")))
 
-def train(docs: DataFrame, text_col: str = "text", order: int = 3, width: int = 32, contexts: int = 1 << 17) -> DataFrame:
-    """context, total, words, n: a model, as a table to be written."""
-    every = counts(docs, text_col, order)
+    return pieces.select(F.explode(F.concat(*map(runs, range(order)))).alias("g")).groupBy("g.context", "g.word").agg(F.count("*").alias("n"))
+
+
+def train(docs: DataFrame, folder: str, text_col: str = "text", order: int = 3, width: int = 32, contexts: int = 1 << 17) -> DataFrame:
+    """context, total, words, n: a model, as a table to be written. folder is a place of its own that driver and executors
+    share, for the counts, which are read twice."""
+    counts(docs, text_col, order).write.mode("overwrite").parquet(folder)
+    every = docs.sparkSession.read.parquet(folder)
     kept = every.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts)
     ranked = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("r") <= width)
     some = every.join(kept, "context").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
@@ -67,11 +74,11 @@ def loaded(table: DataFrame, most: int = 1 << 22) -> Model:
         raise ValueError(f"the model holds {size} words behind runs, over {most}")
     rows = table.orderBy("context").toArrow()
     found = rows.column("context").to_pylist()
-    sizes = np.array([len(w) for w in rows.column("words").to_pylist()], dtype=np.int64)
-    flat = lambda name: [x for r in rows.column(name).to_pylist() for x in r]
-    total = np.repeat(rows.column("total").to_numpy().astype(np.float64), sizes) if found else np.zeros(0)
+    lists = {c: rows.column(c).combine_chunks() for c in ("words", "n")}
+    sizes = lists["n"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.repeat(rows.column("total").to_numpy().astype(np.float64), sizes)
     order = 1 + max((len(c.split(" ")) for c in found if c), default=0)
-    return Model(order, {c: i for i, c in enumerate(found)}, np.concatenate(([0], np.cumsum(sizes))), np.array(flat("words"), dtype=object), np.log(np.array(flat("n"), dtype=np.float64)) - np.log(total))
+    return Model(order, {c: i for i, c in enumerate(found)}, np.concatenate(([0], np.cumsum(sizes))), lists["words"].flatten().to_numpy(zero_copy_only=False).astype(object), np.log(lists["n"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)) - np.log(total))
 
 
 def behind(model: Model, text: list[str]) -> tuple[np.ndarray, np.ndarray]:

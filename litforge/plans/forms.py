@@ -532,7 +532,7 @@ def local_answers(spark, sf_dir):
     memory that is always reached."""
     prompts = table(spark, sf_dir, "benchmark").select(F.explode(F.array(F.lit("small"), F.lit("large"))).alias("model"), F.col("item_id").cast("string").alias("paper_id"), F.col("text").alias("prompt"))
     path = scratch(spark, "words")
-    generate.train(table(spark, sf_dir, "documents")).write.parquet(path)
+    generate.train(table(spark, sf_dir, "documents"), scratch(spark, "word-counts")).write.parquet(path)
     sent = spark.sparkContext.broadcast(generate.loaded(spark.read.parquet(path)))
     own = extract.loaded(lambda: lambda prompt: generate.continued(sent.value, prompt, most=12))
     calls = {"small": extract.within_memory(own, 1), "large": extract.within_memory(own, 1 << 30)}

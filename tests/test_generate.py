@@ -25,8 +25,9 @@ def corpus(n=60):
     return [" ".join(draw.choice("a b c dd é".split()) for _ in range(draw.randint(1, 30))) for _ in range(n)] + [None, "", " \n", "b " * 5000]
 
 
-def model_of(spark, texts, **how):
-    return generate.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), **how)
+@pytest.fixture()
+def model_of(spark, tmp_path):
+    return lambda texts, **how: generate.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), str(tmp_path / "counts"), **how)
 
 
 def greedy(found, prompt, most, order=3):
@@ -41,10 +42,10 @@ def greedy(found, prompt, most, order=3):
     return " ".join(out)
 
 
-def test_counts_and_greedy(spark):
+def test_counts_and_greedy(spark, model_of):
     texts = corpus()
     want = plain(texts)
-    table = model_of(spark, texts).cache()
+    table = model_of(texts).cache()
     rows = {r.context: r for r in table.collect()}
     assert {c: (r.total, dict(zip(r.words, r.n, strict=True))) for c, r in rows.items()} == {c: (sum(x.values()), dict(x)) for c, x in want.items()}
     model = generate.loaded(table)
@@ -55,18 +56,18 @@ def test_counts_and_greedy(spark):
     assert generate.generated(df, "p", model).columns == ["id", "p", "answer"]
 
 
-def test_sizes_bound_the_model(spark):
+def test_sizes_bound_the_model(spark, model_of):
     texts = corpus()
     want = plain(texts)
-    table = model_of(spark, texts, width=2, contexts=5).collect()
+    table = model_of(texts, width=2, contexts=5).collect()
     kept = sorted(want, key=lambda c: (-sum(want[c].values()), c))[:5]
     assert {r.context: list(r.words) for r in table} == {c: sorted(want[c], key=lambda w: (-want[c][w], w))[:2] for c in kept}
     with pytest.raises(ValueError, match="over 3"):
-        generate.loaded(model_of(spark, texts, width=2, contexts=5), most=3)
+        generate.loaded(model_of(texts, width=2, contexts=5), most=3)
 
 
-def test_draws(spark):
-    model = generate.loaded(model_of(spark, ["x a", "x a", "x a", "x b"]))
+def test_draws(spark, model_of):
+    model = generate.loaded(model_of(["x a", "x a", "x a", "x b"]))
     n = Counter(generate.continued(model, "x", 1, temperature=1.0, seed=s) for s in range(4000))
     assert abs(n["a"] / 4000 - 0.75) < 0.03 and set(n) == {"a", "b"}
     cold = Counter(generate.continued(model, "x", 1, temperature=0.5, seed=s) for s in range(4000))  # squares of the shares
@@ -76,6 +77,6 @@ def test_draws(spark):
     assert generate.continued(model, "a x", 1, penalty=math.log(0.25) / math.log(0.75) + 0.1) == "b"
 
 
-def test_no_texts(spark):
-    model = generate.loaded(model_of(spark, [None, ""]))
+def test_no_texts(spark, model_of):
+    model = generate.loaded(model_of([None, ""]))
     assert generate.continued(model, "a b") == "" and model.order == 1
