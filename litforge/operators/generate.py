@@ -32,8 +32,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def counts(docs: DataFrame, text_col: str = "text", order: int = 3) -> DataFrame:
-    """context, word, n: how often a word follows a run of 0 to order - 1 words."""
+def grams(docs: DataFrame, text_col: str = "text", order: int = 3) -> DataFrame:
+    """context, word: each word of each text behind each of the runs of 0 to order - 1 words before it."""
     # behind a generator the list is worked out once; pieces with the words before them, so that no row holds all runs of a text
     own = docs.select(F.explode(F.array(words(F.col(text_col)))).alias("w")).where("size(w) > 0").select(F.explode(F.array(F.concat("w", F.array(F.lit(END))))).alias("w"))
     cut = lambda s: F.struct(F.least(s, F.lit(order - 1)).alias("skip"), F.slice("w", F.greatest(s - order + 2, F.lit(1)), F.least(s, F.lit(order - 1)) + PIECE).alias("p"))
@@ -44,17 +44,19 @@ def counts(docs: DataFrame, text_col: str = "text", order: int = 3) -> DataFrame
         run = lambda i: F.concat_ws(" ", *(F.get("p", first + i - (k - j)) for j in range(k)))
         return F.transform(F.slice("p", first + 1, F.greatest(F.size("p") - first, F.lit(0))), lambda x, i: F.struct(run(i).alias("context"), x.alias("word")))
 
-    return pieces.select(F.explode(F.concat(*map(runs, range(order)))).alias("g")).groupBy("g.context", "g.word").agg(F.count("*").alias("n"))
+    return pieces.select(F.explode(F.concat(*map(runs, range(order)))).alias("g")).select("g.*")
 
 
 def train(docs: DataFrame, folder: str, text_col: str = "text", order: int = 3, width: int = 32, contexts: int = 1 << 17) -> DataFrame:
     """context, total, words, n: a model, as a table to be written. folder is a place of its own that driver and executors
-    share, for the counts, which are read twice."""
-    counts(docs, text_col, order).write.mode("overwrite").parquet(folder)
-    every = docs.sparkSession.read.parquet(folder)
-    kept = every.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts)
+    share, for the runs that are kept. They are counted first, so that only what follows them is shuffled after that; up to
+    2**20 of them are broadcast."""
+    every = grams(docs, text_col, order)
+    every.groupBy("context").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "context").limit(contexts).write.mode("overwrite").parquet(folder)
+    kept = docs.sparkSession.read.parquet(folder)
+    some = every.join(F.broadcast(kept) if contexts <= 1 << 20 else kept, "context").groupBy("context", "total", "word").agg(F.count("*").alias("n"))
     ranked = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("r") <= width)
-    some = every.join(kept, "context").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
+    some = some.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
     best = ranked(ranked(some, "context", "salt"), "context").groupBy("context", "total").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("b"))
     return best.select("context", "total", F.col("b.word").alias("words"), F.col("b.n").alias("n"))
 
