@@ -22,7 +22,8 @@ RELATIONS = (
     "host_factor_modifies_relationship",
     "diversity_outcome_association",
 )
-SALTS = 32
+#: Items of a group that meet in one row.
+SLICE = 256
 
 
 def _edge(rows: DataFrame, id_col: str, src: Column, dst: Column, rel: str) -> DataFrame:
@@ -85,11 +86,17 @@ def reached(edges: DataFrame, folder: str, starts: DataFrame | None = None, most
 
 
 def together(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """item_1 < item_2 and n, the number of groups that hold both. Items of a group meet in SALTS times as many parts as
-    there are slices of it: each is sent to a row and a column of them, so that a group of many items spreads."""
+    """item_1 < item_2 and n, the number of groups that hold both. A group's items meet in one row; those of a group of more
+    than SLICE items are cut by hash into slices, and each two slices meet in a row of their own, so that a large group
+    spreads and an item is sent as often as its group has slices. The number of pairs of a group grows with its square: that
+    is the result. The sizes of groups of more than SLICE items are broadcast."""
     own = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null").distinct()
-    slice_of = F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    left = own.select("g", F.col("i").alias("item_1"), slice_of.alias("r")).withColumn("c", every)
-    right = own.select("g", F.col("i").alias("item_2"), slice_of.alias("c")).withColumn("r", every)
-    return left.join(right, ["g", "r", "c"]).where("item_1 < item_2").groupBy("item_1", "item_2").agg(F.count("*").alias("n"))
+    large = own.groupBy("g").agg(F.count("*").alias("size")).where(F.col("size") > SLICE).select("g", F.ceil(F.col("size") / SLICE).alias("k"))
+    sliced = own.join(F.broadcast(large), "g", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))).withColumn("s", F.pmod(F.xxhash64("i"), "k"))
+    met = sliced.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    cell = met.groupBy("g", F.least("s", "other").alias("a"), F.greatest("s", "other").alias("b")).agg(F.collect_list(F.struct("i", "s")).alias("items"))
+    first = cell.select("a", "b", "items", F.explode("items").alias("x"))
+    # of two slices only items of different ones meet, since those of one meet in its own row
+    second = F.filter("items", lambda y: (F.col("x.i") < y["i"]) & ((F.col("a") == F.col("b")) | (F.col("x.s") != y["s"])))
+    pairs = first.select(F.col("x.i").alias("item_1"), F.explode(second).alias("y"))
+    return pairs.groupBy("item_1", F.col("y.i").alias("item_2")).agg(F.count("*").alias("n"))
