@@ -36,10 +36,10 @@ def relations(papers: DataFrame, json_col: str, id_col: str) -> DataFrame:
     factor points to each microbe that its entry names; an interaction counts both ways."""
     v = F.try_parse_json(json_col)
     about = lambda p: F.try_variant_get(v, p, "string")
-    heads = papers.select(F.col(id_col).alias("id"), F.coalesce(about("$.disease.primary_disease"), about("$.primary_disease")).alias("disease"), about("$.intervention").alias("intervention"))
+    head = F.struct(F.col(id_col).alias(id_col), F.coalesce(about("$.disease.primary_disease"), about("$.primary_disease")).alias("disease"), about("$.intervention").alias("intervention"))
     of = lambda name: sections.section(papers, json_col, id_col, name)
-    with_head = lambda rows: rows.join(heads.withColumnRenamed("id", id_col), id_col)
-    microbes = with_head(of("microbe_relationships"))
+    # a paper's disease and intervention go along with its entries: no join, of which a side could be broadcast
+    microbes = sections.section(papers.select(head.alias("_paper"), json_col), json_col, "_paper", "microbe_relationships").select("_paper.*", "taxon_name", "change_context")
     treated = F.col("change_context") == "treatment_effect"
     made, bonds = of("metabolites"), of("microbe_interactions")
     pairs = F.explode(F.array(F.struct(F.col("microbe_1").alias("a"), F.col("microbe_2").alias("b")), F.struct(F.col("microbe_2").alias("a"), F.col("microbe_1").alias("b"))))
