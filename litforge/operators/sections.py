@@ -56,7 +56,8 @@ def incomplete(papers: DataFrame, json_col: str, id_col: str) -> DataFrame:
 def chains(microbes: DataFrame, metabolites: DataFrame, id_col: str) -> DataFrame:
     """id, microbe, metabolite, outcome: a paper's microbes, what they produce, and what that goes with."""
     made = metabolites.select(id_col, F.explode("produced_by").alias("taxon_name"), F.col("name").alias("metabolite"), F.col("associated_outcome").alias("outcome"))
-    return microbes.select(id_col, "taxon_name").distinct().join(made, [id_col, "taxon_name"]).select(id_col, F.col("taxon_name").alias("microbe"), "metabolite", "outcome").distinct()
+    # merged: a side whose rows pack well looks small enough to be broadcast, and would go through the driver whole
+    return microbes.select(id_col, "taxon_name").distinct().hint("merge").join(made, [id_col, "taxon_name"]).select(id_col, F.col("taxon_name").alias("microbe"), "metabolite", "outcome").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
