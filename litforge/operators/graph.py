@@ -70,7 +70,7 @@ def reached(edges: DataFrame, folder: str, starts: DataFrame | None = None, most
     grow with the square of the nodes: that is the result. A fault after `most` rounds."""
     spark = edges.sparkSession
     hops = edges.select("src", "dst").where("src <> dst").distinct()
-    new = (hops.join(starts.select("src").distinct(), "src", "left_semi") if starts is not None else hops).withColumn("hops", F.lit(1))
+    new = (hops.join(starts.select("src").distinct().hint("merge"), "src", "left_semi") if starts is not None else hops).withColumn("hops", F.lit(1))
     seen = None
     for n in range(1, most + 1):
         new.write.mode("overwrite").parquet(f"{folder}/hop={n}")
@@ -78,8 +78,8 @@ def reached(edges: DataFrame, folder: str, starts: DataFrame | None = None, most
         if not new.limit(1).count():
             break
         seen = new if seen is None else seen.unionByName(new)
-        onward = new.select("src", F.col("dst").alias("via")).join(hops.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").where("src <> dst").distinct()
-        new = onward.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(n + 1))
+        onward = new.select("src", F.col("dst").alias("via")).join(hops.select(F.col("src").alias("via"), "dst").hint("merge"), "via").select("src", "dst").where("src <> dst").distinct()
+        new = onward.join(seen.select("src", "dst").hint("merge"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(n + 1))
     else:
         raise RuntimeError(f"chains did not end in {most} rounds")
     return seen if seen is not None else new
