@@ -77,6 +77,21 @@ class Trie:
         return some, size[some], found[some]
 
 
+#: Words of a batch that are followed at once; a row of more is one piece.
+WORDS = 1 << 17
+
+
+def _pieces(batches, column: str):
+    """Batches cut into pieces of up to WORDS words."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + WORDS, side="right")))
+            yield batch.slice(at, to - at)
+            at, done = to, int(ends[to - 1])
+
+
 _HITS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("start", "size", "term")]))
 
 
@@ -84,7 +99,7 @@ def _followed(trie, names: list[str], last: bool):
     """Adds a block's matches to each row's, the longest at each place; with last, takes them from the left."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches, "_words"):
             column = batch.column("_words")
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             begin = np.concatenate(([0], np.cumsum(sizes)))
