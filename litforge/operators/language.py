@@ -52,14 +52,17 @@ def dictionary(found: DataFrame, least: int = 2, share: float = 0.6) -> DataFram
 
 def expanded(docs: DataFrame, found: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `expanded`: short forms that stand as words between blanks become the long form that their text gives them
-    first, or else the corpus's. Only ids and short forms are joined; a text of an id that repeats takes all that its id
-    defines."""
+    first, or else the corpus's. Only ids and short forms are joined, of words only those that the corpus knows; a text of an
+    id that repeats takes all that its id defines. If found and known are stored tables, a small known is broadcast and the
+    texts' words are not shuffled."""
     own = found.groupBy("id", "short").agg(F.min_by(F.lower("long"), F.struct("place", "long")).alias("long"))
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(F.split(text_col, " "), lambda w: w.rlike(_SHORT) & (F.length(w) <= 10)))).alias("short")).distinct()
-    met = words.join(known.withColumnRenamed("long", "of_corpus"), "short").join(own, [words["id"].eqNullSafe(own["id"]), words["short"] == own["short"]], "left_anti").select("id", "short", F.col("of_corpus").alias("long"))
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.filter(F.split(text_col, " "), lambda w: w.rlike(_SHORT) & (F.length(w) <= 10)))).alias("short"))
+    met = words.join(known, "short").select("id", "short", "long").distinct()  # a short form has one long form in known
+    given = own.select(F.col("id").alias("of"), F.col("short").alias("given")).hint("merge")
+    met = met.join(given, F.col("id").eqNullSafe(F.col("of")) & (F.col("short") == F.col("given")), "left").where("given is null").select("id", "short", "long")  # an anti join would be done before the other, on all words
     maps = own.select("id", "short", "long").unionByName(met).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("short", "long"))).alias("_forms"))
     maps = maps.withColumnRenamed("id", "_of")
-    joined = docs.join(maps, docs[id_col].eqNullSafe(maps["_of"]), "left").drop("_of")
+    joined = docs.join(maps.hint("merge"), docs[id_col].eqNullSafe(maps["_of"]), "left").drop("_of")
     swap = F.array_join(F.transform(F.split(text_col, " "), lambda w: F.coalesce(F.col("_forms")[w], w)), " ")
     return joined.withColumn("expanded", F.when(F.col("_forms").isNull(), F.col(text_col)).otherwise(swap)).drop("_forms")
 
