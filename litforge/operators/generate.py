@@ -3,8 +3,10 @@ temperature, a nucleus and a penalty on repeats.
 
 Training counts, over all texts, how often each word follows each run of up to order - 1 words (the empty run too). A
 model keeps the `contexts` runs that occur most often and the `width` words that follow each most often: these two are its
-size, as hashing bits are elsewhere, and bound what is broadcast. What a run is followed by is ranked in two steps, by
-salts, so that no task gets all words behind the empty run.
+size, as hashing bits are elsewhere, and bound what is broadcast.
+
+Runs are counted by length. A run occurs at most as often as the run that it begins with, which also comes first in order;
+so only words behind runs that are among the best so far can end a longer run that is kept, and no other run is counted.
 
 A step takes the longest run at the text's end that the model knows. The end of a text is a word of its own, at which
 generation stops. Words are parted by white space, and joined by blanks. Ties go to the word first in order.
@@ -14,51 +16,139 @@ knows no run, says nothing ("")."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The end of a text; no word can be it, since it is white space.
 END = "\n"
-SALTS, PIECE = 64, 4096
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def grams(docs: DataFrame, text_col: str = "text", order: int = 3) -> DataFrame:
-    """context, word: each word of each text behind each of the runs of 0 to order - 1 words before it."""
-    # behind a generator the list is worked out once; pieces with the words before them, so that no row holds all runs of a text
-    own = docs.select(F.explode(F.array(words(F.col(text_col)))).alias("w")).where("size(w) > 0").select(F.explode(F.array(F.concat("w", F.array(F.lit(END))))).alias("w"))
-    cut = lambda s: F.struct(F.least(s, F.lit(order - 1)).alias("skip"), F.slice("w", F.greatest(s - order + 2, F.lit(1)), F.least(s, F.lit(order - 1)) + PIECE).alias("p"))
-    pieces = own.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(PIECE)), cut)).alias("c")).select("c.*")
+#: Bytes of text that a task counts at once; times a run occurs for each part that the words behind it are dealt to, and
+#: the most parts of a run.
+HELD, PART, PARTS = 1 << 25, 1 << 16, 1 << 20
+
+
+class Runs(NamedTuple):
+    """Runs of one length, as steps of a tree: a step holds, sorted, the numbers that a run's beginning and its next word
+    make together, and their places are the numbers of the beginnings longer by that word."""
+
+    words: pa.Array
+    steps: list[np.ndarray]
+    c: np.ndarray  # number of the run at each place of the last step
+    parts: np.ndarray
+
+
+def _runs(rows: pa.Table) -> Runs:
+    """Of context, c and total."""
+    lists = pc.split_pattern(rows.column("context").combine_chunks(), " ")
+    known = lists.flatten().unique()
+    ids = pc.index_in(lists.flatten(), value_set=known).to_numpy().astype(np.int64).reshape(len(rows), -1)
+    at, steps = np.zeros(len(rows), np.int64), []
+    for i in ids.T:
+        step, at = np.unique(at * len(known) + i, return_inverse=True)
+        steps.append(step)
+    back = np.argsort(at)  # runs differ, so each has a place of its own
+    return Runs(known.cast(pa.large_string()), steps, rows.column("c").to_numpy()[back].astype(np.int64), np.minimum(1 + rows.column("total").to_numpy()[back] // PART, PARTS))
+
+
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words, the end first, and the places among them of the words of all texts, with the end of each text that has words."""
+    lists = pc.ascii_split_whitespace(texts)  # the white space that \\s stands for in Java
+    flat = lists.flatten()
+    there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    upto = np.concatenate(([0], np.cumsum(there)))[lists.offsets.to_numpy()]
+    coded = flat.filter(pa.array(there)).dictionary_encode()
+    ends = upto[1:][upto[1:] > upto[:-1]]
+    return pa.concat_arrays([pa.array([END], pa.large_string()), coded.dictionary]), np.insert(coded.indices.to_numpy().astype(np.int64) + 1, ends, 0)
+
+
+def _counted(runs: Runs, texts: pa.Array) -> pa.RecordBatch:
+    """c, parts, word, n: how often each word follows each of the runs. No run goes over an end, which is in none."""
+    known, code = _coded(texts)
+    ids, at = pc.fill_null(pc.index_in(known, value_set=runs.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code], np.arange(len(runs.steps), len(code))
+    place = np.zeros(len(at), np.int64)
+    for k, step in enumerate(runs.steps):
+        i = ids[at - len(runs.steps) + k]
+        at, place, i = at[i >= 0], place[i >= 0], i[i >= 0]
+        key = place * len(runs.words) + i
+        place = np.minimum(np.searchsorted(step, key), len(step) - 1)
+        there = step[place] == key
+        at, place = at[there], place[there]
+    pairs, n = np.unique(place * len(known) + code[at], return_counts=True)
+    place, word = np.divmod(pairs, len(known))
+    return pa.RecordBatch.from_arrays([pa.array(runs.c[place]), pa.array(runs.parts[place]), known.take(pa.array(word)).cast(pa.string()), pa.array(n.astype(np.int64))], names=["c", "parts", "word", "n"])
+
+
+def followed(texts: DataFrame, runs: Runs) -> DataFrame:
+    """c, part, word, n: how often each word follows each of the runs in all texts, a column of strings. The words behind a
+    run that occurs often are dealt to several parts."""
+    sent = texts.sparkSession.sparkContext.broadcast(runs)
 
-    def runs(k: int) -> Column:
-        first = F.greatest("skip", F.lit(k))
-        run = lambda i: F.concat_ws(" ", *(F.get("p", first + i - (k - j)) for j in range(k)))
-        return F.transform(F.slice("p", first + 1, F.greatest(F.size("p") - first, F.lit(0))), lambda x, i: F.struct(run(i).alias("context"), x.alias("word")))
-
-    return pieces.select(F.explode(F.concat(*map(runs, range(order)))).alias("g")).select("g.*")
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch.column(0).cast(pa.large_string()))
+            if sum(x.nbytes for x in held) >= HELD:
+                yield _counted(sent.value, pa.concat_arrays(held))
+                held = []
+        if held:
+            yield _counted(sent.value, pa.concat_arrays(held))
+
+    found = texts.mapInArrow(run, "c long, parts long, word string, n long")
+    dealt = found.select((F.col("c") * PARTS + F.pmod(F.xxhash64("word"), F.col("parts"))).alias("part"), "word", "n").repartition("part")
+    return dealt.groupBy("part", "word").agg(F.sum("n").alias("n")).select(F.expr(f"part div {PARTS}").alias("c"), "part", "word", "n")
+
+
+def _best(runs: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The runs that occur most often, and how often the last occurs (1, if there are fewer). Only those that occur as often are
+    put in order."""
+    least, n = 1, 0
+    for total, count in sorted((tuple(r) for r in runs.groupBy("total").count().collect()), reverse=True):
+        n += count
+        if n >= most:
+            least = total
+            break
+    return runs.where(F.col("total") >= least).orderBy(F.desc("total"), "context").limit(most), least
 
 
 def train(docs: DataFrame, folder: str, text_col: str = "text", order: int = 3, width: int = 32, contexts: int = 1 << 17) -> DataFrame:
     """context, total, words, n: a model, as a table to be written. folder is a place of its own that driver and executors
-    share, for the runs that are kept. They are counted first, so that only what follows them is shuffled after that; up to
-    2**20 of them are broadcast."""
-    every = grams(docs, text_col, order)
-    every.groupBy("context").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "context").limit(contexts).write.mode("overwrite").parquet(folder)
-    kept = docs.sparkSession.read.parquet(folder)
-    some = every.join(F.broadcast(kept) if contexts <= 1 << 20 else kept, "context").groupBy("context", "total", "word").agg(F.count("*").alias("n"))
-    ranked = lambda df, *by: df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).where(F.col("r") <= width)
-    some = some.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)))
-    best = ranked(ranked(some, "context", "salt"), "context").groupBy("context", "total").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("b"))
-    return best.select("context", "total", F.col("b.word").alias("words"), F.col("b.n").alias("n"))
+    share, for what was counted so far. The runs of a length that are among the best so far, at most `contexts`, go through
+    the driver to be broadcast."""
+    spark, texts = docs.sparkSession, docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    empty = Runs(pa.array([], pa.large_string()), [], np.zeros(1, np.int64), np.full(1, PARTS))
+    behind = stored(followed(texts, empty), "behind-0")
+    known = behind.groupBy("c").agg(F.sum("n").alias("total")).select(F.lit("").alias("context"), "total", F.lit(0).alias("size"), "c")
+    levels = [(known, behind.orderBy(F.desc("n"), "word").limit(width))]
+    longer = behind.where(F.col("word") != END).select(F.col("word").alias("context"), F.col("n").alias("total"))
+    for size in range(1, order):
+        best, least = _best(known.drop("c").unionByName(longer.withColumn("size", F.lit(size))), contexts)
+        known = stored(best.withColumn("c", F.row_number().over(Window.orderBy(F.desc("total"), "context"))), f"known-{size}")
+        own = known.where(F.col("size") == size)
+        rows = own.select("context", "c", "total").toArrow()
+        if not len(rows):
+            break
+        # words behind are kept for the model, or since they may end a run that is kept
+        ranked = followed(texts, _runs(rows)).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word")))
+        behind = stored(ranked.where((F.col("r") <= width) | (F.col("n") >= least)), f"behind-{size}")
+        levels.append((own, behind.where(F.col("r") <= width)))
+        longer = behind.where((F.col("n") >= least) & (F.col("word") != END)).join(own, "c").select(F.concat_ws(" ", "context", "word").alias("context"), F.col("n").alias("total"))
+    kept, models = known.select("context", "total"), []
+    for own, some in levels:
+        first = some.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, width).alias("b"))
+        models.append(own.select("context", "c").join(first, "c").join(kept, "context").select("context", "total", F.col("b.word").alias("words"), F.transform("b.m", lambda m: -m).alias("n")))
+    return functools.reduce(DataFrame.unionByName, models)
 
 
 class Model(NamedTuple):
