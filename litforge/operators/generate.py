@@ -85,9 +85,31 @@ def _counted(runs: Runs, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(runs.c[place]), pa.array(runs.parts[place]), known.take(pa.array(word)).cast(pa.string()), pa.array(n.astype(np.int64))], names=["c", "parts", "word", "n"])
 
 
-def followed(texts: DataFrame, runs: Runs) -> DataFrame:
-    """c, part, word, n: how often each word follows each of the runs in all texts, a column of strings. The words behind a
-    run that occurs often are dealt to several parts."""
+def _summed(rows: pa.Table, width: int, least: int) -> pa.Table:
+    """part, word, n: the counts of each word summed up; the words that follow most often in each part, and those that do
+    `least` times."""
+    coded = rows.column("word").cast(pa.large_string()).combine_chunks().dictionary_encode()
+    order = np.empty(len(coded.dictionary), np.int64)
+    order[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(order))  # by bytes, as Spark sorts
+    known = coded.dictionary.take(pa.array(np.argsort(order)))
+    parts, place = np.unique(rows.column("part").to_numpy(), return_inverse=True)
+    pair = place * len(known) + order[coded.indices.to_numpy()]
+    by = np.argsort(pair)
+    pair = pair[by]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    n = np.add.reduceat(rows.column("n").to_numpy()[by], first)
+    place, word = np.divmod(pair[first], len(known))
+    by = np.lexsort((-n, place))  # stable: equal counts stay by word
+    place, word, n = place[by], word[by], n[by]
+    rank = np.arange(len(place)) - np.flatnonzero(np.diff(place, prepend=-1))[place]
+    kept = (rank < width) | (n >= least)
+    return pa.table({"part": parts[place[kept]], "word": known.take(pa.array(word[kept])).cast(pa.string()), "n": n[kept]})
+
+
+def followed(texts: DataFrame, runs: Runs, width: int, least: int) -> DataFrame:
+    """c, part, word, n: how often words follow each of the runs in all texts, a column of strings. The words behind a run that
+    occurs often are dealt to several parts; of each part there are the `width` words that follow most often, and all that
+    do `least` times. A task holds the counts of its parts, a row for each that a task made."""
     sent = texts.sparkSession.sparkContext.broadcast(runs)
 
     def run(batches):
@@ -100,9 +122,13 @@ def followed(texts: DataFrame, runs: Runs) -> DataFrame:
         if held:
             yield _counted(sent.value, pa.concat_arrays(held))
 
+    def put_together(batches):
+        if held := [b for b in batches if len(b)]:
+            yield from _summed(pa.Table.from_batches(held), width, least).to_batches()
+
     found = texts.mapInArrow(run, "c long, parts long, word string, n long")
     dealt = found.select((F.col("c") * PARTS + F.pmod(F.xxhash64("word"), F.col("parts"))).alias("part"), "word", "n").repartition("part")
-    return dealt.groupBy("part", "word").agg(F.sum("n").alias("n")).select(F.expr(f"part div {PARTS}").alias("c"), "part", "word", "n")
+    return dealt.mapInArrow(put_together, "part long, word string, n long").select(F.expr(f"part div {PARTS}").alias("c"), "part", "word", "n")
 
 
 def _best(runs: DataFrame, most: int) -> tuple[DataFrame, int]:
@@ -128,7 +154,7 @@ def train(docs: DataFrame, folder: str, text_col: str = "text", order: int = 3,
         return spark.read.parquet(f"{folder}/{name}")
 
     empty = Runs(pa.array([], pa.large_string()), [], np.zeros(1, np.int64), np.full(1, PARTS))
-    behind = stored(followed(texts, empty), "behind-0")
+    behind = stored(followed(texts, empty, width, 1), "behind-0")
     known = behind.groupBy("c").agg(F.sum("n").alias("total")).select(F.lit("").alias("context"), "total", F.lit(0).alias("size"), "c")
     levels = [(known, behind.orderBy(F.desc("n"), "word").limit(width))]
     longer = behind.where(F.col("word") != END).select(F.col("word").alias("context"), F.col("n").alias("total"))
@@ -140,9 +166,8 @@ def train(docs: DataFrame, folder: str, text_col: str = "text", order: int = 3,
         if not len(rows):
             break
         # words behind are kept for the model, or since they may end a run that is kept
-        ranked = followed(texts, _runs(rows)).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n"), "word")))
-        behind = stored(ranked.where((F.col("r") <= width) | (F.col("n") >= least)), f"behind-{size}")
-        levels.append((own, behind.where(F.col("r") <= width)))
+        behind = stored(followed(texts, _runs(rows), width, least if size < order - 1 else 1 << 62), f"behind-{size}")
+        levels.append((own, behind))
         longer = behind.where((F.col("n") >= least) & (F.col("word") != END)).join(own, "c").select(F.concat_ws(" ", "context", "word").alias("context"), F.col("n").alias("total"))
     kept, models = known.select("context", "total"), []
     for own, some in levels:
@@ -155,7 +180,8 @@ class Model(NamedTuple):
     order: int
     row: dict  # run -> number
     begin: np.ndarray
-    words: np.ndarray
+    known: np.ndarray  # words, each once
+    words: np.ndarray  # the places in known of the words behind the runs
     logs: np.ndarray  # logarithm of the share of a run's words
 
 
@@ -169,8 +195,9 @@ def loaded(table: DataFrame, most: int = 1 << 22) -> Model:
     lists = {c: rows.column(c).combine_chunks() for c in ("words", "n")}
     sizes = lists["n"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.repeat(rows.column("total").to_numpy().astype(np.float64), sizes)
+    coded = lists["words"].flatten().dictionary_encode()
     order = 1 + max((len(c.split(" ")) for c in found if c), default=0)
-    return Model(order, {c: i for i, c in enumerate(found)}, np.concatenate(([0], np.cumsum(sizes))), lists["words"].flatten().to_numpy(zero_copy_only=False).astype(object), np.log(lists["n"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)) - np.log(total))
+    return Model(order, {c: i for i, c in enumerate(found)}, np.concatenate(([0], np.cumsum(sizes))), coded.dictionary.to_numpy(zero_copy_only=False).astype(object), coded.indices.to_numpy(), np.log(lists["n"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)) - np.log(total))
 
 
 def behind(model: Model, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +205,8 @@ def behind(model: Model, text: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(min(model.order - 1, len(text)), -1, -1):
         at = model.row.get(" ".join(text[len(text) - k :]))
         if at is not None:
-            return model.words[model.begin[at] : model.begin[at + 1]], model.logs[model.begin[at] : model.begin[at + 1]]
-    return model.words[:0], model.logs[:0]
+            return model.known[model.words[model.begin[at] : model.begin[at + 1]]], model.logs[model.begin[at] : model.begin[at + 1]]
+    return model.known[:0], model.logs[:0]
 
 
 def _drawn(*of) -> float:
